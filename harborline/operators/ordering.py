@@ -198,3 +198,28 @@ def _bracketed(df, value, lo, hi, least, most, low, high, rank) -> float:
                 return row["a"] + (rank - low) * (row["b"] - row["a"])
         width = max(hi - lo, abs(hi), 1e-9)
         lo, hi = max(least, lo - width), min(most, hi + width)
+
+
+def smallest(df: DataFrame, order_by: Sequence[str | Column], n: int, driver_free_above: int = 10_000) -> DataFrame:
+    """The first n rows by `order_by`. Large n is cut by position, so no task holds more than its share."""
+    if n <= driver_free_above:
+        return df.orderBy(*order_by).limit(n)
+    names = [f"_o{i}" for i in range(len(order_by))]
+    keyed = df.withColumns({a: (F.col(c) if isinstance(c, str) else c) for a, c in zip(names, order_by)})
+    return positions(keyed, names).filter(F.col(POS) < n).drop(POS, *names)
+
+
+def top_per_group(
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[Column], k: int, rank: str = "rank", group_rows: int = GROUP_ROWS, salts: int = 256
+) -> DataFrame:
+    """The first k rows of each group with their 1-based rank.
+
+    A group beyond one task's bound is first cut to k rows in each of `salts` parts, which keeps
+    every row that can be in the answer.
+    """
+    if largest_group(df, keys) > group_rows:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)))
+        part = Window.partitionBy(*keys, "_salt").orderBy(*order_by)
+        df = salted.withColumn("_r", F.row_number().over(part)).filter(F.col("_r") <= k).drop("_r", "_salt")
+    w = Window.partitionBy(*keys).orderBy(*order_by)
+    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)

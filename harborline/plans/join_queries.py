@@ -38,14 +38,14 @@ def j2(spark, d):
 
 @query(
     "J3_agg_join_back",
-    """WITH a AS (SELECT o_custkey, CAST(count(*) AS BIGINT) AS session_count, CAST(count(DISTINCT o_orderpriority) AS BIGINT) AS unique_priorities, round(avg(o_totalprice), 4) AS avg_price FROM orders GROUP BY 1)
+    """WITH a AS (SELECT o_custkey, CAST(count(*) AS BIGINT) AS session_count, CAST(count(DISTINCT o_orderpriority) AS BIGINT) AS unique_priorities, round(sum(o_totalprice), 2) / count(*) AS avg_price FROM orders GROUP BY 1)
        SELECT o_orderkey, o_custkey, session_count, unique_priorities, avg_price FROM orders LEFT JOIN a USING (o_custkey)""",
 )
 def j3(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
     out = J.agg_join_back(
         o, ["o_custkey"],
-        {"session_count": F.count(F.lit(1)), "unique_priorities": F.count_distinct("o_orderpriority"), "avg_price": F.round(F.avg("o_totalprice"), 4)},
+        {"session_count": F.count(F.lit(1)), "unique_priorities": F.count_distinct("o_orderpriority"), "avg_price": F.round(F.sum("o_totalprice"), 2) / F.count(F.lit(1))},
     )
     return out.select("o_orderkey", "o_custkey", "session_count", "unique_priorities", "avg_price")
 

@@ -161,7 +161,7 @@ def f25(spark, d):
 def f37(spark, d):
     ev = table(spark, d, "events")
     kinds = spark.createDataFrame(list(A.field_types(ev).items()), "column_name string, kind string")
-    return kinds.withColumn("n_rows", F.lit(ev.count()))
+    return kinds.withColumn("n_rows", F.lit(ev.count()).cast("long"))
 
 
 @query(
