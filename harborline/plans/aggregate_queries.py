@@ -69,7 +69,7 @@ def a12d(spark, d):
     return A.linear_forecast(trend, horizon=30, step="date").withColumn("y_hat", F.round("y_hat", 4))
 
 
-_PREDS = """p AS (SELECT l_orderkey AS row_id, CAST(l_suppkey % 3 AS INTEGER) AS worker, (l_extendedprice - 50000) / 10000 AS y_hat, l_discount AS conf FROM lineitem),
+_PREDS = """p AS (SELECT l_orderkey AS row_id, CAST(l_suppkey % 3 AS INTEGER) AS worker, (l_extendedprice - 50000) / 10000 AS y_hat, l_discount / 7 + l_tax / 13 AS conf FROM lineitem),
   n AS (SELECT 0 AS worker, 50000.0::DOUBLE AS mean, 10000.0::DOUBLE AS std UNION ALL SELECT 1, 40000, 0)"""
 
 
@@ -80,7 +80,7 @@ _PREDS = """p AS (SELECT l_orderkey AS row_id, CAST(l_suppkey % 3 AS INTEGER) AS
 )
 def a16(spark, d):
     li = table(spark, d, "lineitem")
-    preds = li.select(F.col("l_orderkey").alias("row_id"), (F.col("l_suppkey") % 3).cast("int").alias("worker"), ((F.col("l_extendedprice") - 50000) / 10000).alias("y_hat"), F.col("l_discount").alias("conf"))
+    preds = li.select(F.col("l_orderkey").alias("row_id"), (F.col("l_suppkey") % 3).cast("int").alias("worker"), ((F.col("l_extendedprice") - 50000) / 10000).alias("y_hat"), (F.col("l_discount") / 7 + F.col("l_tax") / 13).alias("conf"))
     norm = spark.createDataFrame([(0, 50000.0, 10000.0), (1, 40000.0, 0.0)], "worker int, mean double, std double")
     return A.ensemble_regression(preds, norm).withColumn("prediction", F.round("prediction", 4) + 0.0)
 

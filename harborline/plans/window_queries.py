@@ -72,10 +72,10 @@ def w8(spark, d):
 @query(
     "W9_ema",
     """WITH e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events)
-       SELECT a.event_id, round(sum(CASE WHEN b.i = 0 THEN 1.0 ELSE 0.3 END * pow(0.7::DOUBLE, a.i - b.i) * b.value), 6) AS value_ema FROM e a JOIN e b ON a.user_id = b.user_id AND b.i <= a.i GROUP BY a.event_id""",
+       SELECT a.event_id, round(sum(CASE WHEN b.i = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE / 3 END * pow(1 - 1.0::DOUBLE / 3, a.i - b.i) * b.value), 6) AS value_ema FROM e a JOIN e b ON a.user_id = b.user_id AND b.i <= a.i GROUP BY a.event_id""",
 )
 def w9(spark, d):
-    return W.ema(_events(spark, d), "value", ["ts", "event_id"], ["user_id"], alpha=0.3).select("event_id", F.round("value_ema", 6).alias("value_ema"))
+    return W.ema(_events(spark, d), "value", ["ts", "event_id"], ["user_id"], alpha=1 / 3).select("event_id", F.round("value_ema", 6).alias("value_ema"))
 
 
 @query(
