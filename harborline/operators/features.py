@@ -112,7 +112,7 @@ def text_like(df: DataFrame, columns: Sequence[str]) -> list[str]:
 
 def text_hash(df: DataFrame, column: str, n: int = 64, name: str | None = None) -> DataFrame:
     """Token counts in n hash buckets as a sparse vector (words of two or more characters)."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(r"(?U)\b(\w\w+)\b"), F.lit(1))
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
     keyed = df.withColumn("_words", words)
     out = name or f"{column}_hashed"
     return HashingTF(numFeatures=n, inputCol="_words", outputCol=out).transform(keyed).drop("_words")
@@ -197,8 +197,8 @@ def oof_target_encode(
     for c in columns:
         value = F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
         part = out.groupBy(value.alias("_v"), F.col("_fold").alias("_f")).agg(F.sum("_y").alias("s"), F.count(F.lit(1)).alias("n"))
-        whole = part.groupBy("_v").agg(F.sum("s").alias("S"), F.sum("n").alias("N"))
-        cnt, total = F.col("N") - F.col("n"), F.col("S") - F.col("s")
+        whole = part.groupBy("_v").agg(F.sum("s").alias("s_all"), F.sum("n").alias("n_all"))
+        cnt, total = F.col("n_all") - F.col("n"), F.col("s_all") - F.col("s")
         rates = part.join(whole, "_v").select(
             "_v", "_f", F.when(cnt < min_count, F.lit(mu)).otherwise((total + smoothing * mu) / (cnt + smoothing)).alias(f"{c}_te")
         )

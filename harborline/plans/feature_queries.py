@@ -59,7 +59,7 @@ def e5(spark, d):
 
 @query(
     "E6_text_hash",
-    r"""SELECT doc_id, CAST(len(list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}_]+'), lambda x: length(x) >= 2)) AS DOUBLE) AS n_tokens, 64 AS width FROM documents""",
+    r"""SELECT doc_id, CAST(len(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda x: length(x) >= 2)) AS DOUBLE) AS n_tokens, 64 AS width FROM documents""",
 )
 def e6(spark, d):
     h = E.text_hash(table(spark, d, "documents").select("doc_id", "text"), "text", 64)
