@@ -145,17 +145,32 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, floor: float) -> DataFra
     """
     if floor < 0.75:
         raise ValueError("the candidate bound holds for floors of 0.75 and above")
-    toks = lambda df: df.select(F.explode(F.concat(_grams(F.col("t")), _letters(F.col("t")))).alias("g"), "t")
-    l_all, r_all = toks(left), toks(right)
+    grammed = lambda df: df.select("t", _grams(F.col("t")).alias("gs"))
+    l_grams, r_grams = grammed(left), grammed(right)
+    toks = lambda df: df.select(F.explode(F.concat("gs", _letters(F.col("t")))).alias("g"), "t")
+    l_all, r_all = toks(l_grams), toks(r_grams)
     counts = r_all.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+
+    def needed(letters: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(letters * (1.5 * floor - 1.0) - 1.0).cast("int"))
+
     size = F.length("t")
-    pairs = F.greatest(F.lit(1), F.ceil(size * (2.0 / (2.0 - floor)) * (1.5 * floor - 1.0) - 1.0).cast("int"))
+    fewest = needed(size * (2.0 / (2.0 - floor)))
     ranked = (
-        l_all.filter(~F.col("g").startswith("1:")).join(counts, "g", "left")
-        .groupBy("t").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))).alias("gs"))
+        l_grams.select("t", F.explode("gs").alias("g")).join(counts, "g", "left")
+        .groupBy("t").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))).alias("ranked"))
+    )
+    kept = ranked.withColumn("keep", F.greatest(F.lit(1), F.size("ranked") - fewest + 1))
+    prefix = kept.select("t", F.transform("ranked", lambda x: x["g"]).alias("gs"), F.explode(F.slice("ranked", F.lit(1), F.col("keep"))).alias("x")).select("t", "gs", "x.g")
+    lookup = r_grams.select(F.explode("gs").alias("g"), F.col("t").alias("r"), F.col("gs").alias("r_gs"))
+    length = size + F.length("r")
+    # Both tests use only the pair at hand, so most pairs end before any shuffle or Python.
+    near = (
+        prefix.join(lookup, "g")
+        .filter(2.0 * F.least(size, F.length("r")) >= floor * length)
+        .filter(F.size(F.array_intersect("gs", "r_gs")) >= needed(length))
+        .select(F.col("t").alias("l"), "r")
     )
-    prefix = ranked.withColumn("keep", F.greatest(F.lit(1), F.size("gs") - pairs + 1)).select("t", F.explode(F.slice("gs", F.lit(1), F.col("keep"))).alias("x")).select("t", "x.g")
-    near = prefix.join(r_all.withColumnRenamed("t", "r"), "g").filter(2.0 * F.least(size, F.length("r")) >= floor * (size + F.length("r"))).select(F.col("t").alias("l"), "r")
 
     def inner_rarest(own: DataFrame, other: DataFrame) -> DataFrame:
         seen = other.groupBy("g").agg(F.count(F.lit(1)).alias("n"))

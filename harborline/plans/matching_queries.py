@@ -80,6 +80,7 @@ def j10(spark, d):
 
 @query("J9_fuzzy_match")
 def j9(spark, d):
-    """Words of the benchmark against words of the conversations, best match each."""
-    long = F.length("column_name") >= 4
-    return M.fuzzy_match(_words(table(spark, d, "benchmark")).filter(long), _words(table(spark, d, "conversations")).filter(long), 0.82, 0.90)
+    """Part names and types against the words of the benchmark, best match each."""
+    p = table(spark, d, "part")
+    names = p.select(F.explode(F.concat(F.split("p_name", " "), F.array("p_type", F.regexp_replace("p_name", " ", "")))).alias("column_name"))
+    return M.fuzzy_match(names, _provided(spark, d), 0.78, 0.92)

@@ -217,7 +217,7 @@ _NEAR = [("share_near_the", [["the"]]), ("n_near_de", [["de ", " de"]]), ("n_nea
         l AS (SELECT doc_id, i, v, 'share_near_the' AS label FROM v WHERE contains(span, 'the') UNION ALL SELECT doc_id, i, v, 'n_near_de' FROM v WHERE contains(span, 'de ') OR contains(span, ' de')
           UNION ALL SELECT doc_id, i, v, 'n_near_both' FROM v WHERE (contains(span, 'and') OR contains(span, 'et')) AND (contains(span, 'of') OR contains(span, 'la'))),
         f AS (SELECT doc_id, label, arg_min(v, i) AS v FROM l GROUP BY 1, 2)
-        SELECT doc_id, label, CASE WHEN label = 'share_near_the' THEN CASE WHEN v <= 1 THEN round(v * 100, 4) ELSE round(v, 4) END ELSE v END AS value FROM f""",
+        SELECT doc_id, label, CASE WHEN label = 'share_near_the' THEN CASE WHEN v <= 1 THEN round(v * 100, 4) WHEN v > 1e9 THEN v ELSE round(v, 4) END ELSE v END AS value FROM f""",
 )
 def f45d(spark, d):
     """Numbers in whole documents, labelled by common words near them."""
