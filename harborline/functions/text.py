@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from harborline.functions import rules as K
 from harborline.functions import scalars as S
+from harborline.session import fan_out
 
 # ---- keyword scores ----------------------------------------------------------------------------
 
@@ -74,6 +75,7 @@ def intent_scores(df: DataFrame, text: str, key: Sequence[str], categories: dict
             for i, (c, words) in enumerate(categories.items())
         ]
     )
+    df = fan_out(df)
     scored = df.filter(low != "").select(*key, F.explode(base).alias("s")).select(*key, "s.*")
     words = df.select(*key, F.explode(F.array_distinct(F.split(F.regexp_replace(low, "[/-]", " "), r"\s+"))).alias("word")).filter(F.col("word") != "")
     targets = sorted({w for p in phrase.values() for w in p.split()})
@@ -300,7 +302,7 @@ def context_anchors(
     labels_by_words: Sequence[tuple[str, Sequence[Sequence[str]]]] = tuple(K.ANCHOR_LABELS), percent: Sequence[str] = tuple(K.ANCHOR_PERCENT_LABELS),
 ) -> DataFrame:
     """(key, label, value): each label's first number with one of its words within 40 characters."""
-    low = df.select(*key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    low = fan_out(df).select(*key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
     cut = low.select(*key, "_t", F.split("_t", NUMBER).alias("_gaps"), F.regexp_extract_all("_t", F.lit(NUMBER), F.lit(0)).alias("_nums"))
     cut = cut.filter(F.size("_nums") > 0)
     # The text around a number: the gaps and numbers beside it, as far as 40 characters reach.

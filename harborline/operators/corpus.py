@@ -12,8 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harborline.functions.scalars import canonical_hash
+from harborline.operators.joins import first_per_key
 from harborline.operators.sampling import split_assign
-from harborline.operators.sets import content_dedupe
 
 EXAMPLE_COLUMNS = ["task_type", "source_type", "industry", "category", "worker_id", "system", "user", "assistant", "labels"]
 # What an answer source or a low parse confidence leads to.
@@ -109,6 +110,8 @@ def bootstrap_examples(manifest: DataFrame) -> DataFrame:
 def build_corpus(parts: Sequence[DataFrame], seed: int | str = 42, train: float = 0.8, val: float = 0.1) -> DataFrame:
     """All examples, one per distinct content, with their split. Write with write_jsonl_by_split."""
     union = reduce(lambda a, b: a.unionByName(b), parts)
-    once = union.groupBy("record_id").agg(*[F.first(c).alias(c) for c in EXAMPLE_COLUMNS])
-    unique = content_dedupe(once, ["task_type", "industry", "category", "system", "user", "assistant"], ["record_id"])
+    content = ["task_type", "industry", "category", "system", "user", "assistant"]
+    keyed = union.withColumn("_content", canonical_hash(content))
+    # Copies meet in each map task first; of the rest one row per content is shuffled.
+    unique = first_per_key(keyed, ["_content"], ["record_id"]).drop("_content")
     return split_assign(unique, "record_id", seed, train, val)

@@ -17,8 +17,11 @@ from harborline.operators.ordering import POS, exact_quantiles, positions
 from harborline.operators.profile import auto_detect_columns, is_numeric, pair_correlations, parse_ratio
 from harborline.operators.projections import clean_target, ensure_columns, filter_in, rename_aliases
 from harborline.operators.windows import turning_points
+from harborline.session import materialize
 
 # ---- encoders ---------------------------------------------------------------------------------
+# Fitted codes are written once. Their size is then known, so Spark sends a small table to every
+# task and shuffles only for one too big for that.
 
 
 def fit_codes(df: DataFrame, column: str, null_as: str | None = None, first: int = 0) -> DataFrame:
@@ -27,13 +30,14 @@ def fit_codes(df: DataFrame, column: str, null_as: str | None = None, first: int
     if null_as is not None:
         v = F.coalesce(v, F.lit(null_as))
     values = df.select(v.alias("value")).filter(F.col("value").isNotNull()).distinct()
-    return positions(values, ["value"]).select("value", (F.col(POS) + first).cast("int").alias("code"))
+    return materialize(positions(values, ["value"]).select("value", (F.col(POS) + first).cast("int").alias("code")))
 
 
 def fit_frequencies(df: DataFrame, column: str) -> DataFrame:
     """(value, share of rows), null read as "unknown"."""
     n = max(1, df.count())
-    return df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("unknown")).alias("value")).agg((F.count(F.lit(1)) / F.lit(n)).alias("code"))
+    shares = df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("unknown")).alias("value")).agg((F.count(F.lit(1)) / F.lit(n)).alias("code"))
+    return materialize(shares)
 
 
 def apply_codes(df: DataFrame, column: str, params: DataFrame, name: str, unseen: Column | None = None, null_as: str | None = None) -> DataFrame:
@@ -202,6 +206,7 @@ def oof_target_encode(
         rates = part.join(whole, "_v").select(
             "_v", "_f", F.when(cnt < min_count, F.lit(mu)).otherwise((total + smoothing * mu) / (cnt + smoothing)).alias(f"{c}_te")
         )
+        rates = materialize(rates)
         out = out.join(rates, (value == rates["_v"]) & (F.col("_fold") == rates["_f"]), "left").drop("_v", "_f")
     return out.drop("_y", "_fold")
 

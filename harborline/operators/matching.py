@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harborline.functions import scalars as S
-from harborline.operators.ordering import top_per_group
+from harborline.operators.ordering import small_side, top_per_group
 
 REPRESENTATIVE = 30
 WORKER_CAP = 25
@@ -21,22 +21,28 @@ TOP_WORKERS = 5
 MISSING_SHOWN = 15
 
 
-def manifest_tokens(manifest: DataFrame) -> DataFrame:
-    """(category, worker, token, column_name) of manifest(category, worker, column_name), one row per worker and token."""
-    tokens = manifest.select("category", "worker", S.normalize_token(F.col("column_name")).alias("token"), F.trim("column_name").alias("column_name"))
-    return tokens.filter(F.col("token") != "").groupBy("category", "worker", "token").agg(F.min("column_name").alias("column_name"))
+def manifest_tokens(manifest: DataFrame, names: bool = False) -> DataFrame:
+    """(category, worker, token) of manifest(category, worker, column_name), one row per worker and token.
+
+    `names` adds one column name per token; without it the rows are keys only.
+    """
+    tokens = manifest.select("category", "worker", S.normalize_token(F.col("column_name")).alias("token"), F.trim("column_name").alias("column_name")).filter(F.col("token") != "")
+    if not names:
+        return tokens.select("category", "worker", "token").distinct()
+    return tokens.groupBy("category", "worker", "token").agg(F.min("column_name").alias("column_name"))
 
 
 def mark_provided(tokens: DataFrame, provided: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Adds `hit`: the token is provided, or is the canonical of an alias that is (within its category)."""
     given = provided.select(S.normalize_token(F.col(provided.columns[0])).alias("token")).filter(F.col("token") != "").distinct().withColumn("_given", F.lit(1))
+    given = small_side(given)
     out = tokens.join(given, "token", "left").withColumn("hit", F.col("_given").isNotNull())
     if aliases is not None:
         mapped = (
             aliases.select("category", S.normalize_token(F.col("alias")).alias("_alias"), S.normalize_token(F.col("canonical")).alias("token"))
             .join(given.withColumnRenamed("token", "_alias"), "_alias", "left_semi").select("category", "token").distinct().withColumn("_mapped", F.lit(1))
         )
-        out = out.join(mapped, ["category", "token"], "left").withColumn("hit", F.col("hit") | F.col("_mapped").isNotNull()).drop("_mapped")
+        out = out.join(small_side(mapped), ["category", "token"], "left").withColumn("hit", F.col("hit") | F.col("_mapped").isNotNull()).drop("_mapped")
     return out.drop("_given")
 
 
@@ -68,7 +74,7 @@ def top_workers(manifest: DataFrame, provided: DataFrame, aliases: DataFrame | N
 
 def missing_columns(manifest: DataFrame, provided: DataFrame, aliases: DataFrame | None = None, shown: int = MISSING_SHOWN) -> DataFrame:
     """Up to 15 columns each category's best worker still lacks."""
-    marked = mark_provided(manifest_tokens(manifest), provided, aliases)
+    marked = mark_provided(manifest_tokens(manifest, names=True), provided, aliases)
     best = top_workers(manifest, provided, aliases, 1).select("category", "worker")
     lacking = marked.join(best, ["category", "worker"], "left_semi").filter(~F.col("hit"))
     return top_per_group(lacking, ["category"], [F.col("token")], shown).select("category", "worker", "column_name", "rank")

@@ -77,14 +77,17 @@ def over_ordered(
     before: int = 0,
     after: int = 0,
     group_rows: int = GROUP_ROWS,
+    biggest: int | None = None,
 ) -> DataFrame:
     """Add window columns that look at most `before` rows back and `after` rows ahead.
 
+    `biggest` is the largest group's size where the caller knows it; else it is counted.
+
     On the block path the edge rows of each block are copied to its neighbour, so every frame is
     whole, and the copies are dropped afterwards.
     """
     keys, order = list(partition_by), require_order(order_by)
-    if largest_group(df, keys) <= group_rows:
+    if (largest_group(df, keys) if biggest is None else biggest) <= group_rows:
         w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
         return df.withColumns(build(w))
     if max(before, after) > group_rows:
@@ -113,12 +116,14 @@ def running_sum(
     order_by: Sequence[str],
     sums: dict[str, Column],
     group_rows: int = GROUP_ROWS,
+    biggest: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums per group (nulls count as 0)."""
     keys, order = list(partition_by), require_order(order_by)
     names = list(sums)
-    if keys and largest_group(df, keys) <= group_rows:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    bound = group_rows if keys else min(group_rows, TABLE_ROWS)
+    if (largest_group(df, keys) if biggest is None else biggest) <= bound:
+        w = (Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({n: F.coalesce(F.sum(c).over(w), F.lit(0)) for n, c in sums.items()})
     placed = materialize(
         positions(df.withColumns(sums), keys + order, table_rows=min(TABLE_ROWS, group_rows)).withColumn(
@@ -209,17 +214,32 @@ def smallest(df: DataFrame, order_by: Sequence[str | Column], n: int, driver_fre
     return positions(keyed, names).filter(F.col(POS) < n).drop(POS, *names)
 
 
+# Up to this k Spark itself cuts every group to k rows in each map task before the shuffle.
+GROUP_LIMIT_KEY = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
 def top_per_group(
     df: DataFrame, keys: Sequence[str], order_by: Sequence[Column], k: int, rank: str = "rank", group_rows: int = GROUP_ROWS, salts: int = 256
 ) -> DataFrame:
     """The first k rows of each group with their 1-based rank.
 
-    A group beyond one task's bound is first cut to k rows in each of `salts` parts, which keeps
-    every row that can be in the answer.
+    For small k the optimizer pushes the limit under the shuffle, so a hot group arrives cut down.
+    For larger k a group beyond one task's bound is first cut to k rows in each of `salts` parts,
+    which keeps every row that can be in the answer.
     """
-    if largest_group(df, keys) > group_rows:
+    pushed = k <= int(df.sparkSession.conf.get(GROUP_LIMIT_KEY, "1000"))
+    if not pushed and largest_group(df, keys) > group_rows:
         salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)))
         part = Window.partitionBy(*keys, "_salt").orderBy(*order_by)
         df = salted.withColumn("_r", F.row_number().over(part)).filter(F.col("_r") <= k).drop("_r", "_salt")
     w = Window.partitionBy(*keys).orderBy(*order_by)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+
+
+# A side of a join this small is sent to every task; its rows are counted first.
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The same rows, marked for broadcast when they are few enough; otherwise Spark shuffles both sides."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

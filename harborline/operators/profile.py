@@ -327,7 +327,7 @@ def default_main(df: DataFrame, order_by: Sequence[str], as_of: str = "2024-12-3
     if pick["id"] is not None:
         ident = F.coalesce(F.col(pick["id"]).cast("string"), ident)
     return placed.select(
-        F.col(POS), S.iso_utc(t).alias("t"), metric.alias("metric"), category.alias("category"), ident.alias("id")
+        F.col(POS).alias("pos"), S.iso_utc(t).alias("t"), metric.alias("metric"), category.alias("category"), ident.alias("id")
     )
 
 

@@ -13,6 +13,7 @@ from harborline.functions import scalars as S
 from harborline.operators.joins import scoped_alias_join, status_join
 from harborline.operators.ordering import top_per_group
 from harborline.operators.sets import fingerprint_groups
+from harborline.session import materialize
 
 KEEP_NOTES = 20
 KEEP_EVIDENCE = 30
@@ -58,8 +59,9 @@ def upsert_aliases(registry: DataFrame, batch: DataFrame) -> DataFrame:
     usable = batch.filter((F.trim("canonical_column") != "") & (F.trim("alias") != "")).filter(
         S.unicode_token(F.col("canonical_column")) != S.unicode_token(F.col("alias"))
     )
-    old = registry.withColumn("key", pair)
-    new = usable.withColumn("key", pair)
+    # Both sides are read several times below; the batch may come from a costly job or a stream.
+    old = materialize(registry.withColumn("key", pair))
+    new = materialize(usable.withColumn("key", pair))
     start = F.lit(-1).cast("long")
     one_old = old.select(
         "key", start.alias("at"), "canonical_column", "alias", F.lower("status").alias("status"), "confidence", "source", "first_seen", "last_seen", F.col("hit_count").alias("hits")

@@ -50,10 +50,24 @@ def hash_ranked(df: DataFrame, key: Sequence[str], seed: int | str, partition_by
 
 
 def hash_sample(df: DataFrame, key: Sequence[str], cap: int, seed: int | str = 42) -> DataFrame:
-    """The first `cap` rows by token (all rows when cap <= 0)."""
+    """The first `cap` rows by token (all rows when cap <= 0).
+
+    Tokens are spread evenly, so the wanted rows lie under a token bound a little above cap / rows;
+    only rows under it are sorted. Should too few lie there, all rows are.
+    """
     if cap <= 0:
         return df
-    return smallest(df.withColumn(TOKEN, hash_token(key, seed)), [TOKEN, *key], cap).drop(TOKEN)
+    tokened = df.withColumn(TOKEN, hash_token(key, seed))
+    if cap <= 10_000:
+        return smallest(tokened, [TOKEN, *key], cap).drop(TOKEN)
+    total = df.count()
+    share = (cap + 6.0 * math.sqrt(cap) + 50.0) / max(1, total)
+    if share < 0.5:
+        bound = f"{min(16**12 - 1, int(share * 16**12)):012x}"
+        near = tokened.filter(F.col(TOKEN) < bound)
+        if near.count() >= cap:
+            tokened = near
+    return smallest(tokened, [TOKEN, *key], cap).drop(TOKEN)
 
 
 def cap_rows(df: DataFrame, key: Sequence[str], n: int, seed: int | str = 42) -> DataFrame:

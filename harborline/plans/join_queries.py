@@ -67,7 +67,7 @@ def j4(spark, d):
 @query(
     "J5_broadcast_row",
     """WITH r AS (SELECT round(avg(l_tax), 6) AS avg_tax, max(l_quantity) AS max_quantity FROM lineitem)
-       SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * avg_tax, 4) AS expected_tax, l_quantity / max_quantity AS load FROM lineitem, r""",
+       SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * avg_tax, 8) AS expected_tax, l_quantity / max_quantity AS load FROM lineitem, r""",
 )
 def j5(spark, d):
     li = table(spark, d, "lineitem")
@@ -75,7 +75,7 @@ def j5(spark, d):
     out = J.broadcast_row(li, card)
     return out.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-        F.round(F.col("l_extendedprice") * F.col("avg_tax"), 4).alias("expected_tax"),
+        F.round(F.col("l_extendedprice") * F.col("avg_tax"), 8).alias("expected_tax"),
         (F.col("l_quantity") / F.col("max_quantity")).alias("load"),
     )
 

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from harborline.operators import matching as M
 from harborline.plans.registry import query, table
+from harborline.session import fan_out
 
 
 def _words(df, *keep):
-    return df.select(*keep, F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("column_name"))
+    return fan_out(df.select("text", *keep)).select("*", F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("column_name")).drop("text")
 
 
 def _manifest(spark, d):

@@ -95,7 +95,7 @@ def a14(spark, d):
 def a15(spark, d):
     ev = table(spark, d, "events").select("ts", "event_id", "event_type", "value")
     picked = ev.select(F.col("ts").alias("event_date"), "event_id", "event_type", "value")
-    return A.default_main(picked, ["event_date", "event_id"]).withColumnRenamed("_pos", "pos")
+    return A.default_main(picked, ["event_date", "event_id"])
 
 
 @query(
@@ -186,3 +186,23 @@ def a13_dashboard(spark, d):
     main = A.uniform_downsample(ev, 1000, ["ts", "event_id"])
     k = A.kpis(main, "value", ["ts", "event_id"])
     return k.select([F.round(c, 6).alias(c) for c in k.columns])
+
+
+@query(
+    "F25_target_picks",
+    """WITH s AS (SELECT count(DISTINCT l_quantity) AS q, count(DISTINCT l_discount) AS d, count(DISTINCT l_extendedprice) AS p FROM lineitem)
+       SELECT 'fallback' AS pick, 'l_extendedprice' AS column_name, 'regression' AS task_type FROM s UNION ALL SELECT 'scored', CASE WHEN q > 20 THEN 'l_quantity' ELSE 'l_extendedprice' END, 'regression' FROM s
+       UNION ALL SELECT 'metric', 'l_discount', 'regression' FROM s UNION ALL SELECT 'sample', 'l_discount', CASE WHEN d <= 20 THEN 'classification' ELSE 'regression' END FROM s
+       UNION ALL SELECT 'recommended', 'l_returnflag', 'classification' FROM s UNION ALL SELECT 'rule', 'l_tax', 'regression' FROM s UNION ALL SELECT 'rule', 'l_linestatus', 'classification' FROM s UNION ALL SELECT 'rule', 'l_extendedprice', 'regression' FROM s""",
+)
+def f25p(spark, d):
+    from harborline.operators import targets as G
+
+    stats = A.column_stats(table(spark, d, "lineitem")).cache()
+    tagged = lambda df, name: df.select(F.lit(name).alias("pick"), "column_name", "task_type")
+    out = tagged(G.fallback_target(stats), "fallback")
+    out = out.unionByName(tagged(G.scored_targets(stats).filter("rank = 1"), "scored"))
+    out = out.unionByName(tagged(G.pick_metric(stats, ["discount"]), "metric")).unionByName(tagged(G.pick_metric(stats, ["discount"], "sample"), "sample"))
+    out = out.unionByName(tagged(G.recommend_target(stats, "absent", "L_RETURNFLAG"), "recommended"))
+    rules = G.rule_targets(stats, [("status$", 90, "regression"), ("price", 80, "regression")], [("l_tax", "regression")])
+    return out.unionByName(tagged(rules, "rule"))

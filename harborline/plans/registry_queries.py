@@ -110,7 +110,7 @@ def r6(spark, d):
 
 def _manifest_parts(spark, d):
     p, li, c = table(spark, d, "part"), table(spark, d, "lineitem"), table(spark, d, "customer")
-    specs = p.groupBy(F.col("p_brand").alias("dataset_id")).agg(F.max("p_type").alias("category"), (F.avg("p_size") > 22).alias("enabled"), (F.count(F.lit(1)) < 20).alias("skip"))
+    specs = p.groupBy(F.col("p_brand").alias("dataset_id")).agg(F.max("p_type").alias("category"), (F.avg("p_size") > 22).alias("enabled"), (F.count(F.lit(1)) < 5).alias("skip"))
     both = li.filter("l_quantity >= 49").join(p, li.l_partkey == p.p_partkey)
     models = both.filter("p_retailprice > 950").select(F.col("p_brand").alias("dataset_id"), F.col("l_orderkey").alias("model_id"))
     cols = p.join(specs, p.p_brand == specs.dataset_id).select("category", "dataset_id", F.explode(F.split("p_name", " ")).alias("column_name"))
@@ -122,7 +122,7 @@ def _manifest_parts(spark, d):
     return specs, models, cols, aliases
 
 
-_SPEC = "sp AS (SELECT p_brand AS dataset_id, max(p_type) AS category, avg(p_size) > 22 AS enabled, count(*) < 20 AS skip FROM part GROUP BY 1), mo AS (SELECT p_brand AS dataset_id, min(l_orderkey) AS model_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 49 AND p_retailprice > 950 GROUP BY 1), co AS (SELECT DISTINCT category, dataset_id, unnest(string_split(p_name, ' ')) AS column_name FROM part JOIN sp ON p_brand = dataset_id)"
+_SPEC = "sp AS (SELECT p_brand AS dataset_id, max(p_type) AS category, avg(p_size) > 22 AS enabled, count(*) < 5 AS skip FROM part GROUP BY 1), mo AS (SELECT p_brand AS dataset_id, min(l_orderkey) AS model_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 49 AND p_retailprice > 950 GROUP BY 1), co AS (SELECT DISTINCT category, dataset_id, unnest(string_split(p_name, ' ')) AS column_name FROM part JOIN sp ON p_brand = dataset_id)"
 
 
 @query(

@@ -62,11 +62,11 @@ def x3s(spark, d):
     return spark.read.parquet(path).select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("X4_tail_events", "SELECT event_id, user_id, event_type FROM events WHERE event_id > 2500")
+@query("X4_tail_events", "SELECT event_id, user_id, event_type FROM events WHERE event_id > 250")
 def x4(spark, d):
     table(spark, d, "events")
     feed = L.file_feed(spark, d, "events.parquet").select("event_id", "user_id", "event_type")
-    return L.run_to_table(L.tail_events(feed, "event_id", 2500), "tail")
+    return L.run_to_table(L.tail_events(feed, "event_id", 250), "tail")
 
 
 @query(

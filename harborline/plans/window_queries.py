@@ -126,11 +126,11 @@ def t1(spark, d):
 
 @query(
     "T2_quota_select",
-    "SELECT c_custkey, c_nationkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) WHERE (c_nationkey = 1 AND r <= 5) OR (c_nationkey = 2 AND r <= 10) OR (c_nationkey = 7 AND r <= 3)",
+    "SELECT c_custkey, c_nationkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) WHERE (c_nationkey = 1 AND r <= 4) OR (c_nationkey = 2 AND r <= 6) OR (c_nationkey = 7 AND r <= 2)",
 )
 def t2(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    return T.quota_select(c, "c_nationkey", {1: 5, 2: 10, 7: 3}, [F.desc("c_acctbal"), F.col("c_custkey")]).select("c_custkey", "c_nationkey")
+    return T.quota_select(c, "c_nationkey", {1: 4, 2: 6, 7: 2}, [F.desc("c_acctbal"), F.col("c_custkey")]).select("c_custkey", "c_nationkey")
 
 
 @query(

@@ -44,14 +44,26 @@ def materialize(df: DataFrame) -> DataFrame:
     same rows, and being columnar it still serves pruned and filtered scans.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/harborline-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "table")
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/harborline-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder for files a query writes and reads back."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, for tables cut from their lineage and files read back."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch tables, when its last result has been written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _SHIPPED: set[str] = set()
@@ -66,3 +78,12 @@ def ship_package(spark: SparkSession) -> None:
     archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="harborline-"), "harborline"), "zip", root, "harborline")
     sc.addPyFile(archive)
     _SHIPPED.add(sc.applicationId)
+
+
+def fan_out(df: DataFrame) -> DataFrame:
+    """Spread a scan of fewer splits than there are task slots before costly per-row work.
+
+    A large table has many splits and is left alone; only small inputs pay this shuffle.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df

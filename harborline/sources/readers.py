@@ -27,7 +27,10 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
     try:
         return csv.Sniffer().sniff(sample, delimiters="".join(SEPARATORS)).delimiter
     except csv.Error:
-        return ","
+        # Uneven lines: take the mark the header uses most.
+        header = lines[0] if lines else ""
+        best = max(SEPARATORS, key=header.count)
+        return best if header.count(best) else ","
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, strict: bool = False) -> DataFrame:
@@ -58,18 +61,13 @@ def cast_by_content(df: DataFrame, rows: int) -> DataFrame:
         checks += [F.count(v.try_cast(t)).alias(f"{c}|{t}") for t in tried]
     counts = sample.agg(*checks).first().asDict()
 
+    # A text with a clock time also casts to a date; such columns keep the time.
+    timed = sample.agg(*[F.bool_or(F.col(f"`{c}`").rlike("[0-9]:[0-9]")).alias(c) for c in df.columns]).first()
+
     def typed(c: str) -> Column:
         v, n = F.col(f"`{c}`"), counts[f"{c}|n"]
-        for t in tried:
-            dated = t in ("date", "timestamp_ntz")
-            if n and counts[f"{c}|{t}"] == n:
-                if t == "date":
-                    # A text with a clock time also casts to a date; keep the time.
-                    has_time = sample.filter(v.rlike("[0-9]:[0-9]")).limit(1).count() > 0
-                    if has_time:
-                        continue
-                return v.try_cast(t).alias(c) if not dated else v.try_cast(t).alias(c)
-        return v.alias(c)
+        fits = [t for t in tried if n and counts[f"{c}|{t}"] == n and not (t == "date" and timed[c])]
+        return (v.try_cast(fits[0]) if fits else v).alias(c)
 
     return df.select([typed(c) for c in df.columns])
 

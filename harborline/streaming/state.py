@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from harborline.functions import scalars as S
-from harborline.operators.ordering import over_ordered, running_sum
+from harborline.operators.ordering import largest_group, over_ordered, running_sum
 
 SECOND = 1_000_000
 
@@ -107,9 +107,10 @@ def rate_check(df: DataFrame, key: str, ts: str, ident: str, limit: int, window_
     """
     events = df.select(key, ident, _micros(ts).alias("_us"))
     order = ["_us", ident]
-    paused = over_ordered(events, [key], order, lambda w: {"_before": F.lag("_us").over(w)}, before=1)
+    biggest = largest_group(events, [key])
+    paused = over_ordered(events, [key], order, lambda w: {"_before": F.lag("_us").over(w)}, before=1, biggest=biggest)
     fresh = (F.col("_us") - F.col("_before") > window_seconds * SECOND).cast("int")
-    stretches = running_sum(paused, [key], order, {"_stretch": fresh})
+    stretches = running_sum(paused, [key], order, {"_stretch": fresh}, biggest=biggest)
     return _run_sorted(stretches, [key, "_stretch"], order, lambda: RateRule(limit, window_seconds), RateRule.columns, [key, ident])
 
 
