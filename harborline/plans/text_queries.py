@@ -246,3 +246,32 @@ def f47(spark, d):
 def f48(spark, d):
     js = F.concat(F.lit('{"event": "'), "event_type", F.lit('", "raw_context": {"a": 1}, "list": [1, " ", 2], "props": '), "props", F.lit("}"))
     return table(spark, d, "events").select("event_id", X.flatten_text(js).alias("flat"))
+
+
+@query(
+    "F35_score_samples",
+    """SELECT event_id, CASE event_type WHEN 'view' THEN 'intake_parse' WHEN 'click' THEN 'worker_selection' WHEN 'purchase' THEN 'alias_mapping' ELSE 'chat_guardrail' END AS task,
+         CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 0.0 ELSE 1.0 END::DOUBLE AS exact_match, CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 1.0::DOUBLE END AS json_valid,
+         CASE WHEN event_type = 'view' THEN round((1.0::DOUBLE + (1.0::DOUBLE - least(1.0::DOUBLE, 2 / greatest(1.0::DOUBLE, user_id))) + 0.75::DOUBLE) / 3, 6) END AS parse_accuracy,
+         CASE WHEN event_type = 'purchase' THEN (user_id % 3 = 0)::INT::DOUBLE END AS mapping_top1, CASE WHEN event_type = 'purchase' THEN 1.0::DOUBLE END AS mapping_top3,
+         CASE WHEN event_type = 'click' THEN (user_id % 2 = 0)::INT::DOUBLE END AS worker_selection_accuracy, CASE WHEN event_type NOT IN ('view', 'click', 'purchase') THEN 1.0::DOUBLE END AS grounded_response_score FROM events""",
+)
+def f35s(spark, d):
+    """Expected and predicted answers made from events, one task per event type."""
+    from harborline.functions.scoring import score_samples
+
+    kind, u = F.col("event_type"), F.col("user_id").cast("string")
+    task = F.when(kind == "view", "intake_parse").when(kind == "click", "worker_selection").when(kind == "purchase", "alias_mapping").otherwise("chat_guardrail")
+    expected = (
+        F.when(kind == "view", F.concat(F.lit('{"normalized_answer": "'), u, F.lit('", "answer_source": "user", "parse_confidence": 0.75}')))
+        .when(kind == "click", F.lit('{"worker_model_id": "w0"}'))
+        .when(kind == "purchase", F.lit('{"canonical_column": "c0"}')).otherwise(F.concat(F.lit("stay on topic "), u))
+    )
+    first = F.when(F.col("user_id") % 3 == 0, "c0").otherwise("c9")
+    predicted = (
+        F.when(kind == "view", F.concat(F.lit('Sure: {"normalized_answer": '), (F.col("user_id") + 2).cast("string"), F.lit(', "answer_source": "USER", "parse_confidence": 0.5}')))
+        .when(kind == "click", F.concat(F.lit('```json\n{"top_workers": [{"worker_model_id": "w5"}, {"worker_model_id": "w'), (F.col("user_id") % 2).cast("string"), F.lit('"}]}\n```')))
+        .when(kind == "purchase", F.concat(F.lit('{"canonical_column": "'), first, F.lit('", "candidates": ["x", {"name": "c0"}]}'))).otherwise(F.concat(F.lit("Stay on topic! "), u))
+    )
+    out = score_samples(table(spark, d, "events").select("event_id", task.alias("task"), expected.alias("e"), predicted.alias("p")), ["event_id"], "task", "e", "p")
+    return out.withColumn("parse_accuracy", F.round("parse_accuracy", 6))
