@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache, reduce
 
 import pandas as pd
@@ -30,35 +30,46 @@ def keyword_scores(text: Column, categories: dict[str, list[str]]) -> Column:
     return F.array(*[F.struct(F.lit(c).alias("category"), hits(low, words).alias("score")) for c, words in categories.items()])
 
 
+def bind(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(value) with the value worked out once, however often fn uses it."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def keyword_categories(text: Column, categories: dict[str, list[str]] = K.CATEGORY_KEYWORDS, default: str = K.DEFAULT_CATEGORY) -> Column:
     """Categories scoring at least 80 % of the best (and at least 1)."""
-    scores = keyword_scores(text, categories)
-    best = F.array_max(F.transform(scores, lambda s: s["score"]))
-    floor = F.greatest(F.lit(1), F.floor(best * 0.8).cast("int"))
-    near = F.transform(F.filter(scores, lambda s: s["score"] >= floor), lambda s: s["category"])
-    return F.when(best > 0, near).otherwise(F.array(F.lit(default)))
-
-
-def best_category(text: Column, categories: dict[str, list[str]] = K.CATEGORY_KEYWORDS, default: str = K.DEFAULT_CATEGORY) -> dict[str, Column]:
-    """First best category, its score, and how sure the lead makes it."""
-    scores = keyword_scores(text, categories)
-    best = F.array_max(F.transform(scores, lambda s: s["score"]))
-    ordered = F.reverse(F.array_sort(F.transform(scores, lambda s: s["score"])))
-    first = F.filter(scores, lambda s: s["score"] == best)[0]["category"]
-    lead = best - F.coalesce(F.get(ordered, F.lit(1)), F.lit(0))
-    return {
-        "category": F.when(best > 0, first).otherwise(default),
-        "score": best,
-        "confidence": F.when(best <= 0, "low").when((best >= 3) & (lead >= 1), "high").otherwise("medium"),
-    }
+
+    def near(scores: Column, best: Column) -> Column:
+        floor = F.greatest(F.lit(1), F.floor(best * 0.8).cast("int"))
+        kept = F.transform(F.filter(scores, lambda s: s["score"] >= floor), lambda s: s["category"])
+        return F.when(best > 0, kept).otherwise(F.array(F.lit(default)))
+
+    return bind(keyword_scores(text, categories), lambda s: bind(F.array_max(F.transform(s, lambda x: x["score"])), lambda b: near(s, b)))
+
+
+def best_category(text: Column, categories: dict[str, list[str]] = K.CATEGORY_KEYWORDS, default: str = K.DEFAULT_CATEGORY) -> Column:
+    """struct<category, score, confidence>: first best category, its score, and how sure the lead makes it."""
+
+    def pick(scores: Column, ordered: Column) -> Column:
+        best = ordered[0]
+        first = F.filter(scores, lambda s: s["score"] == best)[0]["category"]
+        lead = best - F.coalesce(F.get(ordered, F.lit(1)), F.lit(0))
+        return F.struct(
+            F.when(best > 0, first).otherwise(default).alias("category"), best.alias("score"),
+            F.when(best <= 0, "low").when((best >= 3) & (lead >= 1), "high").otherwise("medium").alias("confidence"),
+        )
+
+    return bind(keyword_scores(text, categories), lambda s: bind(F.sort_array(F.transform(s, lambda x: x["score"]), asc=False), lambda o: pick(s, o)))
 
 
 def deficit_first(ranked: Column, deficits: dict[str, int]) -> Column:
     """Of several near-best categories, the one furthest below its target; else the first."""
     table = F.create_map(*[F.lit(x) for kv in deficits.items() for x in kv])
-    short = F.transform(ranked, lambda c, i: F.struct(F.greatest(F.lit(0), F.coalesce(table[c], F.lit(0))).alias("d"), (-i).alias("i"), c.alias("c")))
-    top = F.array_max(short)
-    return F.when((F.size(ranked) > 1) & (top["d"] > 0), top["c"]).otherwise(ranked[0])
+
+    def pick(names: Column) -> Column:
+        short = F.transform(names, lambda c, i: F.struct(F.greatest(F.lit(0), F.coalesce(table[c], F.lit(0))).alias("d"), (-i).alias("i"), c.alias("c")))
+        return bind(F.array_max(short), lambda top: F.when((F.size(names) > 1) & (top["d"] > 0), top["c"]).otherwise(names[0]))
+
+    return bind(ranked, pick)
 
 
 def intent_scores(df: DataFrame, text: str, key: Sequence[str], categories: dict[str, list[str]], top_k: int = 3) -> DataFrame:
@@ -189,10 +200,14 @@ def norm_name(name: str) -> str:
     return re.sub("[^a-z0-9]+", "", (name or "").strip().lower())
 
 
-def meaning_votes(target: Column, names: Column, hints: Column, task: Column, runs: Column) -> dict[str, Column]:
-    """Meaning and confidence of a target from its name, related names, value hints and history."""
-    t = S.unicode_token(F.coalesce(target, F.lit("")))
-    tokens = F.array_distinct(F.flatten(F.concat(F.array(S.split_tokens(target)), F.transform(names, S.split_tokens))))
+def meaning_votes(target: Column, names: Column, hints: Column, task: Column, runs: Column) -> Column:
+    """struct<meaning, confidence> of a target from its name, related names, value hints and history."""
+    words = F.array_distinct(F.flatten(F.concat(F.array(S.split_tokens(target)), F.transform(names, S.split_tokens))))
+    known = F.struct(S.unicode_token(F.coalesce(target, F.lit(""))).alias("t"), words.alias("words"))
+    return bind(known, lambda k: _count_votes(k["t"], k["words"], hints, task, runs))
+
+
+def _count_votes(t: Column, tokens: Column, hints: Column, task: Column, runs: Column) -> Column:
     votes: list[Column] = []
 
     def vote(label: str, weight: Column, test: Column) -> None:
@@ -210,19 +225,24 @@ def meaning_votes(target: Column, names: Column, hints: Column, task: Column, ru
         vote(label, F.lit(weight), F.array_contains(hints, hint))
     vote("classification label", F.lit(0.15), F.lower(task) == "classification")
     vote("operational target metric", F.lit(0.08), runs >= 5)
-    cast = F.array_compact(F.array(*votes))
-    labels = F.array_distinct(F.transform(cast, lambda v: v["label"]))
-    sums = F.transform(
-        labels,
-        lambda n, i: F.struct(
-            F.aggregate(F.filter(cast, lambda v: v["label"] == n), F.lit(0.0), lambda a, v: a + v["w"]).alias("s"), (-i).alias("i"), n.alias("label")
-        ),
-    )
-    top = F.array_max(sums)
-    return {
-        "meaning": F.coalesce(top["label"], F.lit(K.MEANING_FALLBACK[0])),
-        "confidence": F.when(F.size(cast) > 0, F.round(S.clamp(top["s"], 0.35, 0.97), 4)).otherwise(K.MEANING_FALLBACK[1]),
-    }
+
+    def count(cast: Column) -> Column:
+        labels = F.array_distinct(F.transform(cast, lambda v: v["label"]))
+        sums = F.transform(
+            labels,
+            lambda n, i: F.struct(
+                F.aggregate(F.filter(cast, lambda v: v["label"] == n), F.lit(0.0), lambda a, v: a + v["w"]).alias("s"), (-i).alias("i"), n.alias("label")
+            ),
+        )
+        return bind(
+            F.array_max(sums),
+            lambda top: F.struct(
+                F.coalesce(top["label"], F.lit(K.MEANING_FALLBACK[0])).alias("meaning"),
+                F.when(F.size(cast) > 0, F.round(S.clamp(top["s"], 0.35, 0.97), 4)).otherwise(K.MEANING_FALLBACK[1]).alias("confidence"),
+            ),
+        )
+
+    return bind(F.array_compact(F.array(*votes)), count)
 
 
 # ---- dates and answers -----------------------------------------------------------------------------------------

@@ -151,7 +151,7 @@ def running_sum(
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], small_rows: int = 2_000_000
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], small_rows: int = 500_000
 ) -> dict[str, list[float | None]]:
     """Exact linear-interpolation quantiles of numeric columns, returned as fitted parameters.
 
@@ -172,37 +172,42 @@ def exact_quantiles(
         *[F.min(F.col(c).cast("double")).alias(f"lo_{c}") for c in cols],
         *[F.max(F.col(c).cast("double")).alias(f"hi_{c}") for c in cols],
     ).first()
-    found: dict[str, list[float | None]] = {}
-    for c in cols:
-        n, value = sketch[f"n_{c}"], F.col(c).cast("double")
-        if not n:
-            found[c] = [None] * len(probs)
-            continue
-        found[c] = []
+    found: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
+    open_: dict[int, tuple] = {}
+    for k, c in enumerate(cols):
         for i, q in enumerate(probs):
-            rank = (n - 1) * q
-            low, high = int(rank), min(int(rank) + 1, n - 1)
-            lo, hi = sketch[f"a_{c}"][2 * i], sketch[f"a_{c}"][2 * i + 1]
-            found[c].append(_bracketed(df, value, lo, hi, sketch[f"lo_{c}"], sketch[f"hi_{c}"], low, high, rank))
+            if sketch[f"n_{c}"]:
+                open_[k * len(probs) + i] = (c, i, (sketch[f"n_{c}"] - 1) * q, sketch[f"a_{c}"][2 * i], sketch[f"a_{c}"][2 * i + 1])
+    while open_:
+        done = _ranked_values(df, open_, {c: sketch[f"n_{c}"] for c in cols})
+        for b, (c, i, rank, lo, hi) in list(open_.items()):
+            if done.get(b) is not None:
+                a, z = done[b]
+                found[c][i] = a + (rank - int(rank)) * (z - a)
+                del open_[b]
+            else:  # the bracket missed the rank: widen it
+                width = max(hi - lo, abs(hi), 1e-9)
+                open_[b] = (c, i, rank, max(sketch[f"lo_{c}"], lo - width), min(sketch[f"hi_{c}"], hi + width))
     return found
 
 
-def _bracketed(df, value, lo, hi, least, most, low, high, rank) -> float:
-    """Values at ranks `low` and `high`, widening the bracket until it holds both."""
-    while True:
-        below = df.filter(value < lo).count()
-        inside = df.filter((value >= lo) & (value <= hi)).groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        upto = running_sum(inside, [], ["v"], {"upto": F.col("n")}) if below <= low else None
-        if upto is not None:
-            at = upto.select("v", (F.col("upto") + below).alias("upto"))
-            row = at.agg(
-                F.min(F.when(F.col("upto") > low, F.col("v"))).alias("a"),
-                F.min(F.when(F.col("upto") > high, F.col("v"))).alias("b"),
-            ).first()
-            if row["a"] is not None and row["b"] is not None:
-                return row["a"] + (rank - low) * (row["b"] - row["a"])
-        width = max(hi - lo, abs(hi), 1e-9)
-        lo, hi = max(least, lo - width), min(most, hi + width)
+def _ranked_values(df: DataFrame, brackets: dict[int, tuple], rows: dict[str, int]) -> dict[int, tuple[float, float] | None]:
+    """For each bracket the values at the two ranks around its own, where it holds both."""
+    value = lambda c: F.col(c).cast("double")
+    below = df.agg(*[F.count_if(value(c) < lo).alias(f"b{b}") for b, (c, _, _, lo, _) in brackets.items()]).first()
+    inside = F.array(*[F.when((value(c) >= lo) & (value(c) <= hi), F.struct(F.lit(b).alias("b"), value(c).alias("v"))) for b, (c, _, _, lo, hi) in brackets.items()])
+    counts = materialize(df.select(F.explode(F.array_compact(inside)).alias("x")).groupBy("x.b", "x.v").agg(F.count(F.lit(1)).alias("n")))
+    upto = running_sum(counts, ["b"], ["v"], {"upto": F.col("n")})
+    low = {b: int(rank) for b, (_, _, rank, _, _) in brackets.items()}
+    high = {b: min(int(rank) + 1, rows[c] - 1) for b, (c, _, rank, _, _) in brackets.items()}
+    at = lambda m: F.element_at(F.create_map(*[F.lit(x) for b in brackets for x in (b, m[b])]), F.col("b"))
+    total = F.col("upto") + at({b: below[f"b{b}"] for b in brackets})
+    picked = upto.groupBy("b").agg(F.min(F.when(total > at(low), F.col("v"))).alias("a"), F.min(F.when(total > at(high), F.col("v"))).alias("z"))
+    out: dict[int, tuple[float, float] | None] = {}
+    for r in picked.collect():  # one row per bracket
+        fits = below[f"b{r['b']}"] <= low[r["b"]] and r["a"] is not None and r["z"] is not None
+        out[r["b"]] = (r["a"], r["z"]) if fits else None
+    return out
 
 
 def smallest(df: DataFrame, order_by: Sequence[str | Column], n: int, driver_free_above: int = 10_000) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from harborline.functions import scalars as S
 from harborline.operators import joins as J
+from harborline.operators.ordering import positions
 from harborline.plans.registry import query, table
 
 
@@ -145,12 +146,14 @@ def j13(spark, d):
 def j14(spark, d):
     part, c = table(spark, d, "part"), table(spark, d, "customer")
     workers = part.select(F.col("p_type").alias("category"), F.col("p_brand").alias("dataset_id"), F.explode(F.split("p_name", " ")).alias("column_name")).distinct()
-    vocab = sorted(r[0] for r in workers.select("column_name").distinct().collect())  # the words part names are made of
+    # Customers take the words of part names in turn as canonical columns.
+    vocab = positions(workers.select(F.col("column_name").alias("canonical_column")).distinct(), ["canonical_column"])
+    c = c.withColumn("_turn", F.col("c_custkey") % vocab.count()).join(vocab, F.col("_turn") == F.col("_pos"))
     n = F.col("c_nationkey")
     empty = F.array().cast("array<string>")
     aliases = c.select(
         F.col("c_custkey").alias("seq"),
-        F.element_at(F.array(*map(F.lit, vocab)), (F.col("c_custkey") % len(vocab) + 1).cast("int")).alias("canonical_column"),
+        "canonical_column",
         F.concat(F.lower("c_mktsegment"), F.lit("_"), n.cast("string")).alias("alias"),
         F.when(F.col("c_acctbal") > 0, "approved").otherwise("candidate").alias("status"),
         F.when(n < 8, F.array(F.lit("ECONOMY"))).when(n < 16, F.array(F.lit("SMALL"))).otherwise(empty).alias("categories"),

@@ -80,8 +80,8 @@ def f5(spark, d):
 
 @query(
     "F6_cyclic",
-    """SELECT o_orderkey, round(sin(2 * pi() * month(o_orderdate) / 12.0), 6) AS month_sin,
-       round(cos(2 * pi() * month(o_orderdate) / 12.0), 6) AS month_cos FROM orders""",
+    """SELECT o_orderkey, round(sin(2 * pi() * month(o_orderdate) / 12.0), 6) + 0.0 AS month_sin,
+       round(cos(2 * pi() * month(o_orderdate) / 12.0), 6) + 0.0 AS month_cos FROM orders""",
 )
 def f6(spark, d):
     s, c = S.cyclic(F.month("o_orderdate"), 12)

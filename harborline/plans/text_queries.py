@@ -30,10 +30,8 @@ _ORDER = "CASE WHEN north = b THEN 'north' WHEN south = b THEN 'south' WHEN east
 )
 def f19(spark, d):
     docs = table(spark, d, "documents")
-    best = X.best_category(F.col("text"), _CATS)
-    return docs.select(
-        "doc_id", F.concat_ws(",", X.keyword_categories(F.col("text"), _CATS)).alias("categories"), best["category"].alias("best"), best["confidence"].alias("confidence")
-    )
+    scored = docs.select("doc_id", F.concat_ws(",", X.keyword_categories(F.col("text"), _CATS)).alias("categories"), X.best_category(F.col("text"), _CATS).alias("b"))
+    return scored.select("doc_id", "categories", F.col("b.category").alias("best"), "b.confidence")
 
 
 @query(
@@ -91,7 +89,7 @@ def f22(spark, d):
     names = F.when(kind == "purchase", F.array(F.lit("basketRevenue"), F.lit("other_name"))).otherwise(F.array(F.lit("plain")))
     hints = F.when((kind == "view") & (F.col("value") > 50), F.array(F.lit("bounded_ratio_target"))).otherwise(F.array().cast("array<string>"))
     votes = X.meaning_votes(target, names, hints, F.lit("regression"), F.lit(0))
-    return table(spark, d, "events").select("event_id", votes["meaning"].alias("meaning"), votes["confidence"].alias("confidence"))
+    return table(spark, d, "events").select("event_id", votes.alias("v")).select("event_id", "v.*")
 
 
 _MONEY = "CASE WHEN usd >= 10000 THEN '$' || format('{:,.0f}', usd / 1000) || 'k USD' ELSE '$' || format('{:,.2f}', usd) || ' USD' END"
@@ -191,13 +189,13 @@ def f35(spark, d):
 
 @query(
     "F45_context_anchors",
-    r"""WITH t AS (SELECT event_id, user_id, value FROM events WHERE event_type IN ('view', 'click'))
+    r"""WITH t AS (SELECT event_id, user_id, value FROM events)
         SELECT event_id, unnest(['lead_time_days', 'gross_margin_pct', 'orders_count', 'transactions_completed', 'demand_volume']) AS label,
           unnest([user_id * 1.0::DOUBLE, CASE WHEN user_id / 1000.0::DOUBLE <= 1 THEN round(user_id / 1000.0::DOUBLE * 100, 4) ELSE user_id / 1000.0::DOUBLE END, user_id * 1000.0::DOUBLE, user_id * 1000.0::DOUBLE, user_id * 1000.0::DOUBLE]) AS value FROM t""",
 )
 def f45(spark, d):
     """Texts made from events: a lead time, a margin and an order volume, far enough apart to be told by their words."""
-    ev = table(spark, d, "events").filter(F.col("event_type").isin("view", "click"))
+    ev = table(spark, d, "events")
     u = F.col("user_id").cast("string")
     gap = F.lit(" " + "x" * 45 + " ")
     share = F.concat(F.lit("0."), F.lpad(u, 3, "0"))

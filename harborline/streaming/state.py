@@ -125,7 +125,10 @@ def sessions(df: DataFrame, key: str, ts: str, ident: str, ttl_seconds: int = 36
 
 
 def _stateful(df: DataFrame, key: str, ident: str, ts: str, make: Callable[..., object], rule: type) -> DataFrame:
-    """The same rule over a stream: one state per key, events of a trigger in (ts, ident) order."""
+    """The same rule over a stream: one state per key, events of a trigger in (ts, ident) order.
+
+    A key's events of one trigger are put in order together; the source's files per trigger bound them.
+    """
     names = [c.split()[0] for c in rule.columns.split(", ")]
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

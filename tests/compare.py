@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import sys
 import time
 
@@ -21,11 +20,10 @@ def connect(sf_dir):
 
 
 def _cell(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    # Strict: -0.0 is not 0.0 and NaN is not null.
+    if v is None:
         return "~"
-    if isinstance(v, float):
-        return repr(v + 0.0)
-    return str(v)
+    return repr(v) if isinstance(v, float) else str(v)
 
 
 def compare(spark, con, name, fn, sql, sf_dir):
@@ -58,7 +56,7 @@ if __name__ == "__main__":
     from __spark_entry__ import oracle_sql, queries
     from harborline.session import build_session
 
-    spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="12g")
+    spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     sf = "/root/testdata/sf0.01"
     wanted = sys.argv[1:]
