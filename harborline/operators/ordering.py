@@ -119,33 +119,53 @@ def running_sum(
     biggest: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums per group (nulls count as 0)."""
+    zero = F.lit(0)
+    return _running(df, partition_by, order_by, sums, group_rows, biggest, lambda c: F.coalesce(F.sum(c), zero), lambda a, b: a + F.coalesce(b, zero), zero)
+
+
+def running_max(
+    df: DataFrame,
+    partition_by: Sequence[str],
+    order_by: Sequence[str],
+    values: dict[str, Column],
+    group_rows: int = GROUP_ROWS,
+    biggest: int | None = None,
+) -> DataFrame:
+    """Add inclusive running maxima per group (nulls are passed over)."""
+    return _running(df, partition_by, order_by, values, group_rows, biggest, F.max, F.greatest, None)
+
+
+def _running(df, partition_by, order_by, values, group_rows, biggest, agg, plus, start) -> DataFrame:
+    """Running aggregate: one window where groups are small, else inside blocks plus what came before each block."""
     keys, order = list(partition_by), require_order(order_by)
-    names = list(sums)
+    names = list(values)
+    upto_here = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    over = lambda c, w: agg(c).over(w) if start is None else F.coalesce(F.sum(c).over(w), start)
     bound = group_rows if keys else min(group_rows, TABLE_ROWS)
     if (largest_group(df, keys) if biggest is None else biggest) <= bound:
-        w = (Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({n: F.coalesce(F.sum(c).over(w), F.lit(0)) for n, c in sums.items()})
+        w = upto_here(Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order))
+        return df.withColumns({n: over(c, w) for n, c in values.items()})
     placed = materialize(
-        positions(df.withColumns(sums), keys + order, table_rows=min(TABLE_ROWS, group_rows)).withColumn(
+        positions(df.withColumns(values), keys + order, table_rows=min(TABLE_ROWS, group_rows)).withColumn(
             BLOCK, F.floor(F.col(POS) / F.lit(group_rows))
         )
     )
     # One row per (group, block); groups never span more blocks than rows / group_rows + 1.
-    totals = placed.groupBy(*keys, BLOCK).agg(*[F.sum(n).alias(f"_t_{n}") for n in names])
+    totals = placed.groupBy(*keys, BLOCK).agg(*[agg(F.col(n)).alias(f"_t_{n}") for n in names])
     before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col(BLOCK).alias("_b"),
-        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in names],
+        *[over(F.col(f"_t_{n}"), before).alias(f"_c_{n}") for n in names],
     )
     match = F.col(BLOCK) == F.col("_b")
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    inside = Window.partitionBy(*keys, BLOCK).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
-    local = placed.withColumns({n: F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in names})
+    inside = upto_here(Window.partitionBy(*keys, BLOCK).orderBy(POS))
+    local = placed.withColumns({n: over(F.col(n), inside) for n in names})
     return (
         local.join(carry, match, "left")
-        .withColumns({n: F.col(n) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in names})
+        .withColumns({n: plus(F.col(n), F.col(f"_c_{n}")) for n in names})
         .drop(POS, BLOCK, "_b", *[f"_k_{k}" for k in keys], *[f"_c_{n}" for n in names])
     )
 

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from harborline.functions import scalars as S
-from harborline.operators.ordering import largest_group, over_ordered, running_sum
+from harborline.operators.ordering import GROUP_ROWS, largest_group, over_ordered, running_max, running_sum
+from harborline.session import materialize
 
 SECOND = 1_000_000
 
@@ -114,14 +115,55 @@ def rate_check(df: DataFrame, key: str, ts: str, ident: str, limit: int, window_
     return _run_sorted(stretches, [key, "_stretch"], order, lambda: RateRule(limit, window_seconds), RateRule.columns, [key, ident])
 
 
-def sessions(df: DataFrame, key: str, ts: str, ident: str, ttl_seconds: int = 3600, cooldown_seconds: int = 86400) -> DataFrame:
+def sessions(
+    df: DataFrame, key: str, ts: str, ident: str, ttl_seconds: int = 3600, cooldown_seconds: int = 86400, group_rows: int = GROUP_ROWS
+) -> DataFrame:
     """(key, ident, state, session_start, until) for every access; times in microseconds.
 
-    Whether an access starts, joins or meets a locked session depends on all before it, so one key
-    is read in order by one task; it keeps two numbers, never the group.
+    Keys that fit one task are read in order, holding two numbers each. With a larger key, session
+    starts are found by links instead, so that no task reads a whole key.
     """
     events = df.select(key, ident, _micros(ts).alias("_us"))
-    return _run_sorted(events, [key], ["_us", ident], lambda: SessionRule(ttl_seconds, cooldown_seconds), SessionRule.columns, [key, ident])
+    if largest_group(events, [key]) <= group_rows:
+        return _run_sorted(events, [key], ["_us", ident], lambda: SessionRule(ttl_seconds, cooldown_seconds), SessionRule.columns, [key, ident])
+    return _linked_sessions(events, key, ident, ttl_seconds * SECOND, cooldown_seconds * SECOND, group_rows)
+
+
+def _next_time(times: DataFrame, asked: DataFrame, key: str, at: str, name: str, or_equal: bool, group_rows: int) -> DataFrame:
+    """Adds the first of times(key, _us) after (or at) the row's `at`: a backward running minimum over both, in blocks."""
+    known = times.select(F.col(key), F.col("_us").alias("_x"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias("_row"))
+    wanted = asked.select(F.col(key), F.col(at).alias("_x"), F.lit(-1 if or_equal else 1).alias("_side"), F.col("_us").alias("_row")).filter(F.col("_x").isNotNull())
+    both = known.unionByName(wanted).withColumns({"_back": -F.col("_x"), "_turn": -F.col("_side")})
+    seen = {"_n": F.when(F.col("_side") == 0, -F.col("_x"))}
+    filled = running_max(both, [key], ["_back", "_turn", "_row"], seen, group_rows)
+    answers = filled.filter(F.col("_side") != 0).select(F.col(key), F.col("_row").alias("_us"), (-F.col("_n")).alias(name))
+    return asked.join(answers, [key, "_us"], "left")
+
+
+def _linked_sessions(events: DataFrame, key: str, ident: str, ttl: int, cooldown: int, group_rows: int) -> DataFrame:
+    """Every access as a possible start is linked to the start that would follow it; the true starts are
+    those reached from a key's first access. Each round doubles the links, so n sessions take log2(n) joins."""
+    times = materialize(events.select(key, "_us").distinct())
+    lock = materialize(_next_time(times, times.withColumn("_end", F.col("_us") + ttl), key, "_end", "_lock", False, group_rows).select(key, "_us", "_lock"))
+    link = _next_time(times, lock.withColumn("_free", F.col("_lock") + cooldown), key, "_free", "_next", True, group_rows)
+    link = materialize(link.select(key, "_us", "_next").filter(F.col("_next").isNotNull()))
+    starts = materialize(times.groupBy(key).agg(F.min("_us").alias("_us")))
+    while not link.isEmpty():
+        reached = starts.join(link, [key, "_us"]).select(F.col(key), F.col("_next").alias("_us"))
+        starts = materialize(starts.unionByName(reached).distinct())
+        onward = link.select(F.col(key), F.col("_us").alias("_next"), F.col("_next").alias("_far"))
+        link = materialize(link.join(onward, [key, "_next"]).select(F.col(key), F.col("_us"), F.col("_far").alias("_next")))
+    opened = lock.join(starts, [key, "_us"], "left_semi")
+    # Each time belongs to the last start at or before it.
+    marked = times.join(starts.withColumn("_is", F.lit(True)), [key, "_us"], "left")
+    owned = running_max(marked, [key], ["_us"], {"session_start": F.when(F.col("_is"), F.col("_us"))}, group_rows)
+    known = owned.join(opened.select(F.col(key), F.col("_us").alias("session_start"), "_lock"), [key, "session_start"], "left")
+    locked = F.coalesce(F.col("_us") >= F.col("_lock"), F.lit(False))
+    stated = known.select(
+        key, "_us", F.when(locked, "locked").otherwise("active").alias("state"), "session_start",
+        F.when(locked, F.col("_lock") + cooldown).otherwise(F.col("session_start") + ttl).alias("until"),
+    )
+    return events.join(stated, [key, "_us"]).select(key, ident, "state", "session_start", "until")
 
 
 def _stateful(df: DataFrame, key: str, ident: str, ts: str, make: Callable[..., object], rule: type) -> DataFrame:

@@ -56,6 +56,13 @@ def test_running_sum_over_blocks(skewed):
         assert same(one, O.running_sum(skewed, keys, ["t", "id"], {"s": F.col("id")}, group_rows=41).select(one.columns))
 
 
+def test_running_max_over_blocks(skewed):
+    value = {"m": F.when(F.col("v") > 60, F.col("v"))}
+    for keys in (["k"], []):
+        one = O.running_max(skewed, keys, ["t", "id"], value)
+        assert same(one, O.running_max(skewed, keys, ["t", "id"], value, group_rows=41).select(one.columns))
+
+
 def test_rolling_needs_full_window(spark):
     six = spark.createDataFrame([(i, float(i)) for i in range(6)], "i int, v double")
     assert W.rolling_features(six, "v", ["i"], windows=[7]).filter("v_rolling_mean_7 is not null").isEmpty()

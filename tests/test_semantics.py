@@ -137,6 +137,16 @@ def test_session_lock(spark):
     assert got[4]["session_start"] != got[0]["session_start"]
 
 
+def test_linked_sessions_equal_one_pass(spark):
+    rng = random.Random(4)
+    rows = [(0 if i % 3 else rng.randrange(4), i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rng.randrange(12_000))) for i in range(900)]
+    df = spark.createDataFrame(rows, "k int, id int, ts timestamp_ntz")
+    for ttl, cooldown in ((60, 300), (1, 1), (600, 3000)):
+        one = ST.sessions(df, "k", "ts", "id", ttl, cooldown)
+        linked = ST.sessions(df, "k", "ts", "id", ttl, cooldown, group_rows=100)
+        assert one.exceptAll(linked).isEmpty() and linked.count() == 900
+
+
 def test_expired_keys(spark):
     hour = 3600 * ST.SECOND
     df = spark.createDataFrame([(1, 0, None), (2, 0, 5 * hour), (3, 20 * hour, None)], "k int, e long, c long")
