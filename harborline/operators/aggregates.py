@@ -344,6 +344,8 @@ COMPARISONS = {
     "oneOf": lambda a, b: a.isin(*b), "range": lambda a, b: a.between(*b),
 }
 ARITHMETIC = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": lambda a, b: F.try_divide(a, b)}
+# What each running operator adds up row by row.
+RUNNING = {"sum": lambda c: F.col(c), "count": lambda c: F.lit(1), "row_number": lambda c: F.lit(1)}
 TIME_UNITS = {"year": "year", "quarter": "quarter", "month": "month", "week": "week", "day": "day", "hour": "hour"}
 
 
@@ -371,7 +373,7 @@ def _chart_step(df: DataFrame, step: dict, order: list[str]) -> DataFrame:
         return df.join(stats, group, "left") if group else df.withColumns({k: F.lit(v) for k, v in stats.first().asDict().items()})
     if "window" in step:
         keys = [s["field"] for s in step.get("sort", [])] or order
-        return running_sum(df, group, keys, {w["as"]: F.col(w["field"]) if w["op"] == "sum" else F.lit(1) for w in step["window"]})
+        return running_sum(df, group, keys, {w["as"]: RUNNING[w["op"]](w.get("field")) for w in step["window"]})
     if "calculate" in step:
         c = step["calculate"]
         return df.withColumn(step["as"], ARITHMETIC[c["op"]](_operand(c["left"]), _operand(c["right"])))

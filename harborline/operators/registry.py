@@ -48,6 +48,21 @@ def _set(rows: DataFrame, column: str) -> DataFrame:
     return items.groupBy("key").agg(F.array_sort(F.collect_list("item")).alias(column))
 
 
+def _listed(old: DataFrame, new: DataFrame, column: str, single: Column, many: bool = False) -> DataFrame:
+    """(key, at, ord, item): the registry's list entries, then the batch's single values or lists."""
+    before = old.select("key", F.lit(-1).cast("long").alias("at"), F.posexplode(column).alias("ord", "item"))
+    if many:
+        return before.unionByName(new.select("key", F.col("seq").alias("at"), F.posexplode(single).alias("ord", "item")))
+    return before.unionByName(new.select("key", F.col("seq").alias("at"), F.lit(0).alias("ord"), single.alias("item")))
+
+
+def _with_lists(merged: DataFrame, parts: Sequence[DataFrame], schema: str) -> DataFrame:
+    """Single values and lists of each key, in the schema's columns; a missing list is empty."""
+    out = reduce(lambda a, b: a.join(b, "key", "left"), parts, merged)
+    fields = [f.split(" ", 1) for f in schema.split(", ")]
+    return out.select(*[F.coalesce(F.col(n), F.array().cast(t)).alias(n) if t.startswith("array") else F.col(n) for n, t in fields])
+
+
 def upsert_aliases(registry: DataFrame, batch: DataFrame) -> DataFrame:
     """Merge new alias sightings into the registry; one row per (canonical, alias) token pair.
 
@@ -76,24 +91,14 @@ def upsert_aliases(registry: DataFrame, batch: DataFrame) -> DataFrame:
     )
     merged = merged.withColumn("status", F.when(F.col("_s").isin("approved", "rejected"), F.col("_s")).otherwise("candidate")).drop("_s")
 
-    def listed(column: str, single: Column, many: bool = False) -> DataFrame:
-        before = old.select("key", start.alias("at"), F.posexplode(column).alias("ord", "item"))
-        after = new.select("key", F.col("seq").alias("at"), F.posexplode(single).alias("ord", "item") if many else F.lit(0).alias("ord"), *([] if many else [single.alias("item")]))
-        return before.unionByName(after)
-
     with_note = F.concat(F.coalesce("evidence", F.array().cast("array<string>")), F.array(F.coalesce("note", F.lit(""))))
     parts = [
-        _set(listed("categories", F.col("category")), "categories"),
-        _set(listed("worker_dataset_ids", F.col("worker_dataset_id")), "worker_dataset_ids"),
-        _texts(listed("notes", F.col("note")), "notes", KEEP_NOTES, unique=False),
-        _texts(listed("evidence", with_note, many=True), "evidence", KEEP_EVIDENCE, unique=True),
+        _set(_listed(old, new, "categories", F.col("category")), "categories"),
+        _set(_listed(old, new, "worker_dataset_ids", F.col("worker_dataset_id")), "worker_dataset_ids"),
+        _texts(_listed(old, new, "notes", F.col("note")), "notes", KEEP_NOTES, unique=False),
+        _texts(_listed(old, new, "evidence", with_note, many=True), "evidence", KEEP_EVIDENCE, unique=True),
     ]
-    out = reduce(lambda a, b: a.join(b, "key", "left"), parts, merged)
-    empty = F.array().cast("array<string>")
-    for c in ("categories", "worker_dataset_ids", "notes", "evidence"):
-        out = out.withColumn(c, F.coalesce(F.col(c), empty))
-    names = [p.split()[0] for p in ALIAS_SCHEMA.split(", ")]
-    return out.select(*names)
+    return _with_lists(merged, parts, ALIAS_SCHEMA)
 
 
 def promote(registry: DataFrame, min_hits: int = 3, min_confidence: float = 0.9) -> DataFrame:
@@ -111,19 +116,38 @@ def live_aliases(registry: DataFrame, seq: str, category: str | None = None, inc
     return live.groupBy(F.trim("alias").alias("alias")).agg(F.max_by(F.trim("canonical_column"), F.col(seq)).alias("canonical"))
 
 
+SEMANTIC_SCHEMA = (
+    "target_column string, meaning string, status string, confidence double, categories array<string>, worker_model_ids array<string>, "
+    "evidence array<string>, first_seen timestamp_ntz, last_seen timestamp_ntz, hit_count long"
+)
+
+
 def upsert_semantics(registry: DataFrame, batch: DataFrame) -> DataFrame:
-    """registry(target_column, meaning, status, confidence, hit_count), batch(seq, target_column, meaning, confidence).
+    """Merge target meanings: the alias merge keyed by the target's token; the first non-empty meaning stays.
 
-    Keyed by the target's token; the first non-empty meaning stays.
+    registry has SEMANTIC_SCHEMA; batch(seq, event_time, target_column, meaning, confidence, category,
+    worker_model_id, evidence). Approved and rejected entries keep their status.
     """
     key = S.unicode_token(F.col("target_column"))
-    old = registry.select(key.alias("key"), F.lit(-1).cast("long").alias("at"), "target_column", "meaning", "status", "confidence", F.col("hit_count").alias("hits"))
-    new = batch.select(key.alias("key"), F.col("seq").alias("at"), "target_column", "meaning", F.lit("candidate").alias("status"), "confidence", F.lit(1).cast("long").alias("hits"))
+    old = materialize(registry.withColumn("key", key).filter(F.col("key") != ""))
+    new = materialize(batch.withColumn("key", key).filter(F.col("key") != ""))
+    one_old = old.select("key", F.lit(-1).cast("long").alias("at"), "target_column", "meaning", F.lower("status").alias("status"), "confidence", "first_seen", "last_seen", F.col("hit_count").alias("hits"))
+    one_new = new.select(
+        "key", F.col("seq").alias("at"), "target_column", "meaning", F.lit("candidate").alias("status"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+        F.col("event_time").alias("first_seen"), F.col("event_time").alias("last_seen"), F.lit(1).cast("long").alias("hits"),
+    )
     stated = F.when(F.trim(F.coalesce("meaning", F.lit(""))) != "", F.col("at"))
-    return old.unionByName(new).filter(F.col("key") != "").groupBy("key").agg(
-        F.min_by("target_column", "at").alias("target_column"), F.min_by("meaning", stated).alias("meaning"), F.min_by("status", "at").alias("status"),
-        F.max("confidence").alias("confidence"), F.sum("hits").alias("hit_count"),
-    ).drop("key")
+    merged = one_old.unionByName(one_new).groupBy("key").agg(
+        F.min_by("target_column", "at").alias("target_column"), F.min_by("meaning", stated).alias("meaning"), F.min_by("status", "at").alias("_s"),
+        F.max("confidence").alias("confidence"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("hits").alias("hit_count"),
+    )
+    merged = merged.withColumn("status", F.when(F.col("_s").isin("approved", "rejected"), F.col("_s")).otherwise("candidate")).drop("_s")
+    parts = [
+        _set(_listed(old, new, "categories", F.col("category")), "categories"),
+        _set(_listed(old, new, "worker_model_ids", F.col("worker_model_id")), "worker_model_ids"),
+        _texts(_listed(old, new, "evidence", F.col("evidence"), many=True), "evidence", KEEP_EVIDENCE, unique=True),
+    ]
+    return _with_lists(merged, parts, SEMANTIC_SCHEMA)
 
 
 def catalogue(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:

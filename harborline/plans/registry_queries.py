@@ -76,23 +76,29 @@ def r3(spark, d):
 
 @query(
     "R4_upsert_semantics",
-    """WITH r AS (SELECT event_type AS target, -1 AS pos, CASE WHEN event_type = 'view' THEN '' ELSE 'old ' || event_type END AS meaning, 0.2::DOUBLE AS conf, 5 AS hits FROM events GROUP BY 1),
-       b AS (SELECT event_type AS target, event_id AS pos, CASE WHEN value > 20 THEN 'seen ' || user_id ELSE '' END AS meaning, least(1.0, value / 200) AS conf, 1 AS hits FROM events), u AS (SELECT * FROM r UNION ALL SELECT * FROM b)
-       SELECT target AS target_column, arg_min(meaning, pos) FILTER (meaning <> '') AS meaning, 'candidate' AS status, round(max(conf), 6) AS confidence, CAST(sum(hits) AS BIGINT) AS hit_count FROM u GROUP BY target""",
+    """WITH r AS (SELECT event_type AS target, -1 AS pos, CASE WHEN event_type = 'view' THEN '' ELSE 'old ' || event_type END AS meaning, 0.2::DOUBLE AS conf, 5 AS hits, 'base' AS cat, NULL::TIMESTAMP AS t FROM events GROUP BY 1),
+       b AS (SELECT event_type AS target, event_id AS pos, CASE WHEN value > 20 THEN 'seen ' || user_id ELSE '' END AS meaning, least(1.0, value / 200) AS conf, 1 AS hits, 'day' || isodow(ts) AS cat, ts AS t FROM events), u AS (SELECT * FROM r UNION ALL SELECT * FROM b),
+       f AS (SELECT event_type AS target, CAST(least(30, count(DISTINCT user_id)) AS INTEGER) AS n_evidence FROM events GROUP BY 1)
+       SELECT target AS target_column, arg_min(meaning, pos) FILTER (meaning <> '') AS meaning, CASE WHEN target = 'click' THEN 'approved' ELSE 'candidate' END AS status, round(max(conf), 6) AS confidence, CAST(sum(hits) AS BIGINT) AS hit_count,
+         array_to_string(list_sort(list(DISTINCT cat)), ',') AS categories, max(t) AS last_seen, max(n_evidence) AS n_evidence FROM u JOIN f USING (target) GROUP BY target""",
 )
 def r4(spark, d):
     ev = table(spark, d, "events")
-    kinds = ev.select("event_type").distinct()
-    reg = kinds.select(
-        F.col("event_type").alias("target_column"), F.when(F.col("event_type") == "view", "").otherwise(F.concat(F.lit("old "), "event_type")).alias("meaning"),
-        F.lit("candidate").alias("status"), F.lit(0.2).alias("confidence"), F.lit(5).cast("long").alias("hit_count"),
+    none, kind = F.lit(None).cast("timestamp_ntz"), F.col("event_type")
+    reg = ev.select("event_type").distinct().select(
+        kind.alias("target_column"), F.when(kind == "view", "").otherwise(F.concat(F.lit("old "), kind)).alias("meaning"), F.when(kind == "click", "approved").otherwise("candidate").alias("status"),
+        F.lit(0.2).alias("confidence"), F.array(F.lit("base")).alias("categories"), F.array().cast(_EMPTY).alias("worker_model_ids"), F.array().cast(_EMPTY).alias("evidence"),
+        none.alias("first_seen"), none.alias("last_seen"), F.lit(5).cast("long").alias("hit_count"),
     )
     batch = ev.select(
-        F.col("event_id").alias("seq"), F.upper("event_type").alias("target_column"), F.when(F.col("value") > 20, F.concat(F.lit("seen "), F.col("user_id").cast("string"))).otherwise("").alias("meaning"),
-        F.least(F.lit(1.0), F.col("value") / 200).alias("confidence"),
+        F.col("event_id").alias("seq"), F.col("ts").alias("event_time"), F.upper("event_type").alias("target_column"),
+        F.when(F.col("value") > 20, F.concat(F.lit("seen "), F.col("user_id").cast("string"))).otherwise("").alias("meaning"), F.least(F.lit(1.0), F.col("value") / 200).alias("confidence"),
+        F.concat(F.lit("day"), (F.weekday("ts") + 1).cast("string")).alias("category"), F.lit("w1").alias("worker_model_id"), F.array(F.concat(F.lit("user "), F.col("user_id").cast("string"))).alias("evidence"),
     )
     out = R.upsert_semantics(reg, batch)
-    return out.withColumn("confidence", F.round("confidence", 6))
+    return out.select(
+        "target_column", "meaning", "status", F.round("confidence", 6).alias("confidence"), "hit_count", F.array_join("categories", ",").alias("categories"), "last_seen", F.size("evidence").alias("n_evidence")
+    )
 
 
 _TABLES = {"region": "geo", "nation": "geo", "customer": "party", "supplier": "party", "part": "product", "orders": "sales", "lineitem": "sales", "events": "activity", "documents": "text", "labels": "text", "conversations": "text", "pages": "text", "benchmark": "text", "embeddings": "text"}

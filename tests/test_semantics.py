@@ -24,6 +24,7 @@ from harborline.operators import windows as W
 from harborline.operators.registry import upsert_aliases
 from harborline.operators.transforms import apply_transform
 from harborline.plans.registry_queries import _batch, _registry
+from harborline.plans.reports import table_report
 from harborline.sources import readers
 from harborline.streaming import state as ST
 
@@ -284,6 +285,23 @@ def test_dashboard_events(spark):
     assert P.kpis(small, "metric", ["pos"]).count() == 1
 
 
+def test_table_report(spark):
+    rows = [(dt.datetime(2010, 1, 1) + dt.timedelta(days=i), i, "north" if i % 2 else None) for i in range(1500)]
+    parts = table_report(spark.createDataFrame(rows, "event_date timestamp_ntz, orders_count long, region string"), ["event_date"])
+    assert parts["main"].count() == 1000 and parts["shape"].count() == 3
+    k = parts["kpis"].first()
+    assert k["current"] > k["baseline"] and 0.01 <= k["risk"] <= 0.99
+    assert parts["quality"].first()["missing_fields"] == "region"
+    assert parts["values"].first()["value"] == "north" and parts["targets"].first()["kpi"] == "orders_count"
+
+
+def test_unknown_chart_operators_are_refused(spark):
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    for step in ({"lookup": "x"}, {"calculate": {"op": "eval", "left": 1, "right": 2}, "as": "c"}, {"window": [{"op": "lead", "field": "a", "as": "w"}], "sort": [{"field": "a"}]}):
+        with pytest.raises((ValueError, KeyError)):
+            A.chart_transform(df, [step])
+
+
 def test_metric_only_table(spark):
     rows = P.default_main(col(spark, [3, 4, 5], "long").withColumnRenamed("v", "metric"), ["metric"]).orderBy("pos").collect()
     assert [r["id"] for r in rows] == ["row_1", "row_2", "row_3"] and rows[2]["t"] == "2024-12-31T00:00:00Z" and rows[0]["category"] == "All"
