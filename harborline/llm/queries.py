@@ -6,9 +6,15 @@ from pyspark.sql import functions as F
 
 from harborline.llm.common import ORACLES, QUERIES, query, whole
 from harborline.llm.fingerprints import fingerprint_text, fingerprints, likeness, with_next
+from harborline.llm.jaccard import join_sets
 from harborline.llm.line_dedup import dedup_lines
-from harborline.llm.secrets import ACCESS, ASSIGN, HEX, scan_secrets, spans_text
+from harborline.llm.neighbours import nearest
+from harborline.llm.packing import pack_documents
+from harborline.llm.quality import THRESHOLD, fit_quality, held_out, score_quality
+from harborline.llm.secret_scan import scan_secrets, spans_text
 from harborline.llm.sharding import LIMIT_BYTES, assign_shards
+from harborline.llm.substrings import dedup_substrings
+from harborline.llm.tokens import token_digests
 from harborline.plans.registry import table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -39,9 +45,6 @@ def op2(spark, d):
     return assign_shards(table(spark, d, "documents"))
 
 
-_KINDS = ((1, "assign", ASSIGN, 2, 8), (2, "access", ACCESS, 0, 16), (3, "hex", HEX, 0, 32))
-
-
 @query("op4_secret_scans")
 def op4(spark, d):
     found = scan_secrets(table(spark, d, "documents").select("doc_id", "text"))
@@ -63,3 +66,46 @@ def op10(spark, d):
         fingerprint_text(F.col("fingerprint")).alias("fingerprint"), fingerprint_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
+
+
+@query("op3_nearest_neighbours")
+def op3(spark, d):
+    return nearest(table(spark, d, "embeddings"))
+
+
+@query("op5_best_fit_packing")
+def op5(spark, d):
+    out = pack_documents(table(spark, d, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op6_quality_classifier")
+def op6(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    scored = score_quality(docs, fit_quality(docs, table(spark, d, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
+@query("op7_ngram_jaccard_join")
+def op7(spark, d):
+    out = join_sets(table(spark, d, "documents"), words=3, percent=90)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+@query("op8_substring_dedup")
+def op8(spark, d):
+    out = dedup_substrings(table(spark, d, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+@query("op9_bpe_codec")
+def op9(spark, d):
+    out = token_digests(table(spark, d, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("pipeline")
+def pipeline(spark, d):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, d)
