@@ -114,19 +114,19 @@ def fingerprints(df: DataFrame, text_col: str = "text", out: str = "fingerprint"
     return df.withColumn(out, packed(shingle_hashes(whole(text_col))))
 
 
-def with_next(df: DataFrame, id_col: str, columns: list[str], buckets: int | None = None) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, columns: list[str], buckets: int | None = None, tie_by: str | None = None) -> DataFrame:
     """Add `next_<column>` of the row that follows by descending id; the last row's is the first.
 
     Rows are dealt to id ranges of like size, whose ends come from a sketch over all ids. Every range also gets the
     first row of the range behind it, so each is worked on alone and no task sees more than its own part. Equal ids
-    follow each other by a hash of the columns; null ids come last.
+    follow each other by a hash of `tie_by` (else of all `columns`); null ids come last.
     """
     n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bucket, homes, copy, tie = fresh(df, "bucket", "homes", "copy", "tie")
     ends = sorted(set(df.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], 100 * n)).first()[0] or [])) if n > 1 else []
     least = F.lit(-(2**63))
     ident = F.coalesce(F.col(id_col).cast("long"), least)
-    keyed = df.withColumn(tie, F.xxhash64(*columns)).withColumn(bucket, F.lit(len(ends)) - _ends_below(ident, ends))
+    keyed = df.withColumn(tie, F.xxhash64(*([tie_by] if tie_by else columns))).withColumn(bucket, F.lit(len(ends)) - _ends_below(ident, ends))
     # The first row of every range: one small row per range.
     heads = {r[0]: (r[1], r[2]) for r in keyed.groupBy(bucket).agg(F.max(F.struct(ident.alias("i"), F.col(tie).alias("t"))).alias("m")).select(bucket, "m.i", "m.t").collect()}
     if not heads:

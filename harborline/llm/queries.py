@@ -56,7 +56,7 @@ def op4(spark, d):
 @query("op10_fingerprints")
 def op10(spark, d):
     docs = table(spark, d, "documents").select("doc_id", whole("text").alias("text"))
-    both = with_next(fingerprints(docs), "doc_id", ["text", "fingerprint"])
+    both = with_next(fingerprints(docs), "doc_id", ["text", "fingerprint"], tie_by="text")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
