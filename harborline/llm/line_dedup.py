@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborline.llm.common import SPACES, fresh, key128, lower_ascii, whole
+from harborline.session import materialize
 
 MIN_CHARS = 10
 
@@ -39,7 +40,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .filter(F.char_length("k") >= min_chars)
         .select(doc, hashed, at, a.alias("ka"), b.alias("kb"))
     )
-    shared = rows.groupBy("ka", "kb").agg(F.min(doc).alias(low), F.max(doc).alias("_top")).filter(F.col("_top") > F.col(low)).drop("_top")
+    # Written, so that the join below is planned on its own and a key with very many lines can be split.
+    shared = materialize(rows.groupBy("ka", "kb").agg(F.min(doc).alias(low), F.max(doc).alias("_top")).filter(F.col("_top") > F.col(low)).drop("_top"))
     # A document's own positions only: the set is bounded by its number of lines.
     drops = rows.join(shared, ["ka", "kb"]).filter(F.col(doc) > F.col(low)).groupBy(doc, hashed).agg(F.collect_set(at).alias(dropped))
     joined = base.join(drops, [doc, hashed], "left")
