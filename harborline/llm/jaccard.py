@@ -206,7 +206,7 @@ def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         parted = d.select("node", "region", "pivot", F.explode(F.array(ring, ring + 1)).alias("ring")).select(F.xxhash64("region", "pivot", "ring").alias("region"), "node").distinct()
         open_ = _roots(parted, labels)
     member = signed.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = member.filter("n > 0").groupBy("root").agg(F.min("id").alias("component_id"))
+    named = materialize(member.filter("n > 0").groupBy("root").agg(F.min("id").alias("component_id")))
     own = F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
     return member.join(named, "root", "left").select("id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 

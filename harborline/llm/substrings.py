@@ -185,14 +185,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     scanned = materialize(base.mapInArrow(_scan(window, rounds), f"id {kind}, ka long, kb long, n_words long, sha string, names array<long>, places array<int>"))
     contents = scanned.filter(F.col("n_words") >= window).groupBy("ka", "kb").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("id"))
     named = scanned.filter(F.size("names") > 0).select("ka", F.explode(F.arrays_zip("names", "places")).alias("x")).select("ka", F.col("x.names").alias("name"), F.col("x.places").alias("place"))
-    twice = named.groupBy("name").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("name")
+    # Written, as `again` below, so that the joins are planned on their own and frequent names can be split.
+    twice = materialize(named.groupBy("name").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("name"))
     places = named.join(twice, "name", "left_semi").groupBy("ka").agg(F.collect_set("place").alias("places"))
     # Texts that occur several times: every window counts, whatever its anchor.
     wanted = contents.join(places, "ka", "left").filter((F.col("copies") > 1) | F.col("places").isNotNull()).withColumn("places", F.when(F.col("copies") == 1, F.col("places")))
     same = (F.col("x.ka") == F.col("y.ka")) & (F.col("x.kb") == F.col("y.kb")) & F.col("x.id").eqNullSafe(F.col("y.id"))
     texts = materialize(base.alias("x").join(wanted.alias("y"), same).select("x.ka", "x.kb", "x.text", "y.copies", "y.places"))
     found = texts.mapInArrow(_windows(window, rounds), "w long, ka long, kb long, at int, copies long")
-    again = found.groupBy("w").agg(F.sum("copies").alias("c")).filter("c > 1").select("w")
+    again = materialize(found.groupBy("w").agg(F.sum("copies").alias("c")).filter("c > 1").select("w"))
     hits = found.join(again, "w", "left_semi").groupBy("ka", "kb").agg(F.collect_set("at").alias("hits"))
     cut = texts.select("ka", "kb", "text").join(hits, ["ka", "kb"]).mapInArrow(_cut(window), "ka long, kb long, n_removed long, kept string").dropDuplicates(["ka", "kb"])
     out = scanned.select("id", "ka", "kb", "n_words", "sha").join(cut, ["ka", "kb"], "left")
