@@ -31,10 +31,6 @@ def finite_or_null(c: Column) -> Column:
     return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
 
 
-def clip_text(c: Column, limit: int = 1000) -> Column:
-    return F.substring(c, 1, limit)
-
-
 def iso_utc(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache, reduce
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -63,7 +63,7 @@ def best_category(text: Column, categories: dict[str, list[str]] = K.CATEGORY_KE
 
 def deficit_first(ranked: Column, deficits: dict[str, int]) -> Column:
     """Of several near-best categories, the one furthest below its target; else the first."""
-    table = F.create_map(*[F.lit(x) for kv in deficits.items() for x in kv])
+    table = F.create_map(*[F.lit(x) for kv in deficits.items() for x in kv]) if deficits else F.create_map().cast("map<string,int>")
 
     def pick(names: Column) -> Column:
         short = F.transform(names, lambda c, i: F.struct(F.greatest(F.lit(0), F.coalesce(table[c], F.lit(0))).alias("d"), (-i).alias("i"), c.alias("c")))
@@ -72,7 +72,7 @@ def deficit_first(ranked: Column, deficits: dict[str, int]) -> Column:
     return bind(ranked, pick)
 
 
-def intent_scores(df: DataFrame, text: str, key: Sequence[str], categories: dict[str, list[str]], top_k: int = 3) -> DataFrame:
+def intent_scores(df: DataFrame, text: str, key: Sequence[str], categories: dict[str, list[str]], top_k: int | None = None) -> DataFrame:
     """(key, category, score, rank): 4 for the category's phrase, 1.5 per keyword, and for categories
     without either 0.8 per phrase word that some text word resembles (ratio 0.86); over 8, at most 1.
 
@@ -99,7 +99,8 @@ def intent_scores(df: DataFrame, text: str, key: Sequence[str], categories: dict
     ranked = both.withColumn("_raw", raw).filter(F.col("_raw") > 0)
     # At most one row per category and key.
     w = Window.partitionBy(*key).orderBy(F.desc("_raw"), "ordinal")
-    return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k).select(
+    numbered = ranked.withColumn("rank", F.row_number().over(w))
+    return (numbered if top_k is None else numbered.filter(F.col("rank") <= top_k)).select(
         *key, "category", F.round(F.least(F.lit(1.0), F.col("_raw") / 8.0), 4).alias("score"), "rank"
     )
 
@@ -325,13 +326,20 @@ def context_anchors(
     low = fan_out(df).select(*key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
     cut = low.select(*key, "_t", F.split("_t", NUMBER).alias("_gaps"), F.regexp_extract_all("_t", F.lit(NUMBER), F.lit(0)).alias("_nums"))
     cut = cut.filter(F.size("_nums") > 0)
-    # The text around a number: the gaps and numbers beside it, as far as 40 characters reach.
-    found = cut.select(*key, "_t", F.posexplode(F.arrays_zip("_nums", F.slice("_gaps", 1, F.size("_nums")).alias("g"))).alias("_i", "z"))
-    sized = found.withColumns({"_num": F.col("z._nums"), "_len": F.length("z.g") + F.length("z._nums")})
-    # Texts are told apart by key; the running length places each number in its text.
-    upto = F.sum("_len").over(Window.partitionBy(*key).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
-    placed = sized.withColumn("_end", upto).withColumn("_from", F.greatest(F.lit(0), F.col("_end") - F.length("_num") - K.ANCHOR_REACH))
-    span = placed.withColumn("_span", F.substring("_t", F.col("_from") + 1, F.col("_end") + K.ANCHOR_REACH - F.col("_from")))
+    # Each number with the text around it, before rows are made: a piece has a character at least, so as many pieces
+    # as characters reach far enough, and only a bounded span per number leaves the text.
+    reach, n = K.ANCHOR_REACH, F.size("_nums")
+    ahead = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(F.get("_gaps", i), F.get("_nums", i)))
+    behind = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(F.get("_nums", i), F.get("_gaps", i + 1)))
+    pieces = cut.withColumns({"_ahead": ahead, "_behind": behind})
+
+    def around(i: Column) -> Column:
+        before = F.concat(F.array_join(F.slice("_ahead", F.greatest(F.lit(1), i + 1 - reach), F.least(i, F.lit(reach))), ""), F.get("_gaps", i))
+        after = F.concat(F.get("_gaps", i + 1), F.array_join(F.slice("_behind", i + 2, F.lit(reach)), ""))
+        return F.struct(i.alias("i"), F.get("_nums", i).alias("num"), F.concat(F.right(before, F.lit(reach)), F.get("_nums", i), F.left(after, F.lit(reach))).alias("span"))
+
+    spans = pieces.select(*key, F.explode(F.transform(F.sequence(F.lit(0), n - 1), around)).alias("z"))
+    span = spans.select(*key, F.col("z.i").alias("_i"), F.col("z.num").alias("_num"), F.col("z.span").alias("_span"))
     unit = F.substring("_num", -1, 1)
     value = F.regexp_replace("_num", "[kmb]$", "").cast("double") * F.when(unit == "k", 1e3).when(unit == "m", 1e6).when(unit == "b", 1e9).otherwise(1.0)
     labels = []
@@ -361,7 +369,7 @@ def json_repair_extract(text: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def flatten_text(payloads: pd.Series) -> pd.Series:
-    """Keys and leaf texts of JSON of any shape, noisy keys left out, texts cut at 400, lists to their last 12."""
+    """Keys and leaf texts of JSON of any shape, noisy keys left out."""
 
     def leaves(v) -> Iterator[str]:
         if isinstance(v, dict):
@@ -370,11 +378,11 @@ def flatten_text(payloads: pd.Series) -> pd.Series:
                     yield k
                     yield from leaves(inner)
         elif isinstance(v, list):
-            for inner in v[-12:]:
+            for inner in v:
                 yield from leaves(inner)
         elif isinstance(v, str):
             if v.strip():
-                yield v.strip()[:400]
+                yield v.strip()
         elif v is not None:
             yield str(v)
 
@@ -421,70 +429,34 @@ def word_f1(df: DataFrame, key: Sequence[str], predicted: str, expected: str) ->
 
 # A number is read whole, with or without thousands marks.
 AMOUNT = r"(-?\d{1,3}(?:,\d{3})+(?:\.\d+)?|-?\d+(?:\.\d+)?)([kKmMbB]?)"
-PLAIN_AMOUNT = r"(-?\d[\d,]*(?:\.\d+)?)([kKmMbB]?)"
-SCALES = {"": 1.0, "k": 1e3, "m": 1e6, "b": 1e9}
-
-
-def usd_text(amount: float) -> str:
-    for floor, unit, digits in ((1e9, "B", 1), (1e6, "M", 1), (1e4, "k", 0)):
-        if abs(amount) >= floor:
-            return f"${amount / (1e3 if unit == 'k' else floor):,.{digits}f}{unit} USD"
-    return f"${amount:,.2f} USD"
-
-
-@lru_cache(maxsize=1)
-def _currency_patterns() -> list[tuple[str, re.Pattern, float]]:
-    """(name, pattern with amount and suffix groups, rate): each name before, then after an amount."""
-    out = []
-    for code, names in K.CURRENCY_NAMES.items():
-        for name in names:
-            mark = re.escape(name) if not name.isascii() else (r"\brs\.?\b" if name == "rs" else rf"\b{re.escape(name)}\b")
-            for form in (rf"(?:{mark})\s*{AMOUNT}", rf"{AMOUNT}\s*(?:{mark})"):
-                out.append((name, re.compile(form, re.IGNORECASE), K.FX_TO_USD[code]))
-    return out
-
-
-_USD = re.compile(
-    rf"\$\s*{PLAIN_AMOUNT}(?:\s*USD\b)?|(?:USD|US\$|dollars?)\s*{PLAIN_AMOUNT}|{PLAIN_AMOUNT}\s*(?:USD|US\s+dollars?|dollars?)\b", re.IGNORECASE
-)
 
 
-def convert_currency(text: str | None) -> str | None:
-    """Amounts in other currencies, then all dollar amounts, written as "$… USD"."""
-    if not text:
-        return text
+def _money_marks() -> tuple[dict[str, str], str]:
+    """Currency code of every mark, and a pattern of the marks, longest first."""
+    names = {n: code for code, ns in {"usd": ["us$", "us dollars", "us dollar", "usd", "dollars", "dollar", "$"], **K.CURRENCY_NAMES}.items() for n in ns}
+    ordered = sorted(names, key=lambda n: (-len(n), n))
+    edge = lambda n: rf"\b{re.escape(n)}" + (r"\b\.?" if n == "rs" else r"\b" if n[-1].isalnum() else "")
+    return names, "|".join(edge(n) if n[0].isascii() and n[0].isalpha() else re.escape(n) for n in ordered)
 
-    def shown(m: re.Match, rate: float) -> str:
-        amount, suffix = next((m.group(i), m.group(i + 1)) for i in range(1, m.re.groups, 2) if m.group(i) is not None)
-        return usd_text(float(amount.replace(",", "")) * SCALES[suffix.lower()] * rate)
 
-    out, low = text, text.lower()
-    for name, pattern, rate in _currency_patterns():
-        if name in low:
-            out = pattern.sub(lambda m, r=rate: shown(m, r), out)
-    out = _USD.sub(lambda m: shown(m, 1.0), out)
-    out = re.sub(r"\bRs\.?\b", "USD", out, flags=re.IGNORECASE).replace("₹", "USD ")
-    out = re.sub(r"\$\$+", "$", out)
-    out = re.sub(r"\bUSD\s*[kKmMbB]\b", "USD", out)
-    return re.sub(r"\bUSD\b(?:\s*\bUSD\b)+", "USD", out)
-
-
-@F.pandas_udf(T.StringType())
-def fx_to_usd(texts: pd.Series) -> pd.Series:
-    return texts.map(convert_currency)
+def fx_to_usd(text: Column) -> Column:
+    """Every amount with a currency's name or sign beside it, written in dollars ("$… USD"); all else as it was."""
+    _, mark = _money_marks()
+    pattern = rf"(?i)(?:{mark})\s*{AMOUNT}(?:\s*usd\b)?|{AMOUNT}\s*(?:{mark})"
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: S.format_usd(fx_amount(m)["usd"]))
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("money"))
+    return F.array_join(F.transform(parts, lambda p: F.concat(p["gap"], F.coalesce(p["money"], F.lit("")))), "")
 
 
 def fx_amount(text: Column) -> dict[str, Column]:
-    """First amount named with a currency, in USD, with its code; the columnar form of fx_to_usd."""
+    """First amount named with a currency, in USD, with its code; what fx_to_usd writes out."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    names = {n: code for code, ns in {"usd": ["usd", "dollars", "dollar", "$"], **K.CURRENCY_NAMES}.items() for n in ns}
-    marks = sorted(names, key=lambda n: (-len(n), n))
-    mark = "|".join(re.escape(n) if not n.isascii() or n == "$" else rf"\b{re.escape(n)}\b" for n in marks)
+    names, mark = _money_marks()
     before, after = rf"({mark})\s*{AMOUNT}", rf"{AMOUNT}\s*({mark})"
     codes = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
     rates = F.create_map(*[F.lit(x) for kv in K.FX_TO_USD.items() for x in kv])
     has = F.regexp_extract(low, before, 1) != ""
-    name = F.when(has, F.regexp_extract(low, before, 1)).otherwise(F.regexp_extract(low, after, 3))
+    name = F.rtrim(F.when(has, F.regexp_extract(low, before, 1)).otherwise(F.regexp_extract(low, after, 3)), F.lit("."))
     number = F.when(has, F.regexp_extract(low, before, 2)).otherwise(F.regexp_extract(low, after, 1))
     suffix = F.when(has, F.regexp_extract(low, before, 3)).otherwise(F.regexp_extract(low, after, 2))
     scale = F.when(suffix == "k", 1e3).when(suffix == "m", 1e6).when(suffix == "b", 1e9).otherwise(1.0)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborline.functions import scalars as S
-from harborline.operators.ordering import exact_quantiles, running_sum
+from harborline.operators.ordering import exact_quantiles, over_ordered, running_max, running_sum
 from harborline.operators.profile import per_column
 
 # ---- derived profiles -------------------------------------------------------------------------
@@ -36,8 +36,8 @@ def profile_by(
 # ---- series -----------------------------------------------------------------------------------
 
 
-def monthly_trend(df: DataFrame, time: str, value: str, keep: int = 12, min_points: int = 6) -> DataFrame:
-    """Monthly means (t, y) of the last `keep` months; empty below `min_points` rows or months."""
+def monthly_trend(df: DataFrame, time: str, value: str, keep: int | None = None, min_points: int = 1) -> DataFrame:
+    """Monthly means (t, y), of the last `keep` months if given; empty below `min_points` rows or months."""
     v = F.col(value).try_cast("double")
     monthly = (
         df.filter(F.col(time).isNotNull() & v.isNotNull())
@@ -52,19 +52,18 @@ def monthly_trend(df: DataFrame, time: str, value: str, keep: int = 12, min_poin
         F.sum("_n").over(every).alias("_rows"),
         F.count(F.lit(1)).over(every).alias("_months"),
     )
-    enough = (F.col("_rows") >= min_points) & (F.least("_months", F.lit(keep)) >= min_points)
-    return ranked.filter((F.col("_back") <= keep) & enough).select("t", "y")
+    months = F.col("_months") if keep is None else F.least("_months", F.lit(keep))
+    enough = (F.col("_rows") >= min_points) & (months >= min_points)
+    return ranked.filter(enough if keep is None else (F.col("_back") <= keep) & enough).select("t", "y")
 
 
-def resample_mean(df: DataFrame, time: str, columns: Sequence[str]) -> DataFrame:
-    """Period means: weeks labelled by their Sunday for spans up to 120 days, else month starts."""
+def resample_mean(df: DataFrame, time: str, columns: Sequence[str], grain: str = "month") -> DataFrame:
+    """Period means: `grain` "week" (labelled by its Sunday) or "month" (by its first day)."""
     values = df.filter(F.col(time).isNotNull())
-    span = values.agg(F.min(time), F.max(time)).first()
-    days = max(1, (span[1] - span[0]).days) if span[0] is not None else 1
-    if days <= 120:
-        period = F.date_add(F.date_trunc("week", time).cast("date"), 6)
-    else:
-        period = F.date_trunc("month", time).cast("date")
+    if grain not in ("week", "month"):
+        raise ValueError(f"unknown grain: {grain}")
+    start = F.date_trunc(grain, time).cast("date")
+    period = F.date_add(start, 6) if grain == "week" else start
     return values.groupBy(period.alias("t")).agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns])
 
 
@@ -79,10 +78,10 @@ def seasonality(df: DataFrame, time: str, value: str) -> DataFrame:
     return df.select(grains.alias("g"), F.col(value).alias("_v")).groupBy("g.grain", "g.period").agg(F.avg("_v").alias("y"))
 
 
-def linear_forecast(series: DataFrame, horizon: int = 90, step: str = "index") -> DataFrame:
+def linear_forecast(series: DataFrame, horizon: int = 90, step: str = "index", min_points: int = 2) -> DataFrame:
     """(t, y_hat, step) for `horizon` days after the last point of a small (t, y) series.
 
-    Least squares over the point index with 8 or more points, else the mean. With step="index" each
+    Least squares over the point index; with fewer than `min_points` points, or a single one, the mean. With step="index" each
     future day advances one index step although points are months apart (the documented quirk);
     step="date" fits and extends over dates instead.
     """
@@ -97,7 +96,7 @@ def linear_forecast(series: DataFrame, horizon: int = 90, step: str = "index") -
     future = fit.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
     line = F.col("intercept") + F.col("slope") * (F.col("x_last") + F.col("step"))
     return future.select(
-        F.date_add("last", F.col("step")).alias("t"), "step", F.when(F.col("n") >= 8, line).otherwise(F.col("mean")).alias("y_hat")
+        F.date_add("last", F.col("step")).alias("t"), "step", F.when(F.col("n") >= min_points, F.coalesce(line, F.col("mean"))).otherwise(F.col("mean")).alias("y_hat")
     )
 
 
@@ -267,10 +266,12 @@ def dominant_family(workers: DataFrame, min_workers: int) -> DataFrame:
     return task.join(family, "category").withColumns({"semantic_ok": ok, "blocking_reason": F.when(~ok, "insufficient_same_family_workers")})
 
 
-def history_stats(runs: DataFrame, newest: int = 120) -> DataFrame:
-    """runs(report_id, report_time, worker, prediction_mean, confidence_mean, task_type): per worker over the newest reports."""
-    reports = runs.groupBy("report_id").agg(F.max("report_time").alias("_t")).orderBy(F.desc("_t"), F.desc("report_id")).limit(newest)
-    recent = runs.join(reports.select("report_id"), "report_id", "left_semi").filter(F.trim("worker") != "")
+def history_stats(runs: DataFrame, newest: int | None = None) -> DataFrame:
+    """runs(report_id, report_time, worker, prediction_mean, confidence_mean, task_type): per worker, over all reports or the newest."""
+    recent = runs.filter(F.trim("worker") != "")
+    if newest is not None:
+        reports = runs.groupBy("report_id").agg(F.max("report_time").alias("_t")).orderBy(F.desc("_t"), F.desc("report_id")).limit(newest)
+        recent = recent.join(reports.select("report_id"), "report_id", "left_semi")
     m = F.coalesce("prediction_mean", F.lit(0.0))
     stats = recent.groupBy("worker").agg(
         F.count(F.lit(1)).alias("runs"), F.round(F.avg(m), 6).alias("prediction_mean_avg"), F.round(F.avg(F.abs(m)), 6).alias("prediction_mean_abs_avg"),
@@ -344,11 +345,41 @@ COMPARISONS = {
     "oneOf": lambda a, b: a.isin(*b), "range": lambda a, b: a.between(*b),
 }
 ARITHMETIC = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": lambda a, b: F.try_divide(a, b)}
-# What each running operator adds up row by row.
-RUNNING = {"sum": lambda c: F.col(c), "count": lambda c: F.lit(1), "row_number": lambda c: F.lit(1)}
 TIME_UNITS = {"year": "year", "quarter": "quarter", "month": "month", "week": "week", "day": "day", "hour": "hour"}
 
 
+def _window_op(df: DataFrame, group: list[str], keys: list[str], op: dict) -> DataFrame:
+    """One window column, over all rows up to the current one; every form also works in blocks when a group is large."""
+    kind, name, field = op["op"], op["as"], op.get("field")
+    if kind in ("sum", "count", "row_number"):
+        return running_sum(df, group, keys, {name: F.col(field) if kind == "sum" else F.lit(1)})
+    if kind == "mean":
+        known = F.col(field).isNotNull().cast("long")
+        both = running_sum(df, group, keys, {"_total": F.col(field), "_known": known})
+        return both.withColumn(name, F.try_divide(F.col("_total"), F.col("_known"))).drop("_total", "_known")
+    if kind == "max":
+        return running_max(df, group, keys, {name: F.col(field)})
+    if kind == "min":
+        return running_max(df, group, keys, {name: -F.col(field)}).withColumn(name, -F.col(name))
+    if kind in ("lag", "lead"):
+        n = int(op.get("param", 1))
+        step = F.lag if kind == "lag" else F.lead
+        return over_ordered(df, group, keys, lambda w: {name: step(field, n).over(w)}, before=n if kind == "lag" else 0, after=n if kind == "lead" else 0)
+    if kind == "last_value":  # the frame ends at the row itself
+        return df.withColumn(name, F.col(field))
+    if kind == "first_value":
+        first = df.groupBy(*group).agg(F.min_by(field, F.struct(*keys)).alias(name))
+        return df.join(first, group, "left") if group else df.crossJoin(F.broadcast(first))
+    if kind in ("rank", "dense_rank"):
+        same = lambda w: F.coalesce(F.lag(F.struct(*keys)).over(w) == F.struct(*keys), F.lit(False))
+        marked = over_ordered(df, group, keys, lambda w: {"_new": (~same(w)).cast("long")}, before=1)
+        if kind == "dense_rank":
+            return running_sum(marked, group, keys, {name: F.col("_new")}).drop("_new")
+        numbered = running_sum(marked, group, keys, {"_row": F.lit(1)})
+        return running_max(numbered, group, keys, {name: F.when(F.col("_new") == 1, F.col("_row"))}).drop("_new", "_row")
+    raise ValueError(f"unknown window operator: {kind}")
+
+
 def _operand(v) -> Column:
     return F.col(v["field"]) if isinstance(v, dict) else F.lit(v)
 
@@ -373,15 +404,20 @@ def _chart_step(df: DataFrame, step: dict, order: list[str]) -> DataFrame:
         return df.join(stats, group, "left") if group else df.withColumns({k: F.lit(v) for k, v in stats.first().asDict().items()})
     if "window" in step:
         keys = [s["field"] for s in step.get("sort", [])] or order
-        return running_sum(df, group, keys, {w["as"]: RUNNING[w["op"]](w.get("field")) for w in step["window"]})
+        for w in step["window"]:
+            df = _window_op(df, group, keys, w)
+        return df
     if "calculate" in step:
         c = step["calculate"]
         return df.withColumn(step["as"], ARITHMETIC[c["op"]](_operand(c["left"]), _operand(c["right"])))
     if "timeUnit" in step:
-        return df.withColumn(step["as"], F.date_trunc(TIME_UNITS[step["timeUnit"]], step["field"]).cast("date"))
+        start = F.date_trunc(TIME_UNITS[step["timeUnit"]], step["field"])
+        return df.withColumn(step["as"], start.cast("timestamp_ntz") if step["timeUnit"] == "hour" else start.cast("date"))
     if "bin" in step:
         v, n = F.col(step["field"]).cast("double"), int(step["bin"].get("maxbins", 10))
         ends = df.agg(F.min(v), F.max(v)).first()
+        if ends[0] is None:
+            return df.withColumn(step["as"], F.lit(None).cast("double"))
         width = (ends[1] - ends[0]) / n or 1.0
         at = F.least(F.floor((v - ends[0]) / width), F.lit(n - 1))
         return df.withColumn(step["as"], F.lit(ends[0]) + at * F.lit(width))

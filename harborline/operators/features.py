@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from harborline.functions import scalars as S
 from harborline.operators.aggregates import classification_report, regression_report, resample_mean
 from harborline.operators.ordering import POS, exact_quantiles, positions
-from harborline.operators.profile import auto_detect_columns, is_numeric, pair_correlations, parse_ratio
+from harborline.operators.profile import auto_detect_columns, distinct_against, is_numeric, pair_correlations, parse_ratio
 from harborline.operators.projections import clean_target, ensure_columns, filter_in, rename_aliases
 from harborline.operators.windows import turning_points
 from harborline.session import materialize
@@ -69,27 +69,47 @@ def _flag_name(column: str, value: str) -> str:
     return f"{column}_{value}".replace(" ", "_").lower()
 
 
-def onehot_values(df: DataFrame, column: str, max_categories: int = 20) -> list[str]:
-    """At most `max_categories` values: all, or the most frequent."""
+# Flags one call may add: each is a column of the plan. More is an error, never a cut.
+MOST_FLAGS = 2_000
+
+
+def onehot_values(df: DataFrame, column: str, max_categories: int | None = None) -> list[str]:
+    """All values, most frequent first, or the `max_categories` most frequent; too many for columns is an error."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    return [r["v"] for r in counts.orderBy(F.desc("n"), "v").limit(max_categories).collect()]
+    found = [r["v"] for r in counts.orderBy(F.desc("n"), "v").limit(max_categories or MOST_FLAGS + 1).collect()]
+    if len(found) > MOST_FLAGS:
+        raise ValueError(f"{column} has over {MOST_FLAGS} values: name those wanted, or use another encoder")
+    return found
+
+
+def _one_name_each(names: Sequence[str], taken: Sequence[str]) -> None:
+    seen = [n.lower() for n in (*taken, *names)]
+    twice = sorted({n for n in seen if seen.count(n) > 1})
+    if twice:
+        raise ValueError(f"flags would share a name: {twice[:5]}")
 
 
-def onehot(df: DataFrame, column: str, max_categories: int = 20, values: Sequence[str] | None = None) -> DataFrame:
-    """One 0/1 column per value; a null value gives null flags."""
+def onehot(df: DataFrame, column: str, max_categories: int | None = None, values: Sequence[str] | None = None) -> DataFrame:
+    """One 0/1 column per value; a null value gives null flags. Values whose flags would share a name are an error."""
     found = list(values) if values is not None else onehot_values(df, column, max_categories)
+    _one_name_each([_flag_name(column, v) for v in found], df.columns)
     return df.withColumns({_flag_name(column, v): (F.col(column).cast("string") == v).cast("int") for v in found})
 
 
-def dummies(df: DataFrame, columns: Sequence[str], max_unique: int = 50, force: Sequence[str] = ()) -> DataFrame:
-    """One-hot of every value of columns with at most `max_unique` of them (or forced), null as "unknown"."""
+def dummies(df: DataFrame, columns: Sequence[str], max_unique: int | None = None, force: Sequence[str] = ()) -> DataFrame:
+    """One-hot of every value of the columns, null as "unknown". With `max_unique`, columns of more values stay unless forced."""
     unknown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
-    counts = df.agg(*[F.count_distinct(unknown(c)).alias(c) for c in columns]).first()
+    most = MOST_FLAGS if max_unique is None else max_unique
+    counts = distinct_against(df, list(columns), lambda n: [most, MOST_FLAGS], unknown, nulls=False)[1]
     out = df
     for c in columns:
-        if c in force or counts[c] <= max_unique:
-            values = [r[0] for r in df.select(unknown(c)).distinct().collect()]  # counted above
-            out = out.withColumns({f"{c}_{v}": (unknown(c) == v).cast("int") for v in sorted(values)}).drop(c)
+        if max_unique is not None and c not in force and counts[c] > max_unique:
+            continue
+        values = [r[0] for r in df.select(unknown(c)).distinct().limit(MOST_FLAGS + 1).collect()]
+        if len(values) > MOST_FLAGS:
+            raise ValueError(f"{c} has over {MOST_FLAGS} values: use another encoder")
+        _one_name_each([f"{c}_{v}" for v in values], [x for x in out.columns if x != c])
+        out = out.withColumns({f"{c}_{v}": (unknown(c) == v).cast("int") for v in sorted(values)}).drop(c)
     return out
 
 
@@ -102,16 +122,11 @@ NUMBER_PARTS = [
 
 
 def text_like(df: DataFrame, columns: Sequence[str]) -> list[str]:
-    """Text columns by name, by many distinct values, or by mean length, decided in one pass."""
-    row = df.agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[S.distinct_with_null(c).alias(f"u_{c}") for c in columns],
-        *[F.avg(F.length(c)).alias(f"l_{c}") for c in columns],
-    ).first()
-    return [
-        c for c in columns
-        if c.lower() in TEXT_NAMES or row[f"u_{c}"] > max(1000, int(0.5 * row["_n"])) or (row[f"l_{c}"] or 0) > 30
-    ]
+    """Text columns by name, by many distinct values, or by mean length."""
+    limit = lambda n: max(1000, int(0.5 * n))
+    n, distinct = distinct_against(df, list(columns), lambda n: [limit(n)])
+    lengths = df.agg(*[F.avg(F.length(c)).alias(c) for c in columns]).first() if columns else {}
+    return [c for c in columns if c.lower() in TEXT_NAMES or distinct[c] > limit(n) or (lengths[c] or 0) > 30]
 
 
 def text_hash(df: DataFrame, column: str, n: int = 64, name: str | None = None) -> DataFrame:
@@ -122,7 +137,7 @@ def text_hash(df: DataFrame, column: str, n: int = 64, name: str | None = None)
     return HashingTF(numFeatures=n, inputCol="_words", outputCol=out).transform(keyed).drop("_words")
 
 
-def numeric_coercion(df: DataFrame, columns: Sequence[str], min_ratio: float = 0.80, min_parsed: int = 100) -> tuple[DataFrame, dict[str, float]]:
+def numeric_coercion(df: DataFrame, columns: Sequence[str], min_ratio: float = 0.80, min_parsed: int = 1) -> tuple[DataFrame, dict[str, float]]:
     """Text columns that are mostly numbers become doubles; one pass decides for all."""
     row = df.agg(
         *[F.count(c).alias(f"n_{c}") for c in columns], *[F.count(S.parse_number(F.col(c))).alias(f"p_{c}") for c in columns]
@@ -189,8 +204,8 @@ def oof_target_encode(
     """
     k = max(2, min(folds, 10))
     labels = [r[0] for r in df.select(F.col(y).cast("string")).distinct().limit(3).collect()]
-    if df.count() < 100 or len(labels) != 2:
-        return df
+    if len(labels) != 2:
+        raise ValueError(f"{y} must have two classes")
     known = sorted(v if v is not None else "None" for v in labels)
     wanted = positive if positive in known else known[-1]
     text = F.coalesce(F.col(y).cast("string"), F.lit("None"))
@@ -295,8 +310,10 @@ def engineer(df: DataFrame, target: str | None = None) -> tuple[DataFrame, list[
 
 
 def prepare_matrix(df: DataFrame, columns: Sequence[str], width: int | None = None, name: str = "features") -> DataFrame:
-    """One vector per row: doubles, gaps 0, padded or cut to the expected width."""
-    cols = list(columns)[:width] if width else list(columns)
+    """One vector per row: doubles, gaps 0, padded to the expected width; more columns than that is an error."""
+    cols = list(columns)
+    if width and len(cols) > width:
+        raise ValueError(f"{len(cols)} columns for a width of {width}")
     filled = df.withColumns({f"_x{i}": F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) for i, c in enumerate(cols)})
     inputs = [f"_x{i}" for i in range(len(cols))]
     for i in range(len(cols), width or 0):
@@ -329,7 +346,7 @@ def replay_features(df: DataFrame, meta: FeatureMeta) -> DataFrame:
     return out.withColumns({c: S.parse_number(F.col(c)) for c in meta.numeric if not is_numeric(out.schema[c].dataType)})
 
 
-def train_dataset_model(df: DataFrame, features: Sequence[str], targets: Sequence[tuple[str, str]], key: Sequence[str], trees: int = 20, seed: int = 42):
+def train_dataset_model(df: DataFrame, features: Sequence[str], targets: Sequence[tuple[str, str]], key: Sequence[str], trees: int = 20, seed: int = 42, max_classes: int | None = None):
     """Random forest for the first target (name, task) that can be trained; (report, status log).
 
     The report holds the metrics the gates take, on a fifth of the rows chosen by key hash.
@@ -344,8 +361,8 @@ def train_dataset_model(df: DataFrame, features: Sequence[str], targets: Sequenc
             log.append((target, "missing_target"))
             continue
         clean = clean_target(df, target, task)
-        n_classes = clean.select(target).distinct().limit(101).count()
-        if n_classes < 2 or (task == "classification" and n_classes > 100):
+        n_classes = clean.select(target).distinct().limit(2 if max_classes is None else max_classes + 1).count()
+        if n_classes < 2 or (task == "classification" and max_classes is not None and n_classes > max_classes):
             log.append((target, "untrainable_target"))
             continue
         held = S.unit_hash(F.concat_ws("|", *[F.col(c).cast("string") for c in key]), seed) >= 0.8
@@ -368,19 +385,19 @@ REALISM_PARTS = ["revenue", "sales", "margin", "cost", "profit", "customer", "or
 REALISM_SKIP = ["date", "time", "timestamp", "id", "name", "label", "region", "segment", "category", "channel"]
 
 
-def realism_columns(df: DataFrame, limit: int = 4) -> list[str]:
+def realism_columns(df: DataFrame, limit: int | None = None) -> list[str]:
     numbers = [c for c in df.columns if is_numeric(df.schema[c].dataType) or isinstance(df.schema[c].dataType, T.StringType)]
     shares = parse_ratio(df, numbers, S.safe_double) if numbers else {}
     picked: list[str] = []
     for part in REALISM_PARTS:
         picked += [c for c in numbers if part in c.lower() and c not in picked and shares[c] >= 0.75]
     for c in numbers:
-        if len(picked) < limit and c not in picked and not any(p in c.lower() for p in REALISM_SKIP) and shares[c] >= 0.85:
+        if c not in picked and not any(p in c.lower() for p in REALISM_SKIP) and shares[c] >= 0.85:
             picked.append(c)
     return picked[:limit]
 
 
-def realism_checks(df: DataFrame, time: str) -> DataFrame:
+def realism_checks(df: DataFrame, time: str, grain: str = "month") -> DataFrame:
     """One row: why the table's series look made up, or null.
 
     Checked on period means: too smooth or monotone, no reversals anywhere, all moving one way,
@@ -390,7 +407,7 @@ def realism_checks(df: DataFrame, time: str) -> DataFrame:
     verdict = None
     if cols:
         numeric = df.select(time, *[S.safe_double(F.col(c)).alias(c) for c in cols])
-        series = resample_mean(numeric, time, cols).cache()
+        series = resample_mean(numeric, time, cols, grain).cache()
         shapes = []
         for c in cols:
             r = turning_points(series, c, ["t"]).first()
@@ -402,7 +419,7 @@ def realism_checks(df: DataFrame, time: str) -> DataFrame:
         ]
         ways = [math.copysign(1, r["change"]) for _, r in shapes if r["change"] != 0]
         if smooth:
-            verdict = f"series too smooth/monotonic: {', '.join(smooth[:3])}"
+            verdict = f"series too smooth/monotonic: {', '.join(smooth)}"
         elif len(shapes) >= 2 and sum(r["turning_points"] for _, r in shapes) == 0:
             verdict = "no reversals across key metrics"
         elif len(shapes) >= 3 and len(ways) >= 3 and len(set(ways)) == 1:

@@ -7,18 +7,13 @@ from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harborline.functions import scalars as S
 from harborline.operators.ordering import small_side, top_per_group
-
-REPRESENTATIVE = 30
-WORKER_CAP = 25
-ROUTE_CAP = 40
-TOP_WORKERS = 5
-MISSING_SHOWN = 15
+from harborline.session import materialize
 
 
 def manifest_tokens(manifest: DataFrame, names: bool = False) -> DataFrame:
@@ -46,20 +41,24 @@ def mark_provided(tokens: DataFrame, provided: DataFrame, aliases: DataFrame | N
     return out.drop("_given")
 
 
-def worker_scores(marked: DataFrame, cap: int = WORKER_CAP) -> DataFrame:
-    """min(matched, cap) / cap per worker, cap = min(25, columns)."""
+def worker_scores(marked: DataFrame, cap: int | None = None) -> DataFrame:
+    """Share of its columns that match, per worker; with `cap`, at most so many columns are asked of one."""
     n = marked.groupBy("category", "worker").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("matched"))
-    limit = F.least(F.lit(cap), F.col("n"))
+    limit = F.col("n") if cap is None else F.least(F.lit(cap), F.col("n"))
     return n.withColumn("score", F.least("matched", limit) / limit)
 
 
-def column_overlap_match(manifest: DataFrame, provided: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """Per category: share of its 30 most recurring columns, best worker, the better of both, and rank."""
-    marked = mark_provided(manifest_tokens(manifest), provided, aliases)
-    recurring = marked.groupBy("category", "token").agg(F.count(F.lit(1)).alias("n"), F.bool_or("hit").alias("hit"))
-    top = top_per_group(recurring, ["category"], [F.desc("n"), F.col("token")], REPRESENTATIVE)
+def column_overlap_match(manifest: DataFrame, provided: DataFrame, aliases: DataFrame | None = None, representative: int | None = None, cap: int | None = None) -> DataFrame:
+    """Per category: share of its columns that match, best worker, the better of both.
+
+    `representative` looks only at a category's most recurring columns, `cap` is that of worker_scores.
+    """
+    marked = materialize(mark_provided(manifest_tokens(manifest), provided, aliases))
+    top = marked.groupBy("category", "token").agg(F.count(F.lit(1)).alias("n"), F.bool_or("hit").alias("hit"))
+    if representative is not None:
+        top = top_per_group(top, ["category"], [F.desc("n"), F.col("token")], representative)
     by_category = top.groupBy("category").agg((F.count_if("hit") / F.count(F.lit(1))).alias("category_score"))
-    best = worker_scores(marked).groupBy("category").agg(F.max("score").alias("best_worker_score"))
+    best = worker_scores(marked, cap).groupBy("category").agg(F.max("score").alias("best_worker_score"))
     both = by_category.join(best, "category")
     return both.select(
         "category", F.round("category_score", 4).alias("category_score"), F.round("best_worker_score", 4).alias("best_worker_score"),
@@ -67,39 +66,57 @@ def column_overlap_match(manifest: DataFrame, provided: DataFrame, aliases: Data
     )
 
 
-def top_workers(manifest: DataFrame, provided: DataFrame, aliases: DataFrame | None = None, k: int = TOP_WORKERS) -> DataFrame:
-    scored = worker_scores(mark_provided(manifest_tokens(manifest), provided, aliases)).filter(F.col("score") > 0)
+def top_workers(manifest: DataFrame, provided: DataFrame, aliases: DataFrame | None = None, k: int = 5, cap: int | None = None) -> DataFrame:
+    """The k best workers of each category by the share of their columns that match."""
+    return _best_workers(mark_provided(manifest_tokens(manifest), provided, aliases), k, cap)
+
+
+def _best_workers(marked: DataFrame, k: int, cap: int | None) -> DataFrame:
+    scored = worker_scores(marked, cap).filter(F.col("score") > 0)
     return top_per_group(scored.withColumn("score", F.round("score", 4)), ["category"], [F.desc("score"), F.col("worker")], k)
 
 
-def missing_columns(manifest: DataFrame, provided: DataFrame, aliases: DataFrame | None = None, shown: int = MISSING_SHOWN) -> DataFrame:
-    """Up to 15 columns each category's best worker still lacks."""
-    marked = mark_provided(manifest_tokens(manifest, names=True), provided, aliases)
-    best = top_workers(manifest, provided, aliases, 1).select("category", "worker")
-    lacking = marked.join(best, ["category", "worker"], "left_semi").filter(~F.col("hit"))
-    return top_per_group(lacking, ["category"], [F.col("token")], shown).select("category", "worker", "column_name", "rank")
+def missing_columns(manifest: DataFrame, provided: DataFrame, aliases: DataFrame | None = None, shown: int | None = None, cap: int | None = None) -> DataFrame:
+    """Columns each category's best worker still lacks, numbered by name, or the first `shown` of them.
+
+    Where no worker matches at all, or the best lacks nothing, the category's own columns are listed, most recurring
+    first, without a worker.
+    """
+    marked = materialize(mark_provided(manifest_tokens(manifest, names=True), provided, aliases))
+    best = _best_workers(marked, 1, cap).select("category", "worker")
+    lacking = marked.join(best, ["category", "worker"], "left_semi").filter(~F.col("hit")).select("category", "worker", "column_name", F.lit(0).cast("long").alias("n"), "token")
+    own = marked.groupBy("category", "token").agg(F.min("column_name").alias("column_name"), F.count(F.lit(1)).alias("n"))
+    rest = own.join(lacking.select("category").distinct(), "category", "left_anti")
+    every = lacking.unionByName(rest.withColumn("worker", F.lit(None).cast(marked.schema["worker"].dataType)))
+    # A category has as many rows as column names.
+    ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("n"), "token")))
+    return (ranked if shown is None else ranked.filter(F.col("rank") <= shown)).select("category", "worker", "column_name", "rank")
 
 
 ACCEPT, PARTIAL = 0.80, 0.20
 
 
-def blend_and_decide(scores: DataFrame, semantic: DataFrame) -> DataFrame:
+def blend_and_decide(scores: DataFrame, semantic: DataFrame, top: int | None = None) -> DataFrame:
     """scores(industry, category, score) with semantic(category, confidence): blended, ranked, decided.
 
-    The decision looks at the deterministic score of the candidate; the first rank is the answer.
+    The decision looks at the deterministic score of the candidate; the first rank is the answer. `top` keeps the first few.
     """
     conf = semantic.groupBy("category").agg(F.max(S.clamp(F.coalesce("confidence", F.lit(0.0)), 0.0, 1.0)).alias("semantic_score"))
     both = scores.join(conf, "category", "left").withColumn("semantic_score", F.coalesce("semantic_score", F.lit(0.0)))
     blended = both.withColumn("blended_score", F.round(F.col("score") * 0.85 + F.col("semantic_score") * 0.15, 4))
     decided = blended.withColumn("decision", F.when(F.col("score") >= ACCEPT, "ACCEPT").when(F.col("score") >= PARTIAL, "PARTIAL_ACCEPT").otherwise("REJECT"))
-    return top_per_group(decided, ["industry"], [F.desc("blended_score"), F.desc("score"), F.col("category")], 10)
+    order = [F.desc("blended_score"), F.desc("score"), F.col("category")]
+    if top is not None:
+        return top_per_group(decided, ["industry"], order, top)
+    # An industry has as many rows as categories.
+    return decided.withColumn("rank", F.row_number().over(Window.partitionBy("industry").orderBy(*order)))
 
 
-def semantic_route(manifest: DataFrame, provided: DataFrame, context: str, keywords: dict[str, Sequence[str]]) -> DataFrame:
-    """0.80 * best worker overlap (over min(40, columns)) + at most 0.20 for words of the context, capped at 1."""
+def semantic_route(manifest: DataFrame, provided: DataFrame, context: str, keywords: dict[str, Sequence[str]], cap: int | None = None) -> DataFrame:
+    """0.80 * best worker overlap (over `cap` columns at most, if given) + at most 0.20 for words of the context, capped at 1."""
     marked = mark_provided(manifest_tokens(manifest), provided)
     n = marked.groupBy("category", "worker").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("m"))
-    overlap = n.groupBy("category").agg(F.max(F.col("m") / F.least(F.lit(ROUTE_CAP), F.col("n"))).alias("overlap"))
+    overlap = n.groupBy("category").agg(F.max(F.col("m") / (F.col("n") if cap is None else F.least(F.lit(cap), F.col("n")))).alias("overlap"))
     low = context.lower()
     score = F.lit(0.0)
     for category, words in keywords.items():

@@ -63,8 +63,8 @@ def schema_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def numeric_profile(df: DataFrame, limit: int = 20) -> DataFrame:
-    """mean, sample deviation, min, max of the first `limit` numeric columns (the report's width)."""
+def numeric_profile(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """mean, sample deviation, min, max of all numeric columns, or of the first `limit`."""
     cols = numeric_columns(df)[:limit]
     return per_column(
         df,
@@ -91,7 +91,7 @@ def top_values(df: DataFrame, k: int = 5, columns: Sequence[str] | None = None)
 
 
 def quality(df: DataFrame) -> DataFrame:
-    """completeness, gap ratio, fields missing too often (30 shown) and a band."""
+    """completeness, gap ratio, fields missing too often and a band."""
     one = schema_summary(df).agg(
         F.avg("null_ratio").alias("m"),
         F.array_sort(F.collect_list(F.when(F.col("null_ratio") > MISSING_FIELD_RATIO, F.struct("ordinal", "column_name")))).alias("f"),
@@ -100,17 +100,15 @@ def quality(df: DataFrame) -> DataFrame:
     return one.select(
         F.round(completeness, 4).alias("completeness"),
         F.round(S.clamp(1.0 - completeness, 0.0, 1.0), 4).alias("data_gap_ratio"),
-        F.concat_ws(",", F.slice(F.transform("f", lambda x: x["column_name"]), 1, 30)).alias("missing_fields"),
+        F.concat_ws(",", F.transform("f", lambda x: x["column_name"])).alias("missing_fields"),
         F.when(completeness >= 0.80, "high").when(completeness >= 0.55, "medium").otherwise("low").alias("band"),
     )
 
 
-def missingness_top(df: DataFrame, k: int = 20, first: int = 30) -> DataFrame:
-    """Null ratio of the first 30 columns, highest 20 (a report of fixed width)."""
-    return (
-        schema_summary(df.select(df.columns[:first]))
-        .orderBy(F.desc("null_ratio"), F.desc("ordinal")).limit(k).select("column_name", "null_ratio")
-    )
+def missingness_top(df: DataFrame, k: int | None = None) -> DataFrame:
+    """Null ratio of every column, highest first, or of the k highest."""
+    ranked = schema_summary(df).orderBy(F.desc("null_ratio"), F.desc("ordinal")).select("column_name", "null_ratio")
+    return ranked.limit(k) if k else ranked
 
 
 def distribution_hints(df: DataFrame, target: str) -> DataFrame:
@@ -176,8 +174,33 @@ CATEGORY_MAX_DISTINCT = 20
 CATEGORY_MAX_SHARE = 0.05
 
 
+SKETCH_ERROR = 0.02
+
+
+def distinct_against(df: DataFrame, columns: Sequence[str], limits: callable, value: callable = F.col, nulls: bool = True) -> tuple[int, dict[str, int]]:
+    """Rows, and distinct values of each column, exact wherever a limit is near and sketched elsewhere.
+
+    One pass sketches all columns. Only a column whose sketch lies within ten of its standard errors of one of
+    `limits(rows)` is counted exactly, on its own, so values are not shuffled for the rest. A null is a value if `nulls`.
+    """
+    if not columns:
+        return df.count(), {}
+    row = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.approx_count_distinct(value(c), SKETCH_ERROR).alias(f"d{i}") for i, c in enumerate(columns)],
+        *[F.bool_or(value(c).isNull()).alias(f"z{i}") for i, c in enumerate(columns)],
+    ).first()
+    n, out = row["n"], {}
+    for i, c in enumerate(columns):
+        about, null = row[f"d{i}"], int(bool(nulls and row[f"z{i}"]))
+        if any(abs(about + null - m) <= 10 * SKETCH_ERROR * max(about, m) + 1 for m in limits(n)):
+            about = df.select(value(c).alias("v")).filter(F.col("v").isNotNull()).distinct().count()
+        out[c] = about + null
+    return n, out
+
+
 def auto_detect_columns(df: DataFrame) -> dict[str, list[str]]:
-    """categorical / numeric / temporal column names; one distinct count for all candidates."""
+    """categorical / numeric / temporal column names; distinct values are counted only as closely as the rules need."""
     out: dict[str, list[str]] = {"categorical": [], "numeric": [], "temporal": []}
     kinds: dict[str, str] = {}
     for f in df.schema.fields:
@@ -191,9 +214,9 @@ def auto_detect_columns(df: DataFrame) -> dict[str, list[str]]:
             kinds[f.name] = "temporal"
     numbers = [c for c, k in kinds.items() if k == "numeric"]
     if numbers:
-        row = df.agg(F.count(F.lit(1)).alias("_n"), *[S.distinct_with_null(c).alias(c) for c in numbers]).first()
+        n, found = distinct_against(df, numbers, lambda n: [CATEGORY_MAX_DISTINCT, n * CATEGORY_MAX_SHARE])
         for c in numbers:
-            if row[c] <= CATEGORY_MAX_DISTINCT and row[c] < row["_n"] * CATEGORY_MAX_SHARE:
+            if found[c] <= CATEGORY_MAX_DISTINCT and found[c] < n * CATEGORY_MAX_SHARE:
                 kinds[c] = "categorical"
     for c, k in kinds.items():
         out[k].append(c)
@@ -374,8 +397,8 @@ def kpis(df: DataFrame, metric: str, order_by: Sequence[str], share: float = 0.2
     )
 
 
-def kpi_targets(df: DataFrame, order_by: Sequence[str], first: int = 6, lift: float = 1.08) -> DataFrame:
-    """Head and tail fifth means, target and gap for the first six numeric columns (a fixed-width report)."""
+def kpi_targets(df: DataFrame, order_by: Sequence[str], first: int | None = None, lift: float = 1.08) -> DataFrame:
+    """Head and tail fifth means, target and gap for all numeric columns, or for the first few."""
     cols = numeric_columns(df)[:first]
     n = df.count()
     part = max(1, n // 5)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborline.functions import rules as K
@@ -202,11 +202,13 @@ def manifest_dataset_ids(columns: DataFrame) -> DataFrame:
     return columns.select("category", F.trim(F.col("dataset_id").cast("string")).alias("dataset_id")).filter(F.col("dataset_id") != "").distinct()
 
 
-def category_union_columns(columns: DataFrame, order_by: Sequence[str], first: int = 25) -> DataFrame:
-    """The first 25 columns of a category by order of appearance, one per token (a profile of fixed width)."""
+def category_union_columns(columns: DataFrame, order_by: Sequence[str], first: int | None = None) -> DataFrame:
+    """The columns of a category by order of appearance, one per token, or the first few."""
     token = S.unicode_token(F.col("column_name"))
     firsts = columns.filter(token != "").groupBy("category", token.alias("token")).agg(F.min(F.struct(*order_by, "column_name")).alias("o"))
-    return top_per_group(firsts, ["category"], [F.col("o")], first).select("category", F.col("o.column_name").alias("column_name"), "rank")
+    # A category has as many rows as column names.
+    ranked = firsts.withColumn("rank", F.row_number().over(Window.partitionBy("category").orderBy("o"))) if first is None else top_per_group(firsts, ["category"], [F.col("o")], first)
+    return ranked.select("category", F.col("o.column_name").alias("column_name"), "rank")
 
 
 RETENTION_HOURS = [("chats", 168), ("reports", 336), ("intake", 72), ("state", 72), ("debug", 48)]

@@ -62,8 +62,8 @@ def _task() -> Column:
     return F.when(F.col("is_numeric") & (F.col("n_distinct") > 20), "regression").otherwise("classification")
 
 
-def _best(stats: DataFrame, *order: Column) -> DataFrame:
-    return stats.withColumn("_r", F.row_number().over(Window.orderBy(*order, "ordinal"))).filter(F.col("_r") == 1).drop("_r")
+def _best(stats: DataFrame, *order: Column, tie: str = "ordinal") -> DataFrame:
+    return stats.withColumn("_r", F.row_number().over(Window.orderBy(*order, tie))).filter(F.col("_r") == 1).drop("_r")
 
 
 def fallback_target(stats: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def fallback_target(stats: DataFrame) -> DataFrame:
     present = F.round(F.col("n_rows") * (1 - F.col("null_ratio")))
     numbers = usable.filter(F.col("is_numeric") & (F.col("n_distinct") >= 5) & (present >= F.greatest(F.lit(20), F.floor(F.col("n_rows") * 0.2))))
     metric = numbers.withColumns({"_place": F.lit(len(PRIORITY_PARTS)) + F.when(hits(_low(), METRIC_PARTS) > 0, 0).otherwise(1), "task_type": _task()})
-    return _best(named.unionByName(metric), F.col("_place"), F.when(F.col("_place") >= len(PRIORITY_PARTS), -F.col("n_distinct")).otherwise(0)).select("column_name", "task_type")
+    return _best(named.unionByName(metric), F.col("_place"), F.when(F.col("_place") >= len(PRIORITY_PARTS), -F.col("n_distinct")).otherwise(0), tie="column_name").select("column_name", "task_type")
 
 
 def scored_targets(stats: DataFrame) -> DataFrame:
@@ -117,7 +117,9 @@ def pick_metric(stats: DataFrame, tokens: Sequence[str], kind: str = "metric") -
         + (points(_low().isin(*p["lookup"][0]), p["lookup"][1]) if p["lookup"][0] else F.lit(0.0))
     )
     usable = stats.filter(~_low_value()).withColumn("score", score)
-    usable = usable.filter(~is_id_like(F.col("column_name"))) if kind == "metric" else usable.filter(F.col("is_numeric") & (F.col("n_distinct") >= 4))
+    usable = usable.filter(~is_id_like(F.col("column_name")))
+    if kind != "metric":
+        usable = usable.filter(F.col("is_numeric") & (F.col("n_distinct") >= 4))
     best = _best(usable, F.desc("score")).filter((F.col("score") >= 1.0) & F.col("is_numeric"))
     return best.select("column_name", (F.lit("regression") if kind == "metric" else _task()).alias("task_type"), "score")
 

@@ -102,20 +102,14 @@ def _chunked(df: DataFrame, points: int, order_by: Sequence[str]) -> DataFrame:
     return positions(df, order_by).withColumn("chunk", at.cast("int"))
 
 
-def trend_points(n_rows: int, lookback_days: int) -> int:
-    """8-24 weekly points for a lookback up to 120 days, else 6-12 monthly ones."""
-    return min(24, max(8, n_rows)) if lookback_days <= 120 else min(12, max(6, n_rows))
-
-
 def chunk_means(df: DataFrame, column: str, points: int, order_by: Sequence[str]) -> DataFrame:
     """Mean of each chunk of the non-null values in order. All values are used."""
     values = df.filter(F.col(column).isNotNull())
     return _chunked(values, points, order_by).groupBy("chunk").agg(F.avg(F.col(column).cast("double")).alias("y"), F.count(F.lit(1)).alias("n"))
 
 
-def chunk_counts(df: DataFrame, order_by: Sequence[str], lookback_days: int = 365) -> DataFrame:
-    n = df.count()
-    points = max(6, min(24 if lookback_days <= 120 else 12, n))
+def chunk_counts(df: DataFrame, order_by: Sequence[str], points: int) -> DataFrame:
+    """Rows in each of `points` chunks of the order."""
     return _chunked(df, points, order_by).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
 
 

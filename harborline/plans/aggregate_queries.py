@@ -22,7 +22,7 @@ def a5(spark, d):
     return p.withColumns({"target_quantity": F.round("target_quantity", 2), "avg_price": F.round("avg_price", 4), "discount_std": F.round("discount_std", 6)})
 
 
-_MONTHLY = """m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS t, avg(o_totalprice) AS y FROM orders GROUP BY 1), k AS (SELECT * FROM m ORDER BY t DESC LIMIT 12)"""
+_MONTHLY = """m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS t, avg(o_totalprice) AS y FROM orders GROUP BY 1), k AS (SELECT * FROM m)"""
 
 
 @query("A9_monthly_trend", f"WITH {_MONTHLY} SELECT t, round(y, 4) AS y FROM k")
@@ -32,7 +32,7 @@ def a9(spark, d):
 
 @query("A10_resample_mean_weekly", "SELECT CAST(date_trunc('week', ts) AS DATE) + 6 AS t, round(avg(value), 6) AS value FROM events GROUP BY 1")
 def a10(spark, d):
-    return A.resample_mean(table(spark, d, "events"), "ts", ["value"]).withColumn("value", F.round("value", 6))
+    return A.resample_mean(table(spark, d, "events"), "ts", ["value"], "week").withColumn("value", F.round("value", 6))
 
 
 @query("A10_resample_mean_monthly", "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS t, round(avg(o_totalprice), 4) AS o_totalprice FROM orders GROUP BY 1")
@@ -206,7 +206,7 @@ def a23(spark, d):
 
 @query(
     "A24_history_stats",
-    """WITH e AS (SELECT date_trunc('hour', ts) AS rid, ts, CAST(user_id AS VARCHAR) AS worker, value, event_type FROM events), k AS (SELECT rid, max(ts) AS t FROM e GROUP BY 1 ORDER BY t DESC LIMIT 120), r AS (SELECT * FROM e WHERE rid IN (SELECT rid FROM k)),
+    """WITH e AS (SELECT date_trunc('hour', ts) AS rid, ts, CAST(user_id AS VARCHAR) AS worker, value, event_type FROM events), r AS (SELECT * FROM e),
        c AS (SELECT worker, event_type, count(*) AS n FROM r GROUP BY 1, 2)
        SELECT r.worker, CAST(count(*) AS BIGINT) AS runs, round(round(sum(value), 2) / count(*), 4) AS prediction_mean_avg, (SELECT arg_min(event_type, (-n, event_type)) FROM c WHERE c.worker = r.worker) AS dominant_task_type FROM r GROUP BY r.worker""",
 )

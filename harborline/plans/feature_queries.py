@@ -54,7 +54,7 @@ def e4(spark, d):
 )
 def e5(spark, d):
     c = table(spark, d, "customer").join(table(spark, d, "labels"), F.col("c_custkey") == F.col("doc_id"), "left")
-    return E.dummies(c.select("c_custkey", "c_name", F.col("quality").alias("grade")), ["c_name", "grade"])
+    return E.dummies(c.select("c_custkey", "c_name", F.col("quality").alias("grade")), ["grade"])
 
 
 @query(

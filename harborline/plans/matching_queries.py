@@ -29,7 +29,7 @@ _MARKED = f"""g AS (SELECT DISTINCT {_W} AS token FROM benchmark), m AS (SELECT
 @query(
     "J7_column_overlap_match",
     f"""WITH {_MARKED}, r AS (SELECT category, token, bool_or(hit) AS hit, row_number() OVER (PARTITION BY category ORDER BY count(*) DESC, token) AS o FROM k GROUP BY 1, 2),
-        c AS (SELECT category, count(*) FILTER (hit) / count(*) AS cs FROM r WHERE o <= 30 GROUP BY 1), b AS (SELECT category, max(least(matched, least(25, n)) / least(25, n)) AS ws FROM w GROUP BY 1)
+        c AS (SELECT category, count(*) FILTER (hit) / count(*) AS cs FROM r GROUP BY 1), b AS (SELECT category, max(matched / n) AS ws FROM w GROUP BY 1)
         SELECT category, round(cs, 4) AS category_score, round(ws, 4) AS best_worker_score, round(greatest(cs, ws), 4) AS score FROM c JOIN b USING (category)""",
 )
 def j7(spark, d):
@@ -38,7 +38,7 @@ def j7(spark, d):
 
 @query(
     "J7_top_workers",
-    f"""WITH {_MARKED}, s AS (SELECT category, worker, matched, round(least(matched, least(25, n)) / least(25, n), 4) AS score FROM w WHERE matched > 0)
+    f"""WITH {_MARKED}, s AS (SELECT category, worker, matched, round(matched / n, 4) AS score FROM w WHERE matched > 0)
         SELECT category, worker, score, CAST(row_number() OVER (PARTITION BY category ORDER BY score DESC, worker) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""",
 )
 def j7w(spark, d):
@@ -47,8 +47,8 @@ def j7w(spark, d):
 
 @query(
     "J7_missing_columns",
-    f"""WITH {_MARKED}, s AS (SELECT category, worker, round(least(matched, least(25, n)) / least(25, n), 4) AS score FROM w WHERE matched > 0), t AS (SELECT category, worker FROM s QUALIFY row_number() OVER (PARTITION BY category ORDER BY score DESC, worker) = 1)
-        SELECT k.category, k.worker, token AS column_name, CAST(row_number() OVER (PARTITION BY k.category ORDER BY token) AS INTEGER) AS rank FROM k JOIN t USING (category, worker) WHERE NOT hit QUALIFY rank <= 15""",
+    f"""WITH {_MARKED}, s AS (SELECT category, worker, round(matched / n, 4) AS score FROM w WHERE matched > 0), t AS (SELECT category, worker FROM s QUALIFY row_number() OVER (PARTITION BY category ORDER BY score DESC, worker) = 1)
+        SELECT k.category, k.worker, token AS column_name, CAST(row_number() OVER (PARTITION BY k.category ORDER BY token) AS INTEGER) AS rank FROM k JOIN t USING (category, worker) WHERE NOT hit""",
 )
 def j7m(spark, d):
     return M.missing_columns(_manifest(spark, d), _provided(spark, d))
@@ -56,10 +56,10 @@ def j7m(spark, d):
 
 @query(
     "J8_blend_and_decide",
-    f"""WITH {_MARKED}, s AS (SELECT worker % 3 AS industry, category || '-' || worker AS category, worker, round(least(matched, least(25, n)) / least(25, n), 4) AS score FROM w),
+    f"""WITH {_MARKED}, s AS (SELECT worker % 3 AS industry, category || '-' || worker AS category, worker, round(matched / n, 4) AS score FROM w),
         b AS (SELECT s.industry, s.category, score, coalesce(quality * 0.5::DOUBLE + toxic * 0.25::DOUBLE, 0) AS sem FROM s LEFT JOIN labels ON worker = doc_id), z AS (SELECT *, round(score * 0.85 + sem * 0.15, 4) AS blended FROM b)
         SELECT industry, category, score, sem AS semantic_score, blended AS blended_score, CASE WHEN score >= 0.8 THEN 'ACCEPT' WHEN score >= 0.2 THEN 'PARTIAL_ACCEPT' ELSE 'REJECT' END AS decision,
-          CAST(row_number() OVER (PARTITION BY industry ORDER BY blended DESC, score DESC, category) AS INTEGER) AS rank FROM z QUALIFY rank <= 10""",
+          CAST(row_number() OVER (PARTITION BY industry ORDER BY blended DESC, score DESC, category) AS INTEGER) AS rank FROM z""",
 )
 def j8(spark, d):
     marked = M.mark_provided(M.manifest_tokens(_manifest(spark, d)), _provided(spark, d))
@@ -72,7 +72,7 @@ def j8(spark, d):
 
 @query(
     "J10_semantic_route",
-    f"""WITH {_MARKED}, o AS (SELECT category, max(matched / least(40, n)) AS v FROM w GROUP BY 1)
+    f"""WITH {_MARKED}, o AS (SELECT category, max(matched / n) AS v FROM w GROUP BY 1)
         SELECT category, round(least(1.0, v * 0.8::DOUBLE + CASE category WHEN 'en' THEN 0.2::DOUBLE WHEN 'fr' THEN 0.1::DOUBLE ELSE 0 END), 4) AS confidence FROM o""",
 )
 def j10(spark, d):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from harborline.operators import profile as A
 from harborline.plans.registry import query, table
+from harborline.plans.reports import dashboard_bundle
 
 
 def _docs_labels(spark, d):
@@ -175,16 +176,14 @@ def w7(spark, d):
 
 @query(
     "A13_dashboard_kpis",
-    """WITH e AS (SELECT event_id, value, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, count(*) OVER () AS n FROM events), k AS (SELECT unnest(range(1000)) AS j),
-       s AS (SELECT value, row_number() OVER (ORDER BY i) - 1 AS p, count(*) OVER () AS m FROM (SELECT DISTINCT e.i, e.value FROM e JOIN k ON e.i = CAST(round_even(k.j * ((e.n - 1) / 999.0::DOUBLE), 0) AS BIGINT))),
+    """WITH s AS (SELECT value, row_number() OVER (ORDER BY ts, event_id) - 1 AS p, count(*) OVER () AS m FROM events),
        q AS (SELECT avg(value) FILTER (p < greatest(1, floor(m * 0.2))) AS b, avg(value) FILTER (p >= m - greatest(1, floor(m * 0.2))) AS c, stddev_pop(value) AS s, avg(value) AS a FROM s)
        SELECT round(b, 6) AS baseline, round(c, 6) AS current, round((c - b) / b, 6) AS delta, round(greatest(0.01, least(0.99, s / (abs(a) + 1e-9))), 6) AS risk FROM q""",
 )
 def a13_dashboard(spark, d):
-    """KPIs of the dashboard's main table, which is sampled down evenly first."""
-    ev = table(spark, d, "events").select("event_id", "ts", "value")
-    main = A.uniform_downsample(ev, 1000, ["ts", "event_id"])
-    k = A.kpis(main, "value", ["ts", "event_id"])
+    """KPIs of the dashboard, over all rows; only what a chart draws is thinned."""
+    ev = table(spark, d, "events").select(F.col("ts").alias("event_date"), "event_id", "value")
+    k = dashboard_bundle(ev.withColumnRenamed("value", "demand"), ["event_date", "event_id"])["kpis"]
     return k.select([F.round(c, 6).alias(c) for c in k.columns])
 
 

@@ -13,9 +13,10 @@ MIN_ROWS_SHOWN = 100
 
 
 def dashboard_bundle(df: DataFrame, order_by: Sequence[str], max_rows: int = 1000) -> dict[str, DataFrame]:
-    """main (evenly thinned to what a chart can show), kpis over it, and the fields of both."""
-    main = materialize(P.uniform_downsample(P.default_main(df, order_by), max(MIN_ROWS_SHOWN, max_rows), ["pos"]))
-    kpis = P.kpis(main, "metric", ["pos"])
+    """main (evenly thinned to what a chart can show), kpis over all rows, and the fields of both."""
+    whole = materialize(P.default_main(df, order_by))
+    main = P.uniform_downsample(whole, max(MIN_ROWS_SHOWN, max_rows), ["pos"])
+    kpis = P.kpis(whole, "metric", ["pos"])
     fields = [("main", "t", "datetime", "time"), ("main", "metric", "number", "measure"), ("main", "category", "category", "dimension"), ("main", "id", "string", "id")]
     fields += [("kpis", c, "number", "probability" if c == "risk" else "measure") for c in kpis.columns]
     schema = df.sparkSession.createDataFrame(fields, "table_name string, column_name string, type string, role string")

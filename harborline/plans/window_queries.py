@@ -49,12 +49,12 @@ def w3(spark, d):
 )
 def w5(spark, d):
     ev = _events(spark, d)
-    return W.chunk_means(ev, "value", W.trend_points(ev.count(), 365), ["ts", "event_id"]).withColumn("y", F.round("y", 6))
+    return W.chunk_means(ev, "value", 12, ["ts", "event_id"]).withColumn("y", F.round("y", 6))
 
 
 @query("W6_chunk_counts", "SELECT CAST(c - 1 AS INTEGER) AS chunk, CAST(count(*) AS BIGINT) AS n FROM (SELECT ntile(24) OVER (ORDER BY ts, event_id) AS c FROM events) GROUP BY c")
 def w6(spark, d):
-    return W.chunk_counts(_events(spark, d), ["ts", "event_id"], lookback_days=90)
+    return W.chunk_counts(_events(spark, d), ["ts", "event_id"], points=24)
 
 
 @query(

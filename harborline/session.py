@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -29,9 +30,11 @@ def build_session(app: str = "harborline", master: str | None = None, **conf: st
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one is made only where none is set (tests, one machine)."""
+    """The cluster's shared folder; where none is set, one machine makes its own and a cluster is refused."""
     path = spark.conf.get(CHECKPOINT_KEY, None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
         path = os.path.join(tempfile.mkdtemp(prefix="harborline-"), "checkpoints")
         spark.conf.set(CHECKPOINT_KEY, path)
     return path

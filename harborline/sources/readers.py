@@ -15,15 +15,15 @@ from pyspark.sql import types as T
 NULL_TOKENS = ["", "NA", "N/A", "null", "NULL", "\\N"]
 SEPARATORS = [",", ";", "\t", "|"]
 SNIFF_BYTES = 8192
-INFER_ROWS = 10_000
 
 
 def sniff_separator(spark: SparkSession, path: str) -> str:
     """Separator guessed from the first 8 KiB; the rest of the file is not read."""
     if path.lower().rstrip("/").endswith(".tsv"):
         return "\t"
-    lines = [r[0] for r in spark.read.text(path).limit(50).collect()]
-    sample = "\n".join(lines)[:SNIFF_BYTES]
+    head = spark.read.format("binaryFile").load(path).orderBy("path").select(F.substring("content", 1, SNIFF_BYTES)).first()
+    sample = bytes(head[0]).decode("utf-8", "replace") if head else ""
+    lines = sample.splitlines()
     try:
         return csv.Sniffer().sniff(sample, delimiters="".join(SEPARATORS)).delimiter
     except csv.Error:
@@ -33,13 +33,15 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
         return best if header.count(best) else ","
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str | None = None, strict: bool = False) -> DataFrame:
-    """Delimited text with a header: null tokens cleared, types found on the first rows, ragged lines cut.
+def read_delimited(spark: SparkSession, path: str, sep: str | None = None, strict: bool = False, multiline: bool = False) -> DataFrame:
+    """Delimited text with a header: null tokens cleared, types that fit every value of the whole file, ragged lines cut.
 
-    Values that do not fit the found type become null. `strict` fails on malformed lines instead.
+    `strict` fails on malformed lines instead. `multiline` allows line breaks inside quotes; such a file is read by one
+    task, so it is asked for. No value is lost to a type: one misfit keeps a column's texts.
     """
     raw = (
         spark.read.option("header", True)
+        .option("multiLine", multiline)
         .option("sep", sep or sniff_separator(spark, path))
         .option("mode", "FAILFAST" if strict else "PERMISSIVE")
         .option("quote", '"')
@@ -47,26 +49,24 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, stric
         .csv(path)
     )
     cleared = raw.select([F.when(~F.trim(F.col(f"`{c}`")).isin(*NULL_TOKENS), F.col(f"`{c}`")).alias(c) for c in raw.columns])
-    return cast_by_content(cleared, INFER_ROWS)
+    return cast_by_content(cleared)
 
 
-def cast_by_content(df: DataFrame, rows: int) -> DataFrame:
-    """Give each text column the narrowest type that all its values in the first `rows` rows take."""
+def cast_by_content(df: DataFrame) -> DataFrame:
+    """Give each text column the narrowest type that all its values take; one aggregate over the table decides."""
     tried = ["bigint", "double", "date", "timestamp_ntz"]
-    sample = df.limit(rows)
     checks = []
     for c in df.columns:
         v = F.col(f"`{c}`")
         checks.append(F.count(v).alias(f"{c}|n"))
         checks += [F.count(v.try_cast(t)).alias(f"{c}|{t}") for t in tried]
-    counts = sample.agg(*checks).first().asDict()
-
-    # A text with a clock time also casts to a date; such columns keep the time.
-    timed = sample.agg(*[F.bool_or(F.col(f"`{c}`").rlike("[0-9]:[0-9]")).alias(c) for c in df.columns]).first()
+        # A text with a clock time also casts to a date; such columns keep the time.
+        checks.append(F.bool_or(v.rlike("[0-9]:[0-9]")).alias(f"{c}|timed"))
+    counts = df.agg(*checks).first().asDict() if checks else {}
 
     def typed(c: str) -> Column:
         v, n = F.col(f"`{c}`"), counts[f"{c}|n"]
-        fits = [t for t in tried if n and counts[f"{c}|{t}"] == n and not (t == "date" and timed[c])]
+        fits = [t for t in tried if n and counts[f"{c}|{t}"] == n and not (t == "date" and counts[f"{c}|timed"])]
         return (v.try_cast(fits[0]) if fits else v).alias(c)
 
     return df.select([typed(c) for c in df.columns])

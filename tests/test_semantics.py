@@ -157,13 +157,13 @@ def test_expired_keys(spark):
 # ---- text ---------------------------------------------------------------------------------------
 
 
-def test_currency_text():
-    assert X.convert_currency("Budget is Rs 50,000 today") == "Budget is $600.00 USD today"
-    for text in ("Rs 50,000", "₹1,200", "INR 250000", "900 euros"):
-        out = X.convert_currency(text)
+def test_currency_text(spark):
+    texts = ["Budget is Rs 50,000 today", "Rs. 50,000", "₹1,200", "INR 250000", "900 euros", "$45k and 60 dollars", "", None, "US$5 USD, 3 apples"]
+    got = [r[0] for r in col(spark, texts, "string").select(X.fx_to_usd(F.col("v"))).collect()]
+    assert got[0] == "Budget is $600.00 USD today" and got[1] == "$600.00 USD"
+    for out in got[1:5]:
         assert "USD" in out and "Rs" not in out and "₹" not in out and "INR" not in out
-    assert X.convert_currency("$45k and 60 dollars") == "$45k USD and $60.00 USD"
-    assert X.convert_currency("") == "" and X.convert_currency(None) is None
+    assert got[5:] == ["$45k USD and $60.00 USD", "", None, "$5.00 USD, 3 apples"]
 
 
 def test_guardrail(spark):
@@ -253,15 +253,19 @@ def test_chains_with_a_loop(spark):
 # ---- series -----------------------------------------------------------------------------------------
 
 
-def test_trend_needs_six_months(spark):
+def test_trend_needs_as_many_months_as_asked(spark):
     rows = [(dt.datetime(2024, m, d), float(m)) for m in range(1, 6) for d in (1, 2)]
     df = spark.createDataFrame(rows, "t timestamp_ntz, y double")
-    assert A.monthly_trend(df, "t", "y").isEmpty()
+    assert A.monthly_trend(df, "t", "y").count() == 5
+    assert A.monthly_trend(df, "t", "y", keep=3).count() == 3
+    assert A.monthly_trend(df, "t", "y", min_points=6).isEmpty()
 
 
-def test_short_series_forecast_is_the_mean(spark):
+def test_short_series_forecast(spark):
     s = spark.createDataFrame([(dt.date(2024, m, 1), float(m)) for m in range(1, 8)], "t date, y double")
-    assert {r["y_hat"] for r in A.linear_forecast(s, 5).collect()} == {4.0}
+    assert [round(r["y_hat"], 6) for r in A.linear_forecast(s, 2).orderBy("step").collect()] == [8.0, 9.0]
+    assert {r["y_hat"] for r in A.linear_forecast(s, 5, min_points=8).collect()} == {4.0}
+    assert {r["y_hat"] for r in A.linear_forecast(s.limit(1), 5).collect()} == {1.0}
 
 
 def test_turning_points(spark):
@@ -273,7 +277,7 @@ def test_turning_points(spark):
 def test_monotone_series_is_called_out(spark):
     rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(days=7 * i), 100.0 + 10 * i) for i in range(12)]
     df = spark.createDataFrame(rows, "event_date timestamp_ntz, revenue double")
-    assert "monotonic" in E.realism_checks(df, "event_date").first()["failure"]
+    assert "monotonic" in E.realism_checks(df, "event_date", "week").first()["failure"]
 
 
 def test_dashboard_events(spark):
@@ -297,7 +301,7 @@ def test_table_report(spark):
 
 def test_unknown_chart_operators_are_refused(spark):
     df = spark.createDataFrame([(1, 2)], "a int, b int")
-    for step in ({"lookup": "x"}, {"calculate": {"op": "eval", "left": 1, "right": 2}, "as": "c"}, {"window": [{"op": "lead", "field": "a", "as": "w"}], "sort": [{"field": "a"}]}):
+    for step in ({"lookup": "x"}, {"calculate": {"op": "eval", "left": 1, "right": 2}, "as": "c"}, {"window": [{"op": "eval", "field": "a", "as": "w"}], "sort": [{"field": "a"}]}):
         with pytest.raises((ValueError, KeyError)):
             A.chart_transform(df, [step])
 
@@ -359,9 +363,11 @@ def test_leaky_columns(spark):
     assert kept == ["group_id"] and dropped == ["row_id", "future_sales", "y"]
 
 
-def test_target_encoding_leaves_small_or_multiclass_tables(spark):
-    df = spark.createDataFrame([(i, "a", str(i % 3)) for i in range(150)], "id int, c string, y string")
-    assert E.oof_target_encode(df, ["c"], "y", ["id"]).columns == df.columns
+def test_target_encoding_of_small_and_multiclass_tables(spark):
+    df = spark.createDataFrame([(i, "a", str(i % 3)) for i in range(30)], "id int, c string, y string")
+    with pytest.raises(ValueError):
+        E.oof_target_encode(df, ["c"], "y", ["id"])
+    assert E.oof_target_encode(df.filter("y <> '2'"), ["c"], "y", ["id"]).columns == [*df.columns, "c_te"]
 
 
 def test_train_falls_through_targets(spark):
