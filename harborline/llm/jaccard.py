@@ -4,9 +4,10 @@ Jaccard distance is a metric, and the join works by regions and pivots. In high
 distance near 1, so regions drawn around pivots alone would each hold nearly all documents. The first regions are
 therefore cells that provably hold both ends of every link: the shingles of a set are dealt to more parts than a linked
 pair can differ in, so two linked sets agree in a whole part, and documents with an equal part share a region. Inside a
-region, distances to pivots decide: members near a pivot are linked to it, the others go to Voronoi regions, with every
-member replicated to all regions it may have a partner in by the triangle inequality, and these regions are joined
-again until all members of each are connected or their pairs have been measured. Equal sets are one node throughout.
+region, distances to pivots decide. What lies near a pivot belongs to its Voronoi region, with a window as wide as the
+triangle inequality asks for, so that partners end up in one coarse group; what no pivot has taken goes on with other
+pivots. A coarse group is then joined exactly: in one task if small, else against pivots first and in blocks for what
+they left outside. Equal sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +27,11 @@ from harborline.session import materialize
 WORDS = 5
 PERCENT = 80
 # Members of a region whose pairs are measured outright.
-SMALL = 24
+SMALL = 16
+# Sets within this distance of a pivot belong to its Voronoi core.
+CORE = 0.4
+# Members of a coarse group that one task joins; larger groups are joined in blocks.
+LOCAL_ROWS, BLOCK_ROWS, ASK_ROWS = 400, 512, 128
 # Sizes of one class differ by this factor at most.
 CLASS_RATIO = 1.5
 
@@ -150,15 +156,107 @@ def _linked(percent: int) -> Column:
     return F.col("common") * 100 >= F.col("total") * percent
 
 
-def _roots(regions: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members with the component they are in so far; only regions of several components, each set of members once."""
-    r = regions.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    about = r.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("node").alias("size"), F.sum(F.xxhash64("node") % (1 << 40)).alias("mark"))
-    keep = about.filter("lo < hi").groupBy("size", "mark", "lo", "hi").agg(F.min("region").alias("region")).select("region", "size")
-    return materialize(r.select("region", "node", "root").join(keep, "region"))
+def _local(percent: int):
+    """Exact links of one region: members are compared with those they are not yet connected to, the most typical first."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        nodes = part["node"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in part["s"]]
+        sizes = np.array([len(s) for s in sets])
+        _, ids, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        begin = np.cumsum(sizes) - sizes
+        typical = np.add.reduceat(often[ids].astype(float), begin) / sizes
+        group = np.arange(len(nodes))
+        a, b = [], []
+        mark = np.zeros(len(often), np.int64)
+        for i in np.argsort(-typical, kind="stable"):
+            if (group == group[i]).all():
+                if (group == group[0]).all():
+                    break
+                continue
+            own = ids[begin[i] : begin[i] + sizes[i]]
+            mark[own] = 1
+            common = np.add.reduceat(mark[ids], begin)
+            mark[own] = 0
+            for j in np.flatnonzero(100 * common >= percent * (sizes + sizes[i] - common)):
+                if group[j] != group[i]:
+                    a.append(nodes[i])
+                    b.append(nodes[j])
+                    group[group == group[j]] = group[i]
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return run
+
+
+def _blocks(percent: int):
+    """Links between the asking rows of a block pair and its other rows; one per asking row and component is enough."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        asks = part["asks"].to_numpy(bool)
+        a, b = [], []
+        if asks.any() and not asks.all():
+            sets = [np.frombuffer(x, np.uint64) for x in part["s"][~asks]]
+            nodes, roots = part["node"].to_numpy()[~asks], part["root"].to_numpy()[~asks]
+            sizes = np.array([len(s) for s in sets])
+            words, ids = np.unique(np.concatenate(sets), return_inverse=True)
+            begin = np.cumsum(sizes) - sizes
+            for node, root, raw in zip(part["node"].to_numpy()[asks], part["root"].to_numpy()[asks], part["s"][asks]):
+                s = np.frombuffer(raw, np.uint64)
+                at = np.searchsorted(words, s)
+                at[at == len(words)] = 0
+                mark = np.zeros(len(words), np.int64)
+                mark[at[words[at] == s]] = 1
+                common = np.add.reduceat(mark[ids], begin)
+                hit = np.flatnonzero((100 * common >= percent * (sizes + len(s) - common)) & (roots != root))
+                for j in hit[np.unique(roots[hit], return_index=True)[1]]:
+                    a.append(node)
+                    b.append(nodes[j])
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return run
 
 
-def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, small: int = SMALL, pivots: int = 4) -> DataFrame:
+def _joined_blocks(asking: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between asking(region, node, root) and all members(region, node, root, size) of their regions, in bounded blocks."""
+    asked = asking.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / ASK_ROWS).cast("int").alias("across"))
+    shape = members.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("down")).join(asked, "region")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    right = members.join(shape, "region").withColumn("i", own("down")).select("region", "i", spread("across").alias("j"), F.lit(False).alias("asks"), "node", "root")
+    left = asking.join(shape, "region").withColumn("j", own("across")).select("region", spread("down").alias("i"), "j", F.lit(True).alias("asks"), "node", "root")
+    return left.unionByName(right).join(sets, "node").groupBy("region", "i", "j").applyInPandas(_blocks(percent), "a long, b long")
+
+
+def _near(regions: DataFrame, sets: DataFrame, percent: int, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """(coarse edges, links): edges join a pivot to what lies near it, so that linked sets end up in one coarse group.
+
+    A set within CORE of a pivot leaves its region: a partner is within CORE + r of that pivot and shares the group.
+    What no pivot has taken goes on with other pivots; the pairs of a region that has become small are measured.
+    """
+    r = 1 - percent / 100
+    edges = links = None
+    open_ = regions
+    while True:
+        # The most shared member stands for the middle of its group.
+        popular = open_.groupBy("node").agg(F.count(F.lit(1)).alias("pop"))
+        about = open_.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node") % (1 << 40)).alias("mark"))
+        once = about.filter("size > 1").groupBy("size", "mark").agg(F.min("region").alias("region"))
+        members = materialize(open_.join(once.select("region", "size"), "region").join(popular, "node"))
+        if members.isEmpty():
+            return edges, links
+        w = Window.partitionBy("region").orderBy(F.desc("pop"), "node")
+        wanted = F.when(F.col("size") <= SMALL, F.lit(1) if edges is None else F.col("size")).otherwise(F.lit(1 if edges is None else pivots))
+        chosen = members.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= wanted).select("region", F.col("node").alias("pivot"))
+        asked = members.select("region", "node").join(chosen, "region")
+        measured = _distances(asked.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sets)
+        close, linked = measured.filter(F.col("distance") <= CORE + r + 1e-9).select("a", "b"), measured.filter(_linked(percent)).select("a", "b")
+        edges, links = (close, linked) if edges is None else (edges.union(close), links.union(linked))
+        held = asked.join(measured, (F.col("node") == F.col("a")) & (F.col("pivot") == F.col("b")), "left")
+        taken = held.filter((F.col("node") == F.col("pivot")) | (F.col("distance") <= CORE)).select("region", "node").distinct()
+        open_ = materialize(members.select("region", "node").join(taken, ["region", "node"], "left_anti"))
+
+
+def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, local_rows: int = LOCAL_ROWS, pivots: int = 16) -> DataFrame:
     """One row per document: `id`, `n_shingles`, `component_id`, the smallest id reachable by links (itself included).
 
     Documents link when their sets of `words`-word shingles (ASCII white space parts words, A-Z folded) have a Jaccard
@@ -171,52 +269,52 @@ def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     signed = materialize(base.mapInArrow(_sign(words, percent), f"id {kind}, tk long, n long, node long, sigs array<long>"))
     spread = signed.filter(F.size("sigs") > 0).select(F.explode("sigs").alias("region"), "node")
     w = Window.partitionBy("region")
-    met = spread.withColumns({"pivot": F.min("node").over(w), "far": F.max("node").over(w)}).filter("pivot < far").select("region", "node", "pivot")
+    met = spread.withColumns({"low": F.min("node").over(w), "far": F.max("node").over(w)}).filter("low < far").select("region", "node")
     regions = materialize(met.distinct())
     # The sets of documents that share a region, one document for each.
     wanted = signed.join(regions.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("tk", "id")).alias("d")).select("d.tk", "d.id")
     texts = base.alias("x").join(wanted.alias("y"), (F.col("x.tk") == F.col("y.tk")) & F.col("x.id").eqNullSafe(F.col("y.id")), "left_semi")
     sets = materialize(texts.mapInArrow(_sets(words), "node long, s binary").dropDuplicates(["node"]))
 
-    measured = _distances(regions.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sets)
-    links = measured.filter(_linked(percent)).select("a", "b")
+    none = docs.sparkSession.createDataFrame([], "a long, b long")
+    edges, links = _near(regions, sets, percent, pivots)
+    links = links if links is not None else none
+    coarse = components(edges) if edges is not None else none.toDF("node", "root")
+    members = coarse.select(F.col("root").alias("region"), "node")
+    sized = members.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
+    members = materialize(members.join(sized, "region"))
+    small, large = members.filter(F.col("size") <= local_rows), members.filter(F.col("size") > local_rows)
+    within = small.select("region", "node").join(sets, "node").groupBy("region").applyInPandas(_local(percent), "a long, b long")
+    links = materialize(links.union(within))
     labels = components(links)
-    open_ = _roots(regions.select("region", "node"), labels)
-    last = None
-    while not open_.isEmpty():
-        near = 1 - percent / 100
-        left = open_.agg(F.max("size")).first()[0]
-        # Where a round of pivots has not parted the regions, pairs of different components are measured.
-        stuck = last is not None and left >= last
-        last = left
-        pairs = _pairs(open_ if stuck else open_.filter(F.col("size") <= small))
-        large = open_.filter(F.lit(False) if stuck else F.col("size") > small)
-        ranked = large.withColumn("k", F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("node", "region"))))
-        chosen = ranked.filter(F.col("k") <= pivots).select("region", F.col("node").alias("pivot"))
-        to_pivot = large.join(chosen, "region").select("region", "node", "root", "pivot")
-        asked = pairs.union(to_pivot.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))).distinct()
-        measured = _distances(asked, sets)
-        links = materialize(links.union(measured.filter(_linked(percent)).select("a", "b")))
-        labels = components(links)
-        # Voronoi regions with windows: a partner lies within `near`, so its nearest pivot is at most 2 * near further.
-        d = to_pivot.join(measured, (F.col("node") == F.col("a")) & (F.col("pivot") == F.col("b")), "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
-        d = d.withColumn("nearest", F.min("distance").over(Window.partitionBy("region", "node"))).filter(F.col("distance") <= F.col("nearest") + 2 * near + 1e-9)
-        # Within a region, rings around its pivot: partners lie in the same or in neighbouring rings.
-        ring = F.floor(F.col("distance") / (near + 1e-9))
-        parted = d.select("node", "region", "pivot", F.explode(F.array(ring, ring + 1)).alias("ring")).select(F.xxhash64("region", "pivot", "ring").alias("region"), "node").distinct()
-        open_ = _roots(parted, labels)
+    if not large.isEmpty():
+        pop = regions.groupBy("node").agg(F.count(F.lit(1)).alias("pop"))
+        last = None
+        while True:
+            # Who is outside its region's main component; pivots from there, until they gain little more.
+            placed = large.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            sizes = placed.groupBy("region", "root").agg(F.count(F.lit(1)).alias("n"))
+            main = sizes.groupBy("region").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+            placed = materialize(placed.join(main, "region").join(pop, "node"))
+            outside = placed.filter("root <> main")
+            n = outside.count()
+            if n == 0:
+                break
+            full = last is not None and n > 0.8 * last
+            last = n
+            top = Window.partitionBy("region").orderBy(F.desc("pop"), "node")
+            asking = outside if full else outside.withColumn("k", F.row_number().over(top)).filter(F.col("k") <= pivots).drop("k")
+            found = _joined_blocks(asking.select("region", "node", "root"), placed.select("region", "node", "root"), sets, percent)
+            links = materialize(links.union(found))
+            labels = components(links)
+            if full:
+                break
     member = signed.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = materialize(member.filter("n > 0").groupBy("root").agg(F.min("id").alias("component_id")))
     own = F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
     return member.join(named, "root", "left").select("id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-def _pairs(members: DataFrame) -> DataFrame:
-    """Pairs of a region's members that are in different components."""
-    x, y = members.alias("x"), members.alias("y")
-    return x.join(y, (F.col("x.region") == F.col("y.region")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents without near-duplicates: of each component the row with its smallest id stays, with all columns.
 

@@ -201,7 +201,7 @@ def test_jaccard_join(docs, rows, nothing, k, percent):
 
 
 def test_jaccard_regions_recurse(docs, rows):
-    got = join_sets(docs, words=3, percent=90, small=2, pivots=2)
+    got = join_sets(docs, words=3, percent=90, local_rows=3, pivots=2)
     assert bag(got.collect()) == bag(brute.jaccard_groups(rows, 3, 90))
 
 
