@@ -324,6 +324,29 @@ def a33b(spark, d):
     return out.select(F.round("bin_start", 6).alias("bin_start"), "n")
 
 
+@query("A33_chart_hour", "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
+def a33h(spark, d):
+    return A.chart_transform(table(spark, d, "events"), [{"timeUnit": "hour", "field": "ts", "as": "hour"}, {"aggregate": [{"op": "count", "as": "n"}], "groupby": ["hour"]}])
+
+
+@query(
+    "A33_chart_windows",
+    """SELECT o_orderkey, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, lag(o_totalprice) OVER k AS before, lead(o_totalprice, 2) OVER k AS after, round(avg(o_totalprice) OVER f, 2) AS mean,
+         min(o_totalprice) OVER f AS low, max(o_totalprice) OVER f AS high, first_value(o_totalprice) OVER f AS first, last_value(o_totalprice) OVER f AS last FROM orders
+       WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderstatus), k AS (PARTITION BY o_custkey ORDER BY o_orderkey), f AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)""",
+)
+def a33w(spark, d):
+    price = "o_totalprice"
+    by_key = [("lag", "before", 1), ("lead", "after", 2), ("mean", "mean", None), ("min", "low", None), ("max", "high", None), ("first_value", "first", None), ("last_value", "last", None)]
+    ops = [{"op": op, "field": price, "as": name, **({"param": n} if n else {})} for op, name, n in by_key]
+    steps = [
+        {"window": [{"op": "rank", "as": "rank"}, {"op": "dense_rank", "as": "dense_rank"}], "sort": [{"field": "o_orderstatus"}], "groupby": ["o_custkey"]},
+        {"window": ops, "sort": [{"field": "o_orderkey"}], "groupby": ["o_custkey"]},
+    ]
+    out = A.chart_transform(table(spark, d, "orders"), steps)
+    return out.select("o_orderkey", F.col("rank").cast("long").alias("rank"), F.col("dense_rank").cast("long").alias("dense_rank"), "before", "after", F.round("mean", 2).alias("mean"), "low", "high", "first", "last")
+
+
 @query(
     "A34_conversation_summary",
     """SELECT conv_id, CAST(count(*) FILTER (role = 'assistant') AS BIGINT) AS total_questions, CAST(count(*) FILTER (role = 'user') AS BIGINT) AS answered,

@@ -187,6 +187,22 @@ def a13_dashboard(spark, d):
     return k.select([F.round(c, 6).alias(c) for c in k.columns])
 
 
+@query(
+    "F25_pick_of_a_sample",
+    """SELECT 'no id' AS pick, 'order_price' AS column_name, CAST(count(DISTINCT o_totalprice) > 20 AS BOOLEAN) AS many FROM orders UNION ALL SELECT 'tie by name', 'avalue', count(DISTINCT o_totalprice) > 20 FROM orders""",
+)
+def f25s(spark, d):
+    """An identifier is never the metric; of metrics alike in all else the first by name is taken."""
+    from harborline.operators import targets as G
+
+    o = table(spark, d, "orders")
+    ids = A.column_stats(o.select(F.col("o_custkey").alias("customer_id"), F.col("o_totalprice").alias("order_price")))
+    alike = A.column_stats(o.select(F.col("o_totalprice").alias("zvalue"), F.col("o_totalprice").alias("avalue")))
+    many = F.lit(o.select("o_totalprice").distinct().count() > 20)
+    tagged = lambda df, name: df.select(F.lit(name).alias("pick"), "column_name", many.alias("many"))
+    return tagged(G.pick_metric(ids, ["price"], "sample"), "no id").unionByName(tagged(G.fallback_target(alike), "tie by name"))
+
+
 @query(
     "F25_target_picks",
     """WITH s AS (SELECT count(DISTINCT l_quantity) AS q, count(DISTINCT l_discount) AS d, count(DISTINCT l_extendedprice) AS p FROM lineitem)

@@ -29,6 +29,27 @@ def s1(spark, d):
     return R.read_delimited(spark, path)
 
 
+@query("S1_late_text", "SELECT o_orderkey, CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders) THEN 'x' || o_custkey ELSE CAST(o_custkey AS VARCHAR) END AS code, o_totalprice FROM orders")
+def s1_late(spark, d):
+    """One text at the very end of a column of numbers keeps the column text, with no value lost."""
+    o = table(spark, d, "orders")
+    last = o.agg(F.max("o_orderkey")).first()[0]
+    path = scratch_path(spark, "late")
+    code = F.concat(F.when(F.col("o_orderkey") == last, "x").otherwise(""), F.col("o_custkey").cast("string"))
+    o.orderBy("o_orderkey").coalesce(1).select("o_orderkey", code.alias("code"), "o_totalprice").write.option("header", True).csv(path)
+    return R.read_delimited(spark, path)
+
+
+@query("S1_quoted_breaks", "SELECT c_custkey, c_name || chr(10) || c_custkey || ',' || '\"q\"' AS note FROM customer")
+def s1_breaks(spark, d):
+    """Line breaks, separators and quotes inside quoted cells."""
+    c = table(spark, d, "customer")
+    path = scratch_path(spark, "breaks")
+    note = F.concat(F.col("c_name"), F.lit("\n"), F.col("c_custkey").cast("string"), F.lit(',"q"'))
+    c.select("c_custkey", note.alias("note")).write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    return R.read_delimited(spark, path, sep=",", multiline=True)
+
+
 @query("S2_read_parquet", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def s2(spark, d):
     path = scratch_path(spark, "nation.parquet.zstd")

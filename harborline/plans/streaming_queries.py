@@ -41,6 +41,12 @@ def x2(spark, d):
     return X.sessions(table(spark, d, "events"), "user_id", "ts", "event_id")
 
 
+@query("X2_sessions_in_blocks", _SESSION)
+def x2b(spark, d):
+    """As if no user's accesses fitted one task: sessions by linked starts, in blocks."""
+    return X.sessions(table(spark, d, "events"), "user_id", "ts", "event_id", group_rows=40)
+
+
 @query("X2_session_stream", _SESSION)
 def x2s(spark, d):
     table(spark, d, "events")

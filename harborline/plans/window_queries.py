@@ -15,23 +15,38 @@ def _events(spark, d):
     return table(spark, d, "events").select("event_id", "user_id", "ts", "value")
 
 
-@query(
-    "W1_lag_features",
-    """SELECT event_id, lag(value, 1) OVER w AS value_lag_1, lag(value, 7) OVER w AS value_lag_7, lag(value, 30) OVER w AS value_lag_30 FROM events
-       WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
-)
+_LAGS = """SELECT event_id, lag(value, 1) OVER w AS value_lag_1, lag(value, 7) OVER w AS value_lag_7, lag(value, 30) OVER w AS value_lag_30 FROM events
+       WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"""
+# So small that every user spans several blocks: the path of groups too large for one task.
+_BLOCK_ROWS = 40
+
+
+@query("W1_lag_features", _LAGS)
 def w1(spark, d):
     return W.lag_features(_events(spark, d), "value", ["ts", "event_id"], ["user_id"]).drop("user_id", "ts", "value")
 
 
-@query(
-    "W2_rolling_features",
-    """SELECT event_id, CASE WHEN count(value) OVER w7 = 7 THEN round(avg(value) OVER w7, 6) END AS value_rolling_mean_7, CASE WHEN count(value) OVER w7 = 7 THEN round(stddev_samp(value) OVER w7, 6) END AS value_rolling_std_7,
+@query("W1_lag_features_in_blocks", _LAGS)
+def w1b(spark, d):
+    return W.lag_features(_events(spark, d), "value", ["ts", "event_id"], ["user_id"], group_rows=_BLOCK_ROWS).drop("user_id", "ts", "value")
+
+
+_ROLLING = """SELECT event_id, CASE WHEN count(value) OVER w7 = 7 THEN round(avg(value) OVER w7, 6) END AS value_rolling_mean_7, CASE WHEN count(value) OVER w7 = 7 THEN round(stddev_samp(value) OVER w7, 6) END AS value_rolling_std_7,
          CASE WHEN count(value) OVER w30 = 30 THEN round(avg(value) OVER w30, 6) END AS value_rolling_mean_30, CASE WHEN count(value) OVER w30 = 30 THEN round(stddev_samp(value) OVER w30, 6) END AS value_rolling_std_30 FROM events
-       WINDOW w7 AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), w30 AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""",
-)
+       WINDOW w7 AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), w30 AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)"""
+
+
+@query("W2_rolling_features", _ROLLING)
 def w2(spark, d):
-    r = W.rolling_features(_events(spark, d), "value", ["ts", "event_id"], ["user_id"])
+    return _rolled(W.rolling_features(_events(spark, d), "value", ["ts", "event_id"], ["user_id"]))
+
+
+@query("W2_rolling_features_in_blocks", _ROLLING)
+def w2b(spark, d):
+    return _rolled(W.rolling_features(_events(spark, d), "value", ["ts", "event_id"], ["user_id"], group_rows=_BLOCK_ROWS))
+
+
+def _rolled(r):
     return r.select("event_id", *[F.round(c, 6).alias(c) for c in r.columns if "rolling" in c])
 
 
@@ -57,16 +72,25 @@ def w6(spark, d):
     return W.chunk_counts(_events(spark, d), ["ts", "event_id"], points=24)
 
 
-@query(
-    "W8_turning_points",
-    """WITH m AS (SELECT date_trunc('month', o_orderdate) AS t, round(sum(o_totalprice), 2) / count(*) AS y FROM orders GROUP BY 1), s AS (SELECT t, y, y - lag(y) OVER (ORDER BY t) AS d FROM m),
+_TURNS = """WITH m AS (SELECT date_trunc('month', o_orderdate) AS t, round(sum(o_totalprice), 2) / count(*) AS y FROM orders GROUP BY 1), s AS (SELECT t, y, y - lag(y) OVER (ORDER BY t) AS d FROM m),
        z AS (SELECT t, sign(round(d, 6)) AS g FROM s WHERE round(d, 6) <> 0), p AS (SELECT g, lag(g) OVER (ORDER BY t) AS pg FROM z)
        SELECT CAST((SELECT count(*) FILTER (g <> pg) FROM p) AS BIGINT) AS turning_points, CAST(count(*) AS BIGINT) AS n, coalesce(bool_and(d >= 0), true) OR coalesce(bool_and(d <= 0), true) AS monotone,
-         count(DISTINCT round(d, 6)) / greatest(count(d), 1) AS unique_diff_ratio FROM s""",
-)
+         count(DISTINCT round(d, 6)) / greatest(count(d), 1) AS unique_diff_ratio FROM s"""
+
+
+@query("W8_turning_points", _TURNS)
 def w8(spark, d):
+    return _turns(spark, d)
+
+
+@query("W8_turning_points_in_blocks", _TURNS)
+def w8b(spark, d):
+    return _turns(spark, d, group_rows=10)
+
+
+def _turns(spark, d, **bound):
     m = table(spark, d, "orders").groupBy(F.date_trunc("month", "o_orderdate").alias("t")).agg((F.round(F.sum("o_totalprice"), 2) / F.count(F.lit(1))).alias("y"))
-    return W.turning_points(m, "y", ["t"]).select("turning_points", "n", "monotone", "unique_diff_ratio")
+    return W.turning_points(m, "y", ["t"], **bound).select("turning_points", "n", "monotone", "unique_diff_ratio")
 
 
 @query(
