@@ -331,7 +331,7 @@ def a33h(spark, d):
 
 @query(
     "A33_chart_windows",
-    """SELECT o_orderkey, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, lag(o_totalprice) OVER k AS before, lead(o_totalprice, 2) OVER k AS after, round(avg(o_totalprice) OVER f, 2) AS mean,
+    """SELECT o_orderkey, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, lag(o_totalprice) OVER k AS before, lead(o_totalprice, 2) OVER k AS after, round(avg(o_totalprice) OVER f + 0.0001, 2) AS mean,
          min(o_totalprice) OVER f AS low, max(o_totalprice) OVER f AS high, first_value(o_totalprice) OVER f AS first, last_value(o_totalprice) OVER f AS last FROM orders
        WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderstatus), k AS (PARTITION BY o_custkey ORDER BY o_orderkey), f AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)""",
 )
@@ -344,7 +344,7 @@ def a33w(spark, d):
         {"window": ops, "sort": [{"field": "o_orderkey"}], "groupby": ["o_custkey"]},
     ]
     out = A.chart_transform(table(spark, d, "orders"), steps)
-    return out.select("o_orderkey", F.col("rank").cast("long").alias("rank"), F.col("dense_rank").cast("long").alias("dense_rank"), "before", "after", F.round("mean", 2).alias("mean"), "low", "high", "first", "last")
+    return out.select("o_orderkey", F.col("rank").cast("long").alias("rank"), F.col("dense_rank").cast("long").alias("dense_rank"), "before", "after", F.round(F.col("mean") + 0.0001, 2).alias("mean"), "low", "high", "first", "last")
 
 
 @query(

@@ -166,44 +166,57 @@ def _linked_sessions(events: DataFrame, key: str, ident: str, ttl: int, cooldown
     return events.join(stated, [key, "_us"]).select(key, ident, "state", "session_start", "until")
 
 
-def _stateful(df: DataFrame, key: str, ident: str, ts: str, make: Callable[..., object], rule: type) -> DataFrame:
+def _stateful(df: DataFrame, key: str, ident: str, ts: str, make: Callable[..., object], rule: type, horizon_seconds: int, delay: str) -> DataFrame:
     """The same rule over a stream: one state per key, events of a trigger in (ts, ident) order.
 
+    A key's state goes once the watermark (`delay` behind the newest event) is `horizon_seconds` past its last event,
+    when it can't matter any more. Rows behind the watermark belong to split_late, before this.
+
     A key's events of one trigger are put in order together; the source's files per trigger bound them.
     """
     names = [c.split()[0] for c in rule.columns.split(", ")]
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = make(**rule.load(state.get)) if state.exists else make()
         rows = sorted((int(t), i) for pdf in batches for t, i in zip(pdf["_us"], pdf[ident]))
         out = [(k[0], i, *held.see(t)) for t, i in rows]
         state.update(held.dump())
+        last = max(t for t, _ in rows) // 1000 + horizon_seconds * 1000
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, ident, *names])
 
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = f"`{key}` {types[key]}, `{ident}` {types[ident]}, {rule.columns}"
     return (
-        df.select(key, ident, _micros(ts).alias("_us"))
+        df.select(key, ident, F.col(ts).cast("timestamp").alias("_ts"), _micros(ts).alias("_us"))
+        .withWatermark("_ts", delay)
         .groupBy(key)
-        .applyInPandasWithState(step, schema, rule.state, "append", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(step, schema, rule.state, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
-def rate_stream(df: DataFrame, key: str, ts: str, ident: str, limit: int, window_seconds: int) -> DataFrame:
-    return _stateful(df, key, ident, ts, lambda **kw: RateRule(limit, window_seconds, **kw), RateRule)
+def rate_stream(df: DataFrame, key: str, ts: str, ident: str, limit: int, window_seconds: int, delay: str = "10 minutes") -> DataFrame:
+    return _stateful(df, key, ident, ts, lambda **kw: RateRule(limit, window_seconds, **kw), RateRule, window_seconds, delay)
 
 
-def session_stream(df: DataFrame, key: str, ts: str, ident: str, ttl_seconds: int = 3600, cooldown_seconds: int = 86400) -> DataFrame:
-    return _stateful(df, key, ident, ts, lambda **kw: SessionRule(ttl_seconds, cooldown_seconds, **kw), SessionRule)
+def session_stream(df: DataFrame, key: str, ts: str, ident: str, ttl_seconds: int = 3600, cooldown_seconds: int = 86400, delay: str = "10 minutes") -> DataFrame:
+    # A lock that the next access would set ends a cooldown after that access, so a silent key is as good as new.
+    return _stateful(df, key, ident, ts, lambda **kw: SessionRule(ttl_seconds, cooldown_seconds, **kw), SessionRule, ttl_seconds + cooldown_seconds, delay)
 
 
 def hourly_epoch_counts(df: DataFrame, ts: str, hours: int = 1) -> DataFrame:
-    """(epoch, n): events per hour-wide epoch. Works on tables and, in update or complete mode, on streams."""
+    """(epoch, n): events per hour-wide epoch of a table. A stream takes windowed_counts, whose state is bounded."""
     return df.groupBy(S.hour_epoch(F.col(ts), hours).alias("epoch")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def windowed_counts(df: DataFrame, ts: str, delay: str = "10 minutes") -> DataFrame:
-    """Hourly tumbling windows behind a watermark; state of closed hours is dropped."""
+    """Hourly tumbling windows behind a watermark, for append mode: a closed hour is written once and its state dropped.
+
+    Feed it the on-time side of split_late, so that no row is lost behind the watermark.
+    """
     return df.withWatermark(ts, delay).groupBy(F.window(ts, "1 hour")).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "n")
 
 
