@@ -187,6 +187,24 @@ def roc_auc(df: DataFrame, y: str, score: str) -> float | None:
     return row["w"] / (row["p"] * row["n"]) if row["p"] and row["n"] else None
 
 
+def roc_points(df: DataFrame, y: str, score: str) -> DataFrame:
+    """(score, fpr, tpr): rates when that score and all above count as positive, one row per distinct score."""
+    by_score = df.filter(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(
+        F.sum((F.col(y) == 1).cast("long")).alias("_p"), F.sum((F.col(y) != 1).cast("long")).alias("_n")
+    )
+    totals = by_score.agg(F.sum("_p"), F.sum("_n")).first()
+    ranked = running_sum(by_score.withColumn("_order", -F.col("score")), [], ["_order"], {"_tp": F.col("_p"), "_fp": F.col("_n")})
+    rate = lambda c, total: F.try_divide(F.col(c).cast("double"), F.lit(float(total or 0)))
+    return ranked.select("score", rate("_fp", totals[1]).alias("fpr"), rate("_tp", totals[0]).alias("tpr"))
+
+
+def confusion_table(df: DataFrame, y: str, y_hat: str) -> DataFrame:
+    """(truth, predicted, n, share): counts per pair of classes, and their share of the true class."""
+    pairs = df.filter(F.col(y).isNotNull() & F.col(y_hat).isNotNull()).groupBy(F.col(y).alias("truth"), F.col(y_hat).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+    # A class has as many rows as there are classes.
+    return pairs.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("truth")))
+
+
 def regression_report(df: DataFrame, y: str, y_hat: str) -> DataFrame:
     """r2, and rmse and mae over the target's range (the normaliser chosen here), and residual extremes."""
     t, e = F.col(y).cast("double"), F.col(y).cast("double") - F.col(y_hat).cast("double")
@@ -202,24 +220,44 @@ def regression_report(df: DataFrame, y: str, y_hat: str) -> DataFrame:
     )
 
 
-# Gate levels per task, metric and tier, the deciding metric, and metrics where less is better.
-THRESHOLDS = [
-    ("classification", "accuracy", 0.90, 0.92, 0.95),
-    ("classification", "f1_score", 0.90, 0.91, 0.94),
-    ("classification", "mcc", 0.75, 0.78, 0.86),
-    ("classification", "roc_auc", 0.90, 0.93, 0.97),
-    ("regression", "r2", 0.90, 0.92, 0.95),
-    ("regression", "rmse_normalized", 0.12, 0.10, 0.07),
-    ("regression", "mae_normalized", 0.10, 0.08, 0.05),
+# Gate levels (minimum, good, excellent) per industry, task and metric.
+_EASIER = [
+    ("classification", "accuracy", 0.85, 0.90, 0.94), ("classification", "f1_score", 0.85, 0.90, 0.94), ("classification", "mcc", 0.65, 0.75, 0.84),
+    ("classification", "roc_auc", 0.85, 0.90, 0.95), ("regression", "r2", 0.85, 0.90, 0.94), ("regression", "rmse_normalized", 0.16, 0.12, 0.08),
+    ("regression", "mae_normalized", 0.13, 0.10, 0.06),
 ]
+THRESHOLDS = {
+    "ecommerce": [
+        ("classification", "accuracy", 0.90, 0.92, 0.95), ("classification", "f1_score", 0.90, 0.91, 0.94), ("classification", "mcc", 0.75, 0.78, 0.86),
+        ("classification", "roc_auc", 0.90, 0.93, 0.97), ("regression", "r2", 0.90, 0.92, 0.95), ("regression", "rmse_normalized", 0.12, 0.10, 0.07),
+        ("regression", "mae_normalized", 0.10, 0.08, 0.05),
+    ],
+    "aviation": [
+        ("classification", "accuracy", 0.90, 0.90, 0.95), ("classification", "f1_score", 0.90, 0.88, 0.93), ("classification", "mcc", 0.75, 0.75, 0.85),
+        ("classification", "roc_auc", 0.90, 0.92, 0.97), ("regression", "r2", 0.90, 0.85, 0.92), ("regression", "rmse_normalized", 0.12, 0.12, 0.08),
+        ("regression", "mae_normalized", 0.10, 0.10, 0.06),
+    ],
+    "shipping_freight": _EASIER,
+    "trucking_delivery": _EASIER,
+}
+# Limits of an industry's own metrics, by domain.
+_ROADS = {"eta": {"mape": 0.12}, "safety": {"incident_recall_min": 0.88}, "cold_chain": {"excursion_recall_min": 0.90}}
+DOMAIN_THRESHOLDS = {
+    "ecommerce": {"conversion": {"uplift_min": 0.05}, "inventory": {"stockout_precision_min": 0.90}, "fraud": {"fraud_recall_min": 0.90}},
+    "aviation": {"predictive_maintenance": {"rul_accuracy": 0.95, "rul_rmse_cycles": 15.0}, "sentiment": {"f1_multiclass": 0.85}, "demand_forecasting": {"mape": 0.10}},
+    "shipping_freight": _ROADS,
+    "trucking_delivery": _ROADS,
+}
+# The deciding metric, and metrics where less is better.
 TIERS = ["minimum", "good", "excellent"]
 PRIMARY_METRIC = {"classification": "f1_score"}
 LOWER_IS_BETTER = ["rmse_normalized", "mae_normalized", "mape", "rmse", "mae", "rul_rmse_cycles"]
 
 
-def thresholds(df: DataFrame, tier: str) -> DataFrame:
+def thresholds(df: DataFrame, tier: str, industry: str = "ecommerce") -> DataFrame:
+    """(task_type, metric, threshold, is_primary) of an industry's tier."""
     i = TIERS.index(tier)
-    rows = [(task, metric, levels[i], PRIMARY_METRIC.get(task) == metric) for task, metric, *levels in THRESHOLDS]
+    rows = [(task, metric, levels[i], PRIMARY_METRIC.get(task) == metric) for task, metric, *levels in THRESHOLDS[industry]]
     return df.sparkSession.createDataFrame(rows, "task_type string, metric string, threshold double, is_primary boolean")
 
 
@@ -230,6 +268,15 @@ def benchmark_gate(metrics: DataFrame, limits: DataFrame, model: str = "model")
     return held.withColumn("passed", passed).select(model, "task_type", "metric", "value", "threshold", "is_primary", "passed")
 
 
+def domain_gate(metrics: DataFrame, industry: str, model: str = "model") -> DataFrame:
+    """metrics(model, domain, metric, value) against the industry's domain limits; other metrics are passed over."""
+    rows = [(domain, metric, float(limit)) for domain, limits in DOMAIN_THRESHOLDS[industry].items() for metric, limit in limits.items()]
+    limits = metrics.sparkSession.createDataFrame(rows, "domain string, metric string, threshold double")
+    held = metrics.filter(F.col("value").isNotNull()).join(limits, ["domain", "metric"])
+    passed = F.when(F.col("metric").isin(*LOWER_IS_BETTER), F.col("value") <= F.col("threshold")).otherwise(F.col("value") >= F.col("threshold"))
+    return held.withColumn("passed", passed).select(model, "domain", "metric", "value", "threshold", "passed")
+
+
 def gate_verdict(gate: DataFrame, model: str = "model") -> DataFrame:
     """The primary metric decides; where none is, all must pass."""
     return gate.groupBy(model, "task_type").agg(

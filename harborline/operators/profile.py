@@ -269,8 +269,12 @@ def score_targets(stats: DataFrame) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "ordinal")))
 
 
-def select_target(df: DataFrame) -> DataFrame:
-    return score_targets(column_stats(df)).filter(F.col("rank") == 1)
+def select_target(df: DataFrame, candidates: Sequence[str] | None = None) -> DataFrame:
+    """The best scored column, of the candidates if any are named."""
+    stats = column_stats(df)
+    if candidates:
+        stats = stats.filter(F.col("column_name").isin(*candidates))
+    return score_targets(stats).filter(F.col("rank") == 1)
 
 
 DATETIME_NAME_PARTS = ["date", "time", "timestamp", "ts", "datetime"]

@@ -129,6 +129,11 @@ def a18w(spark, d):
 _CLS = "c AS (SELECT quality AS y, CASE WHEN n_chars > 500 THEN 1 ELSE 0 END AS p, CAST(n_chars AS DOUBLE) AS s FROM labels JOIN documents USING (doc_id))"
 
 
+def _classes(spark, d):
+    docs = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    return docs.select(F.col("quality").alias("y"), (F.col("n_chars") > 500).cast("int").alias("p"), F.col("n_chars").cast("double").alias("s"))
+
+
 @query(
     "A19_classification_report",
     f"""WITH {_CLS}, k AS (SELECT u.v, count(*) FILTER (y = u.v) AS t, count(*) FILTER (p = u.v) AS q, count(*) FILTER (y = u.v AND p = u.v) AS h FROM c, (SELECT DISTINCT y AS v FROM c UNION SELECT DISTINCT p FROM c) u GROUP BY 1),
@@ -137,9 +142,7 @@ _CLS = "c AS (SELECT quality AS y, CASE WHEN n_chars > 500 THEN 1 ELSE 0 END AS
         SELECT round(h / n, 6) AS accuracy, round(f1, 6) AS f1_score, round((h * n - tp) / sqrt((n * n - pp) * (n * n - tt)), 6) AS mcc, round(auc, 6) AS roc_auc FROM a, u""",
 )
 def a19(spark, d):
-    docs = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    df = docs.select(F.col("quality").alias("y"), (F.col("n_chars") > 500).cast("int").alias("p"), F.col("n_chars").cast("double").alias("s"))
-    r = A.classification_report(df, "y", "p", "s")
+    r = A.classification_report(_classes(spark, d), "y", "p", "s")
     return r.select([F.round(c, 6).alias(c) for c in r.columns])
 
 
@@ -171,6 +174,42 @@ def a21(spark, d):
     return gate.join(verdict, ["model", "task_type"]).select("model", "task_type", "metric", F.round("value", 6).alias("value"), "threshold", "passed", "verdict")
 
 
+@query(
+    "A21_domain_gate",
+    f"""WITH {_REG}, v AS (SELECT avg(abs(y - p) / y) AS mape FROM c) SELECT 'price_by_quantity' AS model, 'eta' AS domain, 'mape' AS metric, round(mape, 6) AS value, 0.12::DOUBLE AS threshold, mape <= 0.12 AS passed FROM v""",
+)
+def a21d(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 2100.0).alias("p"))
+    value = li.agg(F.avg(F.abs(F.col("y") - F.col("p")) / F.col("y")).alias("value"))
+    metrics = value.select(F.lit("price_by_quantity").alias("model"), F.lit("eta").alias("domain"), F.lit("mape").alias("metric"), "value")
+    return A.domain_gate(metrics, "shipping_freight").withColumn("value", F.round("value", 6))
+
+
+@query(
+    "A21_gate_of_an_industry",
+    f"""WITH {_REG}, {_REG_METRICS} SELECT 'r2' AS metric, 0.90::DOUBLE AS threshold, r2 >= 0.90 AS passed FROM m UNION ALL SELECT 'rmse_normalized', 0.12, rmse_normalized <= 0.12 FROM m UNION ALL SELECT 'mae_normalized', 0.10, mae_normalized <= 0.10 FROM m""",
+)
+def a21i(spark, d):
+    wide = _regression(spark, d).withColumn("model", F.lit("m")).withColumn("task_type", F.lit("regression"))
+    metrics = wide.unpivot(["model", "task_type"], ["r2", "rmse_normalized", "mae_normalized"], "metric", "value")
+    return A.benchmark_gate(metrics, A.thresholds(metrics, "good", "shipping_freight")).select("metric", "threshold", "passed")
+
+
+@query(
+    "A19_roc_points",
+    f"""WITH {_CLS}, s AS (SELECT s, count(*) FILTER (y = 1) AS p, count(*) FILTER (y <> 1) AS n FROM c GROUP BY s)
+        SELECT s AS score, round(sum(n) OVER w / sum(n) OVER (), 8) AS fpr, round(sum(p) OVER w / sum(p) OVER (), 8) AS tpr FROM s WINDOW w AS (ORDER BY s DESC)""",
+)
+def a19r(spark, d):
+    r = A.roc_points(_classes(spark, d), "y", "s")
+    return r.select("score", F.round("fpr", 8).alias("fpr"), F.round("tpr", 8).alias("tpr"))
+
+
+@query("A19_confusion_table", f"WITH {_CLS} SELECT y AS truth, p AS predicted, CAST(count(*) AS BIGINT) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY y), 8) AS share FROM c GROUP BY 1, 2")
+def a19c(spark, d):
+    return A.confusion_table(_classes(spark, d), "y", "p").withColumn("share", F.round("share", 8))
+
+
 _RES = "r AS (SELECT n_name AS category, s_suppkey AS dataset_id, s_acctbal > 0 AS trained, s_acctbal > 3000 AS passed FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from harborline.functions import scalars as S
 from harborline.operators import features as E
+from harborline.operators.specs import apply_feature_spec, dataset_job
 from harborline.plans.registry import query, table
 
 _KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -143,6 +144,40 @@ def e14(spark, d):
     return report
 
 
+@query(
+    "E11_feature_spec",
+    """SELECT s_suppkey, coalesce(s_name, '') || '-' || n_name AS label, CAST(s_suppkey % 2400 // 100 AS INTEGER) AS clock_hour, CAST(s_suppkey % 100 % 60 AS INTEGER) AS minute, round(sin(s_suppkey * 2 * pi() / 24), 8) AS turn_sin,
+         CAST(s_nationkey IN (3, 7) AS INTEGER) AS picked, n_name AS n_n_name, round(2 * 6371.0 * asin(sqrt(pow(sin(radians(s_nationkey - 10.0) / 2), 2) + cos(radians(10.0)) * cos(radians(s_nationkey::DOUBLE)) * pow(sin(radians(s_nationkey - 20.0) / 2), 2))), 4) AS distance_km
+       FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+)
+def e11s(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", ((F.col("s_suppkey") % 2400) - (F.col("s_suppkey") % 100) + F.col("s_suppkey") % 100 % 60).alias("clock"))
+    s = s.withColumns({"a": F.lit(10.0), "b": F.lit(20.0)})
+    steps = [
+        {"type": "lookup_join", "file": "nations", "left_on": "s_nationkey", "right_on": "n_nationkey", "select": ["n_name"], "prefix": "n_"},
+        {"type": "combine_str", "columns": ["s_name", "n_n_name", "absent"], "name": "label", "sep": "-"},
+        {"type": "hhmm_to_hour_minute", "source": "clock", "minute_col": "minute"},
+        {"type": "cyclic", "source": "s_suppkey", "period": 24, "sin_col": "turn_sin"},
+        {"type": "binary_flag", "source": "s_nationkey", "name": "picked", "values": [3, 7]},
+        {"type": "haversine_km", "lat1": "a", "lon1": "b", "lat2": "s_nationkey", "lon2": "s_nationkey"},
+        {"type": "binary_flag", "source": "absent", "name": "never", "values": [1]},
+        {"type": "unheard_of"},
+    ]
+    out = apply_feature_spec(s, steps, {"nations": table(spark, d, "nation")})
+    return out.select("s_suppkey", "label", "clock_hour", "minute", F.round("turn_sin", 8).alias("turn_sin"), "picked", "n_n_name", F.round("distance_km", 4).alias("distance_km"))
+
+
+@query("E14_dataset_job", "SELECT 'l_extendedprice' AS target, m AS metric, 3 AS n_tried FROM (SELECT unnest(['r2', 'rmse_normalized', 'mae_normalized']) AS m) WHERE (SELECT count(*) FROM lineitem) > 0")
+def e14j(spark, d):
+    """The first target is absent, the second weak; the third is trained on numbers and an encoded text, and gated."""
+    li = table(spark, d, "lineitem").withColumn("row_label", F.col("l_linestatus"))
+    gate, log = dataset_job(
+        li, ["l_quantity", "l_discount", "l_tax", "l_returnflag"], [("absent", "regression"), ("row_label", "classification"), ("l_extendedprice", "regression")],
+        ["l_orderkey", "l_linenumber"], trees=5, industry="shipping_freight",
+    )
+    return gate.select("target", "metric", F.lit(len(log)).alias("n_tried"))
+
+
 @query(
     "E16_realism_checks",
     """SELECT CAST(NULL AS VARCHAR) AS failure, 'revenue,order_count,load' AS checked WHERE (SELECT count(*) FROM orders) > 0""",

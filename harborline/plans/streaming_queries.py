@@ -53,6 +53,21 @@ def x2s(spark, d):
     return L.run_to_table(X.session_stream(L.file_feed(spark, d, "events.parquet"), "user_id", "ts", "event_id"), "sessions")
 
 
+_GAPS = """WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
+  s AS (SELECT *, CAST(sum(CASE WHEN before IS NULL OR us - before > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM e)
+  SELECT user_id, event_id, session, min(us) OVER (PARTITION BY user_id, session) AS session_start FROM s"""
+
+
+@query("X2_gap_sessions", _GAPS)
+def x2g(spark, d):
+    return X.gap_sessions(table(spark, d, "events"), "user_id", "ts", "event_id")
+
+
+@query("X2_gap_sessions_in_blocks", _GAPS)
+def x2gb(spark, d):
+    return X.gap_sessions(table(spark, d, "events"), "user_id", "ts", "event_id", group_rows=40)
+
+
 @query("X3_hourly_epoch_counts", "SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS epoch, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
 def x3(spark, d):
     return X.hourly_epoch_counts(table(spark, d, "events"), "ts")

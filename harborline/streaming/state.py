@@ -207,6 +207,18 @@ def session_stream(df: DataFrame, key: str, ts: str, ident: str, ttl_seconds: in
     return _stateful(df, key, ident, ts, lambda **kw: SessionRule(ttl_seconds, cooldown_seconds, **kw), SessionRule, ttl_seconds + cooldown_seconds, delay)
 
 
+def gap_sessions(df: DataFrame, key: str, ts: str, ident: str, gap_seconds: int = 1800, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(key, ident, session, session_start): a session goes on until a pause longer than the gap; numbered from 1 per key."""
+    events = df.select(key, ident, _micros(ts).alias("_us"))
+    order = ["_us", ident]
+    biggest = largest_group(events, [key])
+    seen = over_ordered(events, [key], order, lambda w: {"_before": F.lag("_us").over(w)}, before=1, group_rows=group_rows, biggest=biggest)
+    opens = F.col("_before").isNull() | (F.col("_us") - F.col("_before") > gap_seconds * SECOND)
+    numbered = running_sum(seen.withColumn("_open", opens.cast("long")), [key], order, {"session": F.col("_open")}, group_rows, biggest)
+    started = running_max(numbered, [key], order, {"session_start": F.when(F.col("_open") == 1, F.col("_us"))}, group_rows, biggest)
+    return started.select(key, ident, "session", "session_start")
+
+
 def hourly_epoch_counts(df: DataFrame, ts: str, hours: int = 1) -> DataFrame:
     """(epoch, n): events per hour-wide epoch of a table. A stream takes windowed_counts, whose state is bounded."""
     return df.groupBy(S.hour_epoch(F.col(ts), hours).alias("epoch")).agg(F.count(F.lit(1)).alias("n"))

@@ -96,10 +96,12 @@ def split_late(feed: DataFrame, ts: str, path: str, delay_seconds: int = 600, ch
         mark = row["mark"] if row is not None and row["mark"] is not None else None
         late = (micros < F.lit(mark - delay_seconds * 1_000_000)) if mark is not None else F.lit(False)
         late = F.coalesce(late, F.lit(False))
+        batch = batch.persist()  # read three times below
         batch.filter(~late).write.mode("overwrite").parquet(f"{path}/on_time/batch={number}")
         batch.filter(late).write.mode("overwrite").parquet(f"{path}/late/batch={number}")
         newest = batch.agg(F.max(micros)).first()[0]
         top = max(x for x in (mark, newest) if x is not None) if (mark is not None or newest is not None) else None
+        batch.unpersist()
         marks.commit(number, spark.createDataFrame([(top,)], "mark long"))
 
     run_batches(feed, "late", "append", sort_out, checkpoint)
