@@ -42,8 +42,17 @@ class LibraryCodec:
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
+        self.tok, self.model = tok, tok.model
         # White space parts words for this vocabulary, so texts between white spaces are encoded one by one.
-        self.memory = Memory(lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)])
+        self.memory = Memory(self._encode)
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        """Plain ASCII words need no normalizing and no cutting: the library's model takes them as they are."""
+        out: list = [[t.id for t in self.model.tokenize(x.lower())] if x.isascii() and x.isalpha() else None for x in texts]
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, e in zip(rest, self.tok.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)):
+            out[k] = e.ids
+        return out
 
     @classmethod
     def of(cls, path: str) -> "LibraryCodec":

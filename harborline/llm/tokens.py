@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from harborline.llm.common import hash_words, split_words, text_slices, whole
 
-# Words that a worker remembers; beyond, it starts anew.
-REMEMBERED = 400_000
+# Pieces that a worker remembers; beyond, it starts anew.
+REMEMBERED = 1_000_000
 # What the vocabulary file's own description calls white space and pieces of a word.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECE = f"'s|'t|'re|'ve|'m|'ll|'d|[\\p{{L}}]+|[\\p{{N}}]|[^{SPACE}\\p{{L}}\\p{{N}}]+"
@@ -153,8 +153,31 @@ class Encoder:
         return [self.chunk(t) for t in texts]
 
 
+def _cut_classes() -> np.ndarray:
+    out = np.zeros(256, np.uint8)
+    for b in range(33, 127):
+        c = chr(b)
+        # An apostrophe may belong to the letters after it, and these three make up special tokens.
+        out[b] = 1 if c.isalpha() else 2 if c.isdigit() else 0 if c in "'<|>" else 3
+    return out
+
+
+_CUT = _cut_classes()
+
+
+def split_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words as split_words gives them, also cut between ASCII letters, digits and signs, where the vocabulary cuts anyway."""
+    starts, ends, bounds = split_words(data, offsets)
+    kind = _CUT[data]
+    cut = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
+    # A cut at a document's border is a word's border already.
+    cut = cut[~np.isin(cut, offsets)] if len(cut) else cut
+    at = np.searchsorted(starts, cut)
+    return np.insert(starts, at, cut), np.insert(ends, at - 1, cut), bounds + np.searchsorted(cut, offsets)
+
+
 class Memory:
-    """Ids of the words met so far, by the words' hashes; bounded."""
+    """Ids of the pieces met so far, by the pieces' hashes; bounded."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], bound: int = REMEMBERED):
         self.encode, self.bound = encode, bound
@@ -166,10 +189,10 @@ class Memory:
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one behind the other, and where each text's ids begin."""
-        starts, ends, bounds = split_words(data, offsets)
+        starts, ends, bounds = split_pieces(data, offsets)
         if len(self.place) > self.bound:
             self.clear()
-        codes, found = pd.factorize(hash_words(data, starts, ends, lower=False))
+        codes, found = pd.factorize(hash_words(data, starts, ends, lower=True))
         first = np.zeros(len(found), np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
         at = [self.place.get(h, -1) for h in found.tolist()]
