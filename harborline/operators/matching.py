@@ -158,41 +158,68 @@ def sequence_ratio(a: Column, b: Column, floor: float) -> Column:
     return ratio(a, b)
 
 
+def segment_pairs(left: DataFrame, right: DataFrame, share: float, both: bool) -> DataFrame:
+    """(l, r) token pairs that may be turned into each other by few edits; no pair that can be is missed.
+
+    Edits are at most `share` times the longer length, or with `both` times the two lengths together. The longer text is
+    cut into one piece more than edits allowed, so one piece is met unchanged in the shorter, moved by no more places
+    than there are edits: the join is on (longer length, piece number, piece).
+    """
+    n, m = F.col("n"), F.length("t")
+    # A hair is added so that a bound that is a whole number isn't lost to rounding.
+    edits = lambda long, short: F.floor((long + short if both else long) * share + 1e-9).cast("int")
+    number = lambda long: edits(long, long) + 1
+    start = lambda long, i: F.floor(i * long / number(long)).cast("int")
+
+    def as_long(df: DataFrame) -> DataFrame:
+        i = F.col("i")
+        rows = df.select("t", m.alias("n")).select("t", "n", F.explode(F.sequence(F.lit(0), F.least(number(n), n) - 1)).alias("i"))
+        return rows.select("n", "i", F.substring("t", start(n, i) + 1, start(n, i + 1) - start(n, i)).alias("piece"), "t")
+
+    def as_short(df: DataFrame) -> DataFrame:
+        # The longer of a pair within the bound is no longer than this.
+        top = F.floor(m * ((1 + share) / (1 - share) if both else 1 / (1 - share)) + 1e-9).cast("int")
+        lengths = df.filter(m > 0).select("t", F.explode(F.sequence(m, top)).alias("n"))
+        rows = lengths.select("t", "n", F.explode(F.sequence(F.lit(0), F.least(number(n), n) - 1)).alias("i"))
+        i, size = F.col("i"), start(n, F.col("i") + 1) - start(n, F.col("i"))
+        low, high = F.greatest(F.lit(0), start(n, i) - edits(n, m)), F.least(m - size, start(n, i) + edits(n, m))
+        placed = rows.filter(low <= high).select("t", "n", "i", F.explode(F.sequence(low, high)).alias("p"))
+        return placed.select("n", "i", F.substring("t", F.col("p") + 1, size).alias("piece"), "t").distinct()
+
+    def meet(long: DataFrame, short: DataFrame, l: str, r: str) -> DataFrame:
+        return as_long(long).join(as_short(short).withColumnRenamed("t", "s"), ["n", "i", "piece"]).select(F.col("t").alias(l), F.col("s").alias(r))
+
+    every = meet(left, right, "l", "r").unionByName(meet(right, left, "r", "l"))
+    return every.distinct()
+
+
+def levenshtein_match(left: DataFrame, right: DataFrame, min_score: float = 0.78) -> DataFrame:
+    """(name, match, score) of each left token's best right token by 1 - distance / longer length; ties to the first."""
+    tokens = lambda df: df.select(S.unicode_token(F.col(df.columns[0])).alias("t")).filter(F.col("t") != "").distinct()
+    pairs = segment_pairs(tokens(left), tokens(right), 1.0 - min_score, both=False)
+    scored = pairs.withColumn("score", levenshtein_similarity(F.col("l"), F.col("r"))).filter(F.col("score") >= min_score)
+    best = scored.groupBy("l").agg(F.min_by(F.struct("r", "score"), F.struct(-F.col("score"), "r")).alias("b"))
+    return best.select(F.col("l").alias("name"), F.col("b.r").alias("match"), F.round("b.score", 4).alias("score"))
+
+
 def fuzzy_candidates(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
     """(l, r) token pairs that can be equal, contained, or similar at the floor; no pair that can is missed.
 
-    Two texts with ratio >= t share at least |a|+|b| times (1.5t - 1) minus one letter pairs, which is
-    positive from five letters on at the floors used, and shorter matches share a padded end. A left text
-    therefore need only look up as many of its rarest pairs as leaves fewer than that number out; a
-    contained text shares all its own pairs, so its single rarest inner pair is enough.
+    A ratio of t means that t/2 of all letters match in order, so inserting and deleting the others, (1 - t) times both
+    lengths together, turns one into the other: segment_pairs finds these. Two texts with ratio >= t also share at
+    least |a|+|b| times (1.5t - 1) minus one letter pairs, which thins them out. A contained text shares all its own
+    pairs, so its single rarest inner pair is enough.
     """
     if floor < 0.75:
         raise ValueError("the candidate bound holds for floors of 0.75 and above")
-    grammed = lambda df: df.select("t", _grams(F.col("t")).alias("gs"))
-    l_grams, r_grams = grammed(left), grammed(right)
-    toks = lambda df: df.select(F.explode(F.concat("gs", _letters(F.col("t")))).alias("g"), "t")
-    l_all, r_all = toks(l_grams), toks(r_grams)
-    counts = r_all.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-
-    def needed(letters: Column) -> Column:
-        return F.greatest(F.lit(1), F.ceil(letters * (1.5 * floor - 1.0) - 1.0).cast("int"))
-
-    size = F.length("t")
-    fewest = needed(size * (2.0 / (2.0 - floor)))
-    ranked = (
-        l_grams.select("t", F.explode("gs").alias("g")).join(counts, "g", "left")
-        .groupBy("t").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))).alias("ranked"))
-    )
-    kept = ranked.withColumn("keep", F.greatest(F.lit(1), F.size("ranked") - fewest + 1))
-    prefix = kept.select("t", F.transform("ranked", lambda x: x["g"]).alias("gs"), F.explode(F.slice("ranked", F.lit(1), F.col("keep"))).alias("x")).select("t", "gs", "x.g")
-    lookup = r_grams.select(F.explode("gs").alias("g"), F.col("t").alias("r"), F.col("gs").alias("r_gs"))
-    length = size + F.length("r")
-    # Both tests use only the pair at hand, so most pairs end before any shuffle or Python.
+    toks = lambda df: df.select(F.explode(F.concat(_grams(F.col("t")), _letters(F.col("t")))).alias("g"), "t")
+    l_all, r_all = toks(left), toks(right)
+    length = F.length("l") + F.length("r")
+    needed = F.greatest(F.lit(1), F.ceil(length * (1.5 * floor - 1.0) - 1.0).cast("int"))
     near = (
-        prefix.join(lookup, "g")
-        .filter(2.0 * F.least(size, F.length("r")) >= floor * length)
-        .filter(F.size(F.array_intersect("gs", "r_gs")) >= needed(length))
-        .select(F.col("t").alias("l"), "r")
+        segment_pairs(left, right, 1.0 - floor, both=True)
+        .filter(2.0 * F.least(F.length("l"), F.length("r")) >= floor * length)
+        .filter(F.size(F.array_intersect(_grams(F.col("l")), _grams(F.col("r")))) >= needed)
     )
 
     def inner_rarest(own: DataFrame, other: DataFrame) -> DataFrame:

@@ -21,6 +21,11 @@ def _provided(spark, d):
     return _words(table(spark, d, "benchmark"))
 
 
+def _part_names(spark, d):
+    p = table(spark, d, "part")
+    return p.select(F.explode(F.concat(F.split("p_name", " "), F.array("p_type", F.regexp_replace("p_name", " ", "")))).alias("column_name"))
+
+
 _W = "unnest(string_split_regex(lower(text), '[^a-z0-9]+'))"
 _MARKED = f"""g AS (SELECT DISTINCT {_W} AS token FROM benchmark), m AS (SELECT DISTINCT lang AS category, doc_id AS worker, {_W} AS token FROM documents),
   k AS (SELECT m.*, g.token IS NOT NULL AS hit FROM m LEFT JOIN g USING (token) WHERE m.token <> ''), w AS (SELECT category, worker, count(*) AS n, count(*) FILTER (hit) AS matched FROM k GROUP BY 1, 2)"""
@@ -79,9 +84,18 @@ def j10(spark, d):
     return M.semantic_route(_manifest(spark, d), _provided(spark, d), "Late arrivals in the en region", {"en": ["late", "arrivals"], "fr": ["region", "missing"], "de": ["nothing"]})
 
 
+@query(
+    "J9_levenshtein_match",
+    f"""WITH g AS (SELECT DISTINCT {_W} AS r FROM benchmark), p AS (SELECT DISTINCT lower(n) AS l FROM (SELECT unnest(string_split(p_name, ' ')) AS n FROM part UNION ALL SELECT replace(p_name, ' ', '') FROM part UNION ALL SELECT p_type FROM part)),
+        s AS (SELECT l, r, 1 - levenshtein(l, r) / greatest(length(l), length(r)) AS score FROM p, g WHERE l <> '' AND r <> '')
+        SELECT l AS name, arg_min(r, (-score, r)) AS match, round(max(score), 4) AS score FROM s WHERE score >= 0.55 GROUP BY l""",
+)
+def j9l(spark, d):
+    """The same names by edit distance, at a lower floor."""
+    return M.levenshtein_match(_part_names(spark, d), _provided(spark, d), 0.55)
+
+
 @query("J9_fuzzy_match")
 def j9(spark, d):
     """Part names and types against the words of the benchmark, best match each."""
-    p = table(spark, d, "part")
-    names = p.select(F.explode(F.concat(F.split("p_name", " "), F.array("p_type", F.regexp_replace("p_name", " ", "")))).alias("column_name"))
-    return M.fuzzy_match(names, _provided(spark, d), 0.78, 0.92)
+    return M.fuzzy_match(_part_names(spark, d), _provided(spark, d), 0.78, 0.92)
