@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborline.session import materialize
-
 
 def spread_by(df: DataFrame, by: Sequence[str], files_per_value: int = 16) -> DataFrame:
     """Shuffle so that each value lands in at most `files_per_value` tasks, a hot value in several."""
@@ -22,9 +20,7 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str], mode: str = "
 
 
 def write_jsonl_by_split(df: DataFrame, path: str, split_col: str = "split", mode: str = "overwrite") -> None:
-    """JSON lines under path/all and one folder per split under path/by_split; the rows are worked out once."""
-    df = materialize(df)
-    df.write.mode(mode).json(f"{path}/all")
+    """JSON lines, one folder per split under path/by_split; that folder read as a whole is all of them."""
     spread_by(df, [split_col]).write.mode(mode).partitionBy(split_col).json(f"{path}/by_split")
 
 
