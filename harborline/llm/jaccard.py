@@ -146,6 +146,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, distance, union, common) of the pairs, written once."""
+    # Written first: of few pairs Spark then knows that they are few, and the sets needn't be shuffled.
+    pairs = materialize(pairs)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     got = both.mapInArrow(_measure, "a long, b long, na long, nb long, common long")
     union = F.col("na") + F.col("nb") - F.col("common")
@@ -282,12 +284,14 @@ def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     coarse = components(edges) if edges is not None else none.toDF("node", "root")
     members = coarse.select(F.col("root").alias("region"), "node")
     sized = members.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
-    members = materialize(members.join(sized, "region"))
+    members = materialize(members.join(materialize(sized), "region"))
     small, large = members.filter(F.col("size") <= local_rows), members.filter(F.col("size") > local_rows)
     within = small.select("region", "node").join(sets, "node").groupBy("region").applyInPandas(_local(percent), "a long, b long")
     links = materialize(links.union(within))
     labels = components(links)
     if not large.isEmpty():
+        # Only the sets of large groups are moved in the rounds below.
+        held = materialize(sets.join(large.select("node"), "node", "left_semi"))
         pop = regions.groupBy("node").agg(F.count(F.lit(1)).alias("pop"))
         last = None
         while True:
@@ -304,7 +308,7 @@ def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
             last = n
             top = Window.partitionBy("region").orderBy(F.desc("pop"), "node")
             asking = outside if full else outside.withColumn("k", F.row_number().over(top)).filter(F.col("k") <= pivots).drop("k")
-            found = _joined_blocks(asking.select("region", "node", "root"), placed.select("region", "node", "root"), sets, percent)
+            found = _joined_blocks(asking.select("region", "node", "root"), placed.select("region", "node", "root"), held, percent)
             links = materialize(links.union(found))
             labels = components(links)
             if full:
