@@ -28,6 +28,8 @@ WORDS = 5
 PERCENT = 80
 # Members of a region whose pairs are measured outright.
 SMALL = 16
+# How often sets that share too little with all others are taken out of the regions.
+PRUNINGS = 2
 # Sets within this distance of a pivot belong to its Voronoi core.
 CORE = 0.4
 # Members of a coarse group that one task joins; larger groups are joined in blocks.
@@ -62,20 +64,20 @@ class Parts:
         """Most shingles in which two linked sets differ, the smaller of size `top` at most."""
         return (top + top * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
 
-    def signatures(self, s: np.ndarray) -> np.ndarray:
+    def signatures(self, s: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """For the set's own size class and the one below: how many signatures a partner shares at least, and all of them."""
         n = len(s)
         if n == 0:
-            return s
+            return [(1, s), (1, s)]
         own = int(np.searchsorted(self.bounds, n, side="right")) - 1
         # A set also joins the class below when a partner there can be large enough.
         low = own > 0 and -(-n * self.percent // 100) <= self.bounds[own] - 1
-        out = [self._of_class(s, k) for k in ((own, own - 1) if low else (own,))]
-        return np.concatenate(out)
+        return [self._of_class(s, own), self._of_class(s, own - 1) if low else (1, s[:0])]
 
-    def _of_class(self, s: np.ndarray, k: int) -> np.ndarray:
+    def _of_class(self, s: np.ndarray, k: int) -> tuple[int, np.ndarray]:
         most = self.differ(int(self.bounds[k + 1]) - 1)
         if most == 0:
-            return s[:0]  # linked sets are equal here
+            return 1, s[:0]  # linked sets are equal here
         spare = 2 + int(self.slack * most)
         m = most + 1 + spare
         strong = mix(s + np.uint64(k))
@@ -87,8 +89,11 @@ class Parts:
         sums = np.zeros(m, np.uint64)
         sums[full] = np.add.reduceat(mix(strong), (np.cumsum(counts) - counts)[full])
         weak = counts < 2
-        take = np.arange(m) if weak.sum() > spare else np.flatnonzero(~weak)
-        return mix(sums[take] + mix(take.astype(np.uint64) + np.uint64(k << 32)))
+        n_weak = int(weak.sum())
+        take = np.arange(m) if n_weak > spare else np.flatnonzero(~weak)
+        # Linked sets agree in 1 + spare parts or more, of which no more than n_weak are left out.
+        need = 1 if n_weak > spare else 1 + spare - n_weak
+        return need, mix(sums[take] + mix(take.astype(np.uint64) + np.uint64(k << 32)))
 
 
 def _node(s: np.ndarray) -> int:
@@ -104,18 +109,20 @@ def _sign(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, seen = Parts(percent), set()
         for b in batches:
-            sizes, nodes, lists = [], [], []
+            sizes, nodes, lists, needs = [], [], ([], []), ([], [])
             for s in shingle_sets(b.column("text"), words):
                 node = _node(s)
                 sizes.append(len(s))
                 nodes.append(node)
                 # Equal sets sign once a task.
-                lists.append(s[:0] if node in seen else parts.signatures(s))
+                signed = [(1, s[:0])] * 2 if node in seen else parts.signatures(s)
                 seen.add(node)
-            ends = np.cumsum([0, *map(len, lists)])
-            flat = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
-            sigs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _long(flat))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tk"), pa.array(sizes, pa.int64()), _long(nodes), sigs], ["id", "tk", "n", "node", "sigs"])
+                for level, (need, sigs) in enumerate(signed):
+                    lists[level].append(sigs)
+                    needs[level].append(need)
+            made = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), _long(np.concatenate([np.zeros(0, np.uint64), *own]))) for own in lists]
+            wanted = [pa.array(own, pa.int32()) for own in needs]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tk"), pa.array(sizes, pa.int64()), _long(nodes), *made, *wanted], ["id", "tk", "n", "node", "sigs0", "sigs1", "need0", "need1"])
 
     return run
 
@@ -268,11 +275,17 @@ def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     """
     base = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).withColumn("tk", F.xxhash64("text"))
     kind = dict(base.dtypes)["id"]
-    signed = materialize(base.mapInArrow(_sign(words, percent), f"id {kind}, tk long, n long, node long, sigs array<long>"))
-    spread = signed.filter(F.size("sigs") > 0).select(F.explode("sigs").alias("region"), "node")
+    signed = materialize(base.mapInArrow(_sign(words, percent), f"id {kind}, tk long, n long, node long, sigs0 array<long>, sigs1 array<long>, need0 int, need1 int"))
+    level = lambda k: signed.select(F.explode(f"sigs{k}").alias("region"), "node", F.lit(k).alias("level"), F.col(f"need{k}").alias("need"))
+    spread = level(0).unionByName(level(1))
     w = Window.partitionBy("region")
-    met = spread.withColumns({"low": F.min("node").over(w), "far": F.max("node").over(w)}).filter("low < far").select("region", "node")
-    regions = materialize(met.distinct())
+    met = lambda df: df.withColumns({"low": F.min("node").over(w), "far": F.max("node").over(w)}).filter("low < far").drop("low", "far")
+    regions = materialize(met(spread).distinct())
+    # A set that shares fewer signatures with all others than one partner must share has no partner.
+    for _ in range(PRUNINGS):
+        enough = regions.groupBy("node", "level").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("least")).filter("c >= least").select("node", "level")
+        regions = materialize(met(regions.join(enough, ["node", "level"], "left_semi")))
+    regions = regions.select("region", "node").distinct()
     # The sets of documents that share a region, one document for each.
     wanted = signed.join(regions.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("tk", "id")).alias("d")).select("d.tk", "d.id")
     texts = base.alias("x").join(wanted.alias("y"), (F.col("x.tk") == F.col("y.tk")) & F.col("x.id").eqNullSafe(F.col("y.id")), "left_semi")

@@ -224,7 +224,9 @@ def test_linked_sets_agree_in_a_signed_part(percent):
             b = np.unique(np.concatenate([a[drop:], r.integers(0, 1 << 63, add).astype(np.uint64)]))
             both = len(np.intersect1d(a, b))
             if 100 * both >= percent * (len(a) + len(b) - both) and both != max(len(a), len(b)):
-                assert len(np.intersect1d(parts.signatures(a), parts.signatures(b)))
+                found = [(x, y, len(np.intersect1d(x[1], y[1]))) for x in parts.signatures(a) for y in parts.signatures(b)]
+                # In some class they share a signature, and as many as each of them asks of a partner.
+                assert any(n >= max(1, x[0], y[0]) for x, y, n in found)
 
 
 @pytest.mark.parametrize("rounds", [1, 2, 3])
