@@ -53,8 +53,9 @@ class Parts:
 
     def __init__(self, percent: int):
         self.percent = percent
-        # A part of one shingle or none tells little. `slack` more parts than needed let a set leave those out.
-        self.slack = 0.06 if percent >= 87 else 0.5
+        # A part of fewer than `least` shingles tells little. `slack` more parts than needed let a set leave those out.
+        # Far below 0.9 parts hold few shingles each, so only empty ones can be left out.
+        self.slack, self.least = (0.06, 2) if percent >= 87 else (0.3, 1)
         bounds = [1]
         while bounds[-1] < 1 << 40:
             bounds.append(max(bounds[-1] + 1, int(bounds[-1] * CLASS_RATIO)))
@@ -88,7 +89,7 @@ class Parts:
         full = np.flatnonzero(counts)
         sums = np.zeros(m, np.uint64)
         sums[full] = np.add.reduceat(mix(strong), (np.cumsum(counts) - counts)[full])
-        weak = counts < 2
+        weak = counts < self.least
         n_weak = int(weak.sum())
         take = np.arange(m) if n_weak > spare else np.flatnonzero(~weak)
         # Linked sets agree in 1 + spare parts or more, of which no more than n_weak are left out.
