@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from harborline.llm.common import components, fresh, hash_words, mix, rolling, split_words, text_slices, whole
+from harborline.llm.common import components, fresh, hash_words, key128, mix, rolling, split_words, text_slices, whole
 from harborline.session import materialize
 
 WORDS = 5
@@ -249,8 +249,10 @@ def _near(regions: DataFrame, sets: DataFrame, percent: int, pivots: int) -> tup
     while True:
         # The most shared member stands for the middle of its group.
         popular = open_.groupBy("node").agg(F.count(F.lit(1)).alias("pop"))
-        about = open_.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node") % (1 << 40)).alias("mark"))
-        once = about.filter("size > 1").groupBy("size", "mark").agg(F.min("region").alias("region"))
+        # Regions with the same members are one. Members are distinct, so two xors of their full hashes tell sets apart.
+        one, two = key128(F.col("node"))
+        about = open_.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("low"), F.max("node").alias("far"), F.bit_xor(one).alias("mark"), F.bit_xor(two).alias("mark2"))
+        once = about.filter("size > 1").groupBy("size", "low", "far", "mark", "mark2").agg(F.min("region").alias("region"))
         members = materialize(open_.join(once.select("region", "size"), "region").join(popular, "node"))
         if members.isEmpty():
             return edges, links

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from harborline.llm import fingerprints as fp
-from harborline.llm.jaccard import Parts, join_sets, keep_one
+from harborline.llm.jaccard import Parts, _near, join_sets, keep_one
 from harborline.llm.line_dedup import dedup_lines
 from harborline.llm.neighbours import nearest
 from harborline.llm.packing import END_ID, pack_documents, plan
@@ -205,6 +205,22 @@ def test_jaccard_regions_recurse(docs, rows):
     assert bag(got.collect()) == bag(brute.jaccard_groups(rows, 3, 90))
 
 
+def test_regions_collapse_only_with_equal_members(spark):
+    """Two pairs of nodes whose hashes, cut to 40 bits, have the same sum are still two regions."""
+    cut = np.array([r[0] for r in spark.range(4000).select(F.xxhash64("id") % (1 << 40)).collect()])
+    a, b = np.triu_indices(len(cut), 1)
+    sums = cut[a] + cut[b]
+    order = np.argsort(sums, kind="stable")
+    at = np.flatnonzero(sums[order][1:] == sums[order][:-1])[0]
+    pairs = [tuple(sorted((int(a[i]), int(b[i])))) for i in order[at : at + 2]]
+    assert len({n for p in pairs for n in p}) == 4
+    regions = spark.createDataFrame([(k, n) for k, p in enumerate(pairs) for n in p], "region long, node long")
+    same = np.arange(10, dtype=np.uint64).tobytes()
+    sets = spark.createDataFrame([(n, same) for p in pairs for n in p], "node long, s binary")
+    _, links = _near(regions, sets, 90, 16)
+    assert sorted(tuple(sorted((r["a"], r["b"]))) for r in links.collect()) == sorted(pairs)
+
+
 def test_keep_one(docs, rows):
     kept = keep_one(docs)
     groups = brute.jaccard_groups(rows, 5, 80)
