@@ -176,6 +176,24 @@ def split_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return np.insert(starts, at, cut), np.insert(ends, at - 1, cut), bounds + np.searchsorted(cut, offsets)
 
 
+# A-Z to lower case, and the bytes in whose company case may matter: special tokens begin with '<', and letters beyond
+# ASCII are composed before they are lowered.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_TELLS_CASE = np.zeros(256, bool)
+_TELLS_CASE[[ord("<"), *range(128, 256)]] = True
+
+
+def fold_plain(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lowered, but not in pieces that hold '<' or anything beyond ASCII."""
+    folded = _LOWER[data]
+    odd = np.unique(np.searchsorted(starts, np.flatnonzero(_TELLS_CASE[data]), side="right") - 1)
+    sizes = ends[odd] - starts[odd]
+    at = np.repeat(starts[odd] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    folded[at] = data[at]
+    return folded
+
+
 class Memory:
     """Ids of the pieces met so far, by the pieces' hashes; bounded."""
 
@@ -192,7 +210,7 @@ class Memory:
         starts, ends, bounds = split_pieces(data, offsets)
         if len(self.place) > self.bound:
             self.clear()
-        codes, found = pd.factorize(hash_words(data, starts, ends, lower=True))
+        codes, found = pd.factorize(hash_words(fold_plain(data, starts, ends), starts, ends, lower=False))
         first = np.zeros(len(found), np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
         at = [self.place.get(h, -1) for h in found.tolist()]

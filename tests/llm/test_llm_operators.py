@@ -10,12 +10,12 @@ from harborline.llm import fingerprints as fp
 from harborline.llm.jaccard import Parts, _near, join_sets, keep_one
 from harborline.llm.line_dedup import dedup_lines
 from harborline.llm.neighbours import nearest
-from harborline.llm.packing import END_ID, pack_documents, plan
+from harborline.llm.packing import END_ID, LibraryCodec, pack_documents, plan
 from harborline.llm.quality import Network, fit_quality, held_out, score_quality
 from harborline.llm.secret_scan import redact, scan_secrets, spans_text
 from harborline.llm.sharding import assign_shards, key_bits
 from harborline.llm.substrings import dedup_substrings
-from harborline.llm.tokens import decode_ids, encode_texts, token_digests, tokenizer_path
+from harborline.llm.tokens import Codec, Memory, decode_ids, encode_texts, token_digests, tokenizer_path
 
 
 def bag(rows):
@@ -269,6 +269,23 @@ def test_codec(spark, docs, rows, nothing):
     assert token_digests(nothing).count() == 0
 
 
+CASED = ["<|endoftext|>", "<|ENDOFTEXT|>", "x<|EndOfText|>y", "X<|endoftext|>Y"] + [c + mark for a, mark in zip("hjtwy", "\u0331\u030c\u0308\u030a\u030a") for c in (a, a.upper())]
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_remembered_pieces_tell_case_where_it_matters(turn):
+    """Special tokens match as written, and some letters compose with a mark in lower case alone; in either order of meeting."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    texts = [*CASED, "Plain", "plain", "<B", "<b"][::turn]
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, raw)])
+    for memory in (Memory(Codec(tokenizer_path()).encoder.chunks), LibraryCodec(tokenizer_path()).memory):
+        ids, at = memory.ids(np.frombuffer(b"".join(raw), np.uint8), offsets)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_fingerprints_estimate_jaccard(docs, rows, nothing):
     got = fp.fingerprints(docs).select("doc_id", "text", "fingerprint").collect()
     by_text = collections.defaultdict(set)
