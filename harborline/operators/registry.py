@@ -15,31 +15,68 @@ from harborline.operators.ordering import top_per_group
 from harborline.operators.sets import fingerprint_groups
 from harborline.session import materialize
 
-KEEP_NOTES = 20
-KEEP_EVIDENCE = 30
-
 ALIAS_SCHEMA = (
     "canonical_column string, alias string, status string, confidence double, source string, categories array<string>, "
-    "worker_dataset_ids array<string>, first_seen timestamp_ntz, last_seen timestamp_ntz, hit_count long, notes array<string>, evidence array<string>"
+    "worker_dataset_ids array<string>, first_seen timestamp_ntz, last_seen timestamp_ntz, hit_count long"
 )
 BATCH_SCHEMA = (
     "seq long, event_time timestamp_ntz, canonical_column string, alias string, confidence double, source string, "
     "category string, worker_dataset_id string, note string, evidence array<string>"
 )
+# Notes and evidence of a registry are rows of a table of their own, to which batches only add.
+TEXT_SCHEMA = "key string, kind string, at long, ord int, text string"
 
 
-def _texts(rows: DataFrame, column: str, keep: int, unique: bool) -> DataFrame:
-    """(key, column): the last `keep` texts in order; `unique` keeps each text where it was first seen.
+def alias_key() -> Column:
+    return F.concat_ws("|", S.unicode_token(F.col("canonical_column")), S.unicode_token(F.col("alias")))
 
-    Rows are (key, at, ord, item). Each key is cut to `keep` rows before anything is gathered.
-    """
-    items = rows.filter(F.trim("item") != "").withColumn("item", F.trim("item"))
-    if unique:
-        items = items.groupBy("key", "item").agg(F.min(F.struct("at", "ord")).alias("o"))
+
+def semantic_key() -> Column:
+    return S.unicode_token(F.col("target_column"))
+
+
+def _text_rows(rows: DataFrame, at: Column, lists: dict[str, Column]) -> DataFrame:
+    """TEXT_SCHEMA: the non-blank texts of each row's lists."""
+
+    def entries(kind: str, texts: Column) -> Column:
+        held = F.coalesce(texts, F.array().cast("array<string>"))
+        return F.transform(held, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("ord"), F.trim(x).alias("text")))
+
+    every = rows.select("key", at.cast("long").alias("at"), F.explode(F.concat(*[entries(k, c) for k, c in lists.items()])).alias("e"))
+    return every.select("key", "e.kind", "at", "e.ord", "e.text").filter("text <> ''")
+
+
+def registry_texts(registry: DataFrame, key: Column, kinds: Sequence[str]) -> DataFrame:
+    """TEXT_SCHEMA: the lists that a registry was handed over with; they precede every batch."""
+    return _text_rows(registry.withColumn("key", key), F.lit(-1), {k: F.col(k) for k in kinds})
+
+
+def alias_texts(batch: DataFrame) -> DataFrame:
+    """TEXT_SCHEMA: all notes and evidence of a batch of sightings. A note is evidence, too."""
+    with_note = F.concat(F.coalesce("evidence", F.array().cast("array<string>")), F.array(F.coalesce("note", F.lit(""))))
+    return _text_rows(_usable(batch).withColumn("key", alias_key()), F.col("seq"), {"notes": F.array("note"), "evidence": with_note})
+
+
+def semantic_texts(batch: DataFrame) -> DataFrame:
+    """TEXT_SCHEMA: all evidence of a batch of meanings."""
+    return _text_rows(batch.withColumn("key", semantic_key()).filter("key <> ''"), F.col("seq"), {"evidence": F.col("evidence")})
+
+
+def read_texts(texts: DataFrame, kind: str, last: int | None = None) -> DataFrame:
+    """(key, kind): each key's texts in order, all of them or the last few; evidence is listed once, where it was first seen."""
+    items = texts.filter(F.col("kind") == kind)
+    if kind == "evidence":
+        items = items.groupBy("key", "text").agg(F.min(F.struct("at", "ord")).alias("o"))
     else:
-        items = items.select("key", "item", F.struct("at", "ord").alias("o"))
-    last = top_per_group(items, ["key"], [F.desc("o"), F.desc("item")], keep)
-    return last.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "item"))), lambda x: x["item"]).alias(column))
+        items = items.select("key", "text", F.struct("at", "ord").alias("o"))
+    if last is not None:
+        items = top_per_group(items, ["key"], [F.desc("o"), F.desc("text")], last)
+    return items.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "text"))), lambda x: x["text"]).alias(kind))
+
+
+def _usable(batch: DataFrame) -> DataFrame:
+    named = batch.filter((F.trim("canonical_column") != "") & (F.trim("alias") != ""))
+    return named.filter(S.unicode_token(F.col("canonical_column")) != S.unicode_token(F.col("alias")))
 
 
 def _set(rows: DataFrame, column: str) -> DataFrame:
@@ -48,12 +85,9 @@ def _set(rows: DataFrame, column: str) -> DataFrame:
     return items.groupBy("key").agg(F.array_sort(F.collect_list("item")).alias(column))
 
 
-def _listed(old: DataFrame, new: DataFrame, column: str, single: Column, many: bool = False) -> DataFrame:
-    """(key, at, ord, item): the registry's list entries, then the batch's single values or lists."""
-    before = old.select("key", F.lit(-1).cast("long").alias("at"), F.posexplode(column).alias("ord", "item"))
-    if many:
-        return before.unionByName(new.select("key", F.col("seq").alias("at"), F.posexplode(single).alias("ord", "item")))
-    return before.unionByName(new.select("key", F.col("seq").alias("at"), F.lit(0).alias("ord"), single.alias("item")))
+def _listed(old: DataFrame, new: DataFrame, column: str, single: Column) -> DataFrame:
+    """(key, item): the registry's list entries and the batch's single values."""
+    return old.select("key", F.explode(column).alias("item")).unionByName(new.select("key", single.alias("item")))
 
 
 def _with_lists(merged: DataFrame, parts: Sequence[DataFrame], schema: str) -> DataFrame:
@@ -66,17 +100,13 @@ def _with_lists(merged: DataFrame, parts: Sequence[DataFrame], schema: str) -> D
 def upsert_aliases(registry: DataFrame, batch: DataFrame) -> DataFrame:
     """Merge new alias sightings into the registry; one row per (canonical, alias) token pair.
 
-    Confidence is the highest, hits add up, categories and data sets unite, notes and evidence keep
-    their newest 20 and 30. Approved and rejected entries keep their status, all others are candidates.
-    Pairs naming the same token are skipped.
+    Confidence is the highest, hits add up, categories and data sets unite. Approved and rejected entries
+    keep their status, all others are candidates. Pairs naming the same token are skipped. The batch's notes
+    and evidence are `alias_texts`, to be added to the registry's table of them.
     """
-    pair = F.concat_ws("|", S.unicode_token(F.col("canonical_column")), S.unicode_token(F.col("alias")))
-    usable = batch.filter((F.trim("canonical_column") != "") & (F.trim("alias") != "")).filter(
-        S.unicode_token(F.col("canonical_column")) != S.unicode_token(F.col("alias"))
-    )
     # Both sides are read several times below; the batch may come from a costly job or a stream.
-    old = materialize(registry.withColumn("key", pair))
-    new = materialize(usable.withColumn("key", pair))
+    old = materialize(registry.withColumn("key", alias_key()))
+    new = materialize(_usable(batch).withColumn("key", alias_key()))
     start = F.lit(-1).cast("long")
     one_old = old.select(
         "key", start.alias("at"), "canonical_column", "alias", F.lower("status").alias("status"), "confidence", "source", "first_seen", "last_seen", F.col("hit_count").alias("hits")
@@ -91,12 +121,9 @@ def upsert_aliases(registry: DataFrame, batch: DataFrame) -> DataFrame:
     )
     merged = merged.withColumn("status", F.when(F.col("_s").isin("approved", "rejected"), F.col("_s")).otherwise("candidate")).drop("_s")
 
-    with_note = F.concat(F.coalesce("evidence", F.array().cast("array<string>")), F.array(F.coalesce("note", F.lit(""))))
     parts = [
         _set(_listed(old, new, "categories", F.col("category")), "categories"),
         _set(_listed(old, new, "worker_dataset_ids", F.col("worker_dataset_id")), "worker_dataset_ids"),
-        _texts(_listed(old, new, "notes", F.col("note")), "notes", KEEP_NOTES, unique=False),
-        _texts(_listed(old, new, "evidence", with_note, many=True), "evidence", KEEP_EVIDENCE, unique=True),
     ]
     return _with_lists(merged, parts, ALIAS_SCHEMA)
 
@@ -118,7 +145,7 @@ def live_aliases(registry: DataFrame, seq: str, category: str | None = None, inc
 
 SEMANTIC_SCHEMA = (
     "target_column string, meaning string, status string, confidence double, categories array<string>, worker_model_ids array<string>, "
-    "evidence array<string>, first_seen timestamp_ntz, last_seen timestamp_ntz, hit_count long"
+    "first_seen timestamp_ntz, last_seen timestamp_ntz, hit_count long"
 )
 
 
@@ -126,11 +153,11 @@ def upsert_semantics(registry: DataFrame, batch: DataFrame) -> DataFrame:
     """Merge target meanings: the alias merge keyed by the target's token; the first non-empty meaning stays.
 
     registry has SEMANTIC_SCHEMA; batch(seq, event_time, target_column, meaning, confidence, category,
-    worker_model_id, evidence). Approved and rejected entries keep their status.
+    worker_model_id, evidence). Approved and rejected entries keep their status. The batch's evidence is
+    `semantic_texts`.
     """
-    key = S.unicode_token(F.col("target_column"))
-    old = materialize(registry.withColumn("key", key).filter(F.col("key") != ""))
-    new = materialize(batch.withColumn("key", key).filter(F.col("key") != ""))
+    old = materialize(registry.withColumn("key", semantic_key()).filter(F.col("key") != ""))
+    new = materialize(batch.withColumn("key", semantic_key()).filter(F.col("key") != ""))
     one_old = old.select("key", F.lit(-1).cast("long").alias("at"), "target_column", "meaning", F.lower("status").alias("status"), "confidence", "first_seen", "last_seen", F.col("hit_count").alias("hits"))
     one_new = new.select(
         "key", F.col("seq").alias("at"), "target_column", "meaning", F.lit("candidate").alias("status"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
@@ -145,7 +172,6 @@ def upsert_semantics(registry: DataFrame, batch: DataFrame) -> DataFrame:
     parts = [
         _set(_listed(old, new, "categories", F.col("category")), "categories"),
         _set(_listed(old, new, "worker_model_ids", F.col("worker_model_id")), "worker_model_ids"),
-        _texts(_listed(old, new, "evidence", F.col("evidence"), many=True), "evidence", KEEP_EVIDENCE, unique=True),
     ]
     return _with_lists(merged, parts, SEMANTIC_SCHEMA)
 

@@ -51,10 +51,14 @@ _BAT = """bat AS (SELECT p_brand AS canonical_column, lower(p_type) AS alias, ro
           CAST(reg.hit_count + coalesce(n, 0) AS BIGINT) AS hit_count, CAST(least(20, 1 + coalesce(n, 0)) AS INTEGER) AS n_notes FROM reg LEFT JOIN b USING (canonical_column, alias)""",
 )
 def r1(spark, d):
-    out = R.upsert_aliases(_registry(spark, d), _batch(spark, d))
+    reg, batch = _registry(spark, d), _batch(spark, d)
+    texts = R.registry_texts(reg, R.alias_key(), ["notes", "evidence"]).unionByName(R.alias_texts(batch))
+    # The SQL counts the newest 20 notes as a reader sees them; the table holds all.
+    notes = R.read_texts(texts, "notes", last=20)
+    out = R.upsert_aliases(reg, batch).withColumn("key", R.alias_key()).join(notes, "key", "left")
     return out.select(
         "canonical_column", "alias", "status", F.round("confidence", 6).alias("confidence"), "source", F.array_join("categories", ",").alias("categories"),
-        F.size("worker_dataset_ids").alias("n_datasets"), "hit_count", F.size("notes").alias("n_notes"),
+        F.size("worker_dataset_ids").alias("n_datasets"), "hit_count", F.size(F.coalesce("notes", F.array().cast(_EMPTY))).alias("n_notes"),
     )
 
 
@@ -95,9 +99,12 @@ def r4(spark, d):
         F.when(F.col("value") > 20, F.concat(F.lit("seen "), F.col("user_id").cast("string"))).otherwise("").alias("meaning"), F.least(F.lit(1.0), F.col("value") / 200).alias("confidence"),
         F.concat(F.lit("day"), (F.weekday("ts") + 1).cast("string")).alias("category"), F.lit("w1").alias("worker_model_id"), F.array(F.concat(F.lit("user "), F.col("user_id").cast("string"))).alias("evidence"),
     )
-    out = R.upsert_semantics(reg, batch)
+    texts = R.registry_texts(reg, R.semantic_key(), ["evidence"]).unionByName(R.semantic_texts(batch))
+    # The SQL counts the newest 30 as a reader sees them; the table holds all.
+    evidence = R.read_texts(texts, "evidence", last=30)
+    out = R.upsert_semantics(reg, batch).withColumn("key", R.semantic_key()).join(evidence, "key", "left")
     return out.select(
-        "target_column", "meaning", "status", F.round("confidence", 6).alias("confidence"), "hit_count", F.array_join("categories", ",").alias("categories"), "last_seen", F.size("evidence").alias("n_evidence")
+        "target_column", "meaning", "status", F.round("confidence", 6).alias("confidence"), "hit_count", F.array_join("categories", ",").alias("categories"), "last_seen", F.size(F.coalesce("evidence", F.array().cast(_EMPTY))).alias("n_evidence")
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.operators.registry import ALIAS_SCHEMA, upsert_aliases
+from harborline.operators.registry import ALIAS_SCHEMA, TEXT_SCHEMA, alias_texts, upsert_aliases
 from harborline.session import scratch_path
 
 
@@ -66,19 +66,30 @@ class VersionedTable:
 def stream_upsert(batches: DataFrame, path: str, checkpoint: str | None = None) -> VersionedTable:
     """Merge a stream of alias sightings into a versioned registry, one version per micro-batch.
 
-    A batch that is repeated after a failure finds its version committed and changes nothing.
+    A batch that is repeated after a failure finds its version committed and changes nothing. Notes and evidence
+    are only added, a folder for each batch; `upserted_texts` reads them.
     """
     table = VersionedTable(batches.sparkSession, path, ALIAS_SCHEMA)
 
     def merge(batch: DataFrame, number: int) -> None:
         version, current = table.latest()
         if version < number:
+            alias_texts(batch).write.mode("overwrite").parquet(f"{table.path}/texts/batch={number}")
             table.commit(number, upsert_aliases(current, batch))
 
     run_batches(batches, "alias-upsert", "append", merge, checkpoint)
     return table
 
 
+def upserted_texts(table: VersionedTable) -> DataFrame:
+    """All notes and evidence of the registry's committed batches."""
+    version, _ = table.latest()
+    if version < 0:
+        return table.spark.createDataFrame([], TEXT_SCHEMA)
+    rows = table.spark.read.schema(f"{TEXT_SCHEMA}, batch long").parquet(f"{table.path}/texts")
+    return rows.filter(F.col("batch") <= version).drop("batch")
+
+
 def split_late(feed: DataFrame, ts: str, path: str, delay_seconds: int = 600, checkpoint: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(on time, late): rows older than the newest earlier time less ten minutes go to a side table.
 

@@ -21,12 +21,13 @@ from harborline.operators import projections as R
 from harborline.operators import sampling as T
 from harborline.operators import sets as U
 from harborline.operators import windows as W
-from harborline.operators.registry import upsert_aliases
+from harborline.operators.registry import BATCH_SCHEMA, alias_texts, read_texts, semantic_texts, upsert_aliases
 from harborline.operators.transforms import apply_transform
 from harborline.plans.registry_queries import _batch, _registry
 from harborline.plans.reports import table_report
 from harborline.sources import readers
 from harborline.streaming import state as ST
+from harborline.streaming.streams import stream_upsert, upserted_texts
 
 
 def one(df):
@@ -342,6 +343,24 @@ def test_upsert_twice_equals_once_with_both(spark):
     assert step.select(keep).exceptAll(both.select(keep)).isEmpty()
 
 
+def test_registry_keeps_all_notes_and_evidence(spark, tmp_path):
+    rows = [(i, None, "Weight", "mass", 0.5, "s", "c", "w", f"note {i}", [f"seen {i % 45}", " "]) for i in range(50)]
+    batch = spark.createDataFrame(rows, BATCH_SCHEMA)
+    notes, seen = [f"note {i}" for i in range(50)], [f"seen {i}" for i in range(45)]
+    texts = alias_texts(batch.filter("seq >= 25")).unionByName(alias_texts(batch.filter("seq < 25")))
+    assert [r["notes"] for r in read_texts(texts, "notes").collect()] == [notes]
+    assert [r["notes"] for r in read_texts(texts, "notes", last=20).collect()] == [notes[30:]]
+    evidence = read_texts(texts, "evidence").first()["evidence"]
+    assert len(evidence) == 95 and [x for x in evidence if x.startswith("seen")] == seen
+    meant = semantic_texts(batch.select("seq", F.lit("Weight").alias("target_column"), "evidence"))
+    assert [r["evidence"] for r in read_texts(meant, "evidence").collect()] == [seen]
+    for k in range(2):
+        batch.filter(F.col("seq") % 2 == k).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    feed = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    table = stream_upsert(feed, f"{tmp_path}/registry")
+    assert table.latest()[0] == 1 and [r["notes"] for r in read_texts(upserted_texts(table), "notes").collect()] == [notes]
+
+
 def test_delimited_reader(spark, tmp_path):
     f = tmp_path / "x.csv"
     f.write_text("id|name|day|amount\n1|a|2024-01-05|1.5\n2|N/A|2024-02-05|\\N\n3|b|2024-03-05|2|extra\n")
