@@ -268,14 +268,8 @@ def _near(regions: DataFrame, sets: DataFrame, percent: int, pivots: int) -> tup
         open_ = materialize(members.select("region", "node").join(taken, ["region", "node"], "left_anti"))
 
 
-def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, local_rows: int = LOCAL_ROWS, pivots: int = 16) -> DataFrame:
-    """One row per document: `id`, `n_shingles`, `component_id`, the smallest id reachable by links (itself included).
-
-    Documents link when their sets of `words`-word shingles (ASCII white space parts words, A-Z folded) have a Jaccard
-    similarity of `percent`/100 or more. A text of fewer words is one shingle. Texts null, empty or without words have
-    an empty set and link with nothing. Null ids are kept as rows and never name a component. Rows that repeat an id or
-    a text are rows of their own. Sets are compared by 64-bit hashes of their shingles.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, local_rows: int = LOCAL_ROWS, pivots: int = 16) -> DataFrame:
+    """Every row's id, `tk` (hash of its text), `n` (size of its set) and `root`, alike in what links connect."""
     base = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).withColumn("tk", F.xxhash64("text"))
     kind = dict(base.dtypes)["id"]
     signed = materialize(base.mapInArrow(_sign(words, percent), f"id {kind}, tk long, n long, node long, sigs0 array<long>, sigs1 array<long>, need0 int, need1 int"))
@@ -329,18 +323,40 @@ def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
             labels = components(links)
             if full:
                 break
-    member = signed.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return signed.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, local_rows: int = LOCAL_ROWS, pivots: int = 16) -> DataFrame:
+    """One row per document: `id`, `n_shingles`, `component_id`, the smallest id reachable by links (itself included).
+
+    Documents link when their sets of `words`-word shingles (ASCII white space parts words, A-Z folded) have a Jaccard
+    similarity of `percent`/100 or more. A text of fewer words is one shingle. Texts null, empty or without words have
+    an empty set and link with nothing. Null ids are kept as rows and never name a component. Rows that repeat an id or
+    a text are rows of their own. Sets are compared by 64-bit hashes of their shingles.
+    """
+    member = _grouped(docs, id_col, text_col, words, percent, local_rows, pivots)
     named = materialize(member.filter("n > 0").groupBy("root").agg(F.min("id").alias("component_id")))
     own = F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
     return member.join(named, "root", "left").select("id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents without near-duplicates: of each component the row with its smallest id stays, with all columns.
+    """The documents without near-duplicates: of each component one row stays, with all columns.
 
-    Texts without words are no duplicates and stay. Rows alike in id and text are one row.
+    It is the row with the smallest id, a null id coming last; texts of one id are told apart by their hashes, and of
+    rows alike in id and text one stays. Texts without words are no duplicates and stay.
     """
-    comp, n, key = fresh(docs, "comp", "n", "key")
-    found = join_sets(docs, id_col, text_col, words, percent).select(F.col("id"), F.col("component_id").alias(comp), F.col("n_shingles").alias(n))
-    gone = found.filter((F.col(n) > 0) & F.col("id").isNotNull() & (F.col("id") != F.col(comp))).select(F.col("id").alias(key)).distinct()
-    return docs.join(gone, F.col(id_col) == F.col(key), "left_anti")
+    key, tk, text_key, row = fresh(docs, "key", "tk", "text_key", "row")
+    keys = _grouped(docs, id_col, text_col, words, percent).filter("n > 0").groupBy("root", "id", "tk").agg(F.count(F.lit(1)).alias("rows"))
+    keys = materialize(keys)
+    first = keys.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "tk")).alias("first"))
+    stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("tk") == F.col("first.tk"))
+    told = materialize(keys.join(first, "root").select(F.col("id").alias(key), F.col("tk").alias(text_key), "rows", stays.alias("stays")))
+    gone, again = told.filter("not stays").select(key, text_key), told.filter("stays and rows > 1").select(key, text_key)
+    same = F.col(id_col).eqNullSafe(F.col(key)) & (F.col(tk) == F.col(text_key))
+    kept = docs.withColumn(tk, F.xxhash64(whole(text_col))).join(gone, same, "left_anti")
+    if again.isEmpty():
+        return kept.drop(tk)
+    whole_row = F.struct(*docs.columns)
+    once = kept.join(again, same, "left_semi").groupBy(id_col, tk).agg(F.min_by(whole_row, F.to_json(whole_row)).alias(row)).select(f"{row}.*")
+    return kept.join(again, same, "left_anti").drop(tk).unionByName(once)

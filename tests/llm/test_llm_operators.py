@@ -228,6 +228,15 @@ def test_keep_one(docs, rows):
     assert bag(kept.select("doc_id", "text").collect()) == want and kept.columns == docs.columns
 
 
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    text = lambda word: " ".join(f"{word}{i}" for i in range(60))
+    rows = [(1, text("a")), (2, text("a") + " end"), (2, text("b")), (3, text("c")), (3, text("c")), (None, text("d")), (None, text("d")), (None, text("d") + " end"), (None, text("e")), (None, ""), (None, "")]
+    got = bag(keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    one_of = {(None, text("d")), (None, text("d") + " end")} & set(got)
+    assert len(one_of) == 1
+    assert got == bag([(1, text("a")), (2, text("b")), (3, text("c")), (None, text("e")), (None, ""), (None, ""), *one_of])
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_linked_sets_agree_in_a_signed_part(percent):
     r = np.random.default_rng(percent)
