@@ -5,14 +5,15 @@ from __future__ import annotations
 import difflib
 from collections import Counter
 from collections.abc import Sequence
+from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harborline.functions import scalars as S
-from harborline.operators.ordering import small_side, top_per_group
+from harborline.operators.ordering import running_sum, small_side, top_per_group
 from harborline.session import materialize
 
 
@@ -88,8 +89,7 @@ def missing_columns(manifest: DataFrame, provided: DataFrame, aliases: DataFrame
     own = marked.groupBy("category", "token").agg(F.min("column_name").alias("column_name"), F.count(F.lit(1)).alias("n"))
     rest = own.join(lacking.select("category").distinct(), "category", "left_anti")
     every = lacking.unionByName(rest.withColumn("worker", F.lit(None).cast(marked.schema["worker"].dataType)))
-    # A category has as many rows as column names.
-    ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("n"), "token")))
+    ranked = _ranked(every.withColumn("_turn", -F.col("n")), "category", ["_turn", "token"])
     return (ranked if shown is None else ranked.filter(F.col("rank") <= shown)).select("category", "worker", "column_name", "rank")
 
 
@@ -103,13 +103,20 @@ def blend_and_decide(scores: DataFrame, semantic: DataFrame, top: int | None = N
     """
     conf = semantic.groupBy("category").agg(F.max(S.clamp(F.coalesce("confidence", F.lit(0.0)), 0.0, 1.0)).alias("semantic_score"))
     both = scores.join(conf, "category", "left").withColumn("semantic_score", F.coalesce("semantic_score", F.lit(0.0)))
-    blended = both.withColumn("blended_score", F.round(F.col("score") * 0.85 + F.col("semantic_score") * 0.15, 4))
+    exact = lambda c: F.col(c).cast("decimal(18,9)")  # noqa: E731  (so that halves round alike everywhere)
+    blend = exact("score") * F.lit(Decimal("0.85")) + exact("semantic_score") * F.lit(Decimal("0.15"))
+    blended = both.withColumn("blended_score", F.round(blend, 4).cast("double"))
     decided = blended.withColumn("decision", F.when(F.col("score") >= ACCEPT, "ACCEPT").when(F.col("score") >= PARTIAL, "PARTIAL_ACCEPT").otherwise("REJECT"))
     order = [F.desc("blended_score"), F.desc("score"), F.col("category")]
     if top is not None:
         return top_per_group(decided, ["industry"], order, top)
-    # An industry has as many rows as categories.
-    return decided.withColumn("rank", F.row_number().over(Window.partitionBy("industry").orderBy(*order)))
+    turns = {"_blended": -F.col("blended_score"), "_score": -F.col("score")}
+    return _ranked(decided.withColumns(turns), "industry", [*turns, "category"]).drop(*turns)
+
+
+def _ranked(df: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
+    """Adds the row's number in its group; large groups are numbered in blocks."""
+    return running_sum(df, [group], order, {"rank": F.lit(1)}).withColumn("rank", F.col("rank").cast("int"))
 
 
 def semantic_route(manifest: DataFrame, provided: DataFrame, context: str, keywords: dict[str, Sequence[str]], cap: int | None = None) -> DataFrame:

@@ -52,8 +52,10 @@ def j7w(spark, d):
 
 @query(
     "J7_missing_columns",
-    f"""WITH {_MARKED}, s AS (SELECT category, worker, round(matched / n, 4) AS score FROM w WHERE matched > 0), t AS (SELECT category, worker FROM s QUALIFY row_number() OVER (PARTITION BY category ORDER BY score DESC, worker) = 1)
-        SELECT k.category, k.worker, token AS column_name, CAST(row_number() OVER (PARTITION BY k.category ORDER BY token) AS INTEGER) AS rank FROM k JOIN t USING (category, worker) WHERE NOT hit""",
+    f"""WITH {_MARKED}, s AS (SELECT category, worker, round(matched / n, 4) AS score FROM w WHERE matched > 0), t AS (SELECT category, worker FROM s QUALIFY row_number() OVER (PARTITION BY category ORDER BY score DESC, worker) = 1),
+        l AS (SELECT k.category, k.worker, token, 0::BIGINT AS n FROM k JOIN t USING (category, worker) WHERE NOT hit),
+        o AS (SELECT category, CAST(NULL AS BIGINT) AS worker, token, count(*) AS n FROM k WHERE category NOT IN (SELECT category FROM l) GROUP BY category, token)
+        SELECT category, worker, token AS column_name, CAST(row_number() OVER (PARTITION BY category ORDER BY n DESC, token) AS INTEGER) AS rank FROM (SELECT * FROM l UNION ALL SELECT * FROM o)""",
 )
 def j7m(spark, d):
     return M.missing_columns(_manifest(spark, d), _provided(spark, d))
@@ -62,7 +64,7 @@ def j7m(spark, d):
 @query(
     "J8_blend_and_decide",
     f"""WITH {_MARKED}, s AS (SELECT worker % 3 AS industry, category || '-' || worker AS category, worker, round(matched / n, 4) AS score FROM w),
-        b AS (SELECT s.industry, s.category, score, coalesce(quality * 0.5::DOUBLE + toxic * 0.25::DOUBLE, 0) AS sem FROM s LEFT JOIN labels ON worker = doc_id), z AS (SELECT *, round(score * 0.85 + sem * 0.15, 4) AS blended FROM b)
+        b AS (SELECT s.industry, s.category, score, coalesce(quality * 0.5::DOUBLE + toxic * 0.25::DOUBLE, 0) AS sem FROM s LEFT JOIN labels ON worker = doc_id), z AS (SELECT *, CAST(round(CAST(score AS DECIMAL(18,9)) * 0.85 + CAST(sem AS DECIMAL(18,9)) * 0.15, 4) AS DOUBLE) AS blended FROM b)
         SELECT industry, category, score, sem AS semantic_score, blended AS blended_score, CASE WHEN score >= 0.8 THEN 'ACCEPT' WHEN score >= 0.2 THEN 'PARTIAL_ACCEPT' ELSE 'REJECT' END AS decision,
           CAST(row_number() OVER (PARTITION BY industry ORDER BY blended DESC, score DESC, category) AS INTEGER) AS rank FROM z""",
 )

@@ -8,6 +8,7 @@ from harborline.operators.transforms import apply_transform
 from harborline.plans.registry import query, table
 from harborline.plans.registry_queries import _batch
 from harborline.session import scratch_path
+from harborline.streaming import limits
 from harborline.streaming import state as X
 from harborline.streaming import streams as L
 
@@ -17,6 +18,11 @@ _RATE = f"""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, ro
     UNION ALL SELECT user_id, rn, event_id, t, CASE WHEN len(f) < 2 THEN list_append(f, t) ELSE f END, len(f) < 2, CASE WHEN len(f) < 2 THEN 0::BIGINT ELSE greatest(1, (f[1] + {_DAY * 1000000} - t) // 1000000) END
     FROM (SELECT e.user_id, e.rn, e.event_id, e.t, list_filter(r.q, lambda x: x >= e.t - {_DAY * 1000000}) AS f FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
   SELECT user_id, event_id, accepted, retry AS retry_after_seconds FROM r"""
+_RATE_ALL = """WITH RECURSIVE e AS (SELECT event_id, epoch_us(ts) AS t, row_number() OVER (ORDER BY ts, event_id) AS rn FROM events),
+  r AS (SELECT rn, event_id, t, [t] AS q, true AS accepted, 0::BIGINT AS retry FROM e WHERE rn = 1
+    UNION ALL SELECT rn, event_id, t, CASE WHEN len(f) < 5 THEN list_append(f, t) ELSE f END, len(f) < 5, CASE WHEN len(f) < 5 THEN 0::BIGINT ELSE greatest(1, (f[1] + 600000000 - t) // 1000000) END
+    FROM (SELECT e.rn, e.event_id, e.t, list_filter(r.q, lambda x: x >= e.t - 600000000) AS f FROM r JOIN e ON e.rn = r.rn + 1))
+  SELECT 'all' AS everyone, event_id, accepted, retry AS retry_after_seconds FROM r"""
 _SESSION = """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
   r AS (SELECT user_id, rn, event_id, t, t AS s, NULL::BIGINT AS l FROM e WHERE rn = 1
     UNION ALL SELECT user_id, rn, event_id, t, CASE WHEN l0 IS NOT NULL AND t >= l0 THEN t ELSE s0 END, CASE WHEN l0 IS NOT NULL AND t < l0 THEN l0 WHEN l0 IS NOT NULL THEN NULL WHEN t > s0 + 3600000000 THEN t + 86400000000 END
@@ -26,7 +32,20 @@ _SESSION = """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t,
 
 @query("X1_rate_check", _RATE)
 def x1(spark, d):
-    return X.rate_check(table(spark, d, "events"), "user_id", "ts", "event_id", 2, _DAY)
+    return limits.rate_check(table(spark, d, "events"), "user_id", "ts", "event_id", 2, _DAY)
+
+
+@query("X1_rate_check_in_blocks", _RATE)
+def x1b(spark, d):
+    """As if no user's events fitted one task: blocks hand their last accepted times on."""
+    return limits.rate_check(table(spark, d, "events"), "user_id", "ts", "event_id", 2, _DAY, group_rows=25)
+
+
+@query("X1_rate_check_one_key", _RATE_ALL)
+def x1k(spark, d):
+    """All events under one key: every task has blocks of it."""
+    ev = table(spark, d, "events").withColumn("everyone", F.lit("all"))
+    return limits.rate_check(ev, "everyone", "ts", "event_id", 5, 600, group_rows=500)
 
 
 @query("X1_rate_stream", _RATE)

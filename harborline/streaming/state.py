@@ -1,14 +1,14 @@
 """Rate limits, fixed sessions and task state, over tables and over streams.
 
-The per-key rules are small state machines that see one event at a time; Spark partitions, sorts
-and keeps the state. State is bounded per key: `limit` times for the limiter, two for a session.
+The limiter lives in `limits`. A session is a small state machine that sees one event at a time; Spark
+partitions, sorts and keeps the state. State is bounded per key: `limit` times for the limiter, two for a session.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,41 +17,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from harborline.functions import scalars as S
 from harborline.operators.ordering import GROUP_ROWS, largest_group, over_ordered, running_max, running_sum
 from harborline.session import materialize
+from harborline.streaming.limits import RATE_COLUMNS, limit_sorted
 
 SECOND = 1_000_000
 
 
-class RateRule:
-    """At most `limit` accepted events within the window; an entry exactly one window old still counts."""
-
-    columns = "accepted boolean, retry_after_seconds long"
-    state = "times array<long>"
-
-    def __init__(self, limit: int, window_seconds: int, saved: Sequence[int] = ()):
-        self.limit, self.window, self.times = limit, window_seconds * SECOND, deque(saved)
-
-    def see(self, t: int) -> tuple[bool, int]:
-        while self.times and self.times[0] < t - self.window:
-            self.times.popleft()
-        if len(self.times) >= self.limit:
-            return False, max(1, (self.times[0] + self.window - t) // SECOND)
-        self.times.append(t)
-        return True, 0
-
-    def dump(self) -> tuple:
-        return (list(self.times),)
-
-    @staticmethod
-    def load(saved: tuple) -> dict:
-        return {"saved": saved[0]}
-
-
 class SessionRule:
     """A session lasts `ttl` from its start. The first access after that locks the key for `cooldown`;
     the first access after the lock starts a new session."""
 
     columns = "state string, session_start long, until long"
-    state = "start long, locked long"
 
     def __init__(self, ttl_seconds: int = 3600, cooldown_seconds: int = 86400, start: int | None = None, locked: int | None = None):
         self.ttl, self.cooldown = ttl_seconds * SECOND, cooldown_seconds * SECOND
@@ -68,12 +43,6 @@ class SessionRule:
             return "locked", self.start, self.locked
         return "active", self.start, self.start + self.ttl
 
-    def dump(self) -> tuple:
-        return (self.start, self.locked)
-
-    @staticmethod
-    def load(saved: tuple) -> dict:
-        return {"start": saved[0], "locked": saved[1]}
 
 
 def _micros(ts: str) -> Column:
@@ -100,21 +69,6 @@ def _run_sorted(df: DataFrame, group: Sequence[str], order: Sequence[str], make:
     return df.repartition(*group).sortWithinPartitions(*group, *order).mapInPandas(step, schema)
 
 
-def rate_check(df: DataFrame, key: str, ts: str, ident: str, limit: int, window_seconds: int) -> DataFrame:
-    """(key, ident, accepted, retry_after_seconds) for every event, in (ts, ident) order per key.
-
-    A pause longer than the window empties the limiter, so a key's events part there into
-    stretches that are worked on separately.
-    """
-    events = df.select(key, ident, _micros(ts).alias("_us"))
-    order = ["_us", ident]
-    biggest = largest_group(events, [key])
-    paused = over_ordered(events, [key], order, lambda w: {"_before": F.lag("_us").over(w)}, before=1, biggest=biggest)
-    fresh = (F.col("_us") - F.col("_before") > window_seconds * SECOND).cast("int")
-    stretches = running_sum(paused, [key], order, {"_stretch": fresh}, biggest=biggest)
-    return _run_sorted(stretches, [key, "_stretch"], order, lambda: RateRule(limit, window_seconds), RateRule.columns, [key, ident])
-
-
 def sessions(
     df: DataFrame, key: str, ts: str, ident: str, ttl_seconds: int = 3600, cooldown_seconds: int = 86400, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
@@ -166,45 +120,58 @@ def _linked_sessions(events: DataFrame, key: str, ident: str, ttl: int, cooldown
     return events.join(stated, [key, "_us"]).select(key, ident, "state", "session_start", "until")
 
 
-def _stateful(df: DataFrame, key: str, ident: str, ts: str, make: Callable[..., object], rule: type, horizon_seconds: int, delay: str) -> DataFrame:
-    """The same rule over a stream: one state per key, events of a trigger in (ts, ident) order.
+See = Callable[[np.ndarray, "tuple | None"], "tuple[list[tuple], tuple]"]
+
+
+def _stateful(df: DataFrame, key: str, ident: str, ts: str, see: See, columns: str, kept: str, horizon_seconds: int, delay: str) -> DataFrame:
+    """A rule over a stream: one state (`kept`) per key, events of a trigger in (ts, ident) order. `see` takes their sorted
+    times and the state, and returns the rows' `columns` and the new state.
 
     A key's state goes once the watermark (`delay` behind the newest event) is `horizon_seconds` past its last event,
     when it can't matter any more. Rows behind the watermark belong to split_late, before this.
 
     A key's events of one trigger are put in order together; the source's files per trigger bound them.
     """
-    names = [c.split()[0] for c in rule.columns.split(", ")]
+    names = [c.split()[0] for c in columns.split(", ")]
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        held = make(**rule.load(state.get)) if state.exists else make()
         rows = sorted((int(t), i) for pdf in batches for t, i in zip(pdf["_us"], pdf[ident]))
-        out = [(k[0], i, *held.see(t)) for t, i in rows]
-        state.update(held.dump())
-        last = max(t for t, _ in rows) // 1000 + horizon_seconds * 1000
+        told, held = see(np.array([t for t, _ in rows], np.int64), state.get if state.exists else None)
+        state.update(held)
+        last = rows[-1][0] // 1000 + horizon_seconds * 1000
         state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[key, ident, *names])
+        yield pd.DataFrame([(k[0], i, *t) for (_, i), t in zip(rows, told)], columns=[key, ident, *names])
 
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = f"`{key}` {types[key]}, `{ident}` {types[ident]}, {rule.columns}"
+    schema = f"`{key}` {types[key]}, `{ident}` {types[ident]}, {columns}"
     return (
         df.select(key, ident, F.col(ts).cast("timestamp").alias("_ts"), _micros(ts).alias("_us"))
         .withWatermark("_ts", delay)
         .groupBy(key)
-        .applyInPandasWithState(step, schema, rule.state, "append", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(step, schema, kept, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
 def rate_stream(df: DataFrame, key: str, ts: str, ident: str, limit: int, window_seconds: int, delay: str = "10 minutes") -> DataFrame:
-    return _stateful(df, key, ident, ts, lambda **kw: RateRule(limit, window_seconds, **kw), RateRule, window_seconds, delay)
+    """limits.rate_check over a stream; a key's state is its last `limit` accepted times."""
+
+    def see(times: np.ndarray, saved: tuple | None) -> tuple[list[tuple], tuple]:
+        accepted, retry, held = limit_sorted(times, np.array([0]), [list(saved[0]) if saved else []], limit, window_seconds * SECOND)
+        return list(zip(accepted.tolist(), retry.tolist())), (held[0],)
+
+    return _stateful(df, key, ident, ts, see, RATE_COLUMNS, "times array<long>", window_seconds, delay)
 
 
 def session_stream(df: DataFrame, key: str, ts: str, ident: str, ttl_seconds: int = 3600, cooldown_seconds: int = 86400, delay: str = "10 minutes") -> DataFrame:
+    def see(times: np.ndarray, saved: tuple | None) -> tuple[list[tuple], tuple]:
+        rule = SessionRule(ttl_seconds, cooldown_seconds, *(saved or (None, None)))
+        return [rule.see(int(t)) for t in times], (rule.start, rule.locked)
+
     # A lock that the next access would set ends a cooldown after that access, so a silent key is as good as new.
-    return _stateful(df, key, ident, ts, lambda **kw: SessionRule(ttl_seconds, cooldown_seconds, **kw), SessionRule, ttl_seconds + cooldown_seconds, delay)
+    return _stateful(df, key, ident, ts, see, SessionRule.columns, "start long, locked long", ttl_seconds + cooldown_seconds, delay)
 
 
 def gap_sessions(df: DataFrame, key: str, ts: str, ident: str, gap_seconds: int = 1800, group_rows: int = GROUP_ROWS) -> DataFrame:

@@ -26,6 +26,7 @@ from harborline.operators.transforms import apply_transform
 from harborline.plans.registry_queries import _batch, _registry
 from harborline.plans.reports import table_report
 from harborline.sources import readers
+from harborline.streaming import limits
 from harborline.streaming import state as ST
 from harborline.streaming.streams import stream_upsert, upserted_texts
 
@@ -112,13 +113,13 @@ def _events(spark, seconds):
 
 
 def test_rate_limit_counts_accepted_only(spark):
-    got = ST.rate_check(_events(spark, [0, 1, 2, 10, 11]), "k", "ts", "id", 2, 10).orderBy("id").collect()
+    got = limits.rate_check(_events(spark, [0, 1, 2, 10, 11]), "k", "ts", "id", 2, 10).orderBy("id").collect()
     assert [r["accepted"] for r in got] == [True, True, False, False, True]
     assert [r["retry_after_seconds"] for r in got] == [0, 0, 8, 1, 0]
 
 
 def test_limit_of_one(spark):
-    got = ST.rate_check(_events(spark, [0, 5, 100]), "k", "ts", "id", 1, 60).orderBy("id").collect()
+    got = limits.rate_check(_events(spark, [0, 5, 100]), "k", "ts", "id", 1, 60).orderBy("id").collect()
     assert [r["accepted"] for r in got] == [True, False, True]
 
 
@@ -126,10 +127,40 @@ def test_rate_stretches_equal_one_pass(spark):
     rng = random.Random(2)
     rows = [(rng.randrange(3), i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rng.randrange(4000))) for i in range(600)]
     df = spark.createDataFrame(rows, "k int, id int, ts timestamp_ntz")
-    got = {r["id"]: r["accepted"] for r in ST.rate_check(df, "k", "ts", "id", 2, 20).collect()}
-    rules = {k: ST.RateRule(2, 20) for k in range(3)}
+    for limit, rows_a_block in ((2, 10**6), (2, 40), (1, 40), (7, 60)):
+        got = {r["id"]: (r["accepted"], r["retry_after_seconds"]) for r in limits.rate_check(df, "k", "ts", "id", limit, 20, group_rows=rows_a_block).collect()}
+        assert got == plain_limit(rows, limit, 20)
+
+
+def plain_limit(rows, limit, window):
+    """By the definition: fewer than `limit` accepted times within the window, counted afresh for every event."""
+    out, times = {}, {}
     for k, i, t in sorted(rows, key=lambda r: (r[2], r[1])):
-        assert got[i] == rules[k].see(int((t - dt.datetime(2024, 1, 1)).total_seconds()) * ST.SECOND)[0]
+        s = (t - dt.datetime(2024, 1, 1)).total_seconds()
+        live = [x for x in times.setdefault(k, []) if x >= s - window]
+        if len(live) < limit:
+            times[k].append(s)
+        out[i] = (True, 0) if len(live) < limit else (False, max(1, int(live[0] + window - s)))
+    return out
+
+
+def test_rate_blocks_that_never_forget(spark):
+    """An event each second: what is accepted depends on the first event for ever, so every block waits for the one before."""
+    rows = [(1, i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i)) for i in range(700)]
+    df = spark.createDataFrame(rows, "k int, id int, ts timestamp_ntz").repartition(5)
+    got = limits.rate_check(df, "k", "ts", "id", 3, 50, group_rows=50)
+    assert {r["id"]: (r["accepted"], r["retry_after_seconds"]) for r in got.collect()} == plain_limit(rows, 3, 50)
+
+
+def test_rate_odd_rows(spark):
+    day = dt.datetime(2024, 1, 1)
+    rows = [(None, 1, day), (None, 2, day), (1, 3, None), (1, 4, day), (1, 4, day), (2, 5, day)]
+    df = spark.createDataFrame(rows, "k int, id int, ts timestamp_ntz")
+    for rows_a_block in (10, 1):
+        got = sorted((r["id"], r["accepted"], r["retry_after_seconds"]) for r in limits.rate_check(df, "k", "ts", "id", 1, 60, group_rows=rows_a_block).collect())
+        assert got == [(1, True, 0), (2, False, 60), (3, False, None), (4, False, 60), (4, True, 0), (5, True, 0)]
+    assert limits.rate_check(df.limit(0), "k", "ts", "id", 1, 60).count() == 0
+    assert limits.rate_check(df, "k", "ts", "id", 0, 60).filter("accepted").count() == 0
 
 
 def test_session_lock(spark):
