@@ -36,7 +36,7 @@ def s1_late(spark, d):
     last = o.agg(F.max("o_orderkey")).first()[0]
     path = scratch_path(spark, "late")
     code = F.concat(F.when(F.col("o_orderkey") == last, "x").otherwise(""), F.col("o_custkey").cast("string"))
-    o.orderBy("o_orderkey").coalesce(1).select("o_orderkey", code.alias("code"), "o_totalprice").write.option("header", True).csv(path)
+    o.orderBy("o_orderkey").select("o_orderkey", code.alias("code"), "o_totalprice").write.option("header", True).csv(path)
     return R.read_delimited(spark, path)
 
 

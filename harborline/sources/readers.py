@@ -11,18 +11,43 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from harborline.sources.quoted import read_quoted
+
 # Cell texts read as null, and separators that are sniffed for.
 NULL_TOKENS = ["", "NA", "N/A", "null", "NULL", "\\N"]
 SEPARATORS = [",", ";", "\t", "|"]
 SNIFF_BYTES = 8192
 
 
+def head_bytes(spark: SparkSession, path: str, n: int = SNIFF_BYTES) -> bytes:
+    """The first n bytes, unpacked if compressed, of the first data file under a path, folder or pattern; no more is read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    seen = list(fs.globStatus(root) or [])
+    while seen:
+        seen.sort(key=lambda f: f.getPath().getName())
+        first = seen.pop(0)
+        if first.getPath().getName().startswith(("_", ".")):
+            continue
+        if first.isDirectory():
+            seen = list(fs.listStatus(first.getPath())) + seen
+        elif first.getLen():
+            codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(first.getPath())
+            stream = fs.open(first.getPath())
+            stream = stream if codec is None else codec.createInputStream(stream)
+            try:
+                return bytes(stream.readNBytes(n))
+            finally:
+                stream.close()
+    return b""
+
+
 def sniff_separator(spark: SparkSession, path: str) -> str:
-    """Separator guessed from the first 8 KiB; the rest of the file is not read."""
+    """Separator guessed from the first 8 KiB of the first file."""
     if path.lower().rstrip("/").endswith(".tsv"):
         return "\t"
-    head = spark.read.format("binaryFile").load(path).orderBy("path").select(F.substring("content", 1, SNIFF_BYTES)).first()
-    sample = bytes(head[0]).decode("utf-8", "replace") if head else ""
+    sample = head_bytes(spark, path).decode("utf-8", "replace")
     lines = sample.splitlines()
     try:
         return csv.Sniffer().sniff(sample, delimiters="".join(SEPARATORS)).delimiter
@@ -36,40 +61,65 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, strict: bool = False, multiline: bool = False) -> DataFrame:
     """Delimited text with a header: null tokens cleared, types that fit every value of the whole file, ragged lines cut.
 
-    `strict` fails on malformed lines instead. `multiline` allows line breaks inside quotes; such a file is read by one
-    task, so it is asked for. No value is lost to a type: one misfit keeps a column's texts.
+    `strict` fails on malformed lines instead. `multiline` allows line breaks inside quotes; byte ranges then first count
+    quotes (see `quoted`), so that such a file is read by all tasks too. Without it, Spark's own reader cuts at every line
+    break. No value is lost to a type: one misfit keeps a column's texts.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("multiLine", multiline)
-        .option("sep", sep or sniff_separator(spark, path))
-        .option("mode", "FAILFAST" if strict else "PERMISSIVE")
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(path)
-    )
+    mark = sep or sniff_separator(spark, path)
+    if multiline:
+        raw = read_quoted(spark, path, mark, strict)
+    else:
+        reader = spark.read.option("header", True).option("sep", mark).option("mode", "FAILFAST" if strict else "PERMISSIVE")
+        raw = reader.option("quote", '"').option("escape", '"').csv(path)
     cleared = raw.select([F.when(~F.trim(F.col(f"`{c}`")).isin(*NULL_TOKENS), F.col(f"`{c}`")).alias(c) for c in raw.columns])
     return cast_by_content(cleared)
 
 
+TYPES = ["bigint", "double", "date", "timestamp_ntz"]
+# Rows from which types are ruled out before the whole table is asked.
+HINT_ROWS = 1_000
+
+
 def cast_by_content(df: DataFrame) -> DataFrame:
-    """Give each text column the narrowest type that all its values take; one aggregate over the table decides."""
-    tried = ["bigint", "double", "date", "timestamp_ntz"]
-    checks = []
-    for c in df.columns:
+    """Give each text column the first of bigint, double, date and timestamp that all its values take, else leave it.
+
+    A few rows rule out most types. The whole table is then asked about one type a column only, and again about the next
+    one for columns with a misfit: once, as a rule. A column without values stays text.
+    """
+    if not df.columns:
+        return df
+    open_ = {c: [t for t in TYPES if found[t]] for c, found in _fits(df.limit(HINT_ROWS), {c: TYPES for c in df.columns}).items()}
+    chosen: dict[str, str | None] = {c: None for c in df.columns}
+    while open_ := {c: types for c, types in open_.items() if types}:
+        found = _fits(df, {c: types[:1] for c, types in open_.items()})
+        for c, types in list(open_.items()):
+            if found[c]["any"] and found[c][types[0]]:
+                chosen[c] = types[0]
+            if not found[c]["any"] or chosen[c]:
+                del open_[c]
+            else:
+                open_[c] = types[1:]
+    return df.select([(F.col(f"`{c}`").try_cast(t) if t else F.col(f"`{c}`")).alias(c) for c, t in chosen.items()])
+
+
+def _fits(df: DataFrame, asked: dict[str, list[str]]) -> dict[str, dict[str, bool]]:
+    """Per column whether it has values (`any`) and whether all of them take each type asked; true without values."""
+    checks, names = [], []
+    for c, types in asked.items():
         v = F.col(f"`{c}`")
-        checks.append(F.count(v).alias(f"{c}|n"))
-        checks += [F.count(v.try_cast(t)).alias(f"{c}|{t}") for t in tried]
-        # A text with a clock time also casts to a date; such columns keep the time.
-        checks.append(F.bool_or(v.rlike("[0-9]:[0-9]")).alias(f"{c}|timed"))
-    counts = df.agg(*checks).first().asDict() if checks else {}
-
-    def typed(c: str) -> Column:
-        v, n = F.col(f"`{c}`"), counts[f"{c}|n"]
-        fits = [t for t in tried if n and counts[f"{c}|{t}"] == n and not (t == "date" and counts[f"{c}|timed"])]
-        return (v.try_cast(fits[0]) if fits else v).alias(c)
-
-    return df.select([typed(c) for c in df.columns])
+        checks.append(F.count(v) > 0)
+        names.append((c, "any"))
+        for t in types:
+            misfit = v.try_cast(t).isNull()
+            # A text with a clock time also casts to a date; such columns keep the time.
+            misfit = misfit | v.rlike("[0-9]:[0-9]") if t == "date" else misfit
+            checks.append(F.count_if(v.isNotNull() & misfit) == 0)
+            names.append((c, t))
+    row = df.agg(*[k.alias(f"_{i}") for i, k in enumerate(checks)]).first()
+    out: dict[str, dict[str, bool]] = {c: {} for c in asked}
+    for (c, t), yes in zip(names, row):
+        out[c][t] = bool(yes)
+    return out
 
 
 def read_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:

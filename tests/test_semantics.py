@@ -1,7 +1,10 @@
 """Hand-made frames for the rules that differ between engines, and the stated upstream behaviour."""
 
+import collections
+import csv
 import datetime as dt
 import difflib
+import gzip
 import hashlib
 import hmac
 import itertools
@@ -26,6 +29,7 @@ from harborline.operators.transforms import apply_transform
 from harborline.plans.registry_queries import _batch, _registry
 from harborline.plans.reports import table_report
 from harborline.sources import readers
+from harborline.sources.quoted import header_names, read_quoted
 from harborline.streaming import limits
 from harborline.streaming import state as ST
 from harborline.streaming.streams import stream_upsert, upserted_texts
@@ -392,6 +396,62 @@ def test_registry_keeps_all_notes_and_evidence(spark, tmp_path):
     assert table.latest()[0] == 1 and [r["notes"] for r in read_texts(upserted_texts(table), "notes").collect()] == [notes]
 
 
+def test_quoted_breaks_in_many_byte_ranges(spark, tmp_path):
+    """Records cut by all byte ranges at once are those that Python's reader finds in each file."""
+    rng, want = random.Random(5), []
+    for f in range(2):
+        with open(tmp_path / f"f{f}.csv", "w", newline="") as h:
+            w = csv.writer(h, lineterminator=["\n", "\r\n"][f], quoting=[csv.QUOTE_MINIMAL, csv.QUOTE_ALL][f])
+            w.writerow(["id", "a\nb", "A\nB"])
+            for i in range(60):
+                cell = "".join(rng.choice(["x", "\n", '"', ",", "\r\n", "yy yy", "é", "z" * 30]) for _ in range(rng.choice([0, 1, 3, 12, 80])))
+                row = (str(f * 1000 + i), cell, rng.choice(["k", "", "line\nbreak"]))
+                w.writerow(row)
+                want.append(tuple(c or None for c in row))
+    (tmp_path / "_skipped.csv").write_text("id\n")
+    sizes = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    try:
+        for bytes_a_range in ("1500", "128m"):
+            for key, value in zip(sizes, (bytes_a_range, "1")):
+                spark.conf.set(key, value)
+            df = read_quoted(spark, str(tmp_path), ",")
+            assert df.columns == ["id", "a\nb1", "A\nB2"]
+            got = [tuple(r) for r in df.collect()]
+            assert collections.Counter(got) == collections.Counter(want)
+    finally:
+        for key in sizes:
+            spark.conf.unset(key)
+
+
+def test_quoted_odd_files(spark, tmp_path):
+    for name, text, rows in [
+        ("empty.csv", "", []), ("header.csv", "a,b", []), ("ragged.csv", 'a,b\n1\n\n1,"x\ny",3\n', [("1", None), ("1", "x\ny")]),
+        ("unclosed.csv", 'a,b\n1,"x\ny\n', [("1", "x\ny")]), ("bom.csv", "\ufeffa,b\r\n1,2\r\n", [("1", "2")]),
+    ]:
+        (tmp_path / name).write_text(text, encoding="utf-8", newline="")
+        df = read_quoted(spark, str(tmp_path / name), ",")
+        assert [tuple(r) for r in df.collect()] == rows and df.columns == (["a", "b"] if text else [])
+    assert header_names('x,,"x",y', ",") == ["x0", "_c1", "x2", "y"]
+
+
+def test_head_is_read_unpacked_and_bounded(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "_SUCCESS").write_text("no")
+    (tmp_path / "d" / "a.csv").write_text("")
+    with gzip.open(tmp_path / "d" / "b.csv.gz", "wt") as h:
+        h.write("p;q\n" + "1;2\n" * 10_000)
+    assert readers.head_bytes(spark, str(tmp_path / "d"), 7) == b"p;q\n1;2"
+    assert readers.sniff_separator(spark, str(tmp_path / "d")) == ";"
+    assert readers.head_bytes(spark, str(tmp_path / "none")) == b""
+
+
+def test_types_after_a_late_misfit(spark, monkeypatch):
+    monkeypatch.setattr(readers, "HINT_ROWS", 2)
+    rows = [("1", "1", "2024-01-01", "x", None, "1"), ("2", "2", "2024-01-02", "y", None, "2"), ("3", "2.5", "2024-01-02 10:00:00", "z", None, "k")]
+    df = readers.cast_by_content(spark.createDataFrame(rows, "a string, b string, c string, d string, e string, f string").coalesce(1))
+    assert [t for _, t in df.dtypes] == ["bigint", "double", "timestamp_ntz", "string", "string", "string"]
+
+
 def test_delimited_reader(spark, tmp_path):
     f = tmp_path / "x.csv"
     f.write_text("id|name|day|amount\n1|a|2024-01-05|1.5\n2|N/A|2024-02-05|\\N\n3|b|2024-03-05|2|extra\n")
