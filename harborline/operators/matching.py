@@ -116,7 +116,7 @@ def blend_and_decide(scores: DataFrame, semantic: DataFrame, top: int | None = N
 
 def _ranked(df: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
     """Adds the row's number in its group; large groups are numbered in blocks."""
-    return running_sum(df, [group], order, {"rank": F.lit(1)}).withColumn("rank", F.col("rank").cast("int"))
+    return running_sum(materialize(df), [group], order, {"rank": F.lit(1)}).withColumn("rank", F.col("rank").cast("int"))
 
 
 def semantic_route(manifest: DataFrame, provided: DataFrame, context: str, keywords: dict[str, Sequence[str]], cap: int | None = None) -> DataFrame:

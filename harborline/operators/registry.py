@@ -54,7 +54,7 @@ def registry_texts(registry: DataFrame, key: Column, kinds: Sequence[str]) -> Da
 def alias_texts(batch: DataFrame) -> DataFrame:
     """TEXT_SCHEMA: all notes and evidence of a batch of sightings. A note is evidence, too."""
     with_note = F.concat(F.coalesce("evidence", F.array().cast("array<string>")), F.array(F.coalesce("note", F.lit(""))))
-    return _text_rows(_usable(batch).withColumn("key", alias_key()), F.col("seq"), {"notes": F.array("note"), "evidence": with_note})
+    return _text_rows(usable_sightings(batch).withColumn("key", alias_key()), F.col("seq"), {"notes": F.array("note"), "evidence": with_note})
 
 
 def semantic_texts(batch: DataFrame) -> DataFrame:
@@ -74,7 +74,8 @@ def read_texts(texts: DataFrame, kind: str, last: int | None = None) -> DataFram
     return items.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "text"))), lambda x: x["text"]).alias(kind))
 
 
-def _usable(batch: DataFrame) -> DataFrame:
+def usable_sightings(batch: DataFrame) -> DataFrame:
+    """Sightings whose two names are not blank and do not name the same token."""
     named = batch.filter((F.trim("canonical_column") != "") & (F.trim("alias") != ""))
     return named.filter(S.unicode_token(F.col("canonical_column")) != S.unicode_token(F.col("alias")))
 
@@ -106,7 +107,7 @@ def upsert_aliases(registry: DataFrame, batch: DataFrame) -> DataFrame:
     """
     # Both sides are read several times below; the batch may come from a costly job or a stream.
     old = materialize(registry.withColumn("key", alias_key()))
-    new = materialize(_usable(batch).withColumn("key", alias_key()))
+    new = materialize(usable_sightings(batch).withColumn("key", alias_key()))
     start = F.lit(-1).cast("long")
     one_old = old.select(
         "key", start.alias("at"), "canonical_column", "alias", F.lower("status").alias("status"), "confidence", "source", "first_seen", "last_seen", F.col("hit_count").alias("hits")

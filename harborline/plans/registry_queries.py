@@ -48,13 +48,12 @@ _BAT = """bat AS (SELECT p_brand AS canonical_column, lower(p_type) AS alias, ro
     "R1_upsert_aliases",
     f"""WITH {_REG}, {_BAT}, b AS (SELECT canonical_column, alias, count(*) AS n, max(confidence) AS c, max(event_time) AS t, array_to_string(list_sort(list_distinct(list_concat(['base'], list(DISTINCT l_returnflag)))), ',') AS cats, count(DISTINCT l_linestatus) + 1 AS ids FROM bat GROUP BY 1, 2)
         SELECT canonical_column, alias, status, round(greatest(reg.confidence, coalesce(c, 0)), 6) AS confidence, CASE WHEN n IS NULL THEN 'parts' ELSE 'lines' END AS source, coalesce(cats, 'base') AS categories, CAST(coalesce(ids, 1) AS INTEGER) AS n_datasets,
-          CAST(reg.hit_count + coalesce(n, 0) AS BIGINT) AS hit_count, CAST(least(20, 1 + coalesce(n, 0)) AS INTEGER) AS n_notes FROM reg LEFT JOIN b USING (canonical_column, alias)""",
+          CAST(reg.hit_count + coalesce(n, 0) AS BIGINT) AS hit_count, CAST(1 + coalesce(n, 0) AS INTEGER) AS n_notes FROM reg LEFT JOIN b USING (canonical_column, alias)""",
 )
 def r1(spark, d):
     reg, batch = _registry(spark, d), _batch(spark, d)
     texts = R.registry_texts(reg, R.alias_key(), ["notes", "evidence"]).unionByName(R.alias_texts(batch))
-    # The SQL counts the newest 20 notes as a reader sees them; the table holds all.
-    notes = R.read_texts(texts, "notes", last=20)
+    notes = R.read_texts(texts, "notes")
     out = R.upsert_aliases(reg, batch).withColumn("key", R.alias_key()).join(notes, "key", "left")
     return out.select(
         "canonical_column", "alias", "status", F.round("confidence", 6).alias("confidence"), "source", F.array_join("categories", ",").alias("categories"),
@@ -82,7 +81,7 @@ def r3(spark, d):
     "R4_upsert_semantics",
     """WITH r AS (SELECT event_type AS target, -1 AS pos, CASE WHEN event_type = 'view' THEN '' ELSE 'old ' || event_type END AS meaning, 0.2::DOUBLE AS conf, 5 AS hits, 'base' AS cat, NULL::TIMESTAMP AS t FROM events GROUP BY 1),
        b AS (SELECT event_type AS target, event_id AS pos, CASE WHEN value > 20 THEN 'seen ' || user_id ELSE '' END AS meaning, least(1.0, value / 200) AS conf, 1 AS hits, 'day' || isodow(ts) AS cat, ts AS t FROM events), u AS (SELECT * FROM r UNION ALL SELECT * FROM b),
-       f AS (SELECT event_type AS target, CAST(least(30, count(DISTINCT user_id)) AS INTEGER) AS n_evidence FROM events GROUP BY 1)
+       f AS (SELECT event_type AS target, CAST(count(DISTINCT user_id) AS INTEGER) AS n_evidence FROM events GROUP BY 1)
        SELECT target AS target_column, arg_min(meaning, pos) FILTER (meaning <> '') AS meaning, CASE WHEN target = 'click' THEN 'approved' ELSE 'candidate' END AS status, round(max(conf), 6) AS confidence, CAST(sum(hits) AS BIGINT) AS hit_count,
          array_to_string(list_sort(list(DISTINCT cat)), ',') AS categories, max(t) AS last_seen, max(n_evidence) AS n_evidence FROM u JOIN f USING (target) GROUP BY target""",
 )
@@ -100,8 +99,7 @@ def r4(spark, d):
         F.concat(F.lit("day"), (F.weekday("ts") + 1).cast("string")).alias("category"), F.lit("w1").alias("worker_model_id"), F.array(F.concat(F.lit("user "), F.col("user_id").cast("string"))).alias("evidence"),
     )
     texts = R.registry_texts(reg, R.semantic_key(), ["evidence"]).unionByName(R.semantic_texts(batch))
-    # The SQL counts the newest 30 as a reader sees them; the table holds all.
-    evidence = R.read_texts(texts, "evidence", last=30)
+    evidence = R.read_texts(texts, "evidence")
     out = R.upsert_semantics(reg, batch).withColumn("key", R.semantic_key()).join(evidence, "key", "left")
     return out.select(
         "target_column", "meaning", "status", F.round("confidence", 6).alias("confidence"), "hit_count", F.array_join("categories", ",").alias("categories"), "last_seen", F.size(F.coalesce("evidence", F.array().cast(_EMPTY))).alias("n_evidence")

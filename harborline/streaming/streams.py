@@ -1,4 +1,4 @@
-"""Stream sources and sinks: file feeds, late rows, and registry versions per micro-batch."""
+"""Stream sources and sinks: file feeds, late rows, and a registry kept up by micro-batches."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.operators.registry import ALIAS_SCHEMA, TEXT_SCHEMA, alias_texts, upsert_aliases
+from harborline.operators.registry import ALIAS_SCHEMA, TEXT_SCHEMA, alias_key, alias_texts, usable_sightings
 from harborline.session import scratch_path
+from harborline.streaming.delta_log import DeltaLog, Keyed
 
 
 def file_feed(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 64) -> DataFrame:
@@ -40,54 +41,69 @@ def tail_events(feed: DataFrame, seq: str, after: int) -> DataFrame:
     return feed.filter(F.col(seq) > after)
 
 
-class VersionedTable:
-    """Parquet versions of a small table; a version counts once its number is in the commit log."""
+AT = "struct<batch:bigint,seq:bigint>"
+VALUES = (
+    f"key string, first_at {AT}, canonical_column string, alias string, status string, last_at {AT}, source string, confidence double, "
+    "first_seen timestamp_ntz, last_seen timestamp_ntz, hit_count bigint"
+)
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+
+def _merged_values(rows: DataFrame) -> DataFrame:
+    """What was seen first or last of each key, with its place, so that merged rows can be merged again."""
+    return rows.groupBy("key").agg(
+        F.min("first_at").alias("first_at"), F.min_by("canonical_column", "first_at").alias("canonical_column"), F.min_by("alias", "first_at").alias("alias"),
+        F.min_by("status", "first_at").alias("status"), F.max("last_at").alias("last_at"), F.max_by("source", "last_at").alias("source"), F.max("confidence").alias("confidence"),
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("hit_count").alias("hit_count"),
+    )
+
+
+class AliasLog:
+    """A registry of aliases as a log of deltas: single values, list entries and texts of each key are tables of their own."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        tables = {
+            "values": Keyed(VALUES, ("key",), _merged_values),
+            "items": Keyed("key string, kind string, item string", ("key", "kind", "item"), lambda rows: rows.distinct()),
+            "texts": Keyed(TEXT_SCHEMA, ("key", "kind", "at", "ord"), lambda rows: rows),
+        }
+        self.log = DeltaLog(spark, path, tables)
+
+    def add(self, batch: DataFrame, number: int) -> None:
+        if number <= self.log.batch:
+            return
+        seen = usable_sightings(batch).withColumn("key", alias_key())
+        at = F.struct(F.lit(number).cast("bigint").alias("batch"), F.col("seq").alias("seq"))
+        values = seen.select(
+            "key", at.alias("first_at"), F.trim("canonical_column").alias("canonical_column"), F.trim("alias").alias("alias"), F.lit("candidate").alias("status"), at.alias("last_at"), "source",
+            F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.col("event_time").alias("first_seen"), F.col("event_time").alias("last_seen"), F.lit(1).cast("bigint").alias("hit_count"),
+        )
+        entry = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.trim(c).alias("item"))
+        entries = F.explode(F.array(entry("categories", "category"), entry("worker_dataset_ids", "worker_dataset_id")))
+        items = seen.select("key", entries.alias("e")).select("key", "e.kind", "e.item").filter("item <> ''")
+        self.log.commit(number, {"values": values, "items": items, "texts": alias_texts(batch)})
 
     def latest(self) -> tuple[int, DataFrame]:
-        empty = self.spark.createDataFrame([], self.schema)
-        try:
-            row = self.spark.read.schema("version long").json(f"{self.path}/commits").agg(F.max("version")).first()
-        except Exception as e:  # no commit yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return -1, empty
-        if row[0] is None:
-            return -1, empty
-        return row[0], self.spark.read.schema(self.schema).parquet(f"{self.path}/v{row[0]}")
-
-    def commit(self, version: int, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/v{version}")
-        self.spark.range(1).select(F.lit(version).cast("long").alias("version")).write.mode("append").json(f"{self.path}/commits")
-
-
-def stream_upsert(batches: DataFrame, path: str, checkpoint: str | None = None) -> VersionedTable:
-    """Merge a stream of alias sightings into a versioned registry, one version per micro-batch.
-
-    A batch that is repeated after a failure finds its version committed and changes nothing. Notes and evidence
-    are only added, a folder for each batch; `upserted_texts` reads them.
-    """
-    table = VersionedTable(batches.sparkSession, path, ALIAS_SCHEMA)
+        """(last batch, the registry in ALIAS_SCHEMA)."""
+        lists = self.log.read("items").groupBy("key").pivot("kind", ["categories", "worker_dataset_ids"]).agg(F.array_sort(F.collect_list("item")))
+        none = F.array().cast("array<string>")
+        told = self.log.read("values").join(lists, "key", "left")
+        names = [f.split(" ")[0] for f in ALIAS_SCHEMA.split(", ")]
+        return self.log.batch, told.withColumns({c: F.coalesce(c, none) for c in ("categories", "worker_dataset_ids")}).select(*names)
 
-    def merge(batch: DataFrame, number: int) -> None:
-        version, current = table.latest()
-        if version < number:
-            alias_texts(batch).write.mode("overwrite").parquet(f"{table.path}/texts/batch={number}")
-            table.commit(number, upsert_aliases(current, batch))
 
-    run_batches(batches, "alias-upsert", "append", merge, checkpoint)
+def stream_upsert(batches: DataFrame, path: str, checkpoint: str | None = None) -> AliasLog:
+    """Merge a stream of alias sightings into a registry kept as a log: a micro-batch writes its own keys' buckets only.
+
+    A batch that is repeated after a failure changes nothing. Notes and evidence are kept whole; `upserted_texts` reads them.
+    """
+    table = AliasLog(batches.sparkSession, path)
+    run_batches(batches, "alias-upsert", "append", table.add, checkpoint)
     return table
 
 
-def upserted_texts(table: VersionedTable) -> DataFrame:
-    """All notes and evidence of the registry's committed batches."""
-    version, _ = table.latest()
-    if version < 0:
-        return table.spark.createDataFrame([], TEXT_SCHEMA)
-    rows = table.spark.read.schema(f"{TEXT_SCHEMA}, batch long").parquet(f"{table.path}/texts")
-    return rows.filter(F.col("batch") <= version).drop("batch")
+def upserted_texts(table: AliasLog) -> DataFrame:
+    """TEXT_SCHEMA: all notes and evidence of the registry's batches."""
+    return table.log.read("texts")
 
 
 def split_late(feed: DataFrame, ts: str, path: str, delay_seconds: int = 600, checkpoint: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -96,14 +112,14 @@ def split_late(feed: DataFrame, ts: str, path: str, delay_seconds: int = 600, ch
     Nothing is dropped. The newest time is kept with each finished batch, so a restart knows it.
     """
     spark = feed.sparkSession
-    marks = VersionedTable(spark, f"{path}/marks", "mark long")
+    newest_of = lambda rows: rows.groupBy("kind").agg(F.max("mark").alias("mark"))
+    marks = DeltaLog(spark, f"{path}/marks", {"marks": Keyed("kind string, mark bigint", ("kind",), newest_of, 1)})
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
 
     def sort_out(batch: DataFrame, number: int) -> None:
-        version, held = marks.latest()
-        if version >= number:
+        if marks.batch >= number:
             return
-        row = held.first()
+        row = marks.read("marks").first()
         mark = row["mark"] if row is not None and row["mark"] is not None else None
         late = (micros < F.lit(mark - delay_seconds * 1_000_000)) if mark is not None else F.lit(False)
         late = F.coalesce(late, F.lit(False))
@@ -113,7 +129,7 @@ def split_late(feed: DataFrame, ts: str, path: str, delay_seconds: int = 600, ch
         newest = batch.agg(F.max(micros)).first()[0]
         top = max(x for x in (mark, newest) if x is not None) if (mark is not None or newest is not None) else None
         batch.unpersist()
-        marks.commit(number, spark.createDataFrame([(top,)], "mark long"))
+        marks.commit(number, {"marks": spark.createDataFrame([("newest", top)], "kind string, mark bigint")})
 
     run_batches(feed, "late", "append", sort_out, checkpoint)
     read = lambda kind: spark.read.schema(feed.schema).parquet(f"{path}/{kind}")
