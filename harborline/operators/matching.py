@@ -165,28 +165,64 @@ def sequence_ratio(a: Column, b: Column, floor: float) -> Column:
     return ratio(a, b)
 
 
-def segment_pairs(left: DataFrame, right: DataFrame, share: float, both: bool) -> DataFrame:
+def kept_letters(together: Column, floor: float) -> Column:
+    """Letters that two texts must have in common, in order, for a ratio of `floor`; `together` is the sum of their lengths."""
+    # A hair is taken off so that a bound that is a whole number isn't lost to rounding.
+    return F.ceil(together * (floor / 2) - 1e-9).cast("int")
+
+
+# Texts up to this length are met by the letters they keep: at a floor of 0.75, 495 ways at most to keep them.
+SHORT_NAME = 12
+
+
+def subsequence_pairs(left: DataFrame, right: DataFrame, floor: float, longest: int = SHORT_NAME) -> DataFrame:
+    """(l, r) pairs of texts of up to `longest` letters that have as many letters in common, in order, as `floor` asks for.
+
+    Two lengths fix that number. For every partner length a text is written down with each choice of letters kept, so
+    the two texts of a pair have one writing in common: the join is on (both lengths, writing), and only such pairs meet.
+    """
+
+    def written(df: DataFrame, own: str, name: str) -> DataFrame:
+        n, m = F.length("t"), F.col("m")
+        # A partner is no shorter or longer than a full match of the shorter one allows.
+        low, high = F.ceil(n * (floor / (2 - floor)) - 1e-9), F.floor(n * ((2 - floor) / floor) + 1e-9)
+        lengths = df.filter(n <= longest).select("t", F.explode(F.sequence(F.greatest(F.lit(1), low).cast("int"), F.least(F.lit(longest), high.cast("int")))).alias("m"))
+        rounds = lengths.withColumn("gone", n - kept_letters(n + m, floor)).filter(F.col("gone") >= 0)
+        cut = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+        once = lambda words, _: F.array_distinct(F.flatten(F.transform(words, cut)))
+        turns = F.when(F.col("gone") > 0, F.sequence(F.lit(1), F.col("gone"))).otherwise(F.array().cast("array<int>"))
+        writings = F.aggregate(turns, F.array("t"), once)
+        ln, rn = (n, m) if own == "l" else (m, n)
+        return rounds.select(ln.alias("ln"), rn.alias("rn"), F.explode(writings).alias("w"), F.col("t").alias(name))
+
+    return written(left, "l", "l").join(written(right, "r", "r"), ["ln", "rn", "w"]).select("l", "r").distinct()
+
+
+def segment_pairs(left: DataFrame, right: DataFrame, share: float, both: bool, longer_than: int = 0) -> DataFrame:
     """(l, r) token pairs that may be turned into each other by few edits; no pair that can be is missed.
 
-    Edits are at most `share` times the longer length, or with `both` times the two lengths together. The longer text is
-    cut into one piece more than edits allowed, so one piece is met unchanged in the shorter, moved by no more places
-    than there are edits: the join is on (longer length, piece number, piece).
+    Edits are at most `share` times the longer length, or with `both` what a ratio of 1 - `share` leaves of the two
+    lengths together. The longer text (of more than `longer_than` letters) is cut into one piece more than edits allowed,
+    so one piece is met unchanged in the shorter, moved by no more places than there are edits: the join is on (longer
+    length, piece number, piece).
     """
     n, m = F.col("n"), F.length("t")
+    left_over = lambda together: together - 2 * kept_letters(together, 1.0 - share)
     # A hair is added so that a bound that is a whole number isn't lost to rounding.
-    edits = lambda long, short: F.floor((long + short if both else long) * share + 1e-9).cast("int")
-    number = lambda long: edits(long, long) + 1
+    edits = lambda long, short: left_over(long + short) if both else F.floor(long * share + 1e-9).cast("int")
+    # With `both`, a partner shorter by one may allow one edit more; still shorter ones don't.
+    number = lambda long: (F.greatest(edits(long, long), edits(long, long - 1)) if both else edits(long, long)) + 1
     start = lambda long, i: F.floor(i * long / number(long)).cast("int")
 
     def as_long(df: DataFrame) -> DataFrame:
         i = F.col("i")
-        rows = df.select("t", m.alias("n")).select("t", "n", F.explode(F.sequence(F.lit(0), F.least(number(n), n) - 1)).alias("i"))
+        rows = df.select("t", m.alias("n")).filter(n > longer_than).select("t", "n", F.explode(F.sequence(F.lit(0), F.least(number(n), n) - 1)).alias("i"))
         return rows.select("n", "i", F.substring("t", start(n, i) + 1, start(n, i + 1) - start(n, i)).alias("piece"), "t")
 
     def as_short(df: DataFrame) -> DataFrame:
         # The longer of a pair within the bound is no longer than this.
         top = F.floor(m * ((1 + share) / (1 - share) if both else 1 / (1 - share)) + 1e-9).cast("int")
-        lengths = df.filter(m > 0).select("t", F.explode(F.sequence(m, top)).alias("n"))
+        lengths = df.filter(m > 0).select("t", F.explode(F.sequence(m, top)).alias("n")).filter(n > longer_than)
         rows = lengths.select("t", "n", F.explode(F.sequence(F.lit(0), F.least(number(n), n) - 1)).alias("i"))
         i, size = F.col("i"), start(n, F.col("i") + 1) - start(n, F.col("i"))
         low, high = F.greatest(F.lit(0), start(n, i) - edits(n, m)), F.least(m - size, start(n, i) + edits(n, m))
@@ -212,10 +248,10 @@ def levenshtein_match(left: DataFrame, right: DataFrame, min_score: float = 0.78
 def fuzzy_candidates(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
     """(l, r) token pairs that can be equal, contained, or similar at the floor; no pair that can is missed.
 
-    A ratio of t means that t/2 of all letters match in order, so inserting and deleting the others, (1 - t) times both
-    lengths together, turns one into the other: segment_pairs finds these. Two texts with ratio >= t also share at
-    least |a|+|b| times (1.5t - 1) minus one letter pairs, which thins them out. A contained text shares all its own
-    pairs, so its single rarest inner pair is enough.
+    A ratio of t means that t/2 of all letters match in order. Short texts meet by the letters kept (subsequence_pairs).
+    With a longer one, inserting and deleting the other letters turns one text into the other: segment_pairs finds
+    these, and as two texts with ratio >= t share at least |a|+|b| times (1.5t - 1) minus one letter pairs, that thins
+    them out. A contained text shares all its own pairs, so its single rarest inner pair is enough.
     """
     if floor < 0.75:
         raise ValueError("the candidate bound holds for floors of 0.75 and above")
@@ -223,8 +259,9 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, floor: float) -> DataFra
     l_all, r_all = toks(left), toks(right)
     length = F.length("l") + F.length("r")
     needed = F.greatest(F.lit(1), F.ceil(length * (1.5 * floor - 1.0) - 1.0).cast("int"))
-    near = (
-        segment_pairs(left, right, 1.0 - floor, both=True)
+    short = subsequence_pairs(left, right, floor)
+    near = short.unionByName(
+        segment_pairs(left, right, 1.0 - floor, both=True, longer_than=SHORT_NAME)
         .filter(2.0 * F.least(F.length("l"), F.length("r")) >= floor * length)
         .filter(F.size(F.array_intersect(_grams(F.col("l")), _grams(F.col("r")))) >= needed)
     )

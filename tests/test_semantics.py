@@ -257,6 +257,34 @@ def test_fuzzy_match_misses_nothing(spark):
         assert {r["name"]: (r["match"], r["score"]) for r in got} == {a: (b, round(-s, 4)) for a, (s, b) in want.items()}
 
 
+def test_fuzzy_candidates_of_real_words_are_few_and_whole(spark):
+    """Of the documents' words, fewer than one pair in a hundred meets, and none above the floor is missed."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    words = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("t")).filter(F.length("t") >= 4).distinct()
+    left = words.orderBy(F.md5("t")).limit(260)
+    right = words.orderBy(F.md5(F.concat("t", F.lit("x")))).limit(260)
+    pairs = M.fuzzy_candidates(left, right, 0.78)
+    met = {(r["l"], r["r"]) for r in pairs.collect()}
+    a, b = [r["t"] for r in left.collect()], [r["t"] for r in right.collect()]
+    similar = {(x, y) for x, y in itertools.product(a, b) if difflib.SequenceMatcher(a=x, b=y).ratio() >= 0.78}
+    assert similar <= met and len(met) < 0.01 * len(a) * len(b)
+
+
+def test_long_names_meet(spark):
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abcdefgh_") for _ in range(rng.randrange(9, 26))) for _ in range(40)]
+    edited = []
+    for w in base * 3:
+        v = list(w)
+        for _ in range(rng.randrange(6)):
+            v[rng.randrange(len(v))] = rng.choice(["", "a", "xy", "_"])
+        edited.append("".join(v) or "a")
+    for floor in (0.75, 0.82, 0.9):
+        want = {(x, y) for x in base for y in edited if difflib.SequenceMatcher(a=x, b=y).ratio() >= floor}
+        got = {(r["l"], r["r"]) for r in M.fuzzy_candidates(spark.createDataFrame([(w,) for w in set(base)], "t string"), spark.createDataFrame([(w,) for w in set(edited)], "t string"), floor).collect()}
+        assert want <= got
+
+
 def test_align_columns(spark):
     df = spark.createDataFrame([("2024-01-01", 1.0)], "eventdate string, demandvolume double")
     out = R.align_columns(df, {"event_date": "string", "demand_volume": "double", "orders_count": "long"})
