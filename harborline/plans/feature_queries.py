@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from harborline.functions import scalars as S
 from harborline.operators import features as E
+from harborline.operators.linear import fit_linear, linear_report
 from harborline.operators.specs import apply_feature_spec, dataset_job
 from harborline.plans.registry import query, table
 
@@ -144,6 +145,24 @@ def e14(spark, d):
     return report
 
 
+@query(
+    "E14_linear_model",
+    """WITH f AS (SELECT l_quantity AS x, l_tax AS z, l_extendedprice AS y FROM lineitem WHERE l_orderkey % 5 <> 0),
+        s AS (SELECT count(*) AS n, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, covar_pop(x, x) AS xx, covar_pop(x, z) AS xz, covar_pop(z, z) AS zz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy FROM f),
+        w AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS b, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS c FROM s),
+        p AS (SELECT l_extendedprice AS y, my - b * mx - c * mz + b * l_quantity + c * l_tax AS p FROM lineitem, w WHERE l_orderkey % 5 = 0),
+        r AS (SELECT count(*) AS rows, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS r2, avg(abs(y - p)) AS mae, sqrt(avg((y - p) * (y - p))) AS rmse FROM p)
+        SELECT round(b, 4) AS w_quantity, round(c, 4) AS w_tax, round(my - b * mx - c * mz, 4) AS intercept, n AS fitted, rows, round(r2, 8) AS r2, round(mae, 4) AS mae, round(rmse, 4) AS rmse FROM w, r""",
+)
+def e14l(spark, d):
+    """The price of an order line from quantity and tax, fitted on four fifths of the orders and scored on the others."""
+    li = table(spark, d, "lineitem")
+    model = fit_linear(li.filter("l_orderkey % 5 <> 0"), ["l_quantity", "l_tax"], "l_extendedprice")
+    told = [F.round(F.lit(v), 4).alias(n) for n, v in zip(("w_quantity", "w_tax", "intercept"), (*model.weights, model.intercept))]
+    report = linear_report(li.filter("l_orderkey % 5 = 0"), model, "l_extendedprice")
+    return report.select(*told, F.lit(model.rows).cast("bigint").alias("fitted"), "rows", F.round("r2", 8).alias("r2"), F.round("mae", 4).alias("mae"), F.round("rmse", 4).alias("rmse"))
+
+
 @query(
     "E11_feature_spec",
     """SELECT s_suppkey, coalesce(s_name, '') || '-' || n_name AS label, CAST(s_suppkey % 2400 // 100 AS INTEGER) AS clock_hour, CAST(s_suppkey % 100 % 60 AS INTEGER) AS minute, round(sin(s_suppkey * 2 * pi() / 24), 8) AS turn_sin,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from harborline.operators.transforms import apply_transform
+from harborline.operators.transforms import apply_transform, jaro_similarity, json_fields
 from harborline.plans.registry import query, table
 from harborline.plans.registry_queries import _batch
 from harborline.session import scratch_path
@@ -173,3 +173,17 @@ def d2(spark, d):
     lifted = apply_transform(o, lambda df, context: df.withColumn("lifted", F.col("o_totalprice") * context["lift"]), {"lift": 1.5})
     kept = apply_transform(lifted, lambda df: df.filter("o_orderkey < 0"))
     return kept.select("o_orderkey", "lifted")
+
+
+@query("D1_json_fields", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS absent FROM events")
+def d1(spark, d):
+    """A table function in Python whose columns follow from its arguments."""
+    table(spark, d, "events").createOrReplaceTempView("_d1_events")
+    spark.udtf.register("json_fields", json_fields)
+    return spark.sql("SELECT event_id, f.k, f.absent FROM _d1_events, LATERAL json_fields(props, 'k bigint, absent string') AS f")
+
+
+@query("D4_batch_similarity", "SELECT p_partkey, round(jaro_similarity(lower(p_name), lower(p_type)), 6) AS similarity FROM part")
+def d4(spark, d):
+    """A measure that has no built-in form, worked out in Arrow batches."""
+    return table(spark, d, "part").select("p_partkey", F.round(jaro_similarity(F.lower("p_name"), F.lower("p_type")), 6).alias("similarity"))

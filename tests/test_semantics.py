@@ -10,6 +10,7 @@ import hmac
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,8 +25,9 @@ from harborline.operators import projections as R
 from harborline.operators import sampling as T
 from harborline.operators import sets as U
 from harborline.operators import windows as W
+from harborline.operators.linear import fit_linear, linear_report
 from harborline.operators.registry import BATCH_SCHEMA, alias_texts, read_texts, semantic_texts, upsert_aliases
-from harborline.operators.transforms import apply_transform
+from harborline.operators.transforms import apply_transform, jaro, json_fields
 from harborline.plans.registry_queries import _batch, _registry
 from harborline.plans.reports import table_report
 from harborline.sources import readers
@@ -285,6 +287,31 @@ def test_long_names_meet(spark):
         assert want <= got
 
 
+def test_linear_model_is_least_squares(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 3)) * [1.0, 1e4, 1e-3] + [5, 1e6, 0]
+    y = x @ [2.0, -0.01, 700.0] + 4 + rng.normal(size=300)
+    rows = [(*map(float, a), float(b)) for a, b in zip(x, y)] + [(None, 1.0, 1.0, 1.0), (1.0, float("nan"), 1.0, 1.0), (1.0, 1.0, 1.0, float("inf"))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double").withColumn("same", F.lit(7.0))
+    model = fit_linear(df, ["a", "b", "c", "same"], "y")
+    want = np.linalg.lstsq(np.c_[x - x.mean(axis=0)], y - y.mean(), rcond=None)[0]
+    assert model.rows == 300 and np.allclose(model.weights, [*want, 0.0], rtol=1e-6)
+    assert abs(linear_report(df, model, "y").first()["rows"] - 300) == 0
+    ridge = fit_linear(df.filter("b BETWEEN 2 AND 1e9"), ["a"], "y", penalty=100.0)
+    a, t = x[:, 0] - x[:, 0].mean(), y - y.mean()
+    assert np.isclose(ridge.weights[0], (a @ t) / (a @ a + 100.0))
+    assert fit_linear(df.limit(0), ["a"], "y").weights == (0.0,)
+
+
+def test_json_fields_and_jaro(spark):
+    df = spark.createDataFrame([('{"a": 1, "b": "x"}',), ('{"a": 2.5}',), ("[1]",), ("no",), (None,)], "t string")
+    df.createOrReplaceTempView("json_texts")
+    spark.udtf.register("json_fields", json_fields)
+    got = spark.sql("SELECT f.* FROM json_texts, LATERAL json_fields(t, 'a double, b string') AS f")
+    assert got.columns == ["a", "b"] and sorted(map(str, (tuple(r) for r in got.collect()))) == ["(1.0, 'x')", "(2.5, None)", "(None, None)", "(None, None)", "(None, None)"]
+    assert [round(jaro(a, b), 4) for a, b in [("martha", "marhta"), ("dixon", "dicksonx"), ("abc", "xyz"), ("", "")]] == [0.9444, 0.7667, 0.0, 1.0]
+
+
 def test_align_columns(spark):
     df = spark.createDataFrame([("2024-01-01", 1.0)], "eventdate string, demandvolume double")
     out = R.align_columns(df, {"event_date": "string", "demand_volume": "double", "orders_count": "long"})
