@@ -2,7 +2,7 @@
 
 Three fixed patterns give the base spans. Over longer strings of key-like characters a window of fixed width slides:
 character counts are kept up to date by one character in and one out, and with them the sum of c*log2(c), from which
-the window's Shannon entropy follows. Windows above their class's bound are reported unless the string is allowed.
+the window's Shannon entropy follows. Windows above their class's bound are reported unless they touch an allowed part.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborline.llm.common import fresh, whole
+from harborline.llm.fingerprints import let
 
 
 def _any_case(word: str) -> str:
@@ -31,8 +32,18 @@ CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 # Bits of a 20-character window: random hexadecimal text has about 3.4, random base-64 text about 4.0.
 HEX_BITS, BASE64_BITS = 3.0, 3.75
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-# Key-like strings that are no secrets: uuids, alphabets, and what says of itself that it is an example.
-ALLOW = "(?i:example|sample|dummy|placeholder|changeme|abcdefghij|0123456789|^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$)"
+# What says of itself that it is an example is no secret: a part of a string, between separators, that holds such a word
+# silences the windows that touch it.
+ALLOW = "(?i:example|sample|dummy|placeholder|changeme|abcdefghij|0123456789)"
+SEPARATORS = "[/=_+-]"
+# Strings that are no secrets as a whole: uuids.
+NEVER = "(?i:^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$)"
+# Counts stand twelve to a long, five bits each: a window of 20 fits, and a step changes two numbers.
+PER_LONG = 12
+LONGS = -(-len(ALPHABET) // PER_LONG)
+# Windows that are gone through together, and what marks a character of an allowed part.
+STRETCH = 64
+MUTE = 128
 
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
@@ -62,36 +73,74 @@ def _base(text: Column, rank: int, kind: str, pattern: str, group: int, least: i
 
 
 def _bits(c: Column) -> Column:
-    return F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
+    """c * log2(c) of a count, looked up."""
+    return F.get(F.array(*[F.lit(n * math.log2(n) if n > 1 else 0.0) for n in range(WINDOW + 1)]), c)
 
 
-def _dense(value: Column, bound: Column) -> Column:
-    """struct<first,last> of the windows of `value` whose entropy reaches `bound` (first null if none)."""
-    n = F.char_length(value)
+def _marks(value: Column, allow: str) -> Column:
+    """array<int>, one per character: its number in the alphabet, and MUTE more within a part that holds an allowed word
+    (its separator included)."""
+    parts = F.split(value, SEPARATORS, -1)
+    mute = F.flatten(F.transform(parts, lambda p: F.array_repeat(F.when(p.rlike(allow), MUTE).otherwise(0), F.char_length(p) + 1)))
+    codes = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    return F.slice(F.zip_with(codes, mute, lambda c, m: c + m), F.lit(1), F.char_length(value))
+
+
+def _dense(value: Column, bound: Column, allow: str = ALLOW) -> Column:
+    """struct<first,last> of the windows of `value` whose entropy reaches `bound` and that no allowed word silences
+    (first null if none).
+
+    Characters become numbers once. They are gone through in stretches of bounded length, each with the window before
+    it, so that a step costs the same wherever it is: time grows with the length.
+    """
     # Entropy of w characters is log2(w) - s / w, s the sum of c*log2(c): the bound is put on s.
-    most = (F.lit(math.log2(WINDOW)) - bound) * WINDOW
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    most = (F.lit(math.log2(WINDOW)) - bound) * WINDOW + 1e-9
+    steps = F.greatest(F.lit(0), F.ceil((F.char_length(value) - WINDOW + 1) / STRETCH).cast("int"))
+    nth = F.when(steps > 0, F.sequence(F.lit(0), steps - 1)).otherwise(F.array().cast("array<int>"))
+    found = let(_marks(value, allow), lambda marks: F.transform(nth, lambda b: _stretch(F.slice(marks, b * STRETCH + 1, F.lit(STRETCH + WINDOW - 1)), most, b * STRETCH)))
+    return let(found, lambda f: F.struct(F.array_min(F.transform(f, lambda x: x["first"])).alias("first"), F.array_max(F.transform(f, lambda x: x["last"])).alias("last")))
+
+
+def _stretch(marks: Column, most: Column, before: Column) -> Column:
+    """The dense windows that end in one stretch; places count from the string's start."""
+    start = F.struct(
+        F.array_repeat(F.lit(0).cast("long"), LONGS).alias("counts"), F.lit(0.0).alias("s"), F.lit(0).alias("quiet"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"),
+        marks.alias("marks"), most.alias("most"),
+    )
+    place = lambda code: F.floor(code / PER_LONG).cast("int")
+    number = lambda counts, code: F.call_function("shiftright", F.get(counts, place(code)), (code % PER_LONG) * 5).bitwiseAND(F.lit(31)).cast("int")
+    moved = lambda counts, code, by: F.transform(counts, lambda c, k: F.when(k == place(code), c + F.call_function("shiftleft", F.lit(by).cast("long"), (code % PER_LONG) * 5)).otherwise(c))
+
+    def shift(acc, mark, by):
+        """One character more (by = 1) or less (by = -1)."""
+        code = mark % MUTE
+        had = number(acc["counts"], code)
+        return F.struct(
+            moved(acc["counts"], code, by).alias("counts"), (acc["s"] - _bits(had) + _bits(had + by)).alias("s"), (acc["quiet"] + by * F.floor(mark / MUTE).cast("int")).alias("quiet"),
+            acc["first"].alias("first"), acc["last"].alias("last"), acc["marks"].alias("marks"), acc["most"].alias("most"),
+        )
+
+    def noted(b, i):
+        hit = (i >= WINDOW) & (b["quiet"] == 0) & (b["s"] <= b["most"])
+        return F.struct(
+            b["counts"].alias("counts"), b["s"].alias("s"), b["quiet"].alias("quiet"), F.coalesce(b["first"], F.when(hit, i - WINDOW)).alias("first"), F.when(hit, i).otherwise(b["last"]).alias("last"),
+            b["marks"].alias("marks"), b["most"].alias("most"),
+        )
 
     def step(acc, i):
-        gone = F.when(i > WINDOW, F.instr(F.lit(ALPHABET), F.substring(value, i - WINDOW, F.lit(1)))).otherwise(F.lit(0))
-        come = F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1)))
-        old = F.coalesce(F.get(acc["counts"], gone - 1), F.lit(0))
-        less = acc["s"] - _bits(old) + _bits(old - 1)
-        had = F.get(acc["counts"], come - 1) - F.when(gone == come, 1).otherwise(0)
-        s = F.when(gone > 0, less).otherwise(acc["s"]) - _bits(had) + _bits(had + 1)
-        counts = F.transform(acc["counts"], lambda c, k: c - F.when(k + 1 == gone, 1).otherwise(0) + F.when(k + 1 == come, 1).otherwise(0))
-        hit = (i >= WINDOW) & (s <= most + 1e-9)
-        return F.struct(counts.alias("counts"), s.alias("s"), F.coalesce(acc["first"], F.when(hit, i - WINDOW)).alias("first"), F.when(hit, i).otherwise(acc["last"]).alias("last"))
+        less = F.when(i > WINDOW, shift(acc, F.get(acc["marks"], i - WINDOW - 1), -1)).otherwise(acc)
+        return let(less, lambda a: let(shift(a, F.get(a["marks"], i - 1), 1), lambda b: noted(b, i)))
 
-    return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    ends = lambda acc: F.struct((acc["first"] + before).alias("first"), (acc["last"] + before).alias("last"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(marks)), start, step, ends)
 
 
 def _entropy(text: Column, allow: str) -> Column:
     """Spans of dense windows; a string that holds only letters or only digits is a word or a number, never a key."""
-    mixed = lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]") & ~m["value"].rlike(allow)
+    mixed = lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]") & ~m["value"].rlike(NEVER)
     some = F.filter(_matches(text, CANDIDATE), mixed)
     is_hex = lambda m: m["value"].rlike("^([0-9a-f]+|[0-9A-F]+)$")
-    rated = F.transform(some, lambda m: F.struct(m["start"].alias("at"), F.when(is_hex(m), F.lit(4)).otherwise(F.lit(5)).alias("rank"), _dense(m["value"], F.when(is_hex(m), F.lit(HEX_BITS)).otherwise(F.lit(BASE64_BITS))).alias("w")))
+    rated = F.transform(some, lambda m: F.struct(m["start"].alias("at"), F.when(is_hex(m), F.lit(4)).otherwise(F.lit(5)).alias("rank"), _dense(m["value"], F.when(is_hex(m), F.lit(HEX_BITS)).otherwise(F.lit(BASE64_BITS)), allow).alias("w")))
     hits = F.filter(rated, lambda r: r["w"]["first"].isNotNull())
     return F.transform(
         hits,

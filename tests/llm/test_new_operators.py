@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 from fractions import Fraction
 
@@ -263,3 +264,64 @@ def test_bad_schedules_are_refused():
         with pytest.raises(ValueError):
             integrated(bad)
     assert [integrated(s)[-1][2] for s in SCHEDULES] == [5.0, 2.0, 1.0]
+
+
+def test_entropy_of_long_strings_and_allowed_parts(spark):
+    from harborline.llm.secret_scan import ALPHABET, scan_secrets, spans_text
+
+    r = random.Random(2)
+    key = "9fQ2xL7vB4kT8mZ1pW6cR3yH"
+    dull = "gh1" * 4_000
+    texts = {
+        1: "".join(r.choice(ALPHABET) for _ in range(30_000)),
+        2: f"{dull}{key}{dull}",
+        3: f"sample-app/{key}",
+        4: f"example{key}",
+        5: f"{key}_example",
+        6: "550e8400-e29b-41d4-a716-446655440000",
+        7: f"x/{key}/sample/{key[::-1]}",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x["doc_id"]: x["t"] for x in scan_secrets(df).select("doc_id", spans_text(F.col("spans")).alias("t")).collect()}
+
+    def plain(t):
+        """Windows of 20 by their entropy counted afresh, silenced where they touch a part with an allowed word."""
+        mute, at = set(), 0
+        for part in re.split("([/=_+-])", t):
+            if re.search("example|sample", part):
+                mute.update(range(at, at + len(part) + 1))
+            at += len(part)
+        hits = []
+        for i in range(len(t) - 19):
+            c = np.array(list(collections.Counter(t[i : i + 20]).values())) / 20
+            if -(c * np.log2(c)).sum() >= 3.75 - 1e-9 and not mute & set(range(i, i + 20)):
+                hits.append(i)
+        return f"entropy_base64:{hits[0]}:{hits[-1] + 20}" if hits else ""
+
+    assert got == {i: "" if i == 6 else plain(t) for i, t in texts.items()}
+    assert got[1] and got[2] and got[3] and not got[4]
+
+
+def test_fingerprint_query_matches_a_plain_version(spark, tmp_path):
+    """The whole query: edited texts by descending id, their digests, and both likenesses."""
+    from harborline.llm.queries import QUERIES
+
+    texts = ["one two three four five six seven " * 9, "", "éa b c d e f g h " * 12, "one two three four five six seven " * 9, "x"]
+    rows = [(10 * i + 3, t, "en") for i, t in enumerate(texts * 4)] + [(5, None, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op10_fingerprints"](spark, str(tmp_path)).collect()}
+    order = sorted(((i, t or "") for i, t, _ in rows), reverse=True)
+    prints = {t or "": got[i]["fingerprint"] for i, t, _ in rows}
+    assert len(got) == len(rows)
+    for (i, t), (j, nxt) in zip(order, order[1:] + order[:1]):
+        half = len(t) // 2
+        edited = t[: len(t) - half] + nxt[:half]
+        assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == brute.sha(edited)
+        assert got[i]["fingerprint"] == prints[t] and 0 <= got[i]["near_edited"] <= 1
+        if edited in prints:
+            assert got[i]["edited_fingerprint"] == prints[edited]
+        if t == nxt:
+            assert got[i]["near_next"] == 1.0
+        equal_bytes = sum(got[i]["fingerprint"][k : k + 2] == got[j]["fingerprint"][k : k + 2] for k in range(0, 256, 2)) / 128 if t and nxt else float(t == nxt)
+        chance = 1 / 256 if t and nxt else 0.0
+        assert abs(got[i]["near_next"] - max(0.0, (equal_bytes - chance) / (1 - chance))) < 1e-9
