@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from harborline.operators import profile as A
+from harborline.operators.states import column_states, merged_states, read_states
 from harborline.plans.registry import query, table
 from harborline.plans.reports import dashboard_bundle
+from harborline.session import materialize
 
 
 def _docs_labels(spark, d):
@@ -42,6 +44,27 @@ def a2(spark, d):
     return p.select("ordinal", "column_name", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), (F.col("min") + 0.0).alias("min"), "max")
 
 
+@query(
+    "A2_profile_from_states",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count({c}) AS n, CAST(count(*) FILTER ({c} IS NULL) AS BIGINT) AS nulls, CAST(min({c}) + 0.0 AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, TRUE AS distinct_holds, TRUE AS median_holds FROM lineitem"
+        for c in ("l_quantity", "l_extendedprice", "l_discount")
+    ),
+)
+def a2s(spark, d):
+    """Each month's states are written once and merged on reading; the sketches are held against all rows."""
+    li, columns = table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]
+    monthly = materialize(column_states(li.withColumn("month", F.date_trunc("month", "l_shipdate")), columns, ["month"]))
+    told = materialize(read_states(merged_states(monthly), [0.5]))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns]))
+    seen = li.select(cells.alias("c")).select("c.*").join(F.broadcast(told.select("column_name", "q50")), "column_name")
+    exact = seen.groupBy("column_name").agg(F.countDistinct("v").alias("all"), F.avg((F.col("v") <= F.col("q50")).cast("double")).alias("upto"), F.avg((F.col("v") < F.col("q50")).cast("double")).alias("below"))
+    return told.join(exact, "column_name").select(
+        "column_name", "n", "nulls", (F.col("min") + 0.0).alias("min"), "max", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"),
+        (F.abs(F.col("n_distinct") - F.col("all")) <= 0.06 * F.col("all")).alias("distinct_holds"), ((F.col("upto") >= 0.48) & (F.col("below") <= 0.52)).alias("median_holds"),
+    )
+
+
 @query(
     "A3_top_values",
     """WITH v AS (SELECT 'p_name' AS column_name, p_name AS value FROM part UNION ALL SELECT 'p_brand', p_brand FROM part UNION ALL SELECT 'p_type', p_type FROM part),

@@ -2,11 +2,13 @@
 
 import os
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 from harborline.operators.registry import ALIAS_SCHEMA, BATCH_SCHEMA, read_texts, upsert_aliases
+from harborline.operators.states import STATE_SCHEMA, column_states, merged_states, read_states
 from harborline.plans.registry_queries import _batch
 from harborline.streaming.delta_log import DeltaLog, Keyed, _fields
 from harborline.streaming.streams import AliasLog, stream_upsert, upserted_texts
@@ -74,3 +76,28 @@ def test_stream_over_triggers_and_restarts_equals_one_merge(spark, tmp_path):
     assert texts.agg(F.sum(F.size("notes"))).first()[0] == batch.filter("trim(note) <> ''").count()
     assert AliasLog(spark, f"{tmp_path}/registry").latest()[0] == 3
     assert batch.columns == spark.createDataFrame([], BATCH_SCHEMA).columns
+
+
+def test_profile_states_of_days_in_a_log(spark, tmp_path):
+    """States of a new day are added without the old days' rows; the profile is that of all rows."""
+    r = random.Random(8)
+    rows = [(b, float(r.randrange(5_000)) if r.random() < 0.9 else None, None, 1e9 + r.random()) for b in range(5) for _ in range(800)]
+    kept = Keyed(f"day int, {STATE_SCHEMA}", ("day", "column_name"), lambda s: merged_states(s, ["day"]), 2)
+    log = DeltaLog(spark, str(tmp_path), {"states": kept}, fanout=3)
+    for day in range(5):
+        half = [x for x in rows if x[0] == day]
+        for k in range(2):
+            frame = spark.createDataFrame(half[k::2], "day int, a double, none double, big double")
+            log.commit(2 * day + k, {"states": column_states(frame, ["a", "none", "big"], ["day"])})
+    got = {x["column_name"]: x for x in read_states(merged_states(log.read("states"))).collect()}
+    values = [a for _, a, _, _ in rows if a is not None]
+    one = got["a"]
+    assert (one["n"], one["nulls"], one["min"], one["max"]) == (len(values), len(rows) - len(values), min(values), max(values))
+    assert abs(one["mean"] - statistics.fmean(values)) < 1e-6 and abs(one["std"] - statistics.stdev(values)) < 1e-6
+    assert abs(one["n_distinct"] - len(set(values))) <= 0.06 * len(set(values))
+    for q in (25, 50, 75):
+        assert abs(sum(v <= one[f"q{q}"] for v in values) / len(values) - q / 100) < 0.02
+    assert got["none"]["n"] == 0 and got["none"]["nulls"] == len(rows) and got["none"]["q50"] is None and got["none"]["n_distinct"] == 0
+    big = [x for *_, x in rows]
+    assert abs(got["big"]["std"] - statistics.stdev(big)) < 1e-3
+    assert log.read("states").select("day").distinct().count() == 5
