@@ -18,7 +18,7 @@ HEADLINE = [
     "A19_classification_report", "A20_regression_report", "A28_histogram", "A33_chart_aggregate", "J1_lookup_join", "J2_star_join", "J3_agg_join_back",
     "J4_composite_lookup", "J7_column_overlap_match", "W1_lag_features", "W2_rolling_features", "W4_oof_target_encode", "W9_ema", "T7_cap_rows", "T8_split_assign",
     "U1_content_dedupe", "E8_standard_scale", "E10_robust_scale", "F17_shipment_charge", "F35_word_f1", "R1_upsert_aliases", "R11_build_corpus", "X1_rate_check", "X2_sessions",
-    "J9_fuzzy_match", "F45_document_anchors", "F20_intent_category", "J8_blend_and_decide", "J7_missing_columns", "R4_upsert_semantics", "S1_read_delimited", "X1_rate_stream",
+    "J9_fuzzy_match", "F45_document_anchors", "F20_intent_category", "J8_blend_and_decide", "J7_missing_columns", "R4_upsert_semantics", "S1_read_delimited", "S1_quoted_breaks", "X1_rate_stream", "X1_rate_check_one_key", "X5_stream_upsert", "A2_profile_from_states", "E14_linear_model",
 ]
 
 
