@@ -25,6 +25,10 @@ SAMPLE_ROWS = 16_384
 LEAF_ROWS = 128
 # Part of all trees' rows that a query looks at. Vectors without structure need this much for a recall of 0.95.
 SEARCH_SHARE = 0.06
+# Rows of all trees that a query looks at, at least: in a small table the share alone is too few.
+LEAST_ROWS = 24_000
+# Vectors longer than this many times the 99th percentile of lengths are compared with every query.
+LONG = 1.05
 BLOCK_ROWS = 2_048
 K = 20
 
@@ -112,9 +116,11 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", e
     usable = _usable(df, id_col, vec_col)
     packed = materialize(usable.groupBy("id", "v").agg(F.xxhash64(F.lit(1), F.first("v")).alias("h"), F.xxhash64(F.lit(2), F.first("v")).alias("h2"), F.sqrt(F.aggregate(F.first("v"), F.lit(0.0), lambda s, x: s + x * x)).alias("norm")))
     entries = materialize(packed.groupBy("h", "h2").agg(F.min("id").alias("rep"), F.min_by("v", "id").alias("v"), F.max("norm").alias("norm")).drop("h2"))
-    top = entries.agg(F.max("norm")).first()[0]
-    if top is None:
+    usual = entries.agg(F.percentile_approx("norm", 0.99, 1000)).first()[0]
+    if usual is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    # Made as long as the longest, all others would look alike; so the few that are far longer don't set the length.
+    top = usual * LONG
     sample = np.array([r["v"] for r in entries.orderBy(F.xxhash64("rep"), "rep").select("v").limit(sample_rows).collect()])
 
     def lifted(x: np.ndarray) -> np.ndarray:
@@ -126,16 +132,20 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", e
         for b in batches:
             x = np.array(b.column("v").to_pylist())
             if len(x):
-                at = forest.value.leaves(lifted(x))
-                raw = pa.array([v.tobytes() for v in x], pa.binary())
+                long_ = b.column("norm").to_numpy() > top
+                raw, rep = pa.array([v.tobytes() for v in x], pa.binary()), b.column("rep")
+                at = forest.value.leaves(lifted(x[~long_]))
+                some = lambda mask, tree, leaf: pa.RecordBatch.from_arrays([pa.array(np.full(mask.sum(), tree, np.int32)), pa.array(leaf), rep.filter(pa.array(mask)), raw.filter(pa.array(mask))], ["tree", "leaf", "rep", "x"])
                 for t in range(at.shape[1]):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(at[:, t]), b.column("rep"), raw], ["tree", "leaf", "rep", "x"])
+                    yield some(~long_, t, at[:, t])
+                # Far longer vectors are a leaf of their own, which every query opens.
+                yield some(long_, trees, np.zeros(long_.sum(), np.int64))
 
-    leaves = materialize(entries.select("rep", "v").mapInArrow(index, "tree int, leaf long, rep long, x binary"))
+    leaves = materialize(entries.select("rep", "v", "norm").mapInArrow(index, "tree int, leaf long, rep long, x binary"))
     # As many rows as the forest has leaves.
     sizes = {(r["tree"], r["leaf"]): r["n"] for r in leaves.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
     known = spark.sparkContext.broadcast(sizes)
-    enough = max(k + 1, int(share * sum(sizes.values())))
+    enough = max(k + 1, int(share * sum(sizes.values())), LEAST_ROWS)
     asking = packed.filter(F.col("id") % every == 0).select("h", "h2").distinct()
     reps = packed.join(asking, ["h", "h2"], "left_semi").groupBy("h", "h2").agg(F.min("id").alias("rep"))
     queries = entries.join(reps.select("rep"), "rep", "left_semi").select("rep", "v")
@@ -145,7 +155,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", e
             x = np.array(b.column("v").to_pylist())
             for rep, v in zip(b.column("rep").to_pylist(), x):
                 q = np.append(v, 0.0)
-                found = forest.value.search(q, known.value, enough)
+                found = forest.value.search(q, known.value, enough) + [leaf for leaf in [(trees, 0)] if leaf in known.value]
                 n = len(found)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.array([t for t, _ in found], np.int32)), pa.array(np.array([f for _, f in found], np.int64)), pa.array(np.full(n, rep)), pa.array([v.tobytes()] * n, pa.binary())],

@@ -325,3 +325,28 @@ def test_fingerprint_query_matches_a_plain_version(spark, tmp_path):
         equal_bytes = sum(got[i]["fingerprint"][k : k + 2] == got[j]["fingerprint"][k : k + 2] for k in range(0, 256, 2)) / 128 if t and nxt else float(t == nxt)
         chance = 1 / 256 if t and nxt else 0.0
         assert abs(got[i]["near_next"] - max(0.0, (equal_bytes - chance) / (1 - chance))) < 1e-9
+
+
+@pytest.mark.parametrize("kind", ["normal", "one very long", "lengths of all sizes", "clusters"])
+def test_neighbours_at_the_defaults(spark, kind):
+    """Recall of at least 0.9 with the parameters of the query, whatever the lengths."""
+    from harborline.llm.neighbours import nearest
+
+    r = np.random.default_rng(9)
+    x = r.normal(size=(4_000, 32))
+    if kind == "one very long":
+        x[77] *= 1_000
+    if kind == "lengths of all sizes":
+        x *= np.exp(r.normal(size=(4_000, 1)))
+    if kind == "clusters":
+        x = r.normal(size=(40, 32))[r.integers(0, 40, 4_000)] + 0.2 * x
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = collections.defaultdict(set)
+    for q in nearest(df, every=100).collect():
+        found[q["query_id"]].add(q["vec_id"])
+    hits = 0
+    for q in range(0, 4_000, 100):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(found[q] & set(np.argsort(-score)[:20].tolist()))
+    assert hits >= 0.9 * 20 * 40
