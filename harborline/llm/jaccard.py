@@ -2,12 +2,12 @@
 
 Jaccard distance is a metric, and the join works by regions and pivots. In high dimension almost every pair lies at a
 distance near 1, so regions drawn around pivots alone would each hold nearly all documents. The first regions are
-therefore cells that provably hold both ends of every link: the shingles of a set are dealt to more parts than a linked
-pair can differ in, so two linked sets agree in a whole part, and documents with an equal part share a region. Inside a
-region, distances to pivots decide. What lies near a pivot belongs to its Voronoi region, with a window as wide as the
-triangle inequality asks for, so that partners end up in one coarse group; what no pivot has taken goes on with other
-pivots. A coarse group is then joined exactly: in one task if small, else against pivots first and in blocks for what
-they left outside. Equal sets are one node throughout.
+therefore cells that provably hold both ends of every link: all shingles stand in one order, rare ones first, and of two
+linked sets the first few shingles have one in common, so documents share a region for each shingle among their first.
+Inside a region, distances to pivots decide; pairs whose parity bitmaps prove them far apart are not measured. What lies
+near a pivot belongs to its Voronoi region, with a window as wide as the triangle inequality asks for, so that partners
+end up in one coarse group; what no pivot has taken goes on with other pivots. A coarse group is then joined exactly: in
+one task if small, else against pivots first and in blocks for what they left outside. Equal sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -28,14 +28,16 @@ WORDS = 5
 PERCENT = 80
 # Members of a region whose pairs are measured outright.
 SMALL = 16
-# How often sets that share too little with all others are taken out of the regions.
-PRUNINGS = 2
+# Shingles of HEAVY documents or more come last in the order, by the power of two of their count. Where there are more
+# than MOST_HEAVY of them the bound is doubled, so the list sent to all tasks has a fixed size. Only the shingles in this
+# share of the hash space are counted. The order decides how much work there is, never what is found.
+HEAVY, MOST_HEAVY, COUNTED = 8, 1 << 21, 0.45
 # Sets within this distance of a pivot belong to its Voronoi core.
 CORE = 0.4
 # Members of a coarse group that one task joins; larger groups are joined in blocks.
 LOCAL_ROWS, BLOCK_ROWS, ASK_ROWS = 400, 512, 128
-# Sizes of one class differ by this factor at most.
-CLASS_RATIO = 1.5
+# Shingles that the counting pass hands on together.
+KEY_ROWS = 1 << 18
 
 
 def shingle_sets(column, words: int) -> Iterator[np.ndarray]:
@@ -48,53 +50,59 @@ def shingle_sets(column, words: int) -> Iterator[np.ndarray]:
             yield np.unique(rolling(h, words)) if len(h) >= words else (mix(rolling(h, len(h)) + np.uint64(len(h))) if len(h) else h)
 
 
-class Parts:
-    """How sets of a size class are dealt to parts so that linked sets agree in a part worth comparing."""
-
-    def __init__(self, percent: int):
-        self.percent = percent
-        # A part of fewer than `least` shingles tells little. `slack` more parts than needed let a set leave those out.
-        # Far below 0.9 parts hold few shingles each, so only empty ones can be left out.
-        self.slack, self.least = (0.06, 2) if percent >= 87 else (0.3, 1)
-        bounds = [1]
-        while bounds[-1] < 1 << 40:
-            bounds.append(max(bounds[-1] + 1, int(bounds[-1] * CLASS_RATIO)))
-        self.bounds = np.array(bounds)
-
-    def differ(self, top: int) -> int:
-        """Most shingles in which two linked sets differ, the smaller of size `top` at most."""
-        return (top + top * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
-
-    def signatures(self, s: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """For the set's own size class and the one below: how many signatures a partner shares at least, and all of them."""
-        n = len(s)
-        if n == 0:
-            return [(1, s), (1, s)]
-        own = int(np.searchsorted(self.bounds, n, side="right")) - 1
-        # A set also joins the class below when a partner there can be large enough.
-        low = own > 0 and -(-n * self.percent // 100) <= self.bounds[own] - 1
-        return [self._of_class(s, own), self._of_class(s, own - 1) if low else (1, s[:0])]
-
-    def _of_class(self, s: np.ndarray, k: int) -> tuple[int, np.ndarray]:
-        most = self.differ(int(self.bounds[k + 1]) - 1)
-        if most == 0:
-            return 1, s[:0]  # linked sets are equal here
-        spare = 2 + int(self.slack * most)
-        m = most + 1 + spare
-        strong = mix(s + np.uint64(k))
-        part = (strong >> np.uint64(16)) % np.uint64(m)
-        order = np.argsort(part, kind="stable")
-        part, strong = part[order], strong[order]
-        counts = np.bincount(part.astype(np.int64), minlength=m)
-        full = np.flatnonzero(counts)
-        sums = np.zeros(m, np.uint64)
-        sums[full] = np.add.reduceat(mix(strong), (np.cumsum(counts) - counts)[full])
-        weak = counts < self.least
-        n_weak = int(weak.sum())
-        take = np.arange(m) if n_weak > spare else np.flatnonzero(~weak)
-        # Linked sets agree in 1 + spare parts or more, of which no more than n_weak are left out.
-        need = 1 if n_weak > spare else 1 + spare - n_weak
-        return need, mix(sums[take] + mix(take.astype(np.uint64) + np.uint64(k << 32)))
+class Order:
+    """One order of all shingles: by level (0 unless counted as heavy), then by hash."""
+
+    def __init__(self, keys: np.ndarray, levels: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.levels = keys[order], levels[order]
+
+    @staticmethod
+    def counted(h: np.ndarray) -> np.ndarray:
+        """Which of the hashes are counted."""
+        return h < np.uint64(int(COUNTED * 2**64))
+
+    @staticmethod
+    def key(h: np.ndarray) -> np.ndarray:
+        """What is counted: 40 bits, as shingles that agree in them may well share a place in the order."""
+        return (h >> np.uint64(24)).astype(np.int64)
+
+    def first(self, s: np.ndarray, percent: int) -> np.ndarray:
+        """As many of the set's first shingles as it takes to share one with any set it links with.
+
+        Linked sets share ceil(percent/100 * n) shingles or more of either, so what a set may lack, and one more, is enough.
+        """
+        if len(s) == 0:
+            return s
+        n = len(s) + 1 - -(-len(s) * percent // 100)
+        h = mix(s)
+        level = np.zeros(len(h), np.uint8)
+        if len(self.keys):
+            own = np.flatnonzero(self.counted(h))
+            keys = self.key(h[own])
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            level[own] = np.where(self.keys[at] == keys, self.levels[at], 0)
+        light = h[level == 0]
+        if len(light) >= n:
+            return np.partition(light, n - 1)[:n]
+        return h[np.lexsort((h, level))[:n]]
+
+
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """How many shingles fall on each of 3 to 6 bits a shingle, modulo 2. Larger bitmaps fold to smaller ones by halves."""
+    size = max(64, 1 << (3 * len(s) - 1).bit_length())
+    odd = np.bincount((mix(s ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def least_distance(p: np.ndarray, q: np.ndarray, np_: int, nq: int) -> float:
+    """A lower bound of the distance of two sets of known sizes: odd bits that differ are shingles that differ."""
+    if len(p) > len(q):
+        p, q = q, p
+    if len(q) > len(p):
+        q = np.bitwise_xor.reduce(q.reshape(-1, len(p)), axis=0)
+    differ = max(int(np.bitwise_count(p ^ q).sum()), abs(np_ - nq))
+    return 1 - (np_ + nq - differ) / (np_ + nq + differ)
 
 
 def _node(s: np.ndarray) -> int:
@@ -106,24 +114,55 @@ def _long(values) -> pa.Array:
     return pa.array(np.asarray(values, np.uint64).view(np.int64))
 
 
-def _sign(words: int, percent: int):
+def _keys(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, seen = Parts(percent), set()
+        seen, held, rows = set(), [], 0
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(held))], ["key"])
         for b in batches:
-            sizes, nodes, lists, needs = [], [], ([], []), ([], [])
+            for s in shingle_sets(b.column("text"), words):
+                node = _node(s)
+                # Equal sets count once a task.
+                if node not in seen:
+                    seen.add(node)
+                    h = mix(s)
+                    held.append(Order.key(h[Order.counted(h)]))
+                    rows += len(held[-1])
+                    if rows >= KEY_ROWS:
+                        yield made()
+                        held, rows = [], 0
+        if held:
+            yield made()
+
+    return run
+
+
+def _order(texts: DataFrame, words: int) -> Order:
+    """The order of all shingles, from the documents that hold each; the driver sees MOST_HEAVY numbers at most."""
+    counts = texts.mapInArrow(_keys(words), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= HEAVY)
+    counts = materialize(counts.select("key", F.floor(F.log2("c")).cast("int").alias("level")))
+    rows = {r["level"]: r["n"] for r in counts.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
+    least = min(rows, default=0)
+    while sum(rows.values()) > MOST_HEAVY:
+        rows.pop(least, None)
+        least += 1
+    heavy = counts.filter(F.col("level") >= least).toArrow()
+    return Order(heavy["key"].to_numpy(), heavy["level"].to_numpy().astype(np.uint8))
+
+
+def _sign(words: int, percent: int, order):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for b in batches:
+            sizes, nodes, firsts = [], [], []
             for s in shingle_sets(b.column("text"), words):
                 node = _node(s)
                 sizes.append(len(s))
                 nodes.append(node)
                 # Equal sets sign once a task.
-                signed = [(1, s[:0])] * 2 if node in seen else parts.signatures(s)
+                firsts.append(s[:0] if node in seen else order.value.first(s, percent))
                 seen.add(node)
-                for level, (need, sigs) in enumerate(signed):
-                    lists[level].append(sigs)
-                    needs[level].append(need)
-            made = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), _long(np.concatenate([np.zeros(0, np.uint64), *own]))) for own in lists]
-            wanted = [pa.array(own, pa.int32()) for own in needs]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tk"), pa.array(sizes, pa.int64()), _long(nodes), *made, *wanted], ["id", "tk", "n", "node", "sigs0", "sigs1", "need0", "need1"])
+            first = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), _long(np.concatenate([np.zeros(0, np.uint64), *firsts])))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tk"), pa.array(sizes, pa.int64()), _long(nodes), first], ["id", "tk", "n", "node", "first"])
 
     return run
 
@@ -137,6 +176,22 @@ def _sets(words: int):
     return run
 
 
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("s")]
+        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], ["node", "n", "bits"])
+
+
+def _maybe(within: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = b.column("pa"), b.column("pb"), b.column("na").to_pylist(), b.column("nb").to_pylist()
+            keep = [least_distance(np.frombuffer(p.as_buffer(), np.uint8), np.frombuffer(q.as_buffer(), np.uint8), m, n) <= within + 1e-9 for p, q, m, n in zip(*columns)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         na, nb, common = [], [], []
@@ -152,11 +207,13 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(na, pa.int64()), pa.array(nb, pa.int64()), pa.array(common, pa.int64())], ["a", "b", "na", "nb", "common"])
 
 
-def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, distance, union, common) of the pairs, written once."""
-    # Written first: of few pairs Spark then knows that they are few, and the sets needn't be shuffled.
-    pairs = materialize(pairs)
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+def _distances(pairs: DataFrame, sets: DataFrame, bits: DataFrame, within: float) -> DataFrame:
+    """(a, b, distance, total, common) of the pairs that are not surely further apart than `within`, written once."""
+    side = lambda df, k, *cols: df.select(F.col("node").alias(k), *[F.col(c).alias(c[0] + k) for c in cols])
+    bits = bits.withColumnRenamed("bits", "parity")
+    # Written: of few pairs Spark then knows that they are few, and the sets needn't be shuffled.
+    maybe = materialize(pairs.join(side(bits, "a", "n", "parity"), "a").join(side(bits, "b", "n", "parity"), "b").mapInArrow(_maybe(within), "a long, b long"))
+    both = maybe.join(side(sets, "a", "s"), "a").join(side(sets, "b", "s"), "b")
     got = both.mapInArrow(_measure, "a long, b long, na long, nb long, common long")
     union = F.col("na") + F.col("nb") - F.col("common")
     return materialize(got.select("a", "b", "common", union.alias("total"), (1 - F.col("common") / union).alias("distance")))
@@ -245,6 +302,7 @@ def _near(regions: DataFrame, sets: DataFrame, percent: int, pivots: int) -> tup
     """
     r = 1 - percent / 100
     edges = links = None
+    bits = materialize(sets.mapInArrow(_bitmaps, "node long, n long, bits binary"))
     open_ = regions
     while True:
         # The most shared member stands for the middle of its group.
@@ -258,9 +316,10 @@ def _near(regions: DataFrame, sets: DataFrame, percent: int, pivots: int) -> tup
             return edges, links
         w = Window.partitionBy("region").orderBy(F.desc("pop"), "node")
         wanted = F.when(F.col("size") <= SMALL, F.lit(1) if edges is None else F.col("size")).otherwise(F.lit(1 if edges is None else pivots))
-        chosen = members.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= wanted).select("region", F.col("node").alias("pivot"))
+        # The fixed bound lets Spark cut large regions before the shuffle.
+        chosen = members.withColumn("k", F.row_number().over(w)).filter((F.col("k") <= max(SMALL, pivots)) & (F.col("k") <= wanted)).select("region", F.col("node").alias("pivot"))
         asked = members.select("region", "node").join(chosen, "region")
-        measured = _distances(asked.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sets)
+        measured = _distances(asked.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sets, bits, CORE + r)
         close, linked = measured.filter(F.col("distance") <= CORE + r + 1e-9).select("a", "b"), measured.filter(_linked(percent)).select("a", "b")
         edges, links = (close, linked) if edges is None else (edges.union(close), links.union(linked))
         held = asked.join(measured, (F.col("node") == F.col("a")) & (F.col("pivot") == F.col("b")), "left")
@@ -272,17 +331,13 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     """Every row's id, `tk` (hash of its text), `n` (size of its set) and `root`, alike in what links connect."""
     base = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).withColumn("tk", F.xxhash64("text"))
     kind = dict(base.dtypes)["id"]
-    signed = materialize(base.mapInArrow(_sign(words, percent), f"id {kind}, tk long, n long, node long, sigs0 array<long>, sigs1 array<long>, need0 int, need1 int"))
-    level = lambda k: signed.select(F.explode(f"sigs{k}").alias("region"), "node", F.lit(k).alias("level"), F.col(f"need{k}").alias("need"))
-    spread = level(0).unionByName(level(1))
-    w = Window.partitionBy("region")
-    met = lambda df: df.withColumns({"low": F.min("node").over(w), "far": F.max("node").over(w)}).filter("low < far").drop("low", "far")
-    regions = materialize(met(spread).distinct())
-    # A set that shares fewer signatures with all others than one partner must share has no partner.
-    for _ in range(PRUNINGS):
-        enough = regions.groupBy("node", "level").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("least")).filter("c >= least").select("node", "level")
-        regions = materialize(met(regions.join(enough, ["node", "level"], "left_semi")))
-    regions = regions.select("region", "node").distinct()
+    order = docs.sparkSession.sparkContext.broadcast(_order(base, words))
+    signed = materialize(base.mapInArrow(_sign(words, percent, order), f"id {kind}, tk long, n long, node long, first array<long>"))
+    firsts = materialize(signed.filter(F.size("first") > 0).select("node", "first").dropDuplicates(["node"]))
+    spread = firsts.select(F.explode("first").alias("region"), "node")
+    # Counted with map-side combining and joined, so that a region with very many members can be split.
+    met = materialize(spread.groupBy("region").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("region"))
+    regions = materialize(spread.join(met, "region", "left_semi"))
     # The sets of documents that share a region, one document for each.
     wanted = signed.join(regions.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("tk", "id")).alias("d")).select("d.tk", "d.id")
     texts = base.alias("x").join(wanted.alias("y"), (F.col("x.tk") == F.col("y.tk")) & F.col("x.id").eqNullSafe(F.col("y.id")), "left_semi")

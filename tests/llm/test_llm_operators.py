@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from harborline.llm import fingerprints as fp
-from harborline.llm.jaccard import Parts, _near, join_sets, keep_one
+from harborline.llm.common import mix
+from harborline.llm.jaccard import Order, _near, bitmap, join_sets, keep_one, least_distance
 from harborline.llm.line_dedup import dedup_lines
 from harborline.llm.neighbours import nearest
 from harborline.llm.packing import END_ID, LibraryCodec, pack_documents, plan
@@ -238,20 +239,55 @@ def test_keep_one_tells_rows_of_one_id_apart(spark):
 
 
 @pytest.mark.parametrize("percent", [80, 90])
-def test_linked_sets_agree_in_a_signed_part(percent):
+def test_linked_sets_share_a_first_shingle(percent):
     r = np.random.default_rng(percent)
-    parts = Parts(percent)
-    for n in [*range(3, 60), 100, 333, 1000, 5000]:
+    pool = r.integers(0, 1 << 63, 20000).astype(np.uint64)
+    heavy = mix(pool[:6000])
+    heavy = heavy[Order.counted(heavy)]
+    orders = [Order(np.zeros(0, np.int64), np.zeros(0, np.uint8)), Order(Order.key(heavy), r.integers(3, 20, len(heavy)).astype(np.uint8))]
+    met = 0
+    for n in [*range(1, 60), 100, 333, 1000, 5000]:
         for _ in range(6):
-            a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
-            drop = r.integers(0, max(1, (100 - percent) * n // 100) + 1)
-            add = r.integers(0, max(1, (100 - percent) * n // 100) + 1)
-            b = np.unique(np.concatenate([a[drop:], r.integers(0, 1 << 63, add).astype(np.uint64)]))
+            a = np.unique(r.choice(pool[: r.choice([6000, 20000])], n))
+            most = (100 - percent) * len(a) // 100 + 1
+            b = np.unique(np.concatenate([r.permutation(a)[r.integers(0, most) :], r.choice(pool, r.integers(0, most))]))
             both = len(np.intersect1d(a, b))
-            if 100 * both >= percent * (len(a) + len(b) - both) and both != max(len(a), len(b)):
-                found = [(x, y, len(np.intersect1d(x[1], y[1]))) for x in parts.signatures(a) for y in parts.signatures(b)]
-                # In some class they share a signature, and as many as each of them asks of a partner.
-                assert any(n >= max(1, x[0], y[0]) for x, y, n in found)
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                met += 1
+                assert all(len(np.intersect1d(o.first(a, percent), o.first(b, percent))) for o in orders)
+    assert met > 100
+
+
+def test_rare_shingles_come_first():
+    s = np.arange(1, 1001, dtype=np.uint64)
+    h = mix(s)
+    heavy = h[Order.counted(h)]
+    first = Order(Order.key(heavy), np.full(len(heavy), 5, np.uint8)).first(s, 80)
+    assert len(first) == 201 and not np.isin(first, heavy).any()
+    assert set(Order(Order.key(heavy), np.full(len(heavy), 5, np.uint8)).first(s, 1)) >= set(h[~Order.counted(h)])
+
+
+def test_bitmaps_never_exceed_the_distance():
+    r = np.random.default_rng(3)
+    near = far = 0
+    for _ in range(400):
+        n, m = r.integers(1, 400, 2)
+        pool = r.integers(0, 1 << 63, max(n, m) + r.integers(0, 600)).astype(np.uint64)
+        a, b = np.unique(r.choice(pool, n)), np.unique(r.choice(pool, m))
+        both = len(np.intersect1d(a, b))
+        distance = 1 - both / (len(a) + len(b) - both)
+        bound = least_distance(bitmap(a), bitmap(b), len(a), len(b))
+        assert 0 <= bound <= distance + 1e-12 and bound == least_distance(bitmap(b), bitmap(a), len(b), len(a))
+        near, far = near + (bound <= 0.6), far + (distance > 0.6 and bound > 0.6)
+    assert near and far > 100
+
+
+def test_jaccard_order_of_many_heavy_shingles(docs, rows, monkeypatch):
+    """The list of heavy shingles has a fixed size; what doesn't fit changes the work, not the result."""
+    for most in (0, 3):
+        monkeypatch.setattr("harborline.llm.jaccard.MOST_HEAVY", most)
+        monkeypatch.setattr("harborline.llm.jaccard.HEAVY", 2)
+        assert bag(join_sets(docs).collect()) == bag(brute.jaccard_groups(rows, 5, 80))
 
 
 @pytest.mark.parametrize("rounds", [1, 2, 3])
