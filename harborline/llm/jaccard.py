@@ -213,6 +213,8 @@ def _distances(pairs: DataFrame, sets: DataFrame, bits: DataFrame, within: float
     bits = bits.withColumnRenamed("bits", "parity")
     # Written: of few pairs Spark then knows that they are few, and the sets needn't be shuffled.
     maybe = materialize(pairs.join(side(bits, "a", "n", "parity"), "a").join(side(bits, "b", "n", "parity"), "b").mapInArrow(_maybe(within), "a long, b long"))
+    # Only the sets that are left are moved.
+    sets = sets.join(materialize(maybe.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
     both = maybe.join(side(sets, "a", "s"), "a").join(side(sets, "b", "s"), "b")
     got = both.mapInArrow(_measure, "a long, b long, na long, nb long, common long")
     union = F.col("na") + F.col("nb") - F.col("common")
@@ -339,9 +341,13 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     met = materialize(spread.groupBy("region").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("region"))
     regions = materialize(spread.join(met, "region", "left_semi"))
     # The sets of documents that share a region, one document for each.
-    wanted = signed.join(regions.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("tk", "id")).alias("d")).select("d.tk", "d.id")
-    texts = base.alias("x").join(wanted.alias("y"), (F.col("x.tk") == F.col("y.tk")) & F.col("x.id").eqNullSafe(F.col("y.id")), "left_semi")
-    sets = materialize(texts.mapInArrow(_sets(words), "node long, s binary").dropDuplicates(["node"]))
+    alike = signed.join(regions.select("node").distinct(), "node", "left_semi").groupBy("node", "tk", "id").agg(F.count(F.lit(1)).alias("rows"))
+    wanted = materialize(alike.groupBy("node").agg(F.min(F.struct("tk", "id", "rows")).alias("d")).select("d.*"))
+    same = (F.col("x.tk") == F.col("y.tk")) & F.col("x.id").eqNullSafe(F.col("y.id"))
+    made = lambda df: base.alias("x").join(df.alias("y"), same, "left_semi").mapInArrow(_sets(words), "node long, s binary")
+    # Only rows that repeat an id and its text make a set more than once.
+    sets, again = made(wanted.filter("rows = 1")), wanted.filter("rows > 1")
+    sets = materialize(sets if again.isEmpty() else sets.union(made(again).dropDuplicates(["node"])))
 
     none = docs.sparkSession.createDataFrame([], "a long, b long")
     edges, links = _near(regions, sets, percent, pivots)
