@@ -38,6 +38,8 @@ CORE = 0.4
 LOCAL_ROWS, BLOCK_ROWS, ASK_ROWS = 400, 512, 128
 # Shingles that the counting pass hands on together.
 KEY_ROWS = 1 << 18
+# Rows whose sets a worker holds at once; Arrow batches may be ten times that.
+HELD_ROWS = 512
 
 
 def shingle_sets(column, words: int) -> Iterator[np.ndarray]:
@@ -50,6 +52,12 @@ def shingle_sets(column, words: int) -> Iterator[np.ndarray]:
             yield np.unique(rolling(h, words)) if len(h) >= words else (mix(rolling(h, len(h)) + np.uint64(len(h))) if len(h) else h)
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, HELD_ROWS):
+            yield b.slice(i, HELD_ROWS)
+
+
 class Order:
     """One order of all shingles: by level (0 unless counted as heavy), then by hash."""
 
@@ -152,7 +160,7 @@ def _order(texts: DataFrame, words: int) -> Order:
 def _sign(words: int, percent: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
-        for b in batches:
+        for b in _few(batches):
             sizes, nodes, firsts = [], [], []
             for s in shingle_sets(b.column("text"), words):
                 node = _node(s)
@@ -169,7 +177,7 @@ def _sign(words: int, percent: int, order):
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _few(batches):
             sets = list(shingle_sets(b.column("text"), words))
             yield pa.RecordBatch.from_arrays([_long([_node(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "s"])
 
@@ -177,7 +185,7 @@ def _sets(words: int):
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in _few(batches):
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("s")]
         yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], ["node", "n", "bits"])
 
@@ -193,7 +201,7 @@ def _maybe(within: float):
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in _few(batches):
         na, nb, common = [], [], []
         for x, y in zip(b.column("sa"), b.column("sb")):
             p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
