@@ -2,12 +2,15 @@
 
 Jaccard distance is a metric, and the join works by regions and pivots. In high dimension almost every pair lies at a
 distance near 1, so regions drawn around pivots alone would each hold nearly all documents. The first regions are
-therefore cells that provably hold both ends of every link: the shingles of a set are dealt to more parts than a linked
-pair can differ in, so two linked sets agree in a whole part, and documents with an equal part share a region. Inside a
-region, distances to pivots decide. What lies near a pivot belongs to its Voronoi region, with a window as wide as the
-triangle inequality asks for, so that partners end up in one coarse group; what no pivot has taken goes on with other
-pivots. A coarse group is then joined exactly: in one task if small, else against pivots first and in blocks for what
-they left outside. Equal sets are one node throughout.
+therefore cells that provably hold both ends of every link: shingles that a linked pair has in common. They are found in
+two steps. A sieve looks at the first few shingles of each set in hash order, of which linked sets share a known number;
+sets that share fewer with all others have no partner. Of the sets that are left all shingles are counted. A linked pair
+shares percent/100 of either set, so each set can leave out as many of its most frequent shingles as that, less one, and
+the rarest common one stays: texts that share a license or a passage, and no more, meet nowhere. Inside a region,
+distances to pivots decide. What lies near a pivot belongs to its Voronoi region, with a window as wide as the triangle
+inequality asks for, so that partners end up in one coarse group; what no pivot has taken goes on with other pivots. A
+coarse group is then joined exactly: in one task if small, else against pivots first and in blocks for what they left
+outside. Equal sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -30,12 +33,14 @@ PERCENT = 80
 SMALL = 16
 # How often sets that share too little with all others are taken out of the regions.
 PRUNINGS = 2
+# Of every hundred shingles, how many more than it takes to share one the sieve looks at.
+SPARE = 10
+# Shingles that so many of one in SAMPLED sets hold are known to be shared and are counted by no single task.
+SAMPLED, HOT = 256, 32
 # Sets within this distance of a pivot belong to its Voronoi core.
 CORE = 0.4
 # Members of a coarse group that one task joins; larger groups are joined in blocks.
 LOCAL_ROWS, BLOCK_ROWS, ASK_ROWS = 400, 512, 128
-# Sizes of one class differ by this factor at most.
-CLASS_RATIO = 1.5
 
 
 def shingle_sets(column, words: int) -> Iterator[np.ndarray]:
@@ -48,53 +53,29 @@ def shingle_sets(column, words: int) -> Iterator[np.ndarray]:
             yield np.unique(rolling(h, words)) if len(h) >= words else (mix(rolling(h, len(h)) + np.uint64(len(h))) if len(h) else h)
 
 
-class Parts:
-    """How sets of a size class are dealt to parts so that linked sets agree in a part worth comparing."""
-
-    def __init__(self, percent: int):
-        self.percent = percent
-        # A part of fewer than `least` shingles tells little. `slack` more parts than needed let a set leave those out.
-        # Far below 0.9 parts hold few shingles each, so only empty ones can be left out.
-        self.slack, self.least = (0.06, 2) if percent >= 87 else (0.3, 1)
-        bounds = [1]
-        while bounds[-1] < 1 << 40:
-            bounds.append(max(bounds[-1] + 1, int(bounds[-1] * CLASS_RATIO)))
-        self.bounds = np.array(bounds)
-
-    def differ(self, top: int) -> int:
-        """Most shingles in which two linked sets differ, the smaller of size `top` at most."""
-        return (top + top * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
-
-    def signatures(self, s: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """For the set's own size class and the one below: how many signatures a partner shares at least, and all of them."""
-        n = len(s)
-        if n == 0:
-            return [(1, s), (1, s)]
-        own = int(np.searchsorted(self.bounds, n, side="right")) - 1
-        # A set also joins the class below when a partner there can be large enough.
-        low = own > 0 and -(-n * self.percent // 100) <= self.bounds[own] - 1
-        return [self._of_class(s, own), self._of_class(s, own - 1) if low else (1, s[:0])]
-
-    def _of_class(self, s: np.ndarray, k: int) -> tuple[int, np.ndarray]:
-        most = self.differ(int(self.bounds[k + 1]) - 1)
-        if most == 0:
-            return 1, s[:0]  # linked sets are equal here
-        spare = 2 + int(self.slack * most)
-        m = most + 1 + spare
-        strong = mix(s + np.uint64(k))
-        part = (strong >> np.uint64(16)) % np.uint64(m)
-        order = np.argsort(part, kind="stable")
-        part, strong = part[order], strong[order]
-        counts = np.bincount(part.astype(np.int64), minlength=m)
-        full = np.flatnonzero(counts)
-        sums = np.zeros(m, np.uint64)
-        sums[full] = np.add.reduceat(mix(strong), (np.cumsum(counts) - counts)[full])
-        weak = counts < self.least
-        n_weak = int(weak.sum())
-        take = np.arange(m) if n_weak > spare else np.flatnonzero(~weak)
-        # Linked sets agree in 1 + spare parts or more, of which no more than n_weak are left out.
-        need = 1 if n_weak > spare else 1 + spare - n_weak
-        return need, mix(sums[take] + mix(take.astype(np.uint64) + np.uint64(k << 32)))
+def common_least(n: int, percent: int) -> int:
+    """How many shingles a set of n has in common with any set it links with, at least."""
+    return -(-n * percent // 100)
+
+
+def sieve_least(n: int, percent: int) -> int:
+    """How many of these stand among the first of both, at least, the smaller of n shingles. Grows with n."""
+    return min(1 + n * SPARE // 100, common_least(n, percent))
+
+
+def sieve(s: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
+    """The set's first shingles in hash order, and how many of them a partner shares at least.
+
+    Of the common shingles no more than common_least - sieve_least can come after those taken here. The smallest partner
+    has common_least shingles.
+    """
+    n = len(s)
+    if n == 0:
+        return 1, s
+    common = common_least(n, percent)
+    take = n - common + sieve_least(n, percent)
+    h = mix(s)
+    return sieve_least(common, percent), np.partition(h, take - 1)[:take]
 
 
 def _node(s: np.ndarray) -> int:
@@ -106,24 +87,27 @@ def _long(values) -> pa.Array:
     return pa.array(np.asarray(values, np.uint64).view(np.int64))
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32())
+    return pa.ListArray.from_arrays(ends, _long(np.concatenate([np.zeros(0, np.uint64), *arrays])))
+
+
 def _sign(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, seen = Parts(percent), set()
+        seen = set()
         for b in batches:
-            sizes, nodes, lists, needs = [], [], ([], []), ([], [])
+            sizes, nodes, firsts, leasts = [], [], [], []
             for s in shingle_sets(b.column("text"), words):
                 node = _node(s)
-                sizes.append(len(s))
-                nodes.append(node)
                 # Equal sets sign once a task.
-                signed = [(1, s[:0])] * 2 if node in seen else parts.signatures(s)
+                least, first = (1, s[:0]) if node in seen else sieve(s, percent)
                 seen.add(node)
-                for level, (need, sigs) in enumerate(signed):
-                    lists[level].append(sigs)
-                    needs[level].append(need)
-            made = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), _long(np.concatenate([np.zeros(0, np.uint64), *own]))) for own in lists]
-            wanted = [pa.array(own, pa.int32()) for own in needs]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tk"), pa.array(sizes, pa.int64()), _long(nodes), *made, *wanted], ["id", "tk", "n", "node", "sigs0", "sigs1", "need0", "need1"])
+                sizes.append(len(s))
+                nodes.append(node)
+                firsts.append(first)
+                leasts.append(least)
+            columns = [b.column("id"), b.column("tk"), pa.array(sizes, pa.int64()), _long(nodes), _lists(firsts), pa.array(leasts, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "tk", "n", "node", "first", "least"])
 
     return run
 
@@ -137,6 +121,16 @@ def _sets(words: int):
     return run
 
 
+def _shingles(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("s")]
+            leasts = pa.array([common_least(len(s), percent) for s in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("node"), _lists(sets), leasts], ["node", "all", "least"])
+
+    return run
+
+
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         na, nb, common = [], [], []
@@ -256,9 +250,14 @@ def _near(regions: DataFrame, sets: DataFrame, percent: int, pivots: int) -> tup
         members = materialize(open_.join(once.select("region", "size"), "region").join(popular, "node"))
         if members.isEmpty():
             return edges, links
-        w = Window.partitionBy("region").orderBy(F.desc("pop"), "node")
-        wanted = F.when(F.col("size") <= SMALL, F.lit(1) if edges is None else F.col("size")).otherwise(F.lit(1 if edges is None else pivots))
-        chosen = members.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= wanted).select("region", F.col("node").alias("pivot"))
+        if edges is None:
+            chosen = members.groupBy("region").agg(F.min_by("node", F.struct(-F.col("pop"), "node")).alias("pivot"))
+        else:
+            w = Window.partitionBy("region").orderBy(F.desc("pop"), "node")
+            wanted = F.when(F.col("size") <= SMALL, SMALL).otherwise(pivots)
+            # The first bound, a constant, is applied before the shuffle.
+            ranked = members.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= max(SMALL, pivots))
+            chosen = ranked.filter(F.col("k") <= wanted).select("region", F.col("node").alias("pivot"))
         asked = members.select("region", "node").join(chosen, "region")
         measured = _distances(asked.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sets)
         close, linked = measured.filter(F.col("distance") <= CORE + r + 1e-9).select("a", "b"), measured.filter(_linked(percent)).select("a", "b")
@@ -268,25 +267,51 @@ def _near(regions: DataFrame, sets: DataFrame, percent: int, pivots: int) -> tup
         open_ = materialize(members.select("region", "node").join(taken, ["region", "node"], "left_anti"))
 
 
+def _met(rows: DataFrame) -> DataFrame:
+    """Rows (region, node, least) whose region has several nodes, with `c`, how many rows it has."""
+    counts = rows.groupBy("region").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("low"), F.max("node").alias("far"))
+    return rows.join(counts.filter("low < far").select("region", "c"), "region")
+
+
+def _pruned(rows: DataFrame) -> DataFrame:
+    """Distinct rows (region, node, least, c) without the nodes that share fewer than `least` with all others, written."""
+    for _ in range(PRUNINGS):
+        enough = rows.groupBy("node").agg(F.count(F.lit(1)).alias("shared"), F.max("least").alias("asked")).filter("shared >= asked")
+        rows = materialize(_met(rows.select("region", "node", "least").join(enough.select("node"), "node", "left_semi")))
+    return rows
+
+
+def _sieved(signed: DataFrame) -> DataFrame:
+    """(node) of the sets that may have a partner."""
+    rows = signed.select(F.explode("first").alias("region"), "node", "least")
+    part = rows.filter(F.pmod("node", F.lit(SAMPLED)) == 0).groupBy("region").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("low"), F.max("node").alias("far"))
+    hot = materialize(part.filter(F.col("c") >= HOT).filter("low < far").select("region"))
+    w = Window.partitionBy("region")
+    ends = rows.join(hot, "region", "left_anti").withColumns({"low": F.min("node").over(w), "far": F.max("node").over(w)})
+    met = ends.filter("low < far").drop("low", "far").unionByName(rows.join(hot, "region", "left_semi"))
+    return materialize(_pruned(materialize(met.distinct())).select("node").distinct())
+
+
+def _regions(sets: DataFrame, percent: int) -> DataFrame:
+    """(region, node): every linked pair of the sets shares a region."""
+    rows = sets.mapInArrow(_shingles(percent), "node long, all array<long>, least int").select(F.explode("all").alias("region"), "node", "least")
+    rows = _pruned(materialize(_met(rows)))
+    # Of the common shingles the rarest comes after all others, so neither set leaves it out.
+    w = Window.partitionBy("node").orderBy(F.desc("c"), "region")
+    rare = rows.withColumn("k", F.row_number().over(w)).filter("k >= least").select("region", "node", "least")
+    return materialize(_met(rare).select("region", "node"))
+
+
 def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, local_rows: int = LOCAL_ROWS, pivots: int = 16) -> DataFrame:
     """Every row's id, `tk` (hash of its text), `n` (size of its set) and `root`, alike in what links connect."""
     base = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).withColumn("tk", F.xxhash64("text"))
     kind = dict(base.dtypes)["id"]
-    signed = materialize(base.mapInArrow(_sign(words, percent), f"id {kind}, tk long, n long, node long, sigs0 array<long>, sigs1 array<long>, need0 int, need1 int"))
-    level = lambda k: signed.select(F.explode(f"sigs{k}").alias("region"), "node", F.lit(k).alias("level"), F.col(f"need{k}").alias("need"))
-    spread = level(0).unionByName(level(1))
-    w = Window.partitionBy("region")
-    met = lambda df: df.withColumns({"low": F.min("node").over(w), "far": F.max("node").over(w)}).filter("low < far").drop("low", "far")
-    regions = materialize(met(spread).distinct())
-    # A set that shares fewer signatures with all others than one partner must share has no partner.
-    for _ in range(PRUNINGS):
-        enough = regions.groupBy("node", "level").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("least")).filter("c >= least").select("node", "level")
-        regions = materialize(met(regions.join(enough, ["node", "level"], "left_semi")))
-    regions = regions.select("region", "node").distinct()
-    # The sets of documents that share a region, one document for each.
-    wanted = signed.join(regions.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("tk", "id")).alias("d")).select("d.tk", "d.id")
+    signed = materialize(base.mapInArrow(_sign(words, percent), f"id {kind}, tk long, n long, node long, first array<long>, least int"))
+    # The sets that are left, from one document each.
+    wanted = signed.join(_sieved(signed), "node", "left_semi").groupBy("node").agg(F.min(F.struct("tk", "id")).alias("d")).select("d.tk", "d.id")
     texts = base.alias("x").join(wanted.alias("y"), (F.col("x.tk") == F.col("y.tk")) & F.col("x.id").eqNullSafe(F.col("y.id")), "left_semi")
     sets = materialize(texts.mapInArrow(_sets(words), "node long, s binary").dropDuplicates(["node"]))
+    regions = _regions(sets, percent)
 
     none = docs.sparkSession.createDataFrame([], "a long, b long")
     edges, links = _near(regions, sets, percent, pivots)

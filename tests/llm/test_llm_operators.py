@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from harborline.llm import fingerprints as fp
-from harborline.llm.jaccard import Parts, _near, join_sets, keep_one
+from harborline.llm import jaccard
+from harborline.llm.jaccard import _near, _regions, common_least, join_sets, keep_one, sieve
 from harborline.llm.line_dedup import dedup_lines
 from harborline.llm.neighbours import nearest
 from harborline.llm.packing import END_ID, LibraryCodec, pack_documents, plan
@@ -237,21 +238,49 @@ def test_keep_one_tells_rows_of_one_id_apart(spark):
     assert got == bag([(1, text("a")), (2, text("b")), (3, text("c")), (None, text("e")), (None, ""), (None, ""), *one_of])
 
 
-@pytest.mark.parametrize("percent", [80, 90])
-def test_linked_sets_agree_in_a_signed_part(percent):
+def linked_sets(r, n, percent):
+    """Two random sets that differ by as much as links allow, or None where the draw differs by more."""
+    a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+    most = max(1, (100 - percent) * n // 100) + 1
+    b = np.unique(np.concatenate([a[r.integers(0, most) :], r.integers(0, 1 << 63, r.integers(0, most)).astype(np.uint64)]))
+    both = len(np.intersect1d(a, b))
+    return (a, b, both) if 100 * both >= percent * (len(a) + len(b) - both) else None
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 100])
+def test_linked_sets_share_sieved_shingles(percent):
     r = np.random.default_rng(percent)
-    parts = Parts(percent)
-    for n in [*range(3, 60), 100, 333, 1000, 5000]:
+    for n in [*range(1, 60), 100, 333, 1000, 5000]:
         for _ in range(6):
-            a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
-            drop = r.integers(0, max(1, (100 - percent) * n // 100) + 1)
-            add = r.integers(0, max(1, (100 - percent) * n // 100) + 1)
-            b = np.unique(np.concatenate([a[drop:], r.integers(0, 1 << 63, add).astype(np.uint64)]))
-            both = len(np.intersect1d(a, b))
-            if 100 * both >= percent * (len(a) + len(b) - both) and both != max(len(a), len(b)):
-                found = [(x, y, len(np.intersect1d(x[1], y[1]))) for x in parts.signatures(a) for y in parts.signatures(b)]
-                # In some class they share a signature, and as many as each of them asks of a partner.
-                assert any(n >= max(1, x[0], y[0]) for x, y, n in found)
+            if drawn := linked_sets(r, n, percent):
+                a, b, both = drawn
+                (x, p), (y, q) = sieve(a, percent), sieve(b, percent)
+                assert len(np.intersect1d(p, q)) >= max(1, x, y)
+                assert both >= max(common_least(len(a), percent), common_least(len(b), percent))
+
+
+def test_linked_sets_share_a_region(spark):
+    """With a passage in all of them: linked pairs meet, and texts that share no more than the passage don't."""
+    r = np.random.default_rng(5)
+    passage = r.integers(0, 1 << 63, 60).astype(np.uint64)
+    sets, pairs = [], []
+    for n in range(20, 140, 4):
+        a, b, _ = next(d for d in (linked_sets(r, n, 80) for _ in range(100)) if d and len(np.setxor1d(d[0], d[1])))
+        pairs.append((len(sets), len(sets) + 1))
+        sets += [np.union1d(a, passage), np.union1d(b, passage)]
+    alone = [np.union1d(r.integers(0, 1 << 63, 40).astype(np.uint64), passage) for _ in range(40)]
+    rows = [(k, s.tobytes()) for k, s in enumerate(sets + alone)]
+    found = collections.defaultdict(set)
+    for region, node in _regions(spark.createDataFrame(rows, "node long, s binary"), 80).collect():
+        found[region].add(node)
+    assert all(any({a, b} <= members for members in found.values()) for a, b in pairs)
+    assert not any(node >= len(sets) for members in found.values() for node in members)
+
+
+def test_jaccard_join_with_hot_shingles(docs, rows, monkeypatch):
+    monkeypatch.setattr(jaccard, "SAMPLED", 1)
+    monkeypatch.setattr(jaccard, "HOT", 2)
+    assert bag(join_sets(docs, words=3, percent=90).collect()) == bag(brute.jaccard_groups(rows, 3, 90))
 
 
 @pytest.mark.parametrize("rounds", [1, 2, 3])
