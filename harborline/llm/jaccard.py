@@ -6,7 +6,9 @@ therefore cells that provably hold both ends of every link: shingles that a link
 two steps. A sieve looks at the first few shingles of each set in hash order, of which linked sets share a known number;
 sets that share fewer with all others have no partner. Of the sets that are left all shingles are counted. A linked pair
 shares percent/100 of either set, so each set can leave out as many of its most frequent shingles as that, less one, and
-the rarest common one stays: texts that share a license or a passage, and no more, meet nowhere. Inside a region,
+the rarest common one stays: texts that share a license or a passage, and no more, meet nowhere. From PARTS_FROM percent
+on, linked sets differ in so few shingles that each set is instead dealt to more parts than that, and an equal part is a
+region: parts then hold enough shingles that unrelated texts seldom agree in one, and fewer rows move. Inside a region,
 distances to pivots decide. What lies near a pivot belongs to its Voronoi region, with a window as wide as the triangle
 inequality asks for, so that partners end up in one coarse group; what no pivot has taken goes on with other pivots. A
 coarse group is then joined exactly: in one task if small, else against pivots first and in blocks for what they left
@@ -37,6 +39,9 @@ PRUNINGS = 2
 SPARE = 10
 # Shingles that so many of one in SAMPLED sets hold are known to be shared and are counted by no single task.
 SAMPLED, HOT = 256, 32
+# Regions are equal parts from this percentage on, shared shingles below it. Sizes of one class of parts differ by
+# CLASS_RATIO at most.
+PARTS_FROM, CLASS_RATIO = 87, 1.5
 # Sets within this distance of a pivot belong to its Voronoi core.
 CORE = 0.4
 # Members of a coarse group that one task joins; larger groups are joined in blocks.
@@ -78,6 +83,54 @@ def sieve(s: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
     return sieve_least(common, percent), np.partition(h, take - 1)[:take]
 
 
+class Parts:
+    """How sets of a size class are dealt to parts so that linked sets agree in a part worth comparing."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        # A part of fewer than `least` shingles tells little. `slack` more parts than needed let a set leave those out.
+        self.slack, self.least = 0.06, 2
+        bounds = [1]
+        while bounds[-1] < 1 << 40:
+            bounds.append(max(bounds[-1] + 1, int(bounds[-1] * CLASS_RATIO)))
+        self.bounds = np.array(bounds)
+
+    def differ(self, top: int) -> int:
+        """Most shingles in which two linked sets differ, the smaller of size `top` at most."""
+        return (top + top * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
+
+    def signatures(self, s: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """For the set's own size class and the one below: how many signatures a partner shares at least, and all of them."""
+        n = len(s)
+        if n == 0:
+            return [(1, s), (1, s)]
+        own = int(np.searchsorted(self.bounds, n, side="right")) - 1
+        # A set also joins the class below when a partner there can be large enough.
+        low = own > 0 and -(-n * self.percent // 100) <= self.bounds[own] - 1
+        return [self._of_class(s, own), self._of_class(s, own - 1) if low else (1, s[:0])]
+
+    def _of_class(self, s: np.ndarray, k: int) -> tuple[int, np.ndarray]:
+        most = self.differ(int(self.bounds[k + 1]) - 1)
+        if most == 0:
+            return 1, s[:0]  # linked sets are equal here
+        spare = 2 + int(self.slack * most)
+        m = most + 1 + spare
+        strong = mix(s + np.uint64(k))
+        part = (strong >> np.uint64(16)) % np.uint64(m)
+        order = np.argsort(part, kind="stable")
+        part, strong = part[order], strong[order]
+        counts = np.bincount(part.astype(np.int64), minlength=m)
+        full = np.flatnonzero(counts)
+        sums = np.zeros(m, np.uint64)
+        sums[full] = np.add.reduceat(mix(strong), (np.cumsum(counts) - counts)[full])
+        weak = counts < self.least
+        n_weak = int(weak.sum())
+        take = np.arange(m) if n_weak > spare else np.flatnonzero(~weak)
+        # Linked sets agree in 1 + spare parts or more, of which no more than n_weak are left out.
+        need = 1 if n_weak > spare else 1 + spare - n_weak
+        return need, mix(sums[take] + mix(take.astype(np.uint64) + np.uint64(k << 32)))
+
+
 def _node(s: np.ndarray) -> int:
     m = mix(s)
     return int(mix(np.array([m.sum(dtype=np.uint64)], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.bitwise_xor.reduce(mix(m)) + np.uint64(len(s)))[0])
@@ -112,6 +165,28 @@ def _sign(words: int, percent: int):
     return run
 
 
+def _sign_parts(words: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, seen = Parts(percent), set()
+        for b in batches:
+            sizes, nodes, lists, needs = [], [], ([], []), ([], [])
+            for s in shingle_sets(b.column("text"), words):
+                node = _node(s)
+                sizes.append(len(s))
+                nodes.append(node)
+                # Equal sets sign once a task.
+                signed = [(1, s[:0])] * 2 if node in seen else parts.signatures(s)
+                seen.add(node)
+                for level, (need, sigs) in enumerate(signed):
+                    lists[level].append(sigs)
+                    needs[level].append(need)
+            made = [_lists(own) for own in lists]
+            wanted = [pa.array(own, pa.int32()) for own in needs]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tk"), pa.array(sizes, pa.int64()), _long(nodes), *made, *wanted], ["id", "tk", "n", "node", "sigs0", "sigs1", "need0", "need1"])
+
+    return run
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -302,16 +377,40 @@ def _regions(sets: DataFrame, percent: int) -> DataFrame:
     return materialize(_met(rare).select("region", "node"))
 
 
+def _part_regions(base: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The signed documents, and (region, node): linked sets that aren't equal share a region."""
+    kind = dict(base.dtypes)["id"]
+    signed = materialize(base.mapInArrow(_sign_parts(words, percent), f"id {kind}, tk long, n long, node long, sigs0 array<long>, sigs1 array<long>, need0 int, need1 int"))
+    level = lambda k: signed.select(F.explode(f"sigs{k}").alias("region"), "node", F.lit(k).alias("level"), F.col(f"need{k}").alias("need"))
+    spread = level(0).unionByName(level(1))
+    w = Window.partitionBy("region")
+    met = lambda df: df.withColumns({"low": F.min("node").over(w), "far": F.max("node").over(w)}).filter("low < far").drop("low", "far")
+    regions = materialize(met(spread).distinct())
+    # A set that shares fewer signatures with all others than one partner must share has no partner.
+    for _ in range(PRUNINGS):
+        enough = regions.groupBy("node", "level").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("least")).filter("c >= least").select("node", "level")
+        regions = materialize(met(regions.join(enough, ["node", "level"], "left_semi")))
+    return signed, materialize(regions.select("region", "node").distinct())
+
+
+def _wanted_sets(base: DataFrame, signed: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, s) of the nodes, each from one document."""
+    wanted = signed.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("tk", "id")).alias("d")).select("d.tk", "d.id")
+    texts = base.alias("x").join(wanted.alias("y"), (F.col("x.tk") == F.col("y.tk")) & F.col("x.id").eqNullSafe(F.col("y.id")), "left_semi")
+    return materialize(texts.mapInArrow(_sets(words), "node long, s binary").dropDuplicates(["node"]))
+
+
 def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, local_rows: int = LOCAL_ROWS, pivots: int = 16) -> DataFrame:
     """Every row's id, `tk` (hash of its text), `n` (size of its set) and `root`, alike in what links connect."""
     base = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).withColumn("tk", F.xxhash64("text"))
-    kind = dict(base.dtypes)["id"]
-    signed = materialize(base.mapInArrow(_sign(words, percent), f"id {kind}, tk long, n long, node long, first array<long>, least int"))
-    # The sets that are left, from one document each.
-    wanted = signed.join(_sieved(signed), "node", "left_semi").groupBy("node").agg(F.min(F.struct("tk", "id")).alias("d")).select("d.tk", "d.id")
-    texts = base.alias("x").join(wanted.alias("y"), (F.col("x.tk") == F.col("y.tk")) & F.col("x.id").eqNullSafe(F.col("y.id")), "left_semi")
-    sets = materialize(texts.mapInArrow(_sets(words), "node long, s binary").dropDuplicates(["node"]))
-    regions = _regions(sets, percent)
+    if percent >= PARTS_FROM:
+        signed, regions = _part_regions(base, words, percent)
+        sets = _wanted_sets(base, signed, regions.select("node").distinct(), words)
+    else:
+        kind = dict(base.dtypes)["id"]
+        signed = materialize(base.mapInArrow(_sign(words, percent), f"id {kind}, tk long, n long, node long, first array<long>, least int"))
+        sets = _wanted_sets(base, signed, _sieved(signed), words)
+        regions = _regions(sets, percent)
 
     none = docs.sparkSession.createDataFrame([], "a long, b long")
     edges, links = _near(regions, sets, percent, pivots)

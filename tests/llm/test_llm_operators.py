@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from harborline.llm import fingerprints as fp
 from harborline.llm import jaccard
-from harborline.llm.jaccard import _near, _regions, common_least, join_sets, keep_one, sieve
+from harborline.llm.jaccard import Parts, _near, _regions, common_least, join_sets, keep_one, sieve
 from harborline.llm.line_dedup import dedup_lines
 from harborline.llm.neighbours import nearest
 from harborline.llm.packing import END_ID, LibraryCodec, pack_documents, plan
@@ -280,7 +280,24 @@ def test_linked_sets_share_a_region(spark):
 def test_jaccard_join_with_hot_shingles(docs, rows, monkeypatch):
     monkeypatch.setattr(jaccard, "SAMPLED", 1)
     monkeypatch.setattr(jaccard, "HOT", 2)
-    assert bag(join_sets(docs, words=3, percent=90).collect()) == bag(brute.jaccard_groups(rows, 3, 90))
+    assert bag(join_sets(docs).collect()) == bag(brute.jaccard_groups(rows, 5, 80))
+
+
+@pytest.mark.parametrize("percent", [87, 90])
+def test_linked_sets_agree_in_a_signed_part(percent):
+    r = np.random.default_rng(percent)
+    parts = Parts(percent)
+    for n in [*range(3, 60), 100, 333, 1000, 5000]:
+        for _ in range(6):
+            a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+            drop = r.integers(0, max(1, (100 - percent) * n // 100) + 1)
+            add = r.integers(0, max(1, (100 - percent) * n // 100) + 1)
+            b = np.unique(np.concatenate([a[drop:], r.integers(0, 1 << 63, add).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= percent * (len(a) + len(b) - both) and both != max(len(a), len(b)):
+                found = [(x, y, len(np.intersect1d(x[1], y[1]))) for x in parts.signatures(a) for y in parts.signatures(b)]
+                # In some class they share a signature, and as many as each of them asks of a partner.
+                assert any(n >= max(1, x[0], y[0]) for x, y, n in found)
 
 
 @pytest.mark.parametrize("rounds", [1, 2, 3])
