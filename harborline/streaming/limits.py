@@ -4,7 +4,7 @@ An event is accepted if fewer than `limit` accepted ones lie within the window b
 order, the one `limit` places after event a is the first, behind its predecessor, that lies more than a window after
 a. All keys of a block step along together: each step finds the next `limit` accepted events of every key from the
 last `limit`, by one sorted search and a running maximum, and moves on by more than a window. What a block hands
-to the next is its last `limit` accepted times.
+to the next is its last `limit` accepted times. Blocks of a large key are gone through in stretches, many at a time.
 """
 
 from __future__ import annotations
@@ -18,14 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harborline.operators.ordering import GROUP_ROWS, POS, largest_group, positions
-from harborline.session import materialize
+from harborline.session import materialize, scratch_path
 
 SECOND = 1_000_000
 RATE_COLUMNS = "accepted boolean, retry_after_seconds long"
 # Rows of whole groups that one step of the vectorised code takes together.
 STEP_ROWS = 200_000
-# Rounds in which all blocks run again whose predecessor's hand-over changed; later only a key's first such block does.
-EAGER_ROUNDS = 8
+# Stretches the largest key is cut in at least (if it has as many blocks). One task goes through a stretch, block by block.
+STRETCHES = 24
+# Rounds in which all stretches run again whose predecessor's hand-over changed; later only a key's first such one does.
+EAGER_ROUNDS = 3
 
 
 def limit_sorted(times: np.ndarray, starts: np.ndarray, held: Sequence[Sequence[int]], limit: int, window: int) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
@@ -111,18 +113,15 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> It
         yield table, _group_starts(table, names)
 
 
-def _limiter(group: Sequence[str], limit: int, window: int, keep: Sequence[str], state: bool) -> Callable:
-    """Per row the verdict, or (with `state`) per group the times handed on."""
+def _limiter(group: Sequence[str], limit: int, window: int, keep: Sequence[str]) -> Callable:
+    """Per row the verdict."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in _whole_groups((b for b in batches if len(b)), group):
             times = table.column("_us").to_numpy()
             held = [h or [] for h in table.column("_held").take(pa.array(starts)).to_pylist()]
-            accepted, retry, handed = limit_sorted(times, starts, held, limit, window)
-            if state:
-                out = table.select(list(group)).take(pa.array(starts)).append_column("handed", pa.array(handed, pa.list_(pa.int64())))
-            else:
-                out = table.select(list(keep)).append_column("accepted", pa.array(accepted)).append_column("retry_after_seconds", pa.array(retry))
+            accepted, retry, _ = limit_sorted(times, starts, held, limit, window)
+            out = table.select(list(keep)).append_column("accepted", pa.array(accepted)).append_column("retry_after_seconds", pa.array(retry))
             yield from out.combine_chunks().to_batches()
 
     return run
@@ -131,11 +130,11 @@ def _limiter(group: Sequence[str], limit: int, window: int, keep: Sequence[str],
 def rate_check(df: DataFrame, key: str, ts: str, ident: str, limit: int, window_seconds: int, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(key, ident, accepted, retry_after_seconds) for every event, in (ts, ident) order per key.
 
-    Keys that fit one task are taken whole. Where a key is larger, events are cut in blocks of `group_rows`, in order. All
-    blocks run at once, at first as if nothing came before; then those run again whose predecessor hands on other times
-    than they began with, until none does. What is accepted soon depends little on the distant past, so few rounds are
-    usual; the worst case is a round for each block of the largest key, each of one block a key. Null times are refused
-    without a time to wait, null keys are one key. A limit below 1 refuses everything.
+    Keys that fit one task are taken whole. Where a key is larger, events are cut in blocks of `group_rows`, in order, and
+    blocks dealt to stretches. All stretches run at once, at first as if nothing came before; then those run again whose
+    predecessor hands on other times than they began with, until none does. What is accepted soon depends little on the
+    distant past, so few rounds are usual; the worst case is a round for each stretch of the largest key, each of one
+    stretch a key. Null times are refused without a time to wait, null keys are one key. A limit below 1 refuses everything.
     """
     window = window_seconds * SECOND
     events = df.select(key, ident, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
@@ -144,43 +143,72 @@ def rate_check(df: DataFrame, key: str, ts: str, ident: str, limit: int, window_
     timed, order = events.filter("_us IS NOT NULL"), ["_us", ident]
     if largest_group(timed, [key]) <= group_rows:
         dealt = timed.withColumn("_held", F.lit(None).cast("array<bigint>")).repartition(key).sortWithinPartitions(key, *order)
-        out = dealt.mapInArrow(_limiter([key], limit, window, [key, ident], False), rows_schema)
+        out = dealt.mapInArrow(_limiter([key], limit, window, [key, ident]), rows_schema)
     else:
         placed = materialize(positions(timed, [key, *order], table_rows=0).withColumn("_block", F.floor(F.col(POS) / F.lit(group_rows))))
-        held = _hand_overs(placed, key, limit, window)
+        held = _hand_overs(placed, key, limit, window, group_rows)
         own = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_block") == F.col("_b"))
         dealt = placed.join(held, own, "left").repartition(key, "_block").sortWithinPartitions(key, "_block", POS)
-        out = dealt.select(key, ident, "_us", "_held", "_block").mapInArrow(_limiter([key, "_block"], limit, window, [key, ident], False), rows_schema)
+        out = dealt.select(key, ident, "_us", "_held", "_block").mapInArrow(_limiter([key, "_block"], limit, window, [key, ident]), rows_schema)
     untimed = events.filter("_us IS NULL").select(key, ident, F.lit(False).alias("accepted"), F.lit(None).cast("long").alias("retry_after_seconds"))
     return out.unionByName(untimed)
 
 
-def _hand_overs(placed: DataFrame, key: str, limit: int, window: int) -> DataFrame:
-    """(_k, _b, _held): the times with which each block of a key that has several begins. One row per such block."""
+def _through_stretches(limit: int, window: int) -> Callable:
+    """Per block the times it begins with and hands on; the blocks of a stretch are taken in order, one at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[int] = []
+        for table, starts in _whole_groups((b for b in batches if len(b)), ["_k", "_s", "_block"]):
+            times = table.column("_us").to_numpy()
+            heads = table.select(["_k", "_s", "_block"]).take(pa.array(starts))
+            opening = table.column("_opens").take(pa.array(starts)).to_pylist()
+            given = table.column("_held").take(pa.array(starts)).to_pylist()
+            began, handed = [], []
+            for a, b, opens, first in zip(starts, np.append(starts[1:], len(times)), opening, given):
+                held = first if opens else held
+                began.append(held)
+                held = limit_sorted(times[a:b], np.zeros(1, np.int64), [held], limit, window)[2][0]
+                handed.append(held)
+            lists = pa.list_(pa.int64())
+            yield from heads.append_column("_held", pa.array(began, lists)).append_column("handed", pa.array(handed, lists)).combine_chunks().to_batches()
+
+    return run
+
+
+def _hand_overs(placed: DataFrame, key: str, limit: int, window: int, group_rows: int) -> DataFrame:
+    """(_k, _b, _held): the times with which each block of a key that has several begins. One row per such block.
+
+    Blocks of a key are dealt in order to stretches of equally many, none of more rows than fit one task.
+    """
     types = dict(placed.dtypes)
-    schema = f"`{key}` {types[key]}, _block bigint, handed array<bigint>"
-    spans = placed.groupBy(F.col(key).alias("_k")).agg(F.min("_block").alias("_from"), F.max("_block").alias("_to")).filter("_to > _from")
-    ours = materialize(spans.select("_k", F.explode(F.sequence("_from", "_to")).alias("_b"), "_from"))
-    none = F.array().cast("array<bigint>")
-    # What each block was last run with, and what it handed on.
+    schema = f"_k {types[key]}, _s bigint, _b bigint, _held array<bigint>, handed array<bigint>"
+    spans = materialize(placed.groupBy(F.col(key).alias("_k")).agg(F.min("_block").alias("_from"), F.max("_block").alias("_to")).filter("_to > _from"))
+    most = spans.agg(F.max(F.col("_to") - F.col("_from") + 1)).first()[0] or 1
+    each = max(1, min(-(-most // STRETCHES), GROUP_ROWS // group_rows))
+    turn_of = F.col("_block") - F.col("_from")
+    several = placed.join(spans, F.col(key).eqNullSafe(F.col("_k"))).select("_k", "_us", "_block", POS, F.floor(turn_of / each).alias("_s"), (turn_of % each == 0).alias("_opens"))
+    path = scratch_path(placed.sparkSession, "stretches")
+    several.write.partitionBy("_s").parquet(path)
+    lines = placed.sparkSession.read.schema(several.schema).parquet(path)
+    last = F.floor((F.col("_to") - F.col("_from")) / each)
     told = None
-    todo = ours.select("_k", "_b", none.alias("_held"))
+    todo = materialize(spans.select("_k", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_s"), F.array().cast("array<bigint>").alias("_held")))
+    same = lambda a, b: F.col(f"{a}._k").eqNullSafe(F.col(f"{b}._k")) & (F.col(f"{a}._s") == F.col(f"{b}._s"))
     turn = 0
-    while True:
-        own = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_block") == F.col("_b"))
-        dealt = placed.join(todo, own).select(key, "_us", "_held", "_block", POS).repartition(key, "_block").sortWithinPartitions(key, "_block", POS)
-        ran = dealt.mapInArrow(_limiter([key, "_block"], limit, window, [], True), schema).select(F.col(key).alias("_k"), F.col("_block").alias("_b"), "handed")
-        same = lambda a, b: F.col(f"{a}._k").eqNullSafe(F.col(f"{b}._k")) & (F.col(f"{a}._b") == F.col(f"{b}._b"))
-        new = todo.alias("t").join(ran.alias("r"), same("t", "r")).select("t._k", "t._b", "t._held", "r.handed")
+    # Numbers of stretches to run, as many at most as the largest key has; only their files are read.
+    while wanted := [r[0] for r in todo.select("_s").distinct().collect()]:
+        dealt = lines.filter(F.col("_s").isin(wanted)).alias("l").join(todo.alias("t"), same("l", "t")).select("l._k", "l._s", "_us", "_block", "_opens", "_held", POS)
+        ordered = dealt.repartition("_k", "_s").sortWithinPartitions("_k", "_s", POS)
+        new = ordered.mapInArrow(_through_stretches(limit, window), schema)
         if told is not None:
-            old = told.alias("o").join(todo.alias("t"), same("o", "t"), "left_anti")
-            new = new.unionByName(old.select("_k", "_b", "_held", "handed"))
+            new = new.unionByName(told.alias("o").join(todo.alias("t"), same("o", "t"), "left_anti"))
         told = materialize(new)
-        nexts = told.select("_k", (F.col("_b") + 1).alias("_b"), F.col("handed").alias("_now"))
-        differ = told.alias("o").join(nexts.alias("n"), same("o", "n")).filter("o._held <> n._now").select("o._k", "o._b", F.col("n._now").alias("_held"))
+        ends = told.groupBy("_k", "_s").agg(F.min_by("_held", "_b").alias("_held"), F.max_by("handed", "_b").alias("handed"))
+        nexts = ends.select("_k", (F.col("_s") + 1).alias("_s"), F.col("handed").alias("_now"))
+        differ = ends.alias("o").join(nexts.alias("n"), same("o", "n")).filter("o._held <> n._now").select("o._k", "o._s", F.col("n._now").alias("_held"))
         turn += 1
         if turn >= EAGER_ROUNDS:
-            differ = differ.groupBy("_k").agg(F.min_by(F.struct("_b", "_held"), "_b").alias("f")).select("_k", "f._b", "f._held")
+            differ = differ.groupBy("_k").agg(F.min_by(F.struct("_s", "_held"), "_s").alias("f")).select("_k", "f._s", "f._held")
         todo = materialize(differ)
-        if todo.isEmpty():
-            return told.select("_k", "_b", "_held")
+    return told.select("_k", "_b", "_held")

@@ -540,3 +540,15 @@ def test_train_falls_through_targets(spark):
     report, log = E.train_dataset_model(df, ["x"], [("absent", "regression"), ("const", "classification"), ("y", "regression")], ["id"], trees=5)
     assert [s for _, s in log] == ["missing_target", "untrainable_target", "trained"]
     assert report.first()["r2"] > 0.9
+
+
+def test_rate_rounds_do_not_grow_with_blocks(spark, monkeypatch):
+    """Events that never let a block forget the one before: rounds are as many as stretches, not as blocks."""
+    rows = [(1, i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, id int, ts timestamp_ntz")
+    written, write = [], limits.materialize
+    monkeypatch.setattr(limits, "STRETCHES", 3, raising=False)
+    monkeypatch.setattr(limits, "materialize", lambda t: written.append(t) or write(t))
+    got = limits.rate_check(df, "k", "ts", "id", 3, 50, group_rows=10)
+    assert {r["id"]: (r["accepted"], r["retry_after_seconds"]) for r in got.collect()} == plain_limit(rows, 3, 50)
+    assert len(written) <= 12
