@@ -361,12 +361,15 @@ def train_dataset_model(df: DataFrame, features: Sequence[str], targets: Sequenc
             log.append((target, "missing_target"))
             continue
         clean = clean_target(df, target, task)
-        n_classes = clean.select(target).distinct().limit(2 if max_classes is None else max_classes + 1).count()
+        held = S.unit_hash(F.concat_ws("|", *[F.col(c).cast("string") for c in key]), seed) >= 0.8
+        inputs = [c for c in features if c != target]
+        # Fitting and scoring read the rows several times; they are cleaned and encoded for all of them at once.
+        rows = materialize(clean.select(target, *dict.fromkeys(inputs), held.alias("_held")))
+        n_classes = rows.select(target).distinct().limit(2 if max_classes is None else max_classes + 1).count()
         if n_classes < 2 or (task == "classification" and max_classes is not None and n_classes > max_classes):
             log.append((target, "untrainable_target"))
             continue
-        held = S.unit_hash(F.concat_ws("|", *[F.col(c).cast("string") for c in key]), seed) >= 0.8
-        data = prepare_matrix(clean, [c for c in features if c != target]).withColumn("_held", held)
+        data = prepare_matrix(rows, inputs)
         if task == "classification":
             index = StringIndexer(inputCol=target, outputCol="_label", stringOrderType="alphabetAsc").fit(data)
             data = index.transform(data)

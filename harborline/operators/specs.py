@@ -13,6 +13,7 @@ from harborline.operators.features import derive_target, oof_target_encode, ordi
 from harborline.operators.joins import lookup_join
 from harborline.operators.profile import column_stats, text_columns
 from harborline.operators.projections import clean_target, drop_leaky, low_value_target
+from harborline.session import materialize
 
 
 def _combined(df: DataFrame, op: Mapping) -> DataFrame:
@@ -98,6 +99,8 @@ def dataset_job(
             continue
         clean = clean_target(df, target, task)
         kept, _ = drop_leaky(clean, [c for c in features if c != target], target)
+        # Read several times below; the target's numbers are parsed once.
+        clean = materialize(clean.select(*dict.fromkeys([target, *kept, *key])))
         if task == "classification" and clean.select(target).distinct().limit(3).count() == 2 and encode:
             clean = oof_target_encode(clean, [c for c in encode if c in kept], target, key, seed=seed)
             kept = [c for c in kept if c not in encode] + [f"{c}_te" for c in encode if c in kept]
