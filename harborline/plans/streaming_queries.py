@@ -121,8 +121,9 @@ def x4(spark, d):
 def x5(spark, d):
     """Alias sightings written as files, then merged into an empty registry micro-batch by micro-batch."""
     path = scratch_path(spark, "sightings")
-    _batch(spark, d).repartition(4).write.parquet(f"{path}/in")
-    feed = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    files = max(4, -(-table(spark, d, "lineitem").count() // 1_000_000))
+    _batch(spark, d).repartition(files, "seq").write.parquet(f"{path}/in")
+    feed = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).option("maxFilesPerTrigger", -(-files // 2)).parquet(f"{path}/in")
     _, rows = L.stream_upsert(feed, f"{path}/registry").latest()
     return rows.select("canonical_column", "alias", "status", F.round("confidence", 6).alias("confidence"), "hit_count")
 

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FANOUT = 8
+# Rows of a bucket that one task sorts and writes; a fuller bucket is dealt to several.
+TASK_ROWS = 500_000
 # Manifests kept, so that a reader of the one before the last still finds its files.
 KEPT_MANIFESTS = 2
 
@@ -68,12 +70,14 @@ class DeltaLog:
         """The last batch that counts; -1 before the first."""
         return (self._manifests() or [-1])[-1]
 
-    def _write(self, name: str, rows: DataFrame, folder: str) -> list[str]:
-        """Merged rows by bucket; the buckets that got any."""
+    def _write(self, name: str, rows: DataFrame, folder: str, n: int = 0) -> list[str]:
+        """Merged rows by bucket; the buckets that got any. `n` tells about how many rows there are, where that is known."""
         table = self.tables[name]
+        slices = max(1, -(-n // (table.buckets * TASK_ROWS)))
         bucket = F.pmod(F.xxhash64(*table.key), F.lit(table.buckets)).cast("int")
         columns = [f.strip().split(" ")[0] for f in _fields(table.schema)]
-        dealt = table.merge(rows).select(*columns, bucket.alias("_bucket")).repartition(table.buckets, "_bucket")
+        merged = table.merge(rows).select(*columns, bucket.alias("_bucket"))
+        dealt = merged.repartition(table.buckets * slices, F.col("_bucket"), F.pmod(F.xxhash64(*columns), F.lit(slices)))
         dealt.write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/{name}/{folder}")
         return [n.split("=")[1] for n in self._names(f"{name}/{folder}") if n.startswith("_bucket=")]
 
@@ -83,15 +87,18 @@ class DeltaLog:
             return self.spark.createDataFrame([], self.tables[name].schema)
         return reader.parquet(*[f"{self.path}/{name}/{folder}/_bucket={bucket}" for folder, bucket in pieces])
 
-    def commit(self, batch: int, rows: dict[str, DataFrame]) -> None:
-        """Add a batch's rows of any of the tables. A batch that counts already changes nothing."""
+    def commit(self, batch: int, rows: dict[str, DataFrame], about: dict[str, int] | None = None) -> None:
+        """Add a batch's rows of any of the tables. A batch that counts already changes nothing.
+
+        `about` tells how many rows there are before they are merged, roughly, so that no task has to write too many.
+        """
         state = self._state()
         if batch <= state["batch"]:
             return
         live, made = state["live"], set()
         for name, frame in rows.items():
             held = live.setdefault(name, {})
-            for bucket in self._write(name, frame, f"d{batch}"):
+            for bucket in self._write(name, frame, f"d{batch}", (about or {}).get(name, 0)):
                 held.setdefault(bucket, []).append([f"d{batch}", 0])
                 made.add((name, f"d{batch}", bucket))
             made |= self._compact(name, held, batch)
@@ -105,7 +112,8 @@ class DeltaLog:
         level, made = 0, set()
         while full := {b: own for b, all_ in held.items() if len(own := [p for p in all_ if p[1] == level]) >= self.fanout}:
             folder = f"c{batch}-{level}"
-            self._write(name, self._read(name, [(p, b) for b, own in full.items() for p, _ in own]), folder)
+            rows = self._read(name, [(p, b) for b, own in full.items() for p, _ in own])
+            self._write(name, rows, folder, rows.count())
             for b in full:
                 # Older pieces are of higher levels and stand first.
                 held[b] = [p for p in held[b] if p[1] != level] + [[folder, level + 1]]

@@ -72,15 +72,21 @@ class AliasLog:
         if number <= self.log.batch:
             return
         seen = usable_sightings(batch).withColumn("key", alias_key())
-        at = F.struct(F.lit(number).cast("bigint").alias("batch"), F.col("seq").alias("seq"))
-        values = seen.select(
-            "key", at.alias("first_at"), F.trim("canonical_column").alias("canonical_column"), F.trim("alias").alias("alias"), F.lit("candidate").alias("status"), at.alias("last_at"), "source",
-            F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.col("event_time").alias("first_seen"), F.col("event_time").alias("last_seen"), F.lit(1).cast("bigint").alias("hit_count"),
+        at = lambda seq: F.struct(F.lit(number).cast("bigint").alias("batch"), seq.alias("seq"))
+        # Equal texts are brought together first: texts kept in an aggregate would have every row sorted. No place is before all.
+        alike = seen.groupBy("key", F.trim("canonical_column").alias("canonical_column"), F.trim("alias").alias("alias"), "source").agg(
+            F.when(F.count_if(F.col("seq").isNull()) == 0, F.min("seq")).alias("from"), F.max("seq").alias("to"), F.max(F.coalesce("confidence", F.lit(0.0))).alias("confidence"),
+            F.min("event_time").alias("first_seen"), F.max("event_time").alias("last_seen"), F.count(F.lit(1)).alias("hit_count"),
+        )
+        values = alike.select(
+            "key", at(F.col("from")).alias("first_at"), "canonical_column", "alias", F.lit("candidate").alias("status"), at(F.col("to")).alias("last_at"), "source", "confidence", "first_seen", "last_seen", "hit_count"
         )
         entry = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.trim(c).alias("item"))
         entries = F.explode(F.array(entry("categories", "category"), entry("worker_dataset_ids", "worker_dataset_id")))
         items = seen.select("key", entries.alias("e")).select("key", "e.kind", "e.item").filter("item <> ''")
-        self.log.commit(number, {"values": values, "items": items, "texts": alias_texts(batch)})
+        n = batch.count()
+        # A sighting adds a note and at least as much evidence.
+        self.log.commit(number, {"values": values, "items": items, "texts": alias_texts(batch)}, {"values": n, "items": 2 * n, "texts": 3 * n})
 
     def latest(self) -> tuple[int, DataFrame]:
         """(last batch, the registry in ALIAS_SCHEMA)."""
