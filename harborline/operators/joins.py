@@ -148,10 +148,12 @@ def scoped_alias_join(aliases: DataFrame, workers: DataFrame) -> DataFrame:
     from harborline.functions.scalars import normalize_token
 
     usable = aliases.filter((F.col("status") == "approved") & (F.trim("canonical_column") != "") & (F.trim("alias") != ""))
-    left = usable.withColumn("_token", normalize_token(F.col("canonical_column")))
+    # Many entries may say the same: only the first of those can win, so the others meet no worker.
+    said = usable.groupBy(normalize_token(F.col("canonical_column")).alias("_token"), F.trim("alias").alias("alias"), "categories", "worker_dataset_ids")
+    left = said.agg(F.when(F.count_if(F.col("seq").isNull()) == 0, F.min("seq")).alias("seq"))
     right = workers.select("category", "dataset_id", "column_name", normalize_token(F.col("column_name")).alias("_token"))
     none_or = lambda scope, v: (F.coalesce(F.size(scope), F.lit(0)) <= 0) | F.array_contains(scope, F.col(v))
     hit = left.join(right, "_token").filter(none_or("categories", "category") & none_or("worker_dataset_ids", "dataset_id"))
-    return hit.groupBy("category", "dataset_id", F.trim("alias").alias("alias")).agg(
+    return hit.groupBy("category", "dataset_id", "alias").agg(
         F.min_by("column_name", F.struct("seq", "column_name")).alias("canonical")
     )

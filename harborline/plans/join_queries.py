@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from harborline.functions import scalars as S
 from harborline.operators import joins as J
-from harborline.operators.ordering import positions
+from harborline.operators.ordering import positions, small_side
 from harborline.plans.registry import query, table
 
 
@@ -148,7 +148,7 @@ def j14(spark, d):
     workers = part.select(F.col("p_type").alias("category"), F.col("p_brand").alias("dataset_id"), F.explode(F.split("p_name", " ")).alias("column_name")).distinct()
     # Customers take the words of part names in turn as canonical columns.
     vocab = positions(workers.select(F.col("column_name").alias("canonical_column")).distinct(), ["canonical_column"])
-    c = c.withColumn("_turn", F.col("c_custkey") % vocab.count()).join(vocab, F.col("_turn") == F.col("_pos"))
+    c = c.withColumn("_turn", F.col("c_custkey") % vocab.count()).join(small_side(vocab), F.col("_turn") == F.col("_pos"))
     n = F.col("c_nationkey")
     empty = F.array().cast("array<string>")
     aliases = c.select(
