@@ -38,12 +38,12 @@ def semantic_key() -> Column:
 def _text_rows(rows: DataFrame, at: Column, lists: dict[str, Column]) -> DataFrame:
     """TEXT_SCHEMA: the non-blank texts of each row's lists."""
 
-    def entries(kind: str, texts: Column) -> Column:
-        held = F.coalesce(texts, F.array().cast("array<string>"))
-        return F.transform(held, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("ord"), F.trim(x).alias("text")))
+    # A part for each list, so that who reads one kind doesn't make the others.
+    def entries(kind: str, texts: Column) -> DataFrame:
+        every = rows.select("key", F.lit(kind).alias("kind"), at.cast("long").alias("at"), F.posexplode(texts).alias("ord", "text"))
+        return every.withColumn("text", F.trim("text")).filter("text <> ''")
 
-    every = rows.select("key", at.cast("long").alias("at"), F.explode(F.concat(*[entries(k, c) for k, c in lists.items()])).alias("e"))
-    return every.select("key", "e.kind", "at", "e.ord", "e.text").filter("text <> ''")
+    return reduce(DataFrame.unionByName, [entries(k, c) for k, c in lists.items()])
 
 
 def registry_texts(registry: DataFrame, key: Column, kinds: Sequence[str]) -> DataFrame:
@@ -71,7 +71,8 @@ def read_texts(texts: DataFrame, kind: str, last: int | None = None) -> DataFram
         items = items.select("key", "text", F.struct("at", "ord").alias("o"))
     if last is not None:
         items = top_per_group(items, ["key"], [F.desc("o"), F.desc("text")], last)
-    return items.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "text"))), lambda x: x["text"]).alias(kind))
+    # Sorted natively, not by a comparing function called for every two texts.
+    return items.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("o", "text")))["text"].alias(kind))
 
 
 def usable_sightings(batch: DataFrame) -> DataFrame:
@@ -116,9 +117,13 @@ def upsert_aliases(registry: DataFrame, batch: DataFrame) -> DataFrame:
         "key", F.col("seq").alias("at"), F.trim("canonical_column").alias("canonical_column"), F.trim("alias").alias("alias"), F.lit("candidate").alias("status"),
         F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "source", F.col("event_time").alias("first_seen"), F.col("event_time").alias("last_seen"), F.lit(1).cast("long").alias("hits"),
     )
-    merged = one_old.unionByName(one_new).groupBy("key").agg(
-        F.min_by("canonical_column", "at").alias("canonical_column"), F.min_by("alias", "at").alias("alias"), F.min_by("status", "at").alias("_s"),
-        F.max("confidence").alias("confidence"), F.max_by("source", "at").alias("source"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("hits").alias("hit_count"),
+    # Equal texts are brought together first: texts kept in an aggregate would have every row sorted.
+    alike = one_old.unionByName(one_new).groupBy("key", "canonical_column", "alias", "status", "source").agg(
+        F.min("at").alias("from"), F.max("at").alias("to"), F.max("confidence").alias("confidence"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("hits").alias("hits"),
+    )
+    merged = alike.groupBy("key").agg(
+        F.min_by("canonical_column", "from").alias("canonical_column"), F.min_by("alias", "from").alias("alias"), F.min_by("status", "from").alias("_s"),
+        F.max("confidence").alias("confidence"), F.max_by("source", "to").alias("source"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("hits").alias("hit_count"),
     )
     merged = merged.withColumn("status", F.when(F.col("_s").isin("approved", "rejected"), F.col("_s")).otherwise("candidate")).drop("_s")
 
