@@ -443,7 +443,8 @@ def fx_to_usd(text: Column) -> Column:
     """Every amount with a currency's name or sign beside it, written in dollars ("$… USD"); all else as it was."""
     _, mark = _money_marks()
     pattern = rf"(?i)(?:{mark})\s*{AMOUNT}(?:\s*usd\b)?|{AMOUNT}\s*(?:{mark})"
-    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: S.format_usd(fx_amount(m)["usd"]))
+    # Each amount is worked out once, then written.
+    found = F.transform(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: fx_amount(m)["usd"]), S.format_usd)
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("money"))
     return F.array_join(F.transform(parts, lambda p: F.concat(p["gap"], F.coalesce(p["money"], F.lit("")))), "")
 
