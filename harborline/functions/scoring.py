@@ -82,9 +82,14 @@ def score_samples(df: DataFrame, key: Sequence[str], task: str, expected: str, p
     """(key, task, seven scores): null where a score does not belong to the task."""
     t = F.col(task)
     scored = df.join(word_f1(df, key, predicted, expected), list(key)).withColumns({"_e": json_repair_extract(F.col(expected)), "_p": json_repair_extract(F.col(predicted))})
+    # Candidates are used several times and only by their tasks.
+    mapping, worker = t.isin(*MAPPING_TASKS), t.isin(*WORKER_TASKS)
+    scored = scored.withColumns({
+        "_em": F.when(mapping, mapping_candidates(F.col("_e"))), "_pm": F.when(mapping, mapping_candidates(F.col("_p"))),
+        "_ew": F.when(worker, worker_ids(F.col("_e"))), "_pw": F.when(worker, worker_ids(F.col("_p"))),
+    })
     objects = F.col("_e").startswith("{") & F.col("_p").startswith("{")
-    em, pm = mapping_candidates(F.col("_e")), mapping_candidates(F.col("_p"))
-    ew, pw = worker_ids(F.col("_e")), worker_ids(F.col("_p"))
+    em, pm, ew, pw = (F.col(c) for c in ("_em", "_pm", "_ew", "_pw"))
     f1 = F.col("word_f1")
 
     def found(own: Column, other: Column, first: int) -> Column:
@@ -96,8 +101,8 @@ def score_samples(df: DataFrame, key: Sequence[str], task: str, expected: str, p
         exact_match(F.col(expected), F.col(predicted)).alias("exact_match"),
         F.when(t.isin(*JSON_TASKS), F.col("_p").isNotNull().cast("double")).alias("json_valid"),
         F.when(t == "intake_parse", F.when(F.coalesce(objects, F.lit(False)), parse_accuracy(F.col("_e"), F.col("_p"))).otherwise(f1)).alias("parse_accuracy"),
-        F.when(t.isin(*MAPPING_TASKS), found(em, pm, 1)).alias("mapping_top1"),
-        F.when(t.isin(*MAPPING_TASKS), found(em, pm, 3)).alias("mapping_top3"),
-        F.when(t.isin(*WORKER_TASKS), found(ew, pw, 3)).alias("worker_selection_accuracy"),
+        F.when(mapping, found(em, pm, 1)).alias("mapping_top1"),
+        F.when(mapping, found(em, pm, 3)).alias("mapping_top3"),
+        F.when(worker, found(ew, pw, 3)).alias("worker_selection_accuracy"),
         F.when(t.isin(*CHAT_TASKS), f1).alias("grounded_response_score"),
     )
