@@ -127,7 +127,7 @@ def _scan(window: int, rounds: int):
 def _windows(window: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            places, ka, kb, copies = b.column("places"), b.column("ka").to_numpy(), b.column("kb").to_numpy(), b.column("copies").to_numpy()
+            places, t, copies = b.column("places"), b.column("t").to_numpy(), b.column("copies").to_numpy()
             for row, _, data, offsets in text_slices(b.column("text")):
                 _, _, bounds, h = _first_words(data, offsets)
                 at, anchor = anchors(h, bounds, window, rounds)
@@ -140,8 +140,8 @@ def _windows(window: int, rounds: int):
                     if len(own):
                         k = row + i
                         yield pa.RecordBatch.from_arrays(
-                            [_long(hashed[own]), pa.array(np.full(len(own), ka[k])), pa.array(np.full(len(own), kb[k])), pa.array((own - bounds[i]).astype(np.int32)), pa.array(np.full(len(own), copies[k]))],
-                            ["w", "ka", "kb", "at", "copies"],
+                            [_long(hashed[own]), pa.array(np.full(len(own), t[k])), pa.array((own - bounds[i]).astype(np.int32)), pa.array(np.full(len(own), copies[k]))],
+                            ["w", "t", "at", "copies"],
                         )
 
     return run
@@ -191,10 +191,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # Texts that occur several times: every window counts, whatever its anchor.
     wanted = contents.join(places, "ka", "left").filter((F.col("copies") > 1) | F.col("places").isNotNull()).withColumn("places", F.when(F.col("copies") == 1, F.col("places")))
     same = (F.col("x.ka") == F.col("y.ka")) & (F.col("x.kb") == F.col("y.kb")) & F.col("x.id").eqNullSafe(F.col("y.id"))
-    texts = materialize(base.alias("x").join(wanted.alias("y"), same).select("x.ka", "x.kb", "x.text", "y.copies", "y.places"))
-    found = texts.mapInArrow(_windows(window, rounds), "w long, ka long, kb long, at int, copies long")
+    # Windows name their text by its number, which the written rows keep: less to shuffle than its two hashes.
+    texts = materialize(base.alias("x").join(wanted.alias("y"), same).select("x.ka", "x.kb", "x.text", "y.copies", "y.places", F.monotonically_increasing_id().alias("t")))
+    found = texts.select("t", "text", "copies", "places").mapInArrow(_windows(window, rounds), "w long, t long, at int, copies long")
     again = materialize(found.groupBy("w").agg(F.sum("copies").alias("c")).filter("c > 1").select("w"))
-    hits = found.join(again, "w", "left_semi").groupBy("ka", "kb").agg(F.collect_set("at").alias("hits"))
-    cut = texts.select("ka", "kb", "text").join(hits, ["ka", "kb"]).mapInArrow(_cut(window), "ka long, kb long, n_removed long, kept string").dropDuplicates(["ka", "kb"])
+    hits = found.join(again, "w", "left_semi").groupBy("t").agg(F.collect_set("at").alias("hits"))
+    cut = texts.select("t", "ka", "kb", "text").join(hits, "t").mapInArrow(_cut(window), "ka long, kb long, n_removed long, kept string").dropDuplicates(["ka", "kb"])
     out = scanned.select("id", "ka", "kb", "n_words", "sha").join(cut, ["ka", "kb"], "left")
     return out.select("id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"))
