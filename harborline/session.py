@@ -83,10 +83,13 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def fan_out(df: DataFrame) -> DataFrame:
+def fan_out(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Spread a scan of fewer splits than there are task slots before costly per-row work.
 
-    A large table has many splits and is left alone; only small inputs pay this shuffle.
+    A large table has many splits and is left alone; only small inputs pay this shuffle. With `rows`, where a split of a
+    file holds very many, there are so many parts that none has many more rows than that.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    parts = df.sparkSession.sparkContext.defaultParallelism
+    if rows is not None:
+        parts = max(parts, -(-df.count() // rows))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
