@@ -195,38 +195,52 @@ def fold_plain(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 class Memory:
-    """Ids of the pieces met so far, by the pieces' hashes; bounded."""
+    """Ids of the pieces met so far, by the pieces' hashes; bounded, and kept in flat arrays as each worker has its own."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], bound: int = REMEMBERED):
         self.encode, self.bound = encode, bound
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.flat, self.begin, self.size = array("i"), array("q"), array("i")
+        # Sorted hashes and the number of each one's piece; the ids of piece k are flat[upto[k] : upto[k + 1]].
+        self.hashes, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.flat, self.upto = array("i"), array("q", [0])
+
+    def _numbers(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash is or belongs among those kept, and its piece's number, -1 if unknown."""
+        at = np.searchsorted(self.hashes, found)
+        number = np.full(len(found), -1, np.int32)
+        inside = np.flatnonzero(at < len(self.hashes))
+        known = inside[self.hashes[at[inside]] == found[inside]]
+        number[known] = self.number[at[known]]
+        return at, number
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one behind the other, and where each text's ids begin."""
         starts, ends, bounds = split_pieces(data, offsets)
-        if len(self.place) > self.bound:
+        if len(self.hashes) > self.bound:
             self.clear()
         codes, found = pd.factorize(hash_words(fold_plain(data, starts, ends), starts, ends, lower=False))
         first = np.zeros(len(found), np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
-        at = [self.place.get(h, -1) for h in found.tolist()]
-        new = [k for k, p in enumerate(at) if p < 0]
-        if new:
+        at, number = self._numbers(found)
+        new = np.flatnonzero(number < 0)
+        if len(new):
             raw = data.tobytes()
             words = [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[new].tolist()]
-            for k, ids in zip(new, self.encode(words)):
-                at[k] = self.place[int(found[k])] = len(self.begin)
-                self.begin.append(len(self.flat))
-                self.size.append(len(ids))
+            number[new] = np.arange(len(new)) + (len(self.upto) - 1)
+            for ids in self.encode(words):
                 self.flat.extend(ids)
-        where = np.array(at, np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
-        flat, sizes = np.array(self.flat, np.int32), np.array(self.size, np.int64)[where]
+                self.upto.append(len(self.flat))
+            new = new[np.argsort(found[new])]
+            self.hashes, self.number = np.insert(self.hashes, at[new], found[new]), np.insert(self.number, at[new], number[new])
+        where = number[codes] if len(codes) else np.zeros(0, np.int32)
+        # Views, which are gone before the arrays grow again.
+        flat, ends_at = np.frombuffer(self.flat, np.int32) if len(self.flat) else np.zeros(0, np.int32), np.frombuffer(self.upto, np.int64)
+        begin = ends_at[where]
+        sizes = ends_at[where + 1] - begin
         upto = np.concatenate([[0], np.cumsum(sizes)])
-        out = flat[np.repeat(np.array(self.begin, np.int64)[where] - upto[:-1], sizes) + np.arange(upto[-1])]
+        out = flat[np.repeat(begin - upto[:-1], sizes) + np.arange(upto[-1])]
         return out, upto[bounds]
 
 
