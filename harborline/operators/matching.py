@@ -17,15 +17,26 @@ from harborline.operators.ordering import running_sum, small_side, top_per_group
 from harborline.session import materialize
 
 
-def manifest_tokens(manifest: DataFrame, names: bool = False) -> DataFrame:
-    """(category, worker, token) of manifest(category, worker, column_name), one row per worker and token.
+def manifest_tokens(manifest: DataFrame) -> DataFrame:
+    """(category, worker, token) of manifest(category, worker, column_name), one row per worker and token."""
+    tokens = manifest.select("category", "worker", S.normalize_token(F.col("column_name")).alias("token")).filter(F.col("token") != "")
+    return tokens.distinct()
 
-    `names` adds one column name per token; without it the rows are keys only.
+
+def _marked_names(manifest: DataFrame, provided: DataFrame, aliases: DataFrame | None) -> DataFrame:
+    """The marked tokens with the first of each worker's column names for them, written.
+
+    Names are made distinct before they are normalised and joined, and by their hashes: the least name of a group is
+    found by sorting, so that is left to manifests with names that aren't their own tokens.
     """
-    tokens = manifest.select("category", "worker", S.normalize_token(F.col("column_name")).alias("token"), F.trim("column_name").alias("column_name")).filter(F.col("token") != "")
-    if not names:
-        return tokens.select("category", "worker", "token").distinct()
-    return tokens.groupBy("category", "worker", "token").agg(F.min("column_name").alias("column_name"))
+    names = manifest.select("category", "worker", F.trim("column_name").alias("column_name")).distinct()
+    marked = mark_provided(names.withColumn("token", S.normalize_token(F.col("column_name"))), provided, aliases)
+    # A token is written where it isn't the name itself. Empty ones are dropped from what was written: a filter before
+    # would normalise every name of the manifest.
+    written = materialize(marked.withColumn("token", F.when(F.col("token") != F.col("column_name"), F.col("token"))))
+    odd = not written.filter(F.col("token").isNotNull()).isEmpty()
+    whole = written.withColumn("token", F.coalesce("token", "column_name")).filter(F.col("token") != "")
+    return materialize(whole.groupBy("category", "worker", "token", "hit").agg(F.min("column_name").alias("column_name"))) if odd else whole
 
 
 def mark_provided(tokens: DataFrame, provided: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -83,11 +94,12 @@ def missing_columns(manifest: DataFrame, provided: DataFrame, aliases: DataFrame
     Where no worker matches at all, or the best lacks nothing, the category's own columns are listed, most recurring
     first, without a worker.
     """
-    marked = materialize(mark_provided(manifest_tokens(manifest, names=True), provided, aliases))
-    best = _best_workers(marked, 1, cap).select("category", "worker")
-    lacking = marked.join(best, ["category", "worker"], "left_semi").filter(~F.col("hit")).select("category", "worker", "column_name", F.lit(0).cast("long").alias("n"), "token")
-    own = marked.groupBy("category", "token").agg(F.min("column_name").alias("column_name"), F.count(F.lit(1)).alias("n"))
-    rest = own.join(lacking.select("category").distinct(), "category", "left_anti")
+    marked = _marked_names(manifest, provided, aliases)
+    # One row a category, and the columns of one worker each: written, so that their sizes are known to the joins.
+    best = materialize(_best_workers(marked, 1, cap).select("category", "worker"))
+    lacking = materialize(marked.join(best, ["category", "worker"], "left_semi").filter(~F.col("hit")).select("category", "worker", "column_name", F.lit(0).cast("long").alias("n"), "token"))
+    own = marked.join(lacking.select("category").distinct(), "category", "left_anti").groupBy("category", "token", "column_name").agg(F.count(F.lit(1)).alias("n"))
+    rest = own.groupBy("category", "token").agg(F.min("column_name").alias("column_name"), F.sum("n").alias("n"))
     every = lacking.unionByName(rest.withColumn("worker", F.lit(None).cast(marked.schema["worker"].dataType)))
     ranked = _ranked(every.withColumn("_turn", -F.col("n")), "category", ["_turn", "token"])
     return (ranked if shown is None else ranked.filter(F.col("rank") <= shown)).select("category", "worker", "column_name", "rank")
